@@ -25,6 +25,7 @@ from graphloom.llm.syntax.python import Python
 from graphloom.llm.syntax.ruby import Ruby
 from graphloom.llm.syntax.rust import Rust
 from graphloom.llm.syntax.script import JavaScript, TypeScript
+from graphloom.session import spread
 
 GRAMMARS: dict[str, type[Grammar]] = {"js": JavaScript, "ts": TypeScript, "py": Python, "rb": Ruby, "php": Php, "java": Java, "go": Go, "rs": Rust, "dart": Dart}
 
@@ -82,7 +83,7 @@ def syntax_verdicts(files: DataFrame) -> DataFrame:
     Null, empty and comment-only texts are accepted, and so are files of an unknown extension
     (language null).  Repeated files give repeated rows.
     """
-    return files.select("file_id", "graph", "file_path", "source_text").mapInPandas(_check, _VERDICTS)
+    return spread(files.select("file_id", "graph", "file_path", "source_text")).mapInPandas(_check, _VERDICTS)
 
 
 def broken_files(files: DataFrame) -> DataFrame:

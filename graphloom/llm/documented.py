@@ -18,6 +18,7 @@ from graphloom.llm import peg
 from graphloom.llm.broken import first_errors, language_of
 from graphloom.llm.peg import alt, cap, many, memo, no, opt, seq, term
 from graphloom.llm.syntax import lexer as lx
+from graphloom.session import spread
 
 DOC, BLOCK, LINE, DOCLINE = "\4", "\5", "\6", "\7"
 _LINE_MARK = {"go": "//", "rb": "#", "rs": "///", "dart": "///"}
@@ -386,4 +387,4 @@ def documented_functions(files: DataFrame) -> DataFrame:
     Null or empty texts, unknown extensions and files that do not parse give no rows; repeated
     files give repeated rows; whole texts are read.
     """
-    return files.select("file_id", "file_path", "source_text").mapInPandas(_extract, _PAIRS)
+    return spread(files.select("file_id", "file_path", "source_text")).mapInPandas(_extract, _PAIRS)

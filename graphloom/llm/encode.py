@@ -22,6 +22,8 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from graphloom.session import spread
+
 VOCABULARY = os.environ.get("GRAPHLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 # White space as the pre-tokenizer sees it.
@@ -149,7 +151,7 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
 
     Null and empty texts have the empty list.  Repeated documents give repeated rows.
     """
-    return documents.select("doc_id", "text").mapInPandas(_encode(vocabulary), "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInPandas(_encode(vocabulary), "doc_id long, ids array<int>")
 
 
 def _sizes(path: str):
@@ -163,7 +165,7 @@ def _sizes(path: str):
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens); 0 for null and empty texts."""
-    return documents.select("doc_id", "text").mapInPandas(_sizes(vocabulary), "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text")).mapInPandas(_sizes(vocabulary), "doc_id long, n_tokens long")
 
 
 def _decode(path: str):

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from graphloom.session import spread
+
 # Function words of the corpus languages (articles, prepositions, conjunctions, pronouns, auxiliaries).
 FUNCTION_WORDS = frozenset(
     """the a an of to in on and or is are was were be been for with from by at as it its this that which when if then than so no not can has have must each every any our your until because unless after before since into out even most will would should could do does did we you they he she i but there here how what who whose why because these those while where their them his her my me us again about against between during both more other only own same too very just
@@ -184,7 +186,7 @@ def page_profiles(documents: DataFrame) -> DataFrame:
 
     Null and empty texts have zeros.  Repeated documents give repeated rows; whole texts count.
     """
-    return documents.select("doc_id", "text").mapInPandas(_profiles, _PROFILE)
+    return spread(documents.select("doc_id", "text")).mapInPandas(_profiles, _PROFILE)
 
 
 def spam_pages(documents: DataFrame, share: float = 0.5, least_chars: int = 60) -> DataFrame:
