@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import core_problems
+from graphloom.graph import KnowledgeGraph
+from graphloom.operators import search, traverse
+from graphloom.plans import analysis_queries, core_problems, graph_queries, lifecycle_queries
 
-_MODULES = [core_problems]
+_MODULES = [core_problems, graph_queries, analysis_queries, lifecycle_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +22,8 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_problems.p6_report(spark, sf_dir)
+    """Ranked hits with the impact that a change of each would have."""
+    g = KnowledgeGraph.from_tables(spark, sf_dir)
+    hits = search.semantic_search(g, "load queue", limit=20)
+    risks = traverse.impact(g, hits.select("graph", hits["id"].alias("root")), 3).withColumnRenamed("score", "impact_score").withColumnRenamed("root", "id")
+    return hits.join(risks, ["graph", "id"])
