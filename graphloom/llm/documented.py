@@ -33,36 +33,39 @@ class _Comments:
             space, comments = space + r"|\\\n", comments.partition("|")[2]
         body = base.pattern.pattern.split(")*+(", 1)[1]
         self.pattern = re.compile(rf"(?>{space})*+({comments}|{body}")
-        self.base, self.line_doc = base, _LINE_MARK.get(language) == "///"
+        self.base, self.line_doc, self.hash = base, _LINE_MARK.get(language) == "///", language in ("rb", "php")
+        self.table = {k: v for k, v in base.table.items() if not (self.hash and k == "#")}.get
+
+    def special(self, t: str) -> str:
+        """The code of a comment, or of a token that is not in the table yet."""
+        if t[:2] == "//":
+            return DOCLINE if self.line_doc and t[2:3] == "/" and t[3:4] != "/" else LINE
+        if t[:2] == "/*" and len(t) > 3:
+            return DOC if t[2] == "*" and len(t) > 4 else BLOCK
+        if t[0] == "#" and self.hash and t[1:2] != "[" or t.startswith("=begin"):
+            return LINE if t[0] == "#" else BLOCK
+        return self.base.code(t)
 
     def run(self, text: str) -> tuple[str, list[int]]:
-        out, at, last = [], [], "N"
-        table, code, ends = self.base.table.get, self.base.code, getattr(self.base, "ends_after", None)
-        lines = isinstance(self.base, lx.LineLexer)
+        special, table = self.special, self.table
         groups = self.pattern.groups if self.base.double else 0
-        for m in self.pattern.finditer(text):
-            t = m[1]
-            if not t:
+        found = [(m[1], m.start(1)) for m in self.pattern.finditer(text) if m[1]] if not groups else []
+        if groups:
+            for m in self.pattern.finditer(text):
+                if m[1]:
+                    found.append((m[1], m.start(1)))
+                    if m[groups]:
+                        found.append(("0", m.start(groups)))
+        if not isinstance(self.base, lx.LineLexer):
+            return "".join([table(t) or special(t) for t, _ in found]) + lx.END, [*[o for _, o in found], len(text)]
+        out, at, last, ends = [], [], "N", self.base.ends_after
+        for t, o in found:
+            c = table(t) or ("N" if t[0] == "\n" else special(t))
+            if c == "N" and (last == "N" or ends is not None and last not in ends and last not in (LINE, BLOCK)):
                 continue
-            if t[:2] in ("//", "/*") and t != "/*" and len(t) > 1 and (t[:2] == "//" or t.endswith("*/")) and not (t in self.base.table):
-                c = (DOCLINE if self.line_doc and t.startswith("///") and not t.startswith("////") else LINE) if t[1] == "/" else DOC if t.startswith("/**") and len(t) > 4 else BLOCK
-            elif t[0] == "#" and len(t) > 1 and t[1] != "[" and not self.base.table.get(t) and self.base in (lx.RUBY, lx.PHP) or t == "#" and self.base is lx.RUBY:
-                c = LINE
-            elif t.startswith("=begin"):
-                c = BLOCK
-            elif lines and t[0] == "\n":
-                if last == "N" or ends is not None and last not in ends and last not in (LINE, BLOCK):
-                    continue
-                c = "N"
-            else:
-                c = table(t) or code(t)
             out.append(c)
-            at.append(m.start(1))
+            at.append(o)
             last = c
-            if groups and m[groups]:
-                out.append('"')
-                at.append(m.start(groups))
-                last = '"'
         return "".join(out) + lx.END, [*at, len(text)]
 
 
@@ -205,9 +208,6 @@ def declarations(text: str, language: str) -> Iterator[dict]:
         r = grammar(run, m.start())
         if r is None:
             continue
-        caps: dict[str, list[tuple[int, int]]] = {}
-        for label, a, b in r[1]:
-            caps.setdefault(label, []).append((at[a], at[b - 1] if b > a else at[a]))
         spans = {label: (a, b) for label, a, b in r[1]}
         a, b = spans["name"]
         start = at[a]
@@ -362,14 +362,12 @@ def pairs(text: str, path: str) -> list[tuple[str, int, str, list[str], str]]:
     language = language_of(path)
     if not text or language not in GRAMMARS:
         return []
-    if first_errors(text, path):
-        return []
     out = []
     for d in declarations(lx.normalised(text), language):
         doc = doc_text(d["doc"], language)
         if not is_trivial(doc, d["name"]):
             out.append((d["name"], d["line"], doc, parameter_names(d["params"], language), d["code"]))
-    return out
+    return [] if out and first_errors(text, path) else out
 
 
 _PAIRS = "file_id long, name string, line int, docstring string, parameters array<string>, code string"

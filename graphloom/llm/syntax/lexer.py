@@ -116,6 +116,9 @@ class LineLexer(Lexer):
 class IndentLexer(Lexer):
     """Python: logical lines, INDENT and DEDENT; inside brackets lines do not end."""
 
+    #: The last text and what came of it, as a text is often asked for more than once in a row.
+    last: tuple[str, tuple[str, list[int]]] = ("", ("\0", [0]))
+
     def codes(self, text: str) -> str:
         return self._run(text)[0]
 
@@ -123,6 +126,11 @@ class IndentLexer(Lexer):
         return [max(0, x - 1) for x in self._run(text)[1]]
 
     def _run(self, text: str) -> tuple[str, list[int]]:
+        if text != self.last[0]:
+            self.last = (text, self._scan(text))
+        return self.last[1]
+
+    def _scan(self, text: str) -> tuple[str, list[int]]:
         out, at, levels, depth, fresh = [], [], [0], 0, True
         table, code = self.table.get, self.code
         for m in self.pattern.finditer("\n" + text):

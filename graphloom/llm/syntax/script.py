@@ -445,7 +445,7 @@ class JavaScript(Grammar):
             return self.semi(self.declarators(i + 1))
         if c == K["return"]:
             i += 1
-            if s[i] in ";}" + END or self.s[i] not in "i" and self.newline_before(i):
+            if s[i] in ";}" + END or s[i] not in STARTERS and self.newline_before(i):
                 return self.semi(i)
             return self.semi(self.comma(i))
         if c == K["if"]:
@@ -663,6 +663,8 @@ class JavaScript(Grammar):
 
 
 THIS = _k("this super null true false")
+# What begins an expression: after a line end it makes a statement of its own as well.
+STARTERS = 'i0"[({' + THIS
 VOID = _k("void null this true false")
 AS = _k("as satisfies")
 TYPE_PREFIX = _k("keyof readonly unique infer asserts typeof")
