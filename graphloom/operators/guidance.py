@@ -50,11 +50,13 @@ def suggested_directories(g: KnowledgeGraph, task: str, entity_type: str = "clas
 
 
 def suggested_imports(g: KnowledgeGraph, task: str, entity_type: str = "module") -> DataFrame:
-    """What the first five similar entities of each graph import, if it is an entity."""
+    """What the first five similar entities of each graph import: entities by file and name, else the module itself."""
     near = similar_entities(g, task, entity_type, 5).select("graph", F.col("id").alias("source_id"))
     targets = g.entities.select("graph", F.col("id").alias("target_id"), "name", "file_path")
-    used = g.relationships.where("type = 'imports'").join(near, ["graph", "source_id"]).join(targets, ["graph", "target_id"])
-    return used.select("graph", F.concat(F.lit("from "), F.replace(F.replace("file_path", F.lit("/"), F.lit(".")), F.lit(".py"), F.lit("")), F.lit(" import "), "name").alias("statement")).distinct()
+    used = g.relationships.where("type = 'imports' and target_id is not null").join(near, ["graph", "source_id"]).join(targets, ["graph", "target_id"], "left")
+    inside = F.concat(F.lit("from "), F.replace(F.replace("file_path", F.lit("/"), F.lit(".")), F.lit(".py"), F.lit("")), F.lit(" import "), "name")
+    outside = F.concat(F.lit("import "), F.regexp_replace("target_id", "^(?:external:|ext_)", ""))
+    return used.select("graph", F.coalesce(inside, outside).alias("statement")).distinct()
 
 
 def suggest_names(tasks: DataFrame) -> DataFrame:

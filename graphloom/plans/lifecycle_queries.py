@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.graph import KnowledgeGraph, current_entities
 from graphloom.operators import declarations, documentation, evolution, guidance, lookup, mutate
 from graphloom.plans.graph_queries import _kg, over
-from graphloom.session import table
+from graphloom.session import ensure_checkpoint_dir, table
+from graphloom.sources import graph_json
+from graphloom.streaming import watch
 
 TASK = "load the typed queue"
 
@@ -68,6 +72,23 @@ def _snippets(spark, sf_dir):
     return lookup.snippets(KnowledgeGraph(spans, spans), files, context=1)
 
 
+def _saved_graphs(spark, sf_dir):
+    """The saved graphs among the snapshots, read by the schema of graph files; each snapshot is a graph."""
+    rows = table(spark, sf_dir, "graph_snapshots").where("payload is not null and graph <> 'summary'")
+    parsed = rows.select(F.concat_ws("#", "stream_name", F.col("snapshot_id").cast("string")).alias("graph"), F.from_json("payload", graph_json.SCHEMA).alias("p"))
+    return graph_json.from_documents(parsed.select("graph", "p.*"))
+
+
+def _watched(spark, sf_dir):
+    """The source files as a stream of states, run to its end; the ledger that results."""
+    ensure_checkpoint_dir(spark)
+    out = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/watch-{uuid.uuid4().hex}"
+    source = f"{sf_dir}/source_files.parque[t]"  # a pattern, as a stream takes no single file
+    states = spark.readStream.schema(table(spark, sf_dir, "source_files").schema).parquet(source).select("graph", "file_path", "hash_value", F.col("updated_at").cast("timestamp").alias("at"))
+    watch.start_ledger(watch.file_changes(states), f"{out}/changes", f"{out}/state").awaitTermination()
+    return watch.ledger(spark.read.schema("graph string, file_path string, status string, hash_value string, at timestamp").parquet(f"{out}/changes"))
+
+
 def _tasks(g: KnowledgeGraph):
     return guidance.suggest_names(g.entities.where("docstring is not null").select(F.substring("docstring", 1, 80).alias("task")).distinct())
 
@@ -76,7 +97,7 @@ QUERIES = {
     "naming_convention": _kg(guidance.naming_conventions),
     "similar_entities": _kg(lambda g: guidance.similar_entities(g, TASK)),
     "directory_suggestion": _kg(lambda g: guidance.suggested_directories(g, TASK)),
-    "import_suggestions": _kg(lambda g: guidance.suggested_imports(g, "load the channel queue index server", "class")),
+    "import_suggestions": _kg(lambda g: guidance.suggested_imports(g, TASK, "module")),
     "suggested_name": _kg(_tasks),
     **{f"documentation_{form}": _kg(lambda g, form=form: documentation.documentation(g, form)) for form in documentation.FORMATS},
     "codebase_overview": _kg(documentation.codebase_overview),
@@ -95,6 +116,9 @@ QUERIES = {
     "declared_calls": _files(declarations.calls),
     "parse_totals": _files(declarations.parse_totals),
     "source_snippet": _snippets,
+    "watch_stream": _watched,
+    "snapshot_entities": lambda spark, sf_dir: _saved_graphs(spark, sf_dir).entities.drop("extra_data"),
+    "graph_documents": _kg(graph_json.to_documents),
     "docstring_truncate": lambda spark, sf_dir: current_entities(table(spark, sf_dir, "entities")).select("graph", "id", text.clipped(F.col("docstring"), 40).alias("docstring")),
     "identifier_words": _kg(lambda g: g.entities.select("graph", "id", F.array_join(F.array_sort(text.identifier_words(F.col("name"))), " ").alias("words"))),
 }
@@ -147,8 +171,8 @@ SQL = {
         _similar("class", 10),
     ),
     "import_suggestions": over(
-        "SELECT DISTINCT r.graph, 'from ' || replace(replace(t.file_path, '/', '.'), '.py', '') || ' import ' || t.name AS statement FROM rels r JOIN sim s ON s.graph = r.graph AND s.id = r.source_id JOIN ents t ON t.graph = r.graph AND t.id = r.target_id WHERE r.type = 'imports'",
-        _similar("class", 5, "load the channel queue index server"),
+        "SELECT DISTINCT r.graph, coalesce('from ' || replace(replace(t.file_path, '/', '.'), '.py', '') || ' import ' || t.name, 'import ' || regexp_replace(r.target_id, '^(?:external:|ext_)', '')) AS statement FROM rels r JOIN sim s ON s.graph = r.graph AND s.id = r.source_id LEFT JOIN ents t ON t.graph = r.graph AND t.id = r.target_id WHERE r.type = 'imports' AND r.target_id IS NOT NULL",
+        _similar("module", 5),
     ),
     **{f"documentation_{form}": over(f"SELECT graph, id, {sql} AS text FROM d", _CTX) for form, sql in _TEXTS.items()},
     "codebase_overview": over(
@@ -168,6 +192,7 @@ SQL = {
     "delete_edges": over("SELECT rel_id, graph, source_id, target_id, type FROM rels WHERE type IS DISTINCT FROM 'calls'"),
     "version_compare": """SELECT p_partkey, p_size || '.' || p_partkey % 7 || '.' || p_partkey % 3 AS version,
         CASE WHEN [p_size::BIGINT, p_partkey % 7, p_partkey % 3] < [25, 3, 0] THEN -1 WHEN [p_size::BIGINT, p_partkey % 7, p_partkey % 3] > [25, 3, 0] THEN 1 ELSE 0 END AS order_to_25_3 FROM part""",
+    "watch_stream": "SELECT graph, file_path, arg_max(hash_value, updated_at) AS hash_value FROM source_files WHERE hash_value IS NOT NULL GROUP BY 1, 2",
     "docstring_truncate": over("SELECT graph, id, CASE WHEN length(docstring) > 40 THEN left(docstring, 40) || '...' ELSE docstring END AS docstring FROM ents"),
     "identifier_words": over("SELECT graph, id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(name), '[a-z]+'))), ' '), '') AS words FROM ents"),
 }
