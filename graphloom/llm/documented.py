@@ -92,7 +92,7 @@ def _script() -> peg.Rule:
     name = cap("name", term(f'[{names}P]|[{k("delete get set default new in of")}](?=[(<])'))
     plain = cap("name", term(f"[{names}]"))
     decorator = seq(term(f"@[{names}](?:\\.[{names}])*"), opt(memo(_balanced)))
-    returns = opt(seq(term(":"), many(alt(term(r"[^{}()\[\];=f<>\x00]+"), _generic, _balanced_type, term("f(?=[^{])")), least=1)))
+    returns = opt(seq(term(":"), many(alt(term(r"[^{}()\[\];=f<>\x00]+"), _generic, seq(_balanced_type, term("f(?=[^{])")), _balanced_type), least=1)))
     head = seq(opt(_generic), _params, returns)
     function = seq(term(f"[{k('export')}]?[{k('default')}]?[{k('declare')}]?[{k('async')}]?{k('function')}\\*?"), plain, head, alt(_block, term(";")))
     arrow = seq(term(f"[{k('async')}]?"), alt(head, cap("params", term(f"[{names}]"))), term("f"), alt(_block, many(alt(term(r"[^;{}()\[\]\x00]+"), _balanced))))

@@ -49,6 +49,8 @@ class JavaScript(Grammar):
         if c == K["async"] and s[i + 1] in NAMES + "(" and (s[i + 1] == "(" and s[self.match(i + 1)] in "f:" or s[i + 2] == "f"):
             i += 1
             c = s[i]
+        elif c == K["async"] and s[i + 1] == "<" and self.typed and self.arrow(i + 1):
+            return self.arrow(i + 1)
         if c == K["yield"]:
             i += 1
             if s[i] == "*":
