@@ -36,9 +36,13 @@ def _kind(value) -> str | None:
     return "array" if isinstance(value, list) else "object"
 
 
-def field_types(value) -> dict[str, set[str]]:
-    """path -> JSON types of its non-null values; keys join by '.', array elements are '[]'."""
-    out: dict[str, set[str]] = {}
+def field_types(value) -> dict[str, tuple[str, set[str]]]:
+    """path -> (path of the object that holds it, JSON types of its non-null values).
+
+    Keys join by '.', array elements are '[]'.  Keys may hold dots themselves, so the parent is
+    kept and never cut from the path.
+    """
+    out: dict[str, tuple[str, set[str]]] = {}
     stack = [("", value)]
     while stack:
         path, node = stack.pop()
@@ -49,7 +53,7 @@ def field_types(value) -> dict[str, set[str]]:
         else:
             continue
         for p, v in inner:
-            types = out.setdefault(p, set())
+            types = out.setdefault(p, (path, set()))[1]
             if v is not None:
                 types.add(_kind(v))
                 if isinstance(v, (dict, list)):
@@ -57,21 +61,20 @@ def field_types(value) -> dict[str, set[str]]:
     return out
 
 
-def parent_of(path: str) -> str:
-    """The object that holds the key; '[]' belongs to the parent."""
-    return path.rpartition(".")[0]
+def _utf8(text: str) -> str:
+    return text.encode("utf-8", "replace").decode()
 
 
-_CATALOGUE = "stream_name string, snapshot_id long, seq long, field_path string, types string"
+_CATALOGUE = "stream_name string, snapshot_id long, seq long, field_path string, parent string, types string"
 
 
 def _catalogue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for stream, snapshot, seq, payload in zip(pdf["stream_name"], pdf["snapshot_id"], pdf["seq"], pdf["payload"]):
-            for path, types in field_types(load(payload)).items():
-                rows.append((stream, snapshot, seq, path.encode("utf-8", "replace").decode(), ",".join(sorted(types))))
-        yield pd.DataFrame(rows, columns=["stream_name", "snapshot_id", "seq", "field_path", "types"])
+            for path, (parent, types) in field_types(load(payload)).items():
+                rows.append((stream, snapshot, seq, _utf8(path), _utf8(parent), ",".join(sorted(types))))
+        yield pd.DataFrame(rows, columns=["stream_name", "snapshot_id", "seq", "field_path", "parent", "types"])
 
 
 def ordered(snapshots: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def ordered(snapshots: DataFrame) -> DataFrame:
 
 
 def catalogue(snapshots: DataFrame, places: DataFrame) -> DataFrame:
-    """(stream_name, snapshot_id, seq, field_path, types): the fields of each snapshot.
+    """(stream_name, snapshot_id, seq, field_path, parent, types): the fields of each snapshot.
 
     A payload that is null or not complete JSON has no fields.
     """
@@ -102,7 +105,7 @@ def lifespans(fields: DataFrame) -> DataFrame:
 
 
 def starts_and_endings(fields: DataFrame, places: DataFrame) -> DataFrame:
-    """(stream_name, seq, field_path, event): a field starts, ends or changes its types at seq.
+    """(stream_name, seq, field_path, parent, event): a field starts, ends or changes its types at seq.
 
     Seen from one snapshot to the next, so an ending bears the seq of the first snapshot
     without the field.  Fields of a stream's first snapshot do not start.
@@ -110,7 +113,7 @@ def starts_and_endings(fields: DataFrame, places: DataFrame) -> DataFrame:
     w = Window.partitionBy("stream_name", "field_path").orderBy("seq")
     last = places.groupBy("stream_name").agg(F.max("seq").alias("last_seq"))
     seen = fields.select(
-        "stream_name", "seq", "field_path", "types", F.lag("seq").over(w).alias("seq_before"), F.lag("types").over(w).alias("types_before"), F.lead("seq").over(w).alias("seq_after")
+        "stream_name", "seq", "field_path", "parent", "types", F.lag("seq").over(w).alias("seq_before"), F.lag("types").over(w).alias("types_before"), F.lead("seq").over(w).alias("seq_after")
     ).join(last, "stream_name")
     follows = F.coalesce(F.col("seq_before") == F.col("seq") - 1, F.lit(False))
     event = F.array_compact(
@@ -126,25 +129,24 @@ def starts_and_endings(fields: DataFrame, places: DataFrame) -> DataFrame:
             ),
         )
     )
-    events = seen.select("stream_name", "field_path", F.explode(event).alias("e")).select("stream_name", "e.seq", "field_path", "e.event")
+    events = seen.select("stream_name", "field_path", "parent", F.explode(event).alias("e")).select("stream_name", "e.seq", "field_path", "parent", "e.event")
     return events.where("event = 'retyped' or field_path not like '%[]'")
 
 
-def records_of(value, parent: str, fields: list[str]) -> dict[str, list[tuple[tuple, dict]]]:
-    """The objects at ``parent`` with the identities of the records around them."""
+def records_of(value, parent: str) -> list[tuple[tuple, dict]]:
+    """The objects at the path ``parent``, each with the array elements around it."""
     found: list[tuple[tuple, dict]] = []
-    stack: list[tuple[object, list[str], tuple]] = [(value, [x for x in parent.replace("[]", ".[]").split(".") if x], ())]
+    stack: list[tuple[object, str, tuple]] = [(value, "", ())]
     while stack:
-        node, rest, chain = stack.pop()
-        if not rest:
-            if isinstance(node, dict):
-                found.append((chain, node))
+        node, path, chain = stack.pop()
+        if path == parent and isinstance(node, dict):
+            found.append((chain, node))
+        if not parent.startswith(path):
             continue
-        if rest[0] == "[]":
-            if isinstance(node, list):
-                stack += [(x, rest[1:], (*chain, x if isinstance(x, dict) else None)) for x in node]
-        elif isinstance(node, dict) and rest[0] in node:
-            stack.append((node[rest[0]], rest[1:], chain))
+        if isinstance(node, list):
+            stack += [(x, f"{path}[]", (*chain, x if isinstance(x, dict) else None)) for x in node]
+        elif isinstance(node, dict):
+            stack += [(v, f"{path}.{k}" if path else k, chain) for k, v in node.items() if isinstance(v, (dict, list))]
     return found
 
 
@@ -156,7 +158,7 @@ def _identity_keys(before: list[dict], after: list[dict], skip: set[str]) -> tup
 
     for keys in IDENTITIES:
         kept = tuple(k for k in keys if k not in skip and usable(before, k) and usable(before, k) == usable(after, k))
-        if kept and (len(keys) == 1 or len(kept) >= 1):
+        if kept:
             return kept
     shared = {k for r in before for k in r} & {k for r in after for k in r}
     return tuple(sorted(k for k in shared if k not in skip and usable(before, k) and usable(before, k) == usable(after, k)))
@@ -168,7 +170,7 @@ def takes_over(before, after, parent: str, old: str, new: str) -> bool:
     Records are matched by their identity fields; where an identity is not unique the smaller
     set of values must lie in the larger.  All pairs must agree and one must not be null.
     """
-    left, right = records_of(before, parent, [old]), records_of(after, parent, [new])
+    left, right = records_of(before, parent), records_of(after, parent)
     skip = {old, new}
     depth = max((len(c) for c, _ in left + right), default=0)
     keys = [_identity_keys([c[i] for c, _ in left if c[i]], [c[i] for c, _ in right if c[i]], skip) for i in range(depth)]
@@ -199,13 +201,13 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for stream, seq, gone, come, before, after in zip(pdf["stream_name"], pdf["seq"], pdf["gone"], pdf["come"], pdf["before"], pdf["after"]):
             old_value, new_value = load(before), load(after)
-            free = sorted(come)
-            for old in sorted(gone):
-                for new in free:
-                    parent = parent_of(old)
-                    if parent_of(new) == parent and takes_over(old_value, new_value, parent, old[len(parent) :].lstrip("."), new[len(parent) :].lstrip(".")):
+            free = sorted((x["parent"], x["field_path"]) for x in come)
+            for parent, old in sorted((x["parent"], x["field_path"]) for x in gone):
+                start = len(parent) + 1 if parent else 0
+                for place, new in free:
+                    if place == parent and takes_over(old_value, new_value, parent, old[start:], new[start:]):
                         rows.append((stream, seq, old, new))
-                        free.remove(new)
+                        free.remove((place, new))
                         break
         yield pd.DataFrame(rows, columns=["stream_name", "seq", "old_path", "new_path"])
 
@@ -217,11 +219,11 @@ def renames(events: DataFrame, snapshots: DataFrame, places: DataFrame) -> DataF
     """
     # Keys that come or go together with their parent follow from it.
     top = _outermost(events)
-    parent = F.regexp_replace("field_path", r"\.?[^.]*$", "")
+    of = lambda event: F.collect_list(F.when(F.col("event") == event, F.struct("parent", "field_path")))
     met = (
         top.where("event <> 'retyped'")
-        .groupBy("stream_name", "seq", parent.alias("parent"))
-        .agg(F.collect_list(F.when(F.col("event") == "removed", F.col("field_path"))).alias("gone"), F.collect_list(F.when(F.col("event") == "added", F.col("field_path"))).alias("come"))
+        .groupBy("stream_name", "seq", "parent")
+        .agg(of("removed").alias("gone"), of("added").alias("come"))
         .where("size(gone) > 0 and size(come) > 0")
         .groupBy("stream_name", "seq")
         .agg(F.flatten(F.collect_list("gone")).alias("gone"), F.flatten(F.collect_list("come")).alias("come"))
@@ -287,8 +289,10 @@ def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     inner = [(f"{k}.{x}", y) for x, y in v.items()] if isinstance(v, dict) else []
                     for field, leaf in [(k, v), *inner]:
                         if leaf is not None:
-                            text = leaf if isinstance(leaf, str) else json.dumps(leaf[0] if isinstance(leaf, list) and len(leaf) == 1 and isinstance(leaf[0], str) else leaf)
-                            rows.append((snapshot, n, field.encode("utf-8", "replace").decode(), text.encode("utf-8", "replace").decode()))
+                            if isinstance(leaf, list) and len(leaf) == 1 and isinstance(leaf[0], str):
+                                leaf = leaf[0]
+                            text = leaf if isinstance(leaf, str) else json.dumps(leaf)
+                            rows.append((snapshot, n, _utf8(field), _utf8(text)))
         yield pd.DataFrame(rows, columns=["snapshot_id", "record_no", "field", "value"])
 
 
@@ -309,7 +313,8 @@ def alias_table(changes: DataFrame) -> DataFrame:
 def consistent_entities(snapshots: DataFrame, changes: DataFrame) -> DataFrame:
     """All entity records of all snapshots in one schema: aliases resolved, values cast.
 
-    Values that do not cast become null; structures stay as JSON text.
+    Values that do not cast become null; a list of one text is that text, other structures stay
+    as JSON text.
     """
     leaves = snapshots.select("snapshot_id", "payload").where("payload is not null").mapInPandas(_leaves, _LEAVES)
     named = leaves.join(alias_table(changes), "field", "left").withColumn("field", F.coalesce("canonical", "field")).where(F.col("field").isin(*ENTITY_CASTS))

@@ -60,14 +60,20 @@ def complexities(g: KnowledgeGraph) -> DataFrame:
 def cohesion(g: KnowledgeGraph) -> DataFrame:
     """(graph, id, children, sharing, lcom) of every container: the share of child pairs without a common target.
 
-    Pairs come from a join on the target within one container, so that the work follows the
-    number of shared targets.  Containers of one child have lcom 0.
+    Children of a container with the same set of targets form a class; only class
+    representatives are paired, by a join on the target within the container, and a pair counts
+    for as many as its classes hold.  Containers of one child have lcom 0.
     """
     children = g.relationships.where("type = 'contains' and source_id is not null and target_id is not null").select("graph", F.col("source_id").alias("id"), F.col("target_id").alias("child"), F.col("rel_id").alias("slot"))
     targets = g.relationships.where("source_id is not null and target_id is not null").select("graph", F.col("source_id").alias("child"), F.col("target_id").alias("target")).distinct()
-    uses = children.join(targets, ["graph", "child"]).select("graph", "id", "slot", "target")
-    a, b = uses, uses.withColumnRenamed("slot", "other")
-    sharing = a.join(b, ["graph", "id", "target"]).where("slot < other").groupBy("graph", "id").agg(F.count_distinct("slot", "other").alias("sharing"))
+    # A set of targets by its size and two sums over hashes of its members.
+    sets = targets.groupBy("graph", "child").agg(F.struct(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("target")).alias("x"), F.sum(F.hash("target").cast("long")).alias("h")).alias("set"))
+    classes = children.join(sets, ["graph", "child"]).groupBy("graph", "id", "set").agg(F.count(F.lit(1)).alias("m"), F.min("slot").alias("slot"), F.min_by("child", "slot").alias("child"))
+    within = classes.select("graph", "id", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("pairs"))
+    uses = classes.join(targets, ["graph", "child"]).select("graph", "id", "slot", "m", "target")
+    other = uses.select("graph", "id", "target", F.col("slot").alias("slot2"), F.col("m").alias("m2"))
+    across = uses.join(other, ["graph", "id", "target"]).where("slot < slot2").groupBy("graph", "id", "slot", "slot2").agg(F.first(F.col("m") * F.col("m2")).alias("pairs"))
+    sharing = within.unionByName(across.select("graph", "id", "pairs")).groupBy("graph", "id").agg(F.sum("pairs").alias("sharing"))
     counted = children.groupBy("graph", "id").agg(F.count(F.lit(1)).alias("children")).join(sharing, ["graph", "id"], "left").na.fill(0, ["sharing"])
     pairs = (F.col("children") * (F.col("children") - 1) / 2).cast("double")
     return counted.select("graph", "id", "children", "sharing", F.when(F.col("children") <= 1, 0.0).otherwise(1.0 - F.col("sharing") / pairs).alias("lcom"))

@@ -120,7 +120,23 @@ orphans AS (
   SELECT rel_id, side, moment, CASE WHEN n = 0 THEN 'missing' WHEN first_born > moment THEN 'late' ELSE 'deleted' END AS reason FROM judged WHERE NOT ok)
 """
 
+_RECORDS = r"""
+outer_ AS (SELECT record_id, payload AS p FROM parse_records WHERE json_valid(payload)),
+texts AS (SELECT record_id, CASE WHEN json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') ELSE p END AS p FROM outer_),
+docs AS (SELECT record_id, p FROM texts WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
+tree AS (
+  SELECT record_id, unnest(json_extract(p, '$.entities[*]')) AS e, '' AS parent_id FROM docs
+  UNION ALL
+  SELECT record_id, unnest(json_extract(e, '$.members[*]')), coalesce(json_extract_string(e, '$.id'), '') FROM tree),
+placed AS (SELECT record_id, e, coalesce(json_extract_string(e, '$.id'), '') AS entity_id, parent_id, coalesce(json_extract_string(e, '$.location.file'), '') AS file_path, json_extract(e, '$.parameters[*]') AS ps FROM tree)
+"""
+
 SQL = {
+    "p2_found": f"""WITH RECURSIVE {_RECORDS}
+        SELECT record_id, entity_id, parent_id, file_path, -1 AS pos, '' AS param_name FROM placed WHERE len(ps) = 0
+        UNION ALL
+        SELECT record_id, entity_id, parent_id, file_path, (pos - 1)::INT, coalesce(CASE json_type(q) WHEN 'OBJECT' THEN json_extract_string(q, '$.name') WHEN 'ARRAY' THEN json_extract_string(q, '$[0]') WHEN 'VARCHAR' THEN json_extract_string(q, '$') END, '')
+        FROM (SELECT record_id, entity_id, parent_id, file_path, unnest(ps) AS q, generate_subscripts(ps, 1) AS pos FROM placed WHERE len(ps) > 0)""",
     "p3_found": f"""WITH RECURSIVE {_LINKS}
         SELECT graph, id, root_id, tree_depth FROM tree WHERE tree_depth >= 12
         UNION ALL SELECT graph, id, root_id, -1 FROM low""",

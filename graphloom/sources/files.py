@@ -30,7 +30,7 @@ def scan(spark: SparkSession, folder: str, patterns: list[str] | None = None, ex
         if "/" not in p:
             wanted = wanted & ~F.regexp_extract("file_path", r"([^/]*)$", 1).rlike(glob_regex(p))
     return rows.where(wanted).select(
-        F.lit(graph).alias("graph"), "file_path", F.decode("content", F.lit("UTF-8")).alias("source_text"), F.sha2("content", 256).alias("hash_value"), "updated_at", extension(F.col("file_path")).alias("extension")
+        F.lit(graph).alias("graph"), "file_path", F.decode("content", "UTF-8").alias("source_text"), F.sha2("content", 256).alias("hash_value"), "updated_at", extension(F.col("file_path")).alias("extension")
     )
 
 

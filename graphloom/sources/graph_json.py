@@ -38,22 +38,24 @@ def from_documents(files: DataFrame) -> KnowledgeGraph:
     return KnowledgeGraph(e, r, h)
 
 
-def to_documents(g: KnowledgeGraph) -> DataFrame:
-    """(graph, document): each graph as one JSON text, for exchange.  The native form is Parquet.
+def to_documents(g: KnowledgeGraph, per_document: int = 20_000) -> DataFrame:
+    """(graph, part, document): each graph as JSON texts for exchange; the native form is Parquet.
 
-    A document holds its whole graph, so this is for graphs that fit a file; ``write_parquet``
-    has no such bound.
+    A graph above ``per_document`` entities is cut into parts by the hash of its ids, edges going
+    with their source, so that no text has to hold a whole graph.
     """
+    parts = g.entities.groupBy("graph").agg(F.ceil(F.count(F.lit(1)) / per_document).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
     extra = F.from_json("extra_data", "parameters array<array<string>>, return_type string, is_async boolean")
     item = F.struct("seq", F.struct("id", "name", "type", F.struct(F.col("file_path").alias("file"), "line", F.col("col").alias("column")).alias("location"), "docstring", "scope", extra["parameters"].alias("parameters"), extra["return_type"].alias("return_type")).alias("e"))
-    nodes = g.entities.groupBy("graph").agg(F.array_sort(F.collect_list(item)).alias("x")).select("graph", F.transform("x", lambda v: v["e"]).alias("entities"))
+    nodes = g.entities.join(parts, "graph").groupBy("graph", part("id")).agg(F.array_sort(F.collect_list(item)).alias("x")).select("graph", "part", F.transform("x", lambda v: v["e"]).alias("entities"))
     edge = F.struct("rel_id", F.struct("source_id", "target_id", "type").alias("r"))
-    edges = g.relationships.groupBy("graph").agg(F.array_sort(F.collect_list(edge)).alias("x")).select("graph", F.transform("x", lambda v: v["r"]).alias("relationships"))
-    out = nodes.join(edges, "graph", "full_outer")
+    edges = g.relationships.where("graph is not null").join(parts, "graph", "left").groupBy("graph", part("source_id")).agg(F.array_sort(F.collect_list(edge)).alias("x")).select("graph", "part", F.transform("x", lambda v: v["r"]).alias("relationships"))
+    out = nodes.join(edges, ["graph", "part"], "full_outer")
     if g.file_hashes is not None:
-        hashes = g.file_hashes.groupBy("graph").agg(F.map_from_entries(F.collect_list(F.struct("file_path", "hash_value"))).alias("file_hashes"))
-        out = out.join(hashes, "graph", "left")
-    return out.select("graph", F.to_json(F.struct(*[c for c in out.columns if c != "graph"])).alias("document"))
+        hashes = g.file_hashes.where("graph is not null").join(parts, "graph", "left").groupBy("graph", part("file_path")).agg(F.map_from_entries(F.collect_list(F.struct("file_path", "hash_value"))).alias("file_hashes"))
+        out = out.join(hashes, ["graph", "part"], "full_outer")
+    return out.select("graph", "part", F.to_json(F.struct(*[c for c in out.columns if c not in ("graph", "part")])).alias("document"))
 
 
 def write_parquet(g: KnowledgeGraph, path: str) -> None:
