@@ -74,10 +74,13 @@ def languages_of_files(g: KnowledgeGraph) -> DataFrame:
 
 
 def graph_stats(g: KnowledgeGraph) -> DataFrame:
-    """Counts per graph, kind and type in one long table."""
+    """Counts per graph, kind and type in one long table; tracked files are a kind of their own."""
     nodes = g.entities.groupBy("graph", "type").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("entity"))
     links = g.relationships.groupBy("graph", "type").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("relationship"))
-    return nodes.unionByName(links).select("graph", "kind", "type", "n")
+    out = nodes.unionByName(links)
+    if g.file_hashes is not None:
+        out = out.unionByName(g.file_hashes.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).select("graph", F.lit("tracked").alias("type"), "n", F.lit("file").alias("kind")))
+    return out.select("graph", "kind", "type", "n")
 
 
 def catalogue(g: KnowledgeGraph, frameworks: DataFrame) -> DataFrame:

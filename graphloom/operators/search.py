@@ -36,13 +36,17 @@ def relevance_distribution(g: KnowledgeGraph, query: str) -> DataFrame:
 
 
 def search_graphs(g: KnowledgeGraph, query: str, entity_type: str | None = None, per_graph: int = 5) -> DataFrame:
-    """Names that contain the query, the best of each graph: exact ones first, then short ones."""
+    """Names that contain the query, the best of each graph: exact ones first, then short ones.
+
+    total_count is the number of hits in the graph before the limit.
+    """
     found = g.entities.where(text.has(F.col("name"), query))
     if entity_type:
         found = found.where(F.col("type") == entity_type)
     order = [F.lower("name") != query.lower(), F.length("name"), F.col("seq")]
     ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("graph").orderBy(*order))).where(F.col("place") <= per_graph)
-    return ranked.select(*BRIEF, "place", text.clipped(F.col("docstring")).alias("docstring"))
+    totals = found.groupBy("graph").agg(F.count(F.lit(1)).alias("total_count"))
+    return ranked.join(totals, "graph").select(*BRIEF, "place", "total_count", text.clipped(F.col("docstring")).alias("docstring"))
 
 
 def similar_patterns(g: KnowledgeGraph, name: str) -> DataFrame:

@@ -130,7 +130,7 @@ SQL = {
         FROM (SELECT *, regexp_extract(lower(file_path), '(\\.[^./]+)$', 1) AS extension FROM ents) x
         LEFT JOIN (VALUES {", ".join(f"('{e}', '{n}')" for n, es in lookup.LANGUAGES for e in es.split())}) k(extension, language) ON k.extension = x.extension GROUP BY 1, 2"""
     ),
-    "graph_stats": over("SELECT graph, 'entity' AS kind, type, count(*) AS n FROM ents GROUP BY 1, 3 UNION ALL SELECT graph, 'relationship', type, count(*) FROM rels GROUP BY 1, 3"),
+    "graph_stats": over("SELECT graph, 'entity' AS kind, type, count(*) AS n FROM ents GROUP BY 1, 3 UNION ALL SELECT graph, 'relationship', type, count(*) FROM rels GROUP BY 1, 3 UNION ALL SELECT graph, 'file', 'tracked', count(*) FROM (SELECT DISTINCT graph, file_path FROM source_files) GROUP BY 1"),
     "framework_catalogue": over(
         """SELECT coalesce(f.graph, c.graph) AS graph, trim(f.display_name) AS display_name, f.language, CASE WHEN f.graph IS NULL THEN NULL ELSE coalesce(len(f.patterns), 0) END AS n_patterns,
         coalesce(c.entities, 0) AS entities, coalesce(c.n_module, 0) AS n_module, coalesce(c.n_class, 0) AS n_class, coalesce(c.n_function, 0) AS n_function, coalesce(c.n_method, 0) AS n_method
@@ -170,8 +170,8 @@ SQL = {
         FROM (SELECT graph, {_relevance("load queue")} AS s FROM ents) WHERE s > 0 GROUP BY 1"""
     ),
     "search_all_frameworks": over(
-        f"""SELECT {_BRIEF}, place, CASE WHEN length(docstring) > 200 THEN left(docstring, 200) || '...' ELSE docstring END AS docstring FROM (
-          SELECT *, row_number() OVER (PARTITION BY graph ORDER BY lower(name) <> 'registry', length(name), seq) AS place FROM ents WHERE contains(lower(name), 'registry')) WHERE place <= 5"""
+        f"""SELECT {_BRIEF}, place, total_count, CASE WHEN length(docstring) > 200 THEN left(docstring, 200) || '...' ELSE docstring END AS docstring FROM (
+          SELECT *, row_number() OVER (PARTITION BY graph ORDER BY lower(name) <> 'registry', length(name), seq) AS place, count(*) OVER (PARTITION BY graph) AS total_count FROM ents WHERE contains(lower(name), 'registry')) WHERE place <= 5"""
     ),
     "similar_patterns": over("SELECT graph, type, count(*) AS n, arg_min(name, seq) AS first_name FROM ents WHERE contains(lower(name), 'loader') GROUP BY 1, 2"),
     "recommend_code": over(

@@ -1,8 +1,8 @@
 """External index databases in SQLite, read through the Python data source API.
 
-Tables: files(id, path, language, last_indexed), nodes(id, file_id, name, kind, start_line,
-start_col, docstring, scope, is_exported), edges(source_id, target_id, kind), metadata(key,
-value).  The database is opened read-only; a table is cut into ranges of its rowid.
+Tables: files(id, path, language, last_indexed), nodes(id, file_id, name, kind, line, col,
+scope, is_exported, signature), edges(from_id, to_id, kind), metadata(key, value), which older
+indexes lack.  The database is opened read-only; a table is cut into ranges of its rowid.
 """
 
 from __future__ import annotations
@@ -15,14 +15,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from graphloom.graph import KnowledgeGraph
 
-# Kinds of nodes and edges in the index and their types here; others become function and references.
-NODE_KINDS = {"function": "function", "method": "method", "class": "class", "interface": "interface", "struct": "struct", "trait": "trait", "enum": "enum", "type": "type", "module": "module", "variable": "variable", "constant": "variable"}
-EDGE_KINDS = {"calls": "calls", "imports": "imports", "extends": "inherits", "inherits": "inherits", "implements": "implements", "contains": "contains", "uses": "references", "references": "references", "depends_on": "depends_on"}
+# Kinds of nodes and edges in the index and their types here; others become variable and depends_on.
+NODE_KINDS = {
+    "function": "function", "class": "class", "interface": "interface", "struct": "struct", "enum": "enum", "type": "type", "variable": "variable", "constant": "variable",
+    "module": "module", "namespace": "module", "method": "method", "property": "variable",
+}
+EDGE_KINDS = {
+    "import": "imports", "imports": "imports", "function_call": "calls", "calls": "calls", "type_reference": "references", "references": "references",
+    "inheritance": "inherits", "extends": "inherits", "implements": "implements",
+}
 
 _SCHEMAS = {
     "files": "id bigint, path string, language string, last_indexed bigint",
-    "nodes": "id bigint, file_id bigint, name string, kind string, start_line bigint, start_col bigint, docstring string, scope string, is_exported bigint",
-    "edges": "source_id bigint, target_id bigint, kind string",
+    "nodes": "id bigint, file_id bigint, name string, kind string, line bigint, col bigint, scope string, is_exported bigint, signature string",
+    "edges": "from_id bigint, to_id bigint, kind string",
     "metadata": "key string, value string",
 }
 
@@ -55,12 +61,16 @@ class _Reader(DataSourceReader):
     def partitions(self):
         con = self._open()
         try:
+            if not con.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (self.table,)).fetchone():
+                return [_Range(0, 0)]
             last = con.execute(f"SELECT coalesce(max(rowid), 0) FROM {self.table}").fetchone()[0]
         finally:
             con.close()
         return [_Range(low, low + self.rows) for low in range(0, last + 1, self.rows)]
 
     def read(self, partition):
+        if partition.low == partition.high:
+            return
         con = self._open()
         try:
             yield from con.execute(f"SELECT {', '.join(self.columns)} FROM {self.table} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
@@ -96,34 +106,38 @@ def alias_of(path: str) -> str:
 
 def _mapped(kinds: dict[str, str], kind: str, default: str) -> F.Column:
     table = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(kind)), F.lit(default))
+    return F.coalesce(F.try_element_at(table, F.col(kind)), F.lit(default))
 
 
 def to_graph(tables: dict[str, DataFrame], alias: str) -> tuple[KnowledgeGraph, DataFrame]:
     """The graph of an index, and its edges with an end that is no node.
 
     Files become modules that contain their nodes; a node whose scope names exactly one other
-    node of the file is contained by that one too.
+    node of the file is contained by that one too.  Lines are at least 1, columns at least 0.
     """
     files, nodes, edges = tables["files"], tables["nodes"], tables["edges"]
-    prefix = f"comp:{alias}:"
-    file_id, node_id = F.concat(F.lit(prefix + "file:"), F.col("id").cast("string")), F.concat(F.lit(prefix + "node:"), F.col("id").cast("string"))
-    modules = files.select(F.lit(alias).alias("graph"), F.col("id").alias("seq"), file_id.alias("id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.lit("module").alias("type"), F.col("path").alias("file_path"), F.lit(1).alias("line"), F.lit(0).alias("col"), F.lit(None).cast("string").alias("docstring"), F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("extra_data"))
+    file_key = lambda c: F.concat(F.lit(f"comp:{alias}:f"), F.col(c).cast("string"))
+    node_key = lambda c: F.concat(F.lit(f"comp:{alias}:n"), F.col(c).cast("string"))
+    none = F.lit(None).cast("string").alias("extra_data")
+    modules = files.select(
+        F.lit(alias).alias("graph"), F.col("id").alias("seq"), file_key("id").alias("id"), F.col("path").alias("name"), F.lit("module").alias("type"), F.col("path").alias("file_path"), F.lit(1).alias("line"), F.lit(0).alias("col"),
+        F.concat(F.lit("language="), "language").alias("docstring"), F.lit("public").alias("scope"), none,
+    )
     placed = nodes.join(files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id", "left")
     members = placed.select(
-        F.lit(alias).alias("graph"), (F.col("id") + (1 << 40)).alias("seq"), node_id.alias("id"), "name", _mapped(NODE_KINDS, "kind", "function").alias("type"), "file_path", F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).cast("int").alias("line"),
-        F.greatest(F.coalesce("start_col", F.lit(0)), F.lit(0)).cast("int").alias("col"), "docstring", F.when(F.col("is_exported") == 1, "public").otherwise(F.col("scope")).alias("scope"), F.lit(None).cast("string").alias("extra_data"),
+        F.lit(alias).alias("graph"), (F.col("id") + (1 << 40)).alias("seq"), node_key("id").alias("id"), "name", _mapped(NODE_KINDS, "kind", "variable").alias("type"), F.coalesce("file_path", F.lit("<unknown>")).alias("file_path"),
+        F.greatest("line", F.lit(1)).cast("int").alias("line"), F.greatest("col", F.lit(0)).cast("int").alias("col"), F.col("signature").alias("docstring"), F.when(F.col("is_exported") != 0, "public").otherwise("private").alias("scope"), none,
     )
-    of_file = nodes.where("file_id is not null").select(F.concat(F.lit(prefix + "file:"), F.col("file_id").cast("string")).alias("source_id"), node_id.alias("target_id"), F.lit("contains").alias("type"))
+    contains = F.lit("contains").alias("type")
+    of_file = placed.where("file_path is not null").select(file_key("file_id").alias("source_id"), node_key("id").alias("target_id"), contains)
     unique = nodes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file_id", "name"))).where("n = 1").select("file_id", F.col("name").alias("scope"), F.col("id").alias("outer"))
-    of_scope = nodes.where("scope is not null").join(unique, ["file_id", "scope"]).where("outer <> id").select(F.concat(F.lit(prefix + "node:"), F.col("outer").cast("string")).alias("source_id"), node_id.alias("target_id"), F.lit("contains").alias("type"))
+    of_scope = nodes.where("scope <> ''").join(unique, ["file_id", "scope"]).where("outer <> id").select(node_key("outer").alias("source_id"), node_key("id").alias("target_id"), contains)
     ids = nodes.select("id")
-    sound = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    lost = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_anti").unionByName(edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_anti"))
-    named = sound.select(F.concat(F.lit(prefix + "node:"), F.col("source_id").cast("string")).alias("source_id"), F.concat(F.lit(prefix + "node:"), F.col("target_id").cast("string")).alias("target_id"), _mapped(EDGE_KINDS, "kind", "references").alias("type"))
+    ends = edges.join(ids.select(F.col("id").alias("from_id"), F.lit(1).alias("a")), "from_id", "left").join(ids.select(F.col("id").alias("to_id"), F.lit(1).alias("b")), "to_id", "left")
+    named = ends.where("a = 1 and b = 1").select(node_key("from_id").alias("source_id"), node_key("to_id").alias("target_id"), _mapped(EDGE_KINDS, "kind", "depends_on").alias("type"))
     links = of_file.unionByName(of_scope).unionByName(named)
     links = links.select(F.xxhash64("source_id", "target_id", "type").alias("rel_id"), F.lit(alias).alias("graph"), "source_id", "target_id", "type")
-    return KnowledgeGraph(modules.unionByName(members), links), lost
+    return KnowledgeGraph(modules.unionByName(members), links), ends.where("a is null or b is null").select("from_id", "to_id", "kind")
 
 
 def index_info(tables: dict[str, DataFrame]) -> DataFrame:

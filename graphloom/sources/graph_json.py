@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,33 @@ def write_parquet(g: KnowledgeGraph, path: str) -> None:
 
 def read_parquet(spark: SparkSession, path: str) -> KnowledgeGraph:
     return KnowledgeGraph(spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/relationships"))
+
+
+def commit_version(g: KnowledgeGraph, path: str) -> str:
+    """Write a new version of a stored graph beside the old ones and then switch to it.
+
+    Readers see the old version until the pointer is renamed into place; a failed write leaves
+    it as it was.
+    """
+    version = f"{path}/versions/{uuid.uuid4().hex}"
+    write_parquet(g, version)
+    fs, jvm = _file_system(g.entities.sparkSession, path)
+    fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_current.{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    out = fs.create(fresh)
+    out.writeBytes(version)
+    out.close()
+    if fs.exists(pointer):
+        fs.delete(pointer, False)
+    if not fs.rename(fresh, pointer):
+        raise OSError(f"cannot switch {path} to {version}")
+    return version
+
+
+def read_current(spark: SparkSession, path: str) -> KnowledgeGraph:
+    """The version that was committed last."""
+    return read_parquet(spark, spark.read.text(f"{path}/_current").first()[0])
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm

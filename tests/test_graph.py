@@ -132,3 +132,6 @@ def test_json_round_trip(g, tmp_path, spark):
     assert ids(back.entities) == ids(g.entities) and back.relationships.count() == 9 and back.file_hashes.count() == 1
     graph_json.write_parquet(g, str(tmp_path / "store"))
     assert graph_json.read_parquet(spark, str(tmp_path / "store")).entities.where("graph = 'q'").count() == 1
+    for part in (g.only("q"), g):
+        graph_json.commit_version(part, f"file://{tmp_path}/versioned")
+    assert ids(graph_json.read_current(spark, f"file://{tmp_path}/versioned").entities) == ids(g.entities)

@@ -62,18 +62,22 @@ def test_external_index(spark, tmp_path):
     folder.mkdir(parents=True)
     con = sqlite3.connect(folder / "index.db")
     con.executescript(
-        """CREATE TABLE files (id INTEGER PRIMARY KEY, path TEXT, language TEXT, last_indexed INTEGER);
-        CREATE TABLE nodes (id INTEGER PRIMARY KEY, file_id INTEGER, name TEXT, kind TEXT, start_line INTEGER, start_col INTEGER, docstring TEXT, scope TEXT, is_exported INTEGER);
-        CREATE TABLE edges (source_id INTEGER, target_id INTEGER, kind TEXT); CREATE TABLE metadata (key TEXT, value TEXT);
-        INSERT INTO files VALUES (1, 'src/a.ts', 'ts', 77); INSERT INTO nodes VALUES (1, 1, 'Box', 'class', 0, -1, NULL, NULL, 1), (2, 1, 'open', 'method', 3, 2, 'd', 'Box', 0), (3, 1, 'odd', 'gizmo', 4, 0, NULL, 'Nowhere', 0);
-        INSERT INTO edges VALUES (2, 3, 'calls'), (1, 3, 'weird'), (1, 9, 'calls');"""
+        """CREATE TABLE files (id INTEGER PRIMARY KEY, path TEXT, hash TEXT, language TEXT, last_indexed INTEGER, char_count INTEGER);
+        CREATE TABLE nodes (id INTEGER PRIMARY KEY, file_id INTEGER, name TEXT, kind TEXT, line INTEGER, col INTEGER, scope TEXT, is_exported INTEGER, signature TEXT);
+        CREATE TABLE edges (from_id INTEGER, to_id INTEGER, kind TEXT);
+        INSERT INTO files VALUES (1, 'src/a.ts', 'h', 'ts', 77, 9);
+        INSERT INTO nodes VALUES (1, 1, 'Box', 'class', 0, -1, NULL, 1, NULL), (2, 1, 'open', 'method', 3, 2, 'Box', 0, 'open()'), (3, 1, 'odd', 'gizmo', 4, 0, 'Nowhere', 0, NULL);
+        INSERT INTO edges VALUES (2, 3, 'function_call'), (1, 3, 'weird'), (1, 9, 'calls');"""
     )
     con.close()
     path = str(tmp_path / "Work")
-    graph, lost = external_index.to_graph(external_index.read_tables(spark, path), external_index.alias_of(path))
-    assert {(r.name, r.type, r.line, r.col) for r in graph.entities.collect()} == {("a.ts", "module", 1, 0), ("Box", "class", 1, 0), ("open", "method", 3, 2), ("odd", "function", 4, 0)}
-    assert sorted(r.type for r in graph.relationships.collect()) == ["calls", "contains", "contains", "contains", "contains", "references"] and lost.count() == 1
-    assert external_index.index_info(external_index.read_tables(spark, path)).first().asDict() == {"files": 1, "last_indexed": 77, "nodes": 3, "edges": 3}
+    tables = external_index.read_tables(spark, path)
+    graph, lost = external_index.to_graph(tables, external_index.alias_of(path))
+    assert {(r.id, r.name, r.type, r.line, r.col, r.scope) for r in graph.entities.collect()} == {
+        ("comp:work:f1", "src/a.ts", "module", 1, 0, "public"), ("comp:work:n1", "Box", "class", 1, 0, "public"), ("comp:work:n2", "open", "method", 3, 2, "private"), ("comp:work:n3", "odd", "variable", 4, 0, "private")
+    }
+    assert sorted(r.type for r in graph.relationships.collect()) == ["calls", "contains", "contains", "contains", "contains", "depends_on"] and lost.count() == 1
+    assert external_index.index_info(tables).first().asDict() == {"files": 1, "last_indexed": 77, "nodes": 3, "edges": 3} and tables["metadata"].count() == 0
 
 
 def test_git_log(spark, tmp_path):
