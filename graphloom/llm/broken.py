@@ -39,12 +39,12 @@ def language_of(path: str | None) -> str | None:
     return extension if extension in GRAMMARS else None
 
 
-def parse(text: str, language: str) -> Grammar:
+def parse(text: str, language: str, codes: str | None = None) -> Grammar:
     """The parsed text; its ``errors`` are empty if it was accepted."""
     limit = sys.getrecursionlimit()
     if limit < _DEPTH:
         sys.setrecursionlimit(_DEPTH)
-    grammar = GRAMMARS[language](normalised(text))
+    grammar = GRAMMARS[language](normalised(text), codes)
     try:
         grammar.parse()
     finally:

@@ -8,6 +8,7 @@ pairs with trivial documentation are dropped.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -15,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from graphloom.llm import peg
-from graphloom.llm.broken import first_errors, language_of
-from graphloom.llm.peg import alt, cap, many, memo, no, opt, seq, term
+from graphloom.llm.broken import language_of, parse
+from graphloom.llm.peg import alt, cap, many, opt, seq, term
 from graphloom.llm.syntax import lexer as lx
 from graphloom.session import spread
 
@@ -29,10 +30,10 @@ class _Comments:
 
     def __init__(self, language: str, base: lx.Lexer):
         space, _, comments = base.skip.partition("|")
-        if comments.startswith(r"\\" + "\n") or comments.startswith(r"\\\n"):
+        if comments.startswith(r"\\\n"):  # a continued line
             space, comments = space + r"|\\\n", comments.partition("|")[2]
         body = base.pattern.pattern.split(")*+(", 1)[1]
-        self.pattern = re.compile(rf"(?>{space})*+({comments}|{body}")
+        self.pattern = re.compile(rf"((?>{space})*+)({comments}|{body}")
         self.base, self.line_doc, self.hash = base, _LINE_MARK.get(language) == "///", language in ("rb", "php")
         self.table = {k: v for k, v in base.table.items() if not (self.hash and k == "#")}.get
 
@@ -47,36 +48,54 @@ class _Comments:
         return self.base.code(t)
 
     def run(self, text: str) -> tuple[str, list[int]]:
+        """Codes with comments, and the offset of each token."""
         special, table = self.special, self.table
-        groups = self.pattern.groups if self.base.double else 0
-        found = [(m[1], m.start(1)) for m in self.pattern.finditer(text) if m[1]] if not groups else []
-        if groups:
-            for m in self.pattern.finditer(text):
-                if m[1]:
-                    found.append((m[1], m.start(1)))
-                    if m[groups]:
-                        found.append(("0", m.start(groups)))
+        found = self.pattern.findall(text) if self.pattern.groups == 2 else [(m[1], m[2]) for m in self.pattern.finditer(text)] if not self.base.double else self._doubled(text)
+        ends = list(itertools.accumulate([len(gap) + len(t) for gap, t in found]))
+        pairs = [(t, end - len(t)) for (_, t), end in zip(found, ends) if t]
         if not isinstance(self.base, lx.LineLexer):
-            return "".join([table(t) or special(t) for t, _ in found]) + lx.END, [*[o for _, o in found], len(text)]
-        out, at, last, ends = [], [], "N", self.base.ends_after
-        for t, o in found:
+            return "".join([table(t) or special(t) for t, _ in pairs]) + lx.END, [*[o for _, o in pairs], len(text)]
+        out, at, last, after = [], [], "N", self.base.ends_after
+        for t, o in pairs:
             c = table(t) or ("N" if t[0] == "\n" else special(t))
-            if c == "N" and (last == "N" or ends is not None and last not in ends and last not in (LINE, BLOCK)):
+            if c == "N" and (last == "N" or after is not None and last not in after and last not in (LINE, BLOCK)):
                 continue
             out.append(c)
             at.append(o)
             last = c
         return "".join(out) + lx.END, [*at, len(text)]
 
+    def _doubled(self, text: str) -> list[tuple[str, str]]:
+        """(skipped, token) where a token may carry a regular expression behind it, which gets the code of a number."""
+        out = []
+        last = self.pattern.groups
+        for m in self.pattern.finditer(text):
+            out.append((m[1], m[2]))
+            if m[last]:
+                out += [(text[m.end(2) : m.start(last)], "0"), (m[last][1:], "")]
+        return out
+
+    def without_comments(self, codes: str) -> str:
+        """The codes as the lexer of the grammar gives them."""
+        bare = _COMMENT_CODES.sub("", codes)
+        if isinstance(self.base, lx.LineLexer):
+            bare = re.sub("N+", "N", bare[:-1] + "N").removeprefix("N")
+            if self.base.ends_after is not None:
+                bare = re.sub(f"(?<![{re.escape(self.base.ends_after)}])N(?!$)", "", bare)
+            bare += lx.END
+        return bare
+
+
+_COMMENT_CODES = re.compile(f"[{DOC}{BLOCK}{LINE}{DOCLINE}]")
+
 
 # --- grammars ---------------------------------------------------------------------------
 
-_inner = peg.Memo()
-_balanced = memo(alt(seq(term(r"\("), _inner, term(r"\)")), seq(term(r"\["), _inner, term(r"\]")), seq(term(r"\{"), _inner, term(r"\}"))))
-_inner.is_(many(alt(term(r"[^()\[\]{}\x00]+"), _balanced)))
-_block = memo(seq(term(r"\{"), _inner, term(r"\}")))
-_params = cap("params", memo(seq(term(r"\("), _inner, term(r"\)"))))
-_square = memo(seq(term(r"\["), _inner, term(r"\]")))
+_balanced = peg.balanced("([{")
+_block = peg.balanced("{")
+_params = cap("params", peg.balanced("("))
+_square = peg.balanced("[")
+_balanced_type = peg.balanced("([")
 _generic = peg.Memo()
 _generic.is_(seq(term("<"), many(alt(term(r"[^<>(){}\[\];\x00]+"), _generic, _balanced)), term(">")))
 _notes = many(term(f"[{BLOCK}{LINE}]"))
@@ -91,7 +110,7 @@ def _script() -> peg.Rule:
     names = "i" + lx.JS.soft
     name = cap("name", term(f'[{names}P]|[{k("delete get set default new in of")}](?=[(<])'))
     plain = cap("name", term(f"[{names}]"))
-    decorator = seq(term(f"@[{names}](?:\\.[{names}])*"), opt(memo(_balanced)))
+    decorator = seq(term(f"@[{names}](?:\\.[{names}])*"), opt(_balanced))
     returns = opt(seq(term(":"), many(alt(term(r"[^{}()\[\];=f<>\x00]+"), _generic, seq(_balanced_type, term("f(?=[^{])")), _balanced_type), least=1)))
     head = seq(opt(_generic), _params, returns)
     function = seq(term(f"[{k('export')}]?[{k('default')}]?[{k('declare')}]?[{k('async')}]?{k('function')}\\*?"), plain, head, alt(_block, term(";")))
@@ -104,9 +123,6 @@ def _script() -> peg.Rule:
     return seq(cap("doc", term(DOC)), _notes, many(decorator), _notes, cap("code", alt(function, bound, method)))
 
 
-_balanced_type = memo(alt(seq(term(r"\("), _inner, term(r"\)")), _square))
-
-
 def _java() -> peg.Rule:
     k = lambda words: _kw(lx.JAVA, words)
     names = "i" + lx.JAVA.soft
@@ -156,7 +172,7 @@ def _dart() -> peg.Rule:
     kind = seq(term(f"[{names}{k('void')}](?:\\.[{names}])?"), opt(_generic), term(r"\??"), peg_ahead(f"[{names}]"))
     head = seq(many(modifier), opt(kind), term(f"(?:[{k('get set')}](?=[{names}]))?"), cap("name", term(f"[{names}](?:\\.[{names}])?(?=[(<f{{{k('async')}])")), opt(_generic), opt(_params))
     body = seq(term(f"(?:[{k('async sync')}]\\*?)?"), alt(_block, seq(term("f"), many(alt(term(r"[^;{}()\[\]\x00]+"), _balanced)), term(";")), term(";")))
-    starters = opt(seq(term(":"), many(alt(term(r"[^;{}()\[\]\x00]+"), seq(term(r"\("), _inner, term(r"\)")), _square))))
+    starters = opt(seq(term(":"), many(alt(term(r"[^;{}()\[\]\x00]+"), peg.balanced("("), _square))))
     return seq(before, cap("code", seq(head, starters, body)))
 
 
@@ -164,7 +180,7 @@ def _go() -> peg.Rule:
     k = lambda words: _kw(lx.GO, words)
     before = many(seq(cap("doc", term(LINE)), term("N?")), least=1)
     tail = many(alt(term(r"[^{}()\[\]N;\x00]+"), _balanced_type, seq(term(f"[{k('struct interface')}]"), _block)))
-    return seq(before, cap("code", seq(term(k("func")), opt(memo(_balanced)), cap("name", term("i")), opt(_square), _params, tail, opt(_block))))
+    return seq(before, cap("code", seq(term(k("func")), opt(_balanced), cap("name", term("i")), opt(_square), _params, tail, opt(_block))))
 
 
 def _ruby() -> peg.Rule:
@@ -189,19 +205,29 @@ GRAMMARS = {
 _LEXERS = {language: _Comments(language, base) if language != "py" else None for language, (base, _, _) in GRAMMARS.items()}
 
 
-def declarations(text: str, language: str) -> Iterator[dict]:
-    """Each function with a documentation comment: name, name_at, doc (raw), params, code as text."""
-    base, grammar, starts = GRAMMARS[language]
-    shift = 0
-    whole = text
-    if language == "php":
-        m = re.search(r"<\?(?:php\b|=)", text)
-        if not m:
-            return
-        shift, text = m.end(), text[m.end() :]
-    codes, at = base._run(text) if language == "py" else _LEXERS[language].run(text)
+def script_start(text: str, language: str) -> int:
+    """Where the code begins: in PHP behind the opening tag, or the end of a text without one."""
+    if language != "php":
+        return 0
+    m = re.search(r"<\?(?:php\b|=)", text)
+    return m.end() if m else len(text)
+
+
+def lexed(text: str, language: str) -> tuple[str, list[int]]:
+    """Codes and offsets of a text, with comments except in Python."""
     if language == "py":
-        at = [max(0, x - 1) for x in at[:-1]] + [at[-1]]
+        codes, at = lx.PYTHON._run(text)
+        return codes, [max(0, x - 1) for x in at[:-1]] + [at[-1]]
+    return _LEXERS[language].run(text)
+
+
+def declarations(text: str, language: str, tokens: tuple[str, list[int]] | None = None) -> Iterator[dict]:
+    """Each function with a documentation comment: name, line, doc (raw), params and code as text."""
+    _, grammar, starts = GRAMMARS[language]
+    whole = text
+    shift = script_start(text, language)
+    text = text[shift:]
+    codes, at = tokens or lexed(text, language)
     run = peg.Run(codes)
     seen = set()
     for m in re.finditer(f"[{re.escape(starts)}]", codes):
@@ -362,12 +388,19 @@ def pairs(text: str, path: str) -> list[tuple[str, int, str, list[str], str]]:
     language = language_of(path)
     if not text or language not in GRAMMARS:
         return []
+    text = lx.normalised(text)
+    tokens = lexed(text[script_start(text, language) :], language)
     out = []
-    for d in declarations(lx.normalised(text), language):
+    for d in declarations(text, language, tokens):
         doc = doc_text(d["doc"], language)
         if not is_trivial(doc, d["name"]):
             out.append((d["name"], d["line"], doc, parameter_names(d["params"], language), d["code"]))
-    return [] if out and first_errors(text, path) else out
+    if not out:
+        return []
+    codes = tokens[0] if language == "py" else _LEXERS[language].without_comments(tokens[0])
+    if lx.BAD in codes:
+        codes = None  # tokens that are none may be cut differently around comments
+    return [] if parse(text, language, codes).errors else out
 
 
 _PAIRS = "file_id long, name string, line int, docstring string, parameters array<string>, code string"

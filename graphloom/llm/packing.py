@@ -8,8 +8,6 @@ shards of many containers by a hash, so that each task packs a bounded share.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

@@ -20,6 +20,34 @@ class Run:
     def __init__(self, codes: str):
         self.s = codes
         self.memo: dict[tuple[int, int], Result] = {}
+        self.closing: dict[int, int] | None = None
+
+    def close(self, i: int) -> int:
+        """The place behind the bracket that closes the one at i, 0 if there is none."""
+        if self.closing is None:
+            self.closing = {}
+            open_: list[int] = []
+            for m in _BRACKETS.finditer(self.s):
+                if m[0] in "([{":
+                    open_.append(m.start())
+                elif open_ and _PAIRS[self.s[open_[-1]]] == m[0]:
+                    self.closing[open_.pop()] = m.end()
+                else:
+                    open_.clear()
+        return self.closing.get(i, 0)
+
+
+_BRACKETS = re.compile(r"[()\[\]{}]")
+_PAIRS = {"(": ")", "[": "]", "{": "}"}
+
+
+def balanced(opening: str) -> Rule:
+    """A bracket of the given kinds with all that it holds."""
+
+    def run(p: Run, i: int) -> Result:
+        return (end, ()) if p.s[i] in opening and (end := p.close(i)) else None
+
+    return run
 
 
 def term(pattern: str) -> Rule:

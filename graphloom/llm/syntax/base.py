@@ -39,9 +39,10 @@ class Grammar:
     ASSIGN = "=a"
     flat: re.Pattern | None = None
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, codes: str | None = None):
+        """codes: those of the text, where they are known already."""
         self.text = text
-        self.s = self.lexer.codes(text)
+        self.s = self.lexer.codes(text) if codes is None else codes
         self.errors: list[tuple[int, str]] = []
 
     @classmethod

@@ -27,11 +27,11 @@ class Php(Grammar):
     PREFIX = "!-+~u@&" + LANGUAGE
     flat = flat_pattern("iv", r"b+\-*/%<>.", r"r")
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, codes: str | None = None):
         m = _OPEN.search(text)
         self.skipped = m.end() if m else len(text)
         self.whole = text
-        super().__init__(text[self.skipped :])  # what is before the tag is plain output
+        super().__init__(text[self.skipped :], codes)  # what is before the tag is plain output
 
     def placed(self) -> list[tuple[int, int, str]]:
         lines = self.whole.count("\n", 0, self.skipped)

@@ -25,8 +25,8 @@ class JavaScript(Grammar):
     PREFIX = "!-+~u" + _k("typeof void delete await")
     flat = flat_pattern(NAMES, r"b+\-*/%<>", r"\.")
 
-    def __init__(self, text: str):
-        super().__init__(text)
+    def __init__(self, text: str, codes: str | None = None):
+        super().__init__(text, codes)
         self.at: list[int] | None = None
 
     def newline_before(self, i: int) -> bool:
