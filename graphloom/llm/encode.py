@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -79,6 +80,22 @@ def model_bytes(tokens: list[bytes]) -> bytes:
     return bytes(out + _field(2, trainer) + _field(3, normaliser))
 
 
+class _Known(dict):
+    """Words to ids, learnt as they come; short words are kept, and all are forgotten when there are too many."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.encoder.word_ids(word)
+        if len(word) <= _LONGEST:
+            if len(self) > _CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids and back; kept once per worker process and vocabulary."""
 
@@ -87,38 +104,31 @@ class Encoder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(tokens))
         self.tokens = tokens
         self.letters = byte_letters()
-        self.known: dict[str, list[int]] = {}
+        self.known = _Known(self)
         # Python's \w also takes letter-like numbers, so texts with those go the other way.
-        odd = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
-        self.odd = re.compile(f"[{odd}]")
+        self.odd = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
         self.plain = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
         self.wide = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
     def pre_tokens(self, text: str) -> list[str]:
         if text.isascii():
             return self.plain.findall(text)
-        if not self.odd.search(text):
+        if self.odd.isdisjoint(text):
             return self.wide.findall(text)
         return _exact().findall(text)
 
-    def learn(self, words: set[str]) -> list[str]:
-        """Make the ids of all words known; returns those that are too long to be kept."""
-        if len(self.known) > _CACHE:
-            self.known = {}
-        fresh = list(words - self.known.keys())
-        if fresh:
-            mapped = [w.encode().decode("latin-1").translate(self.letters) for w in fresh]
-            self.known.update(zip(fresh, self.model.encode(mapped, num_threads=1)))
-        return [w for w in fresh if len(w) > _LONGEST]
+    def word_ids(self, word: str) -> list[int]:
+        return self.model.encode(word.encode().decode("latin-1").translate(self.letters))
+
+    def encode(self, text: str | None) -> list[int]:
+        """The ids of a text; none for null and empty texts."""
+        return list(itertools.chain.from_iterable(map(self.known.__getitem__, self.pre_tokens(text)))) if text else []
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        cut = [self.pre_tokens(t) if t else [] for t in texts]
-        passing = self.learn(set(itertools.chain.from_iterable(cut)))
-        get = self.known.__getitem__
-        out = [list(itertools.chain.from_iterable(map(get, words))) for words in cut]
-        for w in passing:
-            del self.known[w]
-        return out
+        return [self.encode(t) for t in texts]
+
+    def count(self, text: str | None) -> int:
+        return sum(map(len, map(self.known.__getitem__, self.pre_tokens(text)))) if text else 0
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")
@@ -138,10 +148,13 @@ def encoder(path: str) -> Encoder:
 
 
 def _encode(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.array(x, np.int32) for x in e.encode_batch([t if isinstance(t, str) else None for t in pdf["text"]])]})
+        for batch in batches:
+            ids = e.encode_batch(batch.column("text").to_pylist())
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(ends[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
 
     return run
 
@@ -151,21 +164,22 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
 
     Null and empty texts have the empty list.  Repeated documents give repeated rows.
     """
-    return spread(documents.select("doc_id", "text")).mapInPandas(_encode(vocabulary), "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_encode(vocabulary), "doc_id long, ids array<int>")
 
 
 def _sizes(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in e.encode_batch([t if isinstance(t, str) else None for t in pdf["text"]])]})
+        for batch in batches:
+            sizes = [e.count(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
     return run
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens); 0 for null and empty texts."""
-    return spread(documents.select("doc_id", "text")).mapInPandas(_sizes(vocabulary), "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_sizes(vocabulary), "doc_id long, n_tokens long")
 
 
 def _decode(path: str):
