@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 def canon(df):
     def cell(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("nan", "NaT", "<NA>"):
             return "null"
         if isinstance(v, numbers.Number) and not isinstance(v, bool) and type(v).__name__ != "bool":
             return round(float(v), 9)
