@@ -40,6 +40,8 @@ _URL = r"(?:https?://|www\.)[^\s<>\"'\])|]+"
 _MARKUP = re.compile(
     rf"\[url=[^\]]*\]|\[/url\]|<a\s[^>]*>|</a>|!?\[!?\[[^\]]*\]\({_URL}\)\]\({_URL}\)|\[([^\]\n]{{0,60}})\]\(\s*{_URL}\s*\)|{_URL}|\{{[\w -]+\}}\[[\w -]+\]|<[^\W_][\w -]*>|\[[^\W_][\w -]*\]|(?<!\S)#[^\W_][\w-]*"
 )
+#: What a line needs to be anything but a list of keywords.
+_MARKED = re.compile(r"[\[<{#|]|https?:|www\.")
 _LINK = re.compile(_URL)
 _SEPARATOR = re.compile(r"\s*[,;|·•»/~→+、・，；]+\s*|\s+(?:-+|–|—|>+|\*|=>|::)\s+|\s*[()]\s*|:\s+")
 _BULLET = re.compile(r"^\s*(?:[-*•+>·]+|\d+[.)])\s+")
@@ -133,11 +135,15 @@ def profile(text: str) -> dict[str, float]:
         if fenced:
             close()
             continue
-        if _CJK_PROSE.search(line):
+        if not line.isascii() and _CJK_PROSE.search(line):
+            close()
+            continue
+        plain = not _MARKED.search(line)
+        if plain and _STRUCTURE.search(line):
             close()
             continue
         kind, n, _ = _items(line)
-        if kind in ("", "keyword") and _STRUCTURE.search(line):
+        if not plain and kind in ("", "keyword") and _STRUCTURE.search(line):
             close()
         elif kind:
             run.append((kind, n, _solid(line)))
