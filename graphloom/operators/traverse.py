@@ -17,8 +17,10 @@ from graphloom.session import cut
 def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(graph, root, id, depth): nodes within ``depth`` steps of each root, the root itself at 0.
 
-    starts: (graph, root).  edges: (graph, src, dst).  depth counts breadth-first levels.
+    starts: (graph, root).  edges: (graph, src, dst), written out once if several levels read
+    them.  depth counts breadth-first levels.
     """
+    edges = cut(edges) if depth > 1 else edges
     seen = cut(starts.select("graph", "root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct())
     frontier = seen
     for level in range(1, depth + 1):
@@ -42,7 +44,7 @@ def shortest_paths(g: KnowledgeGraph, pairs: DataFrame, max_depth: int = 10) ->
     Among paths of equal length the lexicographically smallest counts.  A node's path to itself
     is the node alone if it is in the graph; unreachable pairs give no row.
     """
-    edges = g.undirected()
+    edges = cut(g.undirected())
     known = edges.select("graph", F.col("src").alias("source")).distinct()
     wanted = cut(pairs.distinct().join(known, ["graph", "source"], "left_semi"))
     frontier = cut(wanted.select("graph", "source").distinct().select("graph", F.col("source").alias("root"), F.col("source").alias("id"), F.array("source").alias("path")))
@@ -99,7 +101,9 @@ def critical_paths(g: KnowledgeGraph, starts: DataFrame, limit: int = 10, branch
     known = g.entities.select("graph", F.col("id").alias("source_id"))
     into = g.relationships.where("target_id is not null and source_id is not null").withColumn("ordinal", F.row_number().over(w))
     step = into.where(F.col("ordinal") <= branch).join(known, ["graph", "source_id"], "left_semi").select("graph", F.col("target_id").alias("head"), F.col("source_id").alias("up"), "ordinal")
-    has_into = g.relationships.where("target_id is not null").select("graph", F.col("target_id").alias("head")).distinct().withColumn("fed", F.lit(True))
+    step = cut(step)
+    has_into = g.relationships.where("target_id is not null").select("graph", F.col("target_id").alias("head")).distinct()
+    has_into = cut(has_into)
     frontier = cut(starts.distinct().select("graph", "root", F.col("root").alias("head"), F.array("root").alias("path"), F.array().cast("array<int>").alias("ordinals")))
     done = None
     for _ in range(max_depth):
