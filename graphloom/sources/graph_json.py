@@ -69,7 +69,10 @@ def write_parquet(g: KnowledgeGraph, path: str) -> None:
 
 
 def read_parquet(spark: SparkSession, path: str) -> KnowledgeGraph:
-    return KnowledgeGraph(spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/relationships"))
+    fs, jvm = _file_system(spark, path)
+    hashes = f"{path}/file_hashes"
+    kept = spark.read.parquet(hashes) if fs.exists(jvm.org.apache.hadoop.fs.Path(hashes)) else None
+    return KnowledgeGraph(spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/relationships"), kept)
 
 
 def commit_version(g: KnowledgeGraph, path: str) -> str:
@@ -81,7 +84,7 @@ def commit_version(g: KnowledgeGraph, path: str) -> str:
     version = f"{path}/versions/{uuid.uuid4().hex}"
     write_parquet(g, version)
     fs, jvm = _file_system(g.entities.sparkSession, path)
-    fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_current.{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/fresh.{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(f"{path}/current.txt")
     out = fs.create(fresh)
     out.writeBytes(version)
     out.close()
@@ -94,7 +97,7 @@ def commit_version(g: KnowledgeGraph, path: str) -> str:
 
 def read_current(spark: SparkSession, path: str) -> KnowledgeGraph:
     """The version that was committed last."""
-    return read_parquet(spark, spark.read.text(f"{path}/_current").first()[0])
+    return read_parquet(spark, spark.read.text(f"{path}/current.txt").first()[0])
 
 
 def _file_system(spark: SparkSession, path: str):
