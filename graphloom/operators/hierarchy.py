@@ -2,8 +2,8 @@
 
 Components are found by pointer jumping over the inner nodes only, every component is
 co-located by its label, and each is walked depth first with node colouring.  Components
-above ``component_limit`` nodes are never brought into one task: their depths and roots
-come from the jump distances, by joins.
+above ``component_limit`` nodes are never brought into one task: their columns come from
+pointer jumping, by joins.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.references import canonical
-from graphloom.session import cut
+from graphloom.session import cut, stored
 
 _WALK = "graph string, id string, root_id string, tree_depth int, kind string, cycle_id string, n_descendants long, path array<string>"
 
@@ -93,10 +93,10 @@ def jump_to_roots(links: DataFrame) -> DataFrame:
 
 
 def loop_labels(links: DataFrame, looping: DataFrame) -> DataFrame:
-    """(graph, id, loop): for inner nodes on or below loops the smallest id on the loop.
+    """(graph, id, loop, ring): for inner nodes on or below loops the smallest id on the loop, and whether they are on it.
 
     Starts afresh over those nodes alone and doubles until every pointer has passed each tail
-    and each window has covered each loop.
+    and each window has covered each loop.  Then the ends of the pointers are the nodes on loops.
     """
     n = looping.count()
     state = cut(looping.select("graph", "id").join(links, ["graph", "id"]).select("graph", "id", F.col("parent").alias("ptr"), F.col("id").alias("low")))
@@ -104,15 +104,41 @@ def loop_labels(links: DataFrame, looping: DataFrame) -> DataFrame:
         ahead = state.select("graph", F.col("id").alias("ptr"), F.col("ptr").alias("to"), F.col("low").alias("low_to"))
         state = cut(state.join(ahead, ["graph", "ptr"]).select("graph", "id", F.col("to").alias("ptr"), F.least("low", "low_to").alias("low")))
     ends = state.select("graph", F.col("id").alias("ptr"), F.col("low").alias("loop"))
-    return state.join(ends, ["graph", "ptr"]).select("graph", "id", "loop")
+    rings = state.select("graph", F.col("ptr").alias("id"), F.lit(True).alias("ring")).distinct()
+    return cut(state.join(ends, ["graph", "ptr"]).join(rings, ["graph", "id"], "left").select("graph", "id", "loop", F.coalesce("ring", F.lit(False)).alias("ring")))
+
+
+def closed_trees(trees: DataFrame, paths: bool = True) -> DataFrame:
+    """(graph, id, n_descendants, path) of whole trees (graph, id, parent), by pointer jumping over the inner nodes.
+
+    After k rounds a pointer is 2^k steps long, part holds the ids on those steps and total the
+    children of all nodes less than 2^k steps below, so the rounds are the logarithm of the depth.
+    """
+    inner = trees.where("parent is not null").groupBy("graph", F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("total"))
+    part = F.array("id") if paths else F.lit(None).cast("array<string>")
+    state = stored(inner.join(trees, ["graph", "id"]).select("graph", "id", F.col("parent").alias("ptr"), "total", part.alias("part")))
+    while not (waiting := state.where("ptr is not null")).isEmpty():
+        gains = waiting.groupBy("graph", F.col("ptr").alias("id")).agg(F.sum("total").alias("gain"))
+        # A pointer that has ended looks at its own node, so that no key is null and no union adds partitions.
+        ahead = state.select("graph", F.col("id").alias("at"), F.col("ptr").alias("to"), F.col("part").alias("front"))
+        step = state.withColumn("at", F.coalesce("ptr", "id")).join(ahead, ["graph", "at"]).join(gains, ["graph", "id"], "left")
+        grown = F.when(F.col("ptr").isNull(), F.col("part")).otherwise(F.concat("front", "part"))
+        step = step.select("graph", "id", F.when(F.col("ptr").isNotNull(), F.col("to")).alias("ptr"), (F.col("total") + F.coalesce("gain", F.lit(0))).alias("total"), grown.alias("part"))
+        state = stored(step)
+    out = trees.join(state.select("graph", "id", "total"), ["graph", "id"], "left")
+    path = F.lit(None).cast("array<string>")
+    if paths:
+        out = out.join(state.select("graph", F.col("id").alias("parent"), F.col("part").alias("front")), ["graph", "parent"], "left")
+        path = F.when(F.col("parent").isNull(), F.array("id")).otherwise(F.concat("front", F.array("id")))
+    return out.select("graph", "id", F.coalesce("total", F.lit(0)).cast("long").alias("n_descendants"), path.alias("path"))
 
 
 def components(links: DataFrame, component_limit: int) -> DataFrame:
-    """(graph, id, parent, label, on_loop, dist): every linked node with its component.
+    """(graph, id, parent, label, on_loop, dist, ring): every linked node with its component.
 
     dist is the depth in trees and null where a loop is above.  The nodes at loops of a graph
     share one label while all of them together, counted, are within ``component_limit``; beyond
-    it each loop is labelled by its smallest id.
+    it each loop is labelled by its smallest id and ring tells the nodes on it from those below.
     """
     links = cut(links)
     state = jump_to_roots(links)
@@ -121,11 +147,12 @@ def components(links: DataFrame, component_limit: int) -> DataFrame:
     )
     below = links.join(tops, ["graph", "parent"]).select("graph", "id", "parent", "label", "on_loop", (F.col("dist") + 1).alias("dist"))
     roots = state.where("dist = 0").select("graph", "id", F.lit(None).cast("string").alias("parent"), F.col("id").alias("label"), F.lit(False).alias("on_loop"), "dist")
-    nodes = cut(below.unionByName(roots))
+    nodes = cut(below.unionByName(roots)).withColumn("ring", F.lit(False))
     if nodes.where("on_loop").count() <= component_limit:
         return nodes
-    loops = loop_labels(links, state.where("not done").select("graph", "id")).select("graph", F.col("id").alias("parent"), "loop")
-    relabelled = nodes.where("on_loop").join(loops, ["graph", "parent"]).select("graph", "id", "parent", F.col("loop").alias("label"), "on_loop", "dist")
+    loops = loop_labels(links, state.where("not done").select("graph", "id"))
+    relabelled = nodes.where("on_loop").drop("ring").join(loops.select("graph", F.col("id").alias("parent"), "loop"), ["graph", "parent"]).join(loops.select("graph", "id", "ring"), ["graph", "id"], "left")
+    relabelled = relabelled.select("graph", "id", "parent", F.col("loop").alias("label"), "on_loop", "dist", F.coalesce("ring", F.lit(False)).alias("ring"))
     return cut(nodes.where("not on_loop").unionByName(relabelled))
 
 
@@ -215,11 +242,16 @@ def hierarchy(entities: DataFrame, relationships: DataFrame, paths: bool = True,
     """Every entity with root_id, tree_depth, kind, cycle_id, n_descendants and path.
 
     kind: ``tree``; ``loop`` (on a loop), ``below_loop``: these have depth -1, the smallest id
-    on the loop as root_id and cycle_id, and no path.  Entities without any link are trees of
-    one node.  In components above ``component_limit`` nodes depth, root and loop are exact
-    while path and n_descendants are null (``ancestor_pairs`` gives them by joins).
+    on the loop as root_id and cycle_id, and no path and no n_descendants.  Entities without any
+    link are trees of one node.  ``component_limit`` decides only where a component is worked
+    out, in one task or by joins.
     Null keys are left out; repeated rows count once; empty tables give no rows.
     """
+    return _hierarchy(entities, relationships, paths, component_limit)
+
+
+def _hierarchy(entities: DataFrame, relationships: DataFrame, paths: bool, component_limit: int, sizes: bool = True) -> DataFrame:
+    """As ``hierarchy``; without sizes n_descendants is not worked out for components above the limit."""
     nodes = components(parent_links(entities, relationships), component_limit)
     huge = nodes.groupBy("graph", "label", "on_loop").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > component_limit)
     is_huge = not huge.isEmpty()
@@ -232,16 +264,21 @@ def hierarchy(entities: DataFrame, relationships: DataFrame, paths: bool = True,
     )
     if is_huge:
         big = nodes.join(huge, ["graph", "label", "on_loop"], "left_semi")
+        if paths or sizes:
+            big = stored(big)
+            big = big.join(closed_trees(big.where("not on_loop"), paths), ["graph", "id"], "left")
+        else:
+            big = big.withColumn("n_descendants", F.lit(None).cast("long")).withColumn("path", F.lit(None).cast("array<string>"))
         walked = walked.unionByName(
             big.select(
                 "graph",
                 "id",
                 F.col("label").alias("root_id"),
                 F.coalesce("dist", F.lit(-1)).alias("tree_depth"),
-                F.when(F.col("on_loop"), "loop_component").otherwise("tree").alias("kind"),
+                F.when(F.col("ring"), "loop").when(F.col("on_loop"), "below_loop").otherwise("tree").alias("kind"),
                 F.when(F.col("on_loop"), F.col("label")).alias("cycle_id"),
-                F.lit(None).cast("long").alias("n_descendants"),
-                F.lit(None).cast("array<string>").alias("path"),
+                "n_descendants",
+                "path",
             )
         )
     alone = entity_keys(entities).join(nodes.select("graph", "id"), ["graph", "id"], "left_anti")
@@ -255,7 +292,8 @@ def hierarchy(entities: DataFrame, relationships: DataFrame, paths: bool = True,
 
 def deep_or_looping(entities: DataFrame, relationships: DataFrame, depth: int = 12, component_limit: int = 500_000) -> DataFrame:
     """(graph, id, root_id, tree_depth) of entities ``depth`` or more edges down, or with a loop above them."""
-    return hierarchy(entities, relationships, paths=False, component_limit=component_limit).where((F.col("tree_depth") >= depth) | (F.col("tree_depth") < 0)).select("graph", "id", "root_id", "tree_depth")
+    walked = _hierarchy(entities, relationships, paths=False, component_limit=component_limit, sizes=False)
+    return walked.where((F.col("tree_depth") >= depth) | (F.col("tree_depth") < 0)).select("graph", "id", "root_id", "tree_depth")
 
 
 def ancestor_pairs(walked: DataFrame) -> DataFrame:

@@ -51,6 +51,23 @@ def test_random_forest_against_brute_force_also_beyond_the_limit(frame):
         assert got == want, limit
 
 
+def test_all_columns_are_the_same_on_both_sides_of_the_limit(frame):
+    rng = random.Random(8)
+    n = 60
+    parent = {i: rng.randrange(max(0, i - 5), i) if rng.random() < 0.95 else None for i in range(1, n)} | {0: None}
+    parent[30], parent[4], parent[11] = 50, 20, 11
+    ents = [entity(f"n{i:03d}") for i in range(n)] + [entity(f"d{i:02d}") for i in range(20)]
+    rels = [("g", f"n{p:03d}", f"n{i:03d}", "contains") for i, p in parent.items() if p is not None] + [("g", f"d{i:02d}", f"d{i + 1:02d}", "contains") for i in range(19)]
+    want = rows(frame, ents, rels)
+    assert {r.kind for r in want.values()} == {"tree", "loop", "below_loop"} and want["g", "d00"].n_descendants == 19
+    for limit in (3,):
+        assert rows(frame, ents, rels, component_limit=limit) == want, limit
+    walked = h.hierarchy(frame(ents, ENT), frame(rels, REL), component_limit=3)
+    assert h.ancestor_pairs(walked).count() == sum(r.tree_depth for r in want.values() if r.kind == "tree")
+    links = h.parent_links(frame(ents, ENT), frame(rels, REL))
+    assert {(r.parent, r.id) for r in h.cycle_edges(links, walked).collect()} == {(f"n{parent[int(k[1][1:])]:03d}", k[1]) for k, r in want.items() if r.kind == "loop"}
+
+
 def test_closure_and_found(frame):
     ents = [entity(f"c{i:02d}") for i in range(15)]
     rels = [("g", f"c{i:02d}", f"c{i + 1:02d}", "contains") for i in range(14)]
