@@ -267,58 +267,174 @@ def schema_changes(snapshots: DataFrame) -> DataFrame:
 
 # --- one consistent table -------------------------------------------------------------
 
-# The fields of the consistent entity table and their Spark types.
+# Fields of entities whose names win over their aliases, and their Spark types; all others follow the data.
 ENTITY_CASTS = {
     "id": "string", "name": "string", "type": "string", "location.file": "string", "location.line": "bigint", "location.column": "bigint",
     "docstring": "string", "parameters": "string", "return_type": "string", "is_async": "boolean", "class_id": "string",
 }
 
-_LEAVES = "snapshot_id long, record_no int, field string, value string"
+# Lists of records that also come as objects, with the fields that their keys and plain values take.
+KEYED = {"frameworks": ("name", "value"), "file_hashes": ("path", "hash")}
 
+#: Fields beyond so many, by frequency, have no column of their own and stay in ``other``.
+COLUMNS = 400
 
-def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for snapshot, payload in zip(pdf["snapshot_id"], pdf["payload"]):
-            value = load(payload)
-            entities = value.get("entities") if isinstance(value, dict) else None
-            for n, record in enumerate(entities if isinstance(entities, list) else ()):
-                if not isinstance(record, dict):
+_RECORDS = "stream_name string, snapshot_id long, record_path string, record_no long, fields map<string,struct<kind:string,value:string>>"
+
+
+def _leaf(value) -> tuple[str, str]:
+    """(kind, text) of a value that is not null; structures are JSON."""
+    kind = _kind(value)
+    if kind == "number":
+        kind = "integer" if isinstance(value, int) else "double"
+    elif kind == "array" and len(value) == 1 and isinstance(value[0], str):
+        kind = "one"
+    return kind, _utf8(value if isinstance(value, str) else json.dumps(value))
+
+
+def _record(value, path: str, aliases: dict[str, str], skip: frozenset[str] = frozenset()) -> dict[str, tuple[str, str]]:
+    """All fields of a record, inner ones joined by '.', under the names of ``aliases``.
+
+    Objects are there beside their fields.  Of two names for one field the canonical one counts,
+    the other stays under its own name.
+    """
+    found: list[tuple[str, str, object]] = []
+    stack = [("", "", value)]
+    while stack:
+        raw, name, node = stack.pop()
+        for k, v in node.items():
+            inner = f"{raw}.{k}" if raw else k
+            if v is None or (not raw and k in skip):
+                continue
+            known = aliases.get(path + inner) or (f"{name}.{k}" if name else k)
+            found.append((inner, known, v))
+            if isinstance(v, dict) and v:
+                stack.append((inner, known, v))
+    out: dict[str, tuple[str, str]] = {}
+    for raw, name, v in sorted(found, key=lambda x: (x[0] != x[1], x[0])):
+        out[_utf8(raw if name in out else name)] = _leaf(v)
+    return out
+
+
+def _records(aliases: dict[str, str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for stream, snapshot, payload in zip(pdf["stream_name"], pdf["snapshot_id"], pdf["payload"]):
+                value = load(payload)
+                if value is None:
                     continue
-                for k, v in record.items():
-                    inner = [(f"{k}.{x}", y) for x, y in v.items()] if isinstance(v, dict) else []
-                    for field, leaf in [(k, v), *inner]:
-                        if leaf is not None:
-                            if isinstance(leaf, list) and len(leaf) == 1 and isinstance(leaf[0], str):
-                                leaf = leaf[0]
-                            text = leaf if isinstance(leaf, str) else json.dumps(leaf)
-                            rows.append((snapshot, n, _utf8(field), _utf8(text)))
-        yield pd.DataFrame(rows, columns=["snapshot_id", "record_no", "field", "value"])
+                value = value if isinstance(value, dict) else {"value": value}
+                lists = set()
+                for k, v in value.items():
+                    name = aliases.get(k, k)
+                    if name in KEYED and isinstance(v, dict):
+                        key, plain = KEYED[name]
+                        # A field that bears the key's name is kept beside it.
+                        v = [({key: x, **y} if y.get(key, x) == x else {**y, f"{key}.key": x}) if isinstance(y, dict) else {key: x, plain: y} for x, y in v.items()]
+                    if isinstance(v, list) and any(isinstance(x, dict) for x in v):
+                        lists.add(k)
+                        for n, x in enumerate(v):
+                            if x is not None:
+                                rows.append((stream, snapshot, _utf8(f"{name}[]"), n, _record(x if isinstance(x, dict) else {"value": x}, f"{name}[].", aliases)))
+                top = _record(value, "", aliases, frozenset(lists))
+                if top:
+                    rows.append((stream, snapshot, "", 0, top))
+            pdf = pd.DataFrame(rows, columns=["stream_name", "snapshot_id", "record_path", "record_no", "fields"])
+            pdf["fields"] = [{k: {"kind": a, "value": b} for k, (a, b) in x.items()} for x in pdf["fields"]]
+            yield pdf
+
+    return run
+
+
+def _place(path: str, tops: dict[str, str]) -> str | None:
+    """A catalogued path with keys of keyed lists as '[]' and the canonical name of the list; null for keys themselves."""
+    for raw in sorted({*KEYED, *(k for k, v in tops.items() if v in KEYED)}):
+        if path.startswith(f"{raw}."):
+            inner = path[len(raw) + 1 :].split(".", 1)
+            return f"{tops.get(raw, raw)}[].{inner[1]}" if len(inner) == 2 and tops.get(raw, raw) != "file_hashes" else None
+    head, mark, rest = path.partition("[].")
+    return f"{tops.get(head, head)}[].{rest}" if mark else path
+
+
+def alias_table(changes: DataFrame) -> dict[str, str]:
+    """path -> canonical name of the field in its record, for names that fields took by renames, over all streams.
+
+    Its size is that of the vocabulary of field names, not of the data: keys of file_hashes are
+    data and left out.
+    """
+    moved = changes.where("change_kind = 'renamed'").where(~F.col("field_path").startswith("file_hashes."))
+    pairs = sorted((r[0], r[1]) for r in moved.select("field_path", "new_path").distinct().collect())
+    fixed = {f"entities[].{f}" for f in ENTITY_CASTS} | {"entities", "relationships", *KEYED}
+
+    def resolved(links: list[tuple[str, str]]) -> dict[str, str]:
+        olds = defaultdict(set)
+        for old, new in links:
+            olds[new].add(old)
+        out = {}
+        for new in olds:
+            if new in fixed:
+                continue
+            seen, todo = {new}, [new]
+            while todo:
+                more = olds.get(todo.pop(), set()) - seen
+                seen |= more
+                todo += more
+            best = (seen & fixed) or {x for x in seen if not olds.get(x)} or seen
+            out[new] = min(best)
+        return out
 
+    tops = resolved([(a, b) for a, b in pairs if "[]" not in a and "." not in a])
+    inner = [(_place(a, tops), _place(b, tops)) for a, b in pairs if a.split("[]")[0] != a or "." in a]
+    found = resolved([(a, b) for a, b in inner if a and b and a != b])
+    return tops | {new: old.split("[].", 1)[-1] for new, old in found.items()}
 
-def alias_table(changes: DataFrame) -> DataFrame:
-    """(field, canonical): names that entity fields took by renames, over all streams.
 
-    Its size is that of the vocabulary of field names, not of the data.
+def _column_types(records: DataFrame) -> dict[str, tuple[str, bool]]:
+    """field -> (type, whether lists of one text stand for that text), the commonest type of its values.
+
+    Fields that are always objects have no column, as their own fields have.
     """
-    prefix = "entities[]."
-    pairs = changes.where(F.col("change_kind") == "renamed").where(F.col("field_path").startswith(prefix))
-    cut_off = lambda c: F.substring(c, len(prefix) + 1, 1_000_000)
-    pairs = pairs.select(cut_off("new_path").alias("field"), cut_off("field_path").alias("canonical")).distinct()
-    known = pairs.where(F.col("canonical").isin(*ENTITY_CASTS))
-    second = pairs.withColumnRenamed("canonical", "mid").join(known.select(F.col("field").alias("mid"), "canonical"), "mid").select("field", "canonical")
-    return known.unionByName(second).where(~F.col("field").isin(*ENTITY_CASTS)).groupBy("field").agg(F.min("canonical").alias("canonical"))
+    kinds = records.select(F.explode("fields").alias("field", "leaf")).groupBy("field", "leaf.kind").count()
+    fields = kinds.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("kind", "count"))).alias("kinds"), F.sum("count").alias("n"))
+    counted = fields.where("size(kinds) > 1 or not map_contains_key(kinds, 'object')").orderBy(F.desc("n"), "field").limit(COLUMNS).collect()
+    out: dict[str, tuple[str, bool]] = {}
+    taken = {"stream_name", "snapshot_id", "record_path", "record_no", "other"}
+    for r in sorted(counted, key=lambda r: (r.field not in ENTITY_CASTS, r.field)):
+        name = r.field.removeprefix("location.") if r.field in ENTITY_CASTS else r.field
+        if name.lower() in taken or len(name) > 200:
+            continue
+        taken.add(name.lower())
+        count = lambda *ks: sum(r.kinds.get(k, 0) for k in ks)  # noqa: E731, B023
+        number, text, flag, lists = count("integer", "double"), count("string"), count("boolean"), count("array", "one")
+        kind = "string" if max(text, lists, count("object")) >= max(number, flag) else "boolean" if flag > number else "double" if count("double") else "bigint"
+        out[r.field] = ENTITY_CASTS.get(r.field, kind), number + text + flag > lists
+    return out
 
 
 def consistent_entities(snapshots: DataFrame, changes: DataFrame) -> DataFrame:
-    """All entity records of all snapshots in one schema: aliases resolved, values cast.
+    """All records of all snapshots in one schema: aliases resolved, values cast.
 
-    Values that do not cast become null; a list of one text is that text, other structures stay
-    as JSON text.
+    record_path names the list a record is in (entities[], relationships[], ...) and is '' for
+    what a snapshot holds beside its lists.  Each field that occurs has a column of the
+    commonest type of its values; structures are JSON text.  Values that do not cast become null
+    there and stay in the map ``other``, as do values whose field has no column.
     """
-    leaves = snapshots.select("snapshot_id", "payload").where("payload is not null").mapInPandas(_leaves, _LEAVES)
-    named = leaves.join(alias_table(changes), "field", "left").withColumn("field", F.coalesce("canonical", "field")).where(F.col("field").isin(*ENTITY_CASTS))
-    wide = named.groupBy("snapshot_id", "record_no").agg(
-        *[F.expr(f"try_cast(max(case when field = '{f}' then value end) as {t})").alias(f.replace("location.", "")) for f, t in ENTITY_CASTS.items()]
-    )
-    return wide
+    rows = snapshots.select("stream_name", "snapshot_id", "payload").where("payload is not null").dropDuplicates(["stream_name", "snapshot_id"])
+    records = cut(rows.mapInPandas(_records(alias_table(changes)), _RECORDS))
+    columns = _column_types(records)
+    values, fits = [], []
+    for field, (kind, unwrap) in columns.items():
+        leaf = F.col("fields")[F.lit(field)]
+        text = F.when(leaf["kind"] == "one", F.get_json_object(leaf["value"], "$[0]")).otherwise(leaf["value"]) if unwrap else leaf["value"]
+        value = text.try_cast(kind)
+        if kind == "double":  # more digits than a double holds
+            value = F.when((F.length(text) <= 15) | (leaf["kind"] == "double"), value)
+        name = field.removeprefix("location.") if field in ENTITY_CASTS else field
+        values.append(value.alias(name))
+        if kind != "string":
+            fits.append(F.when(leaf.isNotNull() & value.isNull(), F.lit(field)))
+    names = F.array(*map(F.lit, columns)) if columns else F.array().cast("array<string>")
+    lost = F.array_compact(F.array(*fits)) if fits else F.array().cast("array<string>")
+    kept = F.map_filter("fields", lambda k, v: (~F.array_contains(names, k) & (v["kind"] != "object")) | F.array_contains(lost, k) | (~F.array_contains(names, k) & (v["value"] == "{}")))
+    return records.select("stream_name", "snapshot_id", "record_path", "record_no", *values, F.transform_values(kept, lambda k, v: v["value"]).alias("other"))

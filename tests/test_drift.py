@@ -64,3 +64,18 @@ def test_one_consistent_table(frame):
     snapshots = frame([(i, "s", dt.datetime(2024, 1, 1 + i), json.dumps(p)) for i, p in enumerate((a, b, c))], SNAP)
     table = d.consistent_entities(snapshots, d.schema_changes(snapshots)).orderBy("snapshot_id").collect()
     assert [(r.id, r.docstring, r.file, r.line) for r in table] == [("e1", "x", "f", 3), ("e1", "x", "f", 3), ("e1", "x", "f", None)]
+
+
+def test_the_consistent_table_holds_every_record_and_field(frame):
+    a = {"entities": [ent(1, tags=["x", "y"], docstring={"text": "d", "format": "md"})], "relationships": [{"source_id": "e1", "target_id": "e2"}], "file_hashes": {"f.py": "h1"}, "version": 2}
+    b = {"frameworks": [{"name": "k", "entity_types": {"enum": 3}}, {"name": "m", "entity_types": {"enum": "many"}}], "version": 3}
+    c = {"frameworks": {"k": {"entity_types": {"enum": 4}}}}
+    snapshots = frame([(i, "s", dt.datetime(2024, 1, 1 + i), json.dumps(p)) for i, p in enumerate((a, b, c))] + [(0, "s", dt.datetime(2024, 1, 1), json.dumps(a))], SNAP)
+    rows = d.consistent_entities(snapshots, d.schema_changes(snapshots)).collect()
+    got = {(r.snapshot_id, r.record_path, r.record_no): r for r in rows}
+    assert len(rows) == len(got) and set(got) == {(0, "entities[]", 0), (0, "relationships[]", 0), (0, "file_hashes[]", 0), (0, "", 0), (1, "frameworks[]", 0), (1, "frameworks[]", 1), (1, "", 0), (2, "frameworks[]", 0)}
+    e = got[0, "entities[]", 0]
+    assert (e.id, e.tags, e["docstring.text"], e["docstring.format"]) == ("e1", '["x", "y"]', "d", "md")
+    assert got[0, "relationships[]", 0].target_id == "e2" and (got[0, "file_hashes[]", 0].path, got[0, "file_hashes[]", 0].hash) == ("f.py", "h1")
+    assert [got[k].version for k in ((0, "", 0), (1, "", 0))] == [2, 3]
+    assert [(r.name, r["entity_types.enum"], r.other) for r in (got[1, "frameworks[]", 0], got[1, "frameworks[]", 1], got[2, "frameworks[]", 0])] == [("k", 3, {}), ("m", None, {"entity_types.enum": "many"}), ("k", 4, {})]
