@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.references import canonical
-from graphloom.session import cut, stored
+from graphloom.session import cut, discard, stored
 
 _WALK = "graph string, id string, root_id string, tree_depth int, kind string, cycle_id string, n_descendants long, path array<string>"
 
@@ -124,7 +124,8 @@ def closed_trees(trees: DataFrame, paths: bool = True) -> DataFrame:
         step = state.withColumn("at", F.coalesce("ptr", "id")).join(ahead, ["graph", "at"]).join(gains, ["graph", "id"], "left")
         grown = F.when(F.col("ptr").isNull(), F.col("part")).otherwise(F.concat("front", "part"))
         step = step.select("graph", "id", F.when(F.col("ptr").isNotNull(), F.col("to")).alias("ptr"), (F.col("total") + F.coalesce("gain", F.lit(0))).alias("total"), grown.alias("part"))
-        state = stored(step)
+        before, state = state, stored(step)
+        discard(before)
     out = trees.join(state.select("graph", "id", "total"), ["graph", "id"], "left")
     path = F.lit(None).cast("array<string>")
     if paths:
@@ -156,64 +157,63 @@ def components(links: DataFrame, component_limit: int) -> DataFrame:
     return cut(nodes.where("not on_loop").unionByName(relabelled))
 
 
-def _walk_component(nodes: list[str], parents: list[str | None], paths: bool) -> list[tuple]:
-    """Depth-first walk of one component: white nodes are in no list yet, grey ones are open."""
+WHITE, GREY, BLACK = range(3)
+#: Rows, and ids in their paths, that a task holds before it hands them on.
+_ROWS, _IDS = 20_000, 1_000_000
+
+
+def _walk_component(nodes: list[str], parents: list[str | None], paths: bool) -> Iterator[tuple]:
+    """Depth-first walk of one component: white nodes are untouched, grey ones are open, black ones closed.
+
+    The open nodes are the path of the one that is closed; its row comes out then, so that no
+    two paths are held.
+    """
     children: dict[str, list[str]] = {}
     above: dict[str, str] = {}
-    roots = []
+    colour = dict.fromkeys(nodes, WHITE)
     for node, parent in zip(nodes, parents):
-        if parent is None:
-            roots.append(node)
-        else:
+        if parent is not None:
             above[node] = parent
             children.setdefault(parent, []).append(node)
-    depth: dict[str, int] = {}
-    path: dict[str, list[str]] = {}
-    order: list[str] = []
-    top: dict[str, str] = {}
-    for root in roots:
-        stack = [(root, 0)]
-        while stack:
-            node, d = stack.pop()
-            depth[node], top[node] = d, root
-            order.append(node)
-            if paths:
-                path[node] = [*path[above[node]], node] if d else [node]
-            stack += [(x, d + 1) for x in children.get(node, ())]
-    below = dict.fromkeys(order, 0)
-    for node in reversed(order):
-        if node in above:
-            below[above[node]] += below[node] + 1
-    out = [(n, top[n], depth[n], "tree", None, below[n], path.get(n)) for n in order]
-    if len(order) < len(nodes):
-        loop_of: dict[str, str] = {}
-        on_loop: set[str] = set()
-        for node in nodes:
-            grey: dict[str, int] = {}
-            trail = []
-            x = node
-            while x not in depth and x not in loop_of and x not in grey:
-                grey[x] = len(trail)
-                trail.append(x)
-                x = above[x]
-            if x in grey:  # the back edge: everything from here on is the loop
-                ring = trail[grey[x] :]
-                on_loop.update(ring)
-                loop_of.update(dict.fromkeys(trail, min(ring)))
-            elif trail:
-                loop_of.update(dict.fromkeys(trail, loop_of[x]))
-        out += [(n, loop_of[n], -1, "loop" if n in on_loop else "below_loop", loop_of[n], None, None) for n in nodes if n in loop_of]
-    return out
+    for root in (n for n in nodes if n not in above):
+        trail, ahead, below = [root], [iter(children.get(root, ()))], [0]
+        while trail:
+            node = next(ahead[-1], None)
+            if node is not None:
+                colour[node] = GREY
+                trail.append(node)
+                ahead.append(iter(children.get(node, ())))
+                below.append(0)
+                continue
+            size = below.pop()
+            yield trail[-1], root, len(trail) - 1, "tree", None, size, list(trail) if paths else None
+            colour[trail.pop()] = BLACK
+            ahead.pop()
+            if below:
+                below[-1] += size + 1
+    # What no root leads to hangs on loops: go up until a grey node, whose edge is the back edge, or a black one.
+    loop_of: dict[str, str] = {}
+    ring: set[str] = set()
+    for node in nodes:
+        trail = []
+        while colour[node] == WHITE:
+            colour[node] = GREY
+            trail.append(node)
+            node = above[node]
+        if trail:
+            closed = trail[trail.index(node) :] if colour[node] == GREY else []
+            ring.update(closed)
+            loop_of.update(dict.fromkeys(trail, min(closed) if closed else loop_of[node]))
+            colour.update(dict.fromkeys(trail, BLACK))
+    for node, low in loop_of.items():
+        yield node, low, -1, "loop" if node in ring else "below_loop", low, None, None
 
 
 def _walker(paths: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by component; the last component of a batch waits for the next batch."""
         key, nodes, parents, rows = None, [], [], []
-
-        def close():
-            if key is not None:
-                rows.extend((key[0], *row) for row in _walk_component(nodes, parents, paths))
+        held = 0
 
         def frame():
             cols = ["graph", "id", "root_id", "tree_depth", "kind", "cycle_id", "n_descendants", "path"]
@@ -222,16 +222,25 @@ def _walker(paths: bool):
             rows.clear()
             return pdf
 
+        def close():
+            nonlocal held
+            if key is None:
+                return
+            for row in _walk_component(nodes, parents, paths):
+                rows.append((key[0], *row))
+                held += len(row[6] or ())
+                if len(rows) >= _ROWS or held >= _IDS:
+                    held = 0
+                    yield frame()
+
         for pdf in batches:
             for graph, label, node, parent in zip(pdf["graph"], pdf["label"], pdf["id"], pdf["parent"]):
                 if (graph, label) != key:
-                    close()
+                    yield from close()
                     key, nodes, parents = (graph, label), [], []
                 nodes.append(node)
                 parents.append(parent)
-            if rows:
-                yield frame()
-        close()
+        yield from close()
         if rows:
             yield frame()
 

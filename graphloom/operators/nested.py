@@ -1,8 +1,10 @@
 """Deeply nested records to flat, linked tables.
 
-A bottom-up tree automaton gives every JSON node a state; the states of an object's fields
-decide its variant, and each variant has its own typed subtype table beside the common
-supertype tables.  Entities keep their record and parent, parameters their entity and place.
+A bottom-up tree automaton gives every entity, parameter and type expression of a record a
+state from its leaves and the states of its children: a type is generic only if its arguments
+are types, a parameter takes the state of its type, and the state of an entity rises with its
+members.  The state is the variant of a node and routes it to exactly one typed subtype table;
+entities keep their record and parent, parameters their entity and place.
 """
 
 from __future__ import annotations
@@ -15,22 +17,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_PARAMETER = ("subtype", "variant", "name", "type", "base", "arguments", "default_value", "value")
 ENTITY_FIELDS = (
     "record_id long, entity_no int, parent_no int, depth int, entity_id string, parent_id string, name string, type string, "
-    "file_path string, line long, col long, docstring string, variant string, "
-    "parameters array<struct<name:string,type:string,default_value:string,variant:string>>"
+    "file_path string, line long, col long, docstring string, variant string, subtype string, n_members int, "
+    "parameters array<struct<subtype:string,variant:string,name:string,type:string,base:string,arguments:array<string>,default_value:string,value:string>>"
 )
 
-# The transitions of the automaton, states of children to the state of a node.
-# A parameter is a pair, a single, a bare name or an object; a type is named, generic or untyped.
-PARAMETER_STATES = {
-    ("list", "text"): "single",
-    ("list", "text", "text"): "pair_named",
-    ("list", "text", "object"): "pair_generic",
-    ("list", "text", "null"): "pair_untyped",
-    ("text",): "bare",
-}
-TYPE_STATES = {"text": "named", "object": "generic", "null": "untyped"}
+# Transitions of the automaton.
+# A leaf that stands for a type.
+TYPE_STATES = {"text": "named", "null": "untyped"}
+# Shape of a parameter by the leaves and states of its parts.
+LIST_SHAPES = {1: "single", 2: "pair", 3: "triple"}
+# How deep the members go: height of the deepest member to the height of the entity.
+HEIGHTS = {None: "flat", "flat": "shallow", "shallow": "deep", "deep": "deep"}
+# State of a parameter's type to the table of the parameter; those with a default have one of their own.
+PARAMETER_TABLES = {"named": "named_parameter", "generic": "generic_parameter", "untyped": "untyped_parameter", "odd": "odd_parameter"}
+DEFAULTED = "defaulted_parameter"
+# Whether an entity has parameters and members to its table.
+ENTITY_TABLES = {(False, False): "plain_entity", (True, False): "callable_entity", (False, True): "container_entity", (True, True): "callable_container_entity"}
 
 
 def _leaf(value) -> str:
@@ -53,26 +58,98 @@ def _text(value) -> str | None:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def classify_parameter(value) -> tuple[str | None, str | None, str | None, str]:
-    """(name, type, default, variant) of one parameter in any of its shapes.
+def _whole(value) -> int | None:
+    return value if isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 63 else None
 
-    Unknown shapes keep their place with the name null and the variant ``other``.
-    """
+
+def _type_of(parameter):
+    """The part of a parameter that is its type."""
+    if isinstance(parameter, dict):
+        return parameter.get("type")
+    return parameter[1] if isinstance(parameter, list) and len(parameter) > 1 else None
+
+
+def _type_state(value, children: list) -> str:
     if isinstance(value, dict):
-        state = "object_" + TYPE_STATES.get(_leaf(value.get("type")), "typed" if "type" in value else "untyped")
-        return _text(value.get("name")), _text(value.get("type")), _text(value.get("default")), state + ("_default" if "default" in value else "")
+        arguments = value.get("args")
+        sound = isinstance(value.get("base"), str) and (arguments is None or isinstance(arguments, list)) and "odd" not in children
+        return "generic" if sound else "odd"
+    return TYPE_STATES.get(_leaf(value), "odd")
+
+
+def _parameter_state(value, children: list) -> tuple[str, str, bool]:
+    """(shape, state of the type, with a default?)."""
+    kind = children[0] if children else "untyped"
+    if isinstance(value, dict):
+        return "object", kind if isinstance(value.get("name"), str) else "odd", "default" in value
     if isinstance(value, list):
-        state = PARAMETER_STATES.get(("list", *map(_leaf, value)), "other")
-        first = value[0] if value else None
-        return _text(first) if not isinstance(first, (dict, list)) else None, _text(value[1]) if len(value) > 1 else None, _text(value[2]) if len(value) > 2 else None, state
-    state = PARAMETER_STATES.get((_leaf(value),), "other")
-    return (_text(value) if state == "bare" else None), None, None, state
+        shape = LIST_SHAPES.get(len(value), "list")
+        return shape, kind if shape != "list" and isinstance(value[0], str) else "odd", shape == "triple"
+    return ("bare", "untyped", False) if isinstance(value, str) else (_leaf(value), "odd", False)
+
+
+def _entity_state(value: dict, children: list) -> tuple[str, str, list, int]:
+    """(height, variant, states of the parameters in order, members)."""
+    members = [x[0] for x in children if len(x) == 4]
+    parameters = [x for x in reversed(children) if len(x) == 3]
+    tallest = max(members, key=list(HEIGHTS).index) if members else None
+    place = value.get("location")
+    parts = [
+        "located" if isinstance(place, dict) and isinstance(place.get("file"), str) else "unlocated",
+        "documented" if isinstance(value.get("docstring"), str) else "undocumented",
+        "_".join(sorted({k for _, k, _ in parameters})) or "no" if parameters or isinstance(value.get("parameters"), list) else "absent",
+        HEIGHTS[tallest],
+    ]
+    return HEIGHTS[tallest], "+".join(parts), parameters, len(members)
+
+
+_RULES = {"entity": _entity_state, "parameter": _parameter_state, "type": _type_state}
 
 
-def classify_entity(node: dict) -> str:
-    """The variant: which optional fields the object carries, by their states."""
-    parts = [f"{field}:{_leaf(node[field])}" for field in ("location", "docstring", "parameters", "members") if node.get(field) is not None]
-    return "+".join(parts) or "plain"
+def run_automaton(roots: list) -> list[tuple]:
+    """(role, value, place of the parent, state) of all entities, parameters and types, parents first.
+
+    States are given from the last node to the first, so that those of the children are there.
+    """
+    nodes: list[tuple] = []
+    stack = [("entity", x, -1) for x in reversed(roots) if isinstance(x, dict)]
+    while stack:
+        role, value, parent = stack.pop()
+        at = len(nodes)
+        nodes.append((role, value, parent))
+        if role == "entity":
+            members, parameters = value.get("members"), value.get("parameters")
+            if isinstance(members, list):
+                stack += [("entity", x, at) for x in reversed(members) if isinstance(x, dict)]
+            if isinstance(parameters, list):
+                stack += [("parameter", x, at) for x in reversed(parameters)]
+        elif role == "parameter":
+            stack.append(("type", _type_of(value), at))
+        elif isinstance(value, dict) and isinstance(value.get("args"), list):
+            stack += [("type", x, at) for x in value["args"]]
+    children: list[list] = [[] for _ in nodes]
+    states: list = [None] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        role, value, parent = nodes[i]
+        states[i] = _RULES[role](value, children[i])
+        if parent >= 0:
+            children[parent].append(states[i])
+    return [(role, value, parent, state) for (role, value, parent), state in zip(nodes, states)]
+
+
+def routed_parameter(value, state: tuple[str, str, bool]) -> tuple:
+    """A parameter as a row of its subtype table, in the order of _PARAMETER; odd ones are kept whole as JSON."""
+    shape, kind, defaulted = state
+    table = DEFAULTED if defaulted and kind != "odd" else PARAMETER_TABLES[kind]
+    first = value.get("name") if isinstance(value, dict) else (value[0] if value else None) if isinstance(value, list) else value if isinstance(value, str) else None
+    named = _text(first) if not isinstance(first, (dict, list)) else None
+    type_ = _type_of(value)
+    generic = type_ if kind == "generic" else {}
+    default = value.get("default") if isinstance(value, dict) else value[2] if shape == "triple" else None
+    return (
+        table, f"{shape}_{kind}" + "_default" * defaulted, named, _text(type_), _text(generic.get("base")), [_text(x) for x in generic.get("args") or ()] if generic else None,
+        _text(default), _text(value) if table == "odd_parameter" else None,
+    )
 
 
 def _no_constant(name: str):
@@ -115,26 +192,24 @@ def flatten_record(record_id: int, payload: str | None) -> Iterator[tuple]:
     """Rows of ENTITY_FIELDS in document order; entity_no is the key within the record."""
     value = load(payload)
     top = value.get("entities") if isinstance(value, dict) else value
-    stack = [(x, None, "", 0) for x in reversed(top)] if isinstance(top, list) else []
-    number = 0
-    while stack:
-        node, parent_no, parent_id, depth = stack.pop()
-        if not isinstance(node, dict):
+    if not isinstance(top, list):
+        return
+    nodes = run_automaton(top)
+    numbers: dict[int, int] = {}
+    depths: dict[int, int] = {}
+    for at, (role, node, parent, state) in enumerate(nodes):
+        if role != "entity":
             continue
+        numbers[at] = len(numbers)
+        depths[at] = depths[parent] + 1 if parent >= 0 else 0
         place = node.get("location")
         place = place if isinstance(place, dict) else {}
-        line, col = place.get("line"), place.get("column")
-        parameters = node.get("parameters")
-        entity_id = _text(node.get("id")) or ""
+        _, variant, parameter_states, n_members = state
         yield (
-            record_id, number, parent_no, depth, entity_id, parent_id, _text(node.get("name")), _text(node.get("type")), _text(place.get("file")) or "",
-            line if isinstance(line, int) else None, col if isinstance(col, int) else None, _text(node.get("docstring")), classify_entity(node),
-            [classify_parameter(p) for p in parameters] if isinstance(parameters, list) else [],
+            record_id, numbers[at], numbers.get(parent), depths[at], _text(node.get("id")) or "", _text(nodes[parent][1].get("id")) or "" if parent >= 0 else "", _text(node.get("name")),
+            _text(node.get("type")), _text(place.get("file")) or "", _whole(place.get("line")), _whole(place.get("column")), _text(node.get("docstring")),
+            variant, ENTITY_TABLES[bool(parameter_states), n_members > 0], n_members, [routed_parameter(p, s) for p, s in zip(node.get("parameters") or (), parameter_states)],
         )
-        members = node.get("members")
-        if isinstance(members, list):
-            stack += [(x, number, entity_id, depth + 1) for x in reversed(members)]
-        number += 1
 
 
 _COLUMNS = [x.split()[0] for x in ENTITY_FIELDS.split(", ")]
@@ -156,7 +231,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     pdf = pd.DataFrame(rows, columns=_COLUMNS)
     for c in ("parent_no", "line", "col"):
         pdf[c] = pdf[c].astype("Int64")
-    pdf["parameters"] = [[dict(zip(("name", "type", "default_value", "variant"), p)) for p in ps] for ps in pdf["parameters"]]
+    pdf["parameters"] = [[dict(zip(_PARAMETER, p)) for p in ps] for ps in pdf["parameters"]]
     return pdf
 
 
@@ -171,32 +246,52 @@ def entities_table(records: DataFrame) -> DataFrame:
 
 
 def parameters_table(entities: DataFrame) -> DataFrame:
-    """(record_id, entity_no, pos, name, type, default_value, variant), one row per parameter."""
-    return entities.select("record_id", "entity_no", F.posexplode("parameters").alias("pos", "p")).select("record_id", "entity_no", "pos", "p.*")
+    """All parameters with the keys of their entity, their place and the table that each is routed to."""
+    return entities.select("record_id", "entity_no", "entity_id", "parent_id", "file_path", F.posexplode("parameters").alias("pos", "p")).select(
+        "record_id", "entity_no", "entity_id", "parent_id", "file_path", "pos", "p.*"
+    )
 
 
 def subtype_tables(entities: DataFrame) -> dict[str, DataFrame]:
-    """Each group of variants with the typed columns that it has beyond the supertype keys."""
-    keys = ["record_id", "entity_no", "parent_no"]
+    """The typed tables: every entity and every parameter is in exactly one of them.
+
+    All hold the common keys and links; beyond those, each has the columns of its variant.
+    """
+    keys = ["record_id", "entity_no", "parent_no", "entity_id", "parent_id", "file_path"]
+    typed = {
+        "plain_entity": [], "callable_entity": [F.size("parameters").alias("n_parameters")], "container_entity": ["n_members"],
+        "callable_container_entity": [F.size("parameters").alias("n_parameters"), "n_members"],
+    }
+    out = {t: entities.where(F.col("subtype") == t).select(*keys, *columns) for t, columns in typed.items()}
+    places = ["record_id", "entity_no", "entity_id", "parent_id", "file_path", "pos"]
+    typed = {
+        "named_parameter": ["name", "type"], "generic_parameter": ["name", "base", "arguments"], "untyped_parameter": ["name"],
+        "defaulted_parameter": ["name", "type", "base", "arguments", "default_value"], "odd_parameter": ["name", "value"],
+    }
     parameters = parameters_table(entities)
-    return {
-        "located": entities.where("variant like '%location%'").select(*keys, "file_path", "line", "col"),
-        "documented": entities.where("variant like '%docstring%'").select(*keys, "docstring"),
-        "callable": entities.where("variant like '%parameters%'").select(*keys, F.size("parameters").alias("n_parameters")),
-        "container": entities.where("variant like '%members%'").select(*keys),
-        "typed_parameter": parameters.where("variant like '%named%' or variant like '%typed' and type is not null").drop("default_value"),
-        "generic_parameter": parameters.where("variant like '%generic%'").withColumn("base", F.get_json_object("type", "$.base")),
-        "defaulted_parameter": parameters.where("variant like '%default'").select("record_id", "entity_no", "pos", "default_value"),
-    }
+    return out | {t: parameters.where(F.col("subtype") == t).select(*places, *columns) for t, columns in typed.items()}
 
 
 def parameter_rows(entities: DataFrame) -> DataFrame:
-    """One row per parameter, and one with pos -1 and an empty name for an entity without any."""
-    return entities.select("record_id", "entity_id", "parent_id", "file_path", F.posexplode_outer("parameters").alias("pos", "p")).select(
-        "record_id", "entity_id", "parent_id", "file_path", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("p.name", F.lit("")).alias("param_name")
+    """The parameters of all typed tables, and a row with pos -1 and an empty name per entity of a table without parameters.
+
+    The tables are disjoint parts of the routed rows, so that their union is read in one pass
+    instead of one per table.
+    """
+    bare = F.col("subtype").isin("plain_entity", "container_entity")
+    none = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("name")))
+    own = F.transform("parameters", lambda p, i: F.struct(i.alias("pos"), p["name"].alias("name")))
+    return entities.select("record_id", "entity_id", "parent_id", "file_path", F.explode(F.when(bare, none).otherwise(own)).alias("p")).select(
+        "record_id", "entity_id", "parent_id", "file_path", "p.pos", F.coalesce("p.name", F.lit("")).alias("param_name")
     )
 
 
+def routing_counts(entities: DataFrame) -> DataFrame:
+    """(subtype, n): the rows of every typed table."""
+    kinds = F.explode(F.concat(F.array("subtype"), F.transform("parameters", lambda p: p["subtype"]))).alias("subtype")
+    return entities.select(kinds).groupBy("subtype").agg(F.count(F.lit(1)).alias("n"))
+
+
 def variant_counts(entities: DataFrame) -> DataFrame:
     """How many entities took each variant, at which depths."""
     return entities.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("least_depth"), F.max("depth").alias("most_depth"))

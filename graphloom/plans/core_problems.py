@@ -13,12 +13,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.parameter_rows(nested.entities_table(table(spark, sf_dir, "parse_records")))
 
 
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = nested.entities_table(table(spark, sf_dir, "parse_records"))
+    return entities.select("record_id", "entity_id", "parent_id", "depth", "name", "type", "file_path", "line", "docstring", "n_members")
+
+
 def p2_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.variant_counts(nested.entities_table(table(spark, sf_dir, "parse_records")))
 
 
+def p2_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.routing_counts(nested.entities_table(table(spark, sf_dir, "parse_records")))
+
+
 def p2_generic_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.subtype_tables(nested.entities_table(table(spark, sf_dir, "parse_records")))["generic_parameter"]
+    tables = nested.subtype_tables(nested.entities_table(table(spark, sf_dir, "parse_records")))
+    return tables["generic_parameter"].select("record_id", "entity_id", "pos", "name", "base", F.size("arguments").alias("n_arguments"))
+
+
+def p2_defaulted_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = nested.subtype_tables(nested.entities_table(table(spark, sf_dir, "parse_records")))
+    return tables["defaulted_parameter"].select("record_id", "entity_id", "pos", "name", "base")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +45,15 @@ def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walked.select("graph", "id", "root_id", "tree_depth", "kind", "n_descendants", F.array_join("path", "/").alias("path"))
 
 
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.ancestor_pairs(hierarchy.hierarchy(table(spark, sf_dir, "entities"), table(spark, sf_dir, "relationships")))
+
+
+def p3_cycle_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, relationships = table(spark, sf_dir, "entities"), table(spark, sf_dir, "relationships")
+    return hierarchy.cycle_edges(hierarchy.parent_links(entities, relationships), hierarchy.hierarchy(entities, relationships, paths=False))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(table(spark, sf_dir, "graph_snapshots"))
 
@@ -58,10 +82,15 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_entities": p2_entities,
     "p2_variants": p2_variants,
+    "p2_routing": p2_routing,
     "p2_generic_parameters": p2_generic_parameters,
+    "p2_defaulted_parameters": p2_defaulted_parameters,
     "p3_found": p3_found,
     "p3_hierarchy": p3_hierarchy,
+    "p3_descendants": p3_descendants,
+    "p3_cycle_edges": p3_cycle_edges,
     "p5_found": p5_found,
     "p5_lifespans": p5_lifespans,
     "p5_entities": p5_entities,
@@ -125,10 +154,21 @@ outer_ AS (SELECT record_id, payload AS p FROM parse_records WHERE json_valid(pa
 texts AS (SELECT record_id, CASE WHEN json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') ELSE p END AS p FROM outer_),
 docs AS (SELECT record_id, p FROM texts WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
 tree AS (
-  SELECT record_id, unnest(json_extract(p, '$.entities[*]')) AS e, '' AS parent_id FROM docs
+  SELECT record_id, unnest(json_extract(p, '$.entities[*]')) AS e, '' AS parent_id, 0 AS depth FROM docs
   UNION ALL
-  SELECT record_id, unnest(json_extract(e, '$.members[*]')), coalesce(json_extract_string(e, '$.id'), '') FROM tree),
-placed AS (SELECT record_id, e, coalesce(json_extract_string(e, '$.id'), '') AS entity_id, parent_id, coalesce(json_extract_string(e, '$.location.file'), '') AS file_path, json_extract(e, '$.parameters[*]') AS ps FROM tree)
+  SELECT record_id, unnest(json_extract(e, '$.members[*]')), coalesce(json_extract_string(e, '$.id'), ''), depth + 1 FROM tree),
+placed AS (SELECT record_id, e, coalesce(json_extract_string(e, '$.id'), '') AS entity_id, parent_id, depth, coalesce(json_extract_string(e, '$.location.file'), '') AS file_path, json_extract(e, '$.parameters[*]') AS ps FROM tree)
+"""
+
+_PARAMETERS = """
+each AS (SELECT record_id, entity_id, unnest(ps) AS q, generate_subscripts(ps, 1) - 1 AS pos FROM placed WHERE len(ps) > 0),
+parts AS (
+  SELECT *, CASE json_type(q) WHEN 'OBJECT' THEN json_extract_string(q, '$.name') WHEN 'ARRAY' THEN json_extract_string(q, '$[0]') WHEN 'VARCHAR' THEN json_extract_string(q, '$') END AS name,
+    CASE json_type(q) WHEN 'OBJECT' THEN json_extract(q, '$.type') WHEN 'ARRAY' THEN json_extract(q, '$[1]') END AS t,
+    CASE json_type(q) WHEN 'OBJECT' THEN list_contains(json_keys(q), 'default') ELSE false END AS defaulted FROM each),
+routed AS (
+  SELECT *, CASE WHEN name IS NULL OR json_type(t) NOT IN ('VARCHAR', 'OBJECT', 'NULL') THEN 'odd_parameter' WHEN defaulted THEN 'defaulted_parameter'
+    WHEN json_type(t) = 'OBJECT' THEN 'generic_parameter' WHEN json_type(t) = 'VARCHAR' THEN 'named_parameter' ELSE 'untyped_parameter' END AS subtype FROM parts)
 """
 
 SQL = {
@@ -137,6 +177,18 @@ SQL = {
         UNION ALL
         SELECT record_id, entity_id, parent_id, file_path, (pos - 1)::INT, coalesce(CASE json_type(q) WHEN 'OBJECT' THEN json_extract_string(q, '$.name') WHEN 'ARRAY' THEN json_extract_string(q, '$[0]') WHEN 'VARCHAR' THEN json_extract_string(q, '$') END, '')
         FROM (SELECT record_id, entity_id, parent_id, file_path, unnest(ps) AS q, generate_subscripts(ps, 1) AS pos FROM placed WHERE len(ps) > 0)""",
+    "p2_entities": f"""WITH RECURSIVE {_RECORDS}
+        SELECT record_id, entity_id, parent_id, depth, json_extract_string(e, '$.name') AS name, json_extract_string(e, '$.type') AS type, file_path, json_extract(e, '$.location.line')::BIGINT AS line,
+          json_extract_string(e, '$.docstring') AS docstring, len(json_extract(e, '$.members[*]')) AS n_members FROM placed""",
+    "p2_routing": f"""WITH RECURSIVE {_RECORDS}, {_PARAMETERS}
+        SELECT subtype, count(*) AS n FROM routed GROUP BY 1
+        UNION ALL
+        SELECT CASE WHEN len(ps) > 0 THEN CASE WHEN members > 0 THEN 'callable_container_entity' ELSE 'callable_entity' END WHEN members > 0 THEN 'container_entity' ELSE 'plain_entity' END, count(*)
+        FROM (SELECT ps, len(json_extract(e, '$.members[*]')) AS members FROM placed) GROUP BY 1""",
+    "p2_generic_parameters": f"""WITH RECURSIVE {_RECORDS}, {_PARAMETERS}
+        SELECT record_id, entity_id, pos, name, json_extract_string(t, '$.base') AS base, len(json_extract(t, '$.args[*]')) AS n_arguments FROM routed WHERE subtype = 'generic_parameter'""",
+    "p2_defaulted_parameters": f"""WITH RECURSIVE {_RECORDS}, {_PARAMETERS}
+        SELECT record_id, entity_id, pos, name, json_extract_string(t, '$.base') AS base FROM routed WHERE subtype = 'defaulted_parameter'""",
     "p3_found": f"""WITH RECURSIVE {_LINKS}
         SELECT graph, id, root_id, tree_depth FROM tree WHERE tree_depth >= 12
         UNION ALL SELECT graph, id, root_id, -1 FROM low""",
@@ -149,6 +201,11 @@ SQL = {
         UNION ALL
         SELECT w.graph, w.id, w.root_id, -1, CASE WHEN o.id IS NULL THEN 'below_loop' ELSE 'loop' END, NULL, NULL
         FROM low w LEFT JOIN loops o ON o.graph = w.graph AND o.id = w.id""",
+    "p3_descendants": f"""WITH RECURSIVE {_LINKS}
+        SELECT graph, ancestor, id, tree_depth - place + 1 AS distance
+        FROM (SELECT graph, id, tree_depth, unnest(string_split(path, '/')) AS ancestor, generate_subscripts(string_split(path, '/'), 1) AS place FROM tree) WHERE place <= tree_depth""",
+    "p3_cycle_edges": f"""WITH RECURSIVE {_LINKS}
+        SELECT l.graph, w.root_id AS cycle_id, l.parent, l.id FROM links l JOIN loops o ON o.graph = l.graph AND o.id = l.id JOIN low w ON w.graph = l.graph AND w.id = l.id""",
     "p6_found": f"WITH {_ORPHANS} SELECT rel_id, side, reason FROM orphans",
     "p6_report": f"""WITH {_ORPHANS}
         SELECT 'relationships.' || side || '_id' AS reference, strftime(moment, '%Y-%m') AS period, reason, count(*) AS n FROM orphans GROUP BY 1, 2, 3""",

@@ -40,10 +40,26 @@ def test_links_and_subtypes(frame):
     entities = n.entities_table(frame([(1, json.dumps({"entities": [ENTITY, ENTITY]}))] * 2, REC))
     assert entities.count() == 12
     tables = n.subtype_tables(entities)
-    assert {k: v.count() for k, v in tables.items()} == {"located": 4, "documented": 0, "callable": 8, "container": 8, "typed_parameter": 4, "generic_parameter": 4, "defaulted_parameter": 4}
-    assert {r.base for r in tables["generic_parameter"].collect()} == {"list"}
+    assert {k: v.count() for k, v in tables.items()} == {
+        "plain_entity": 4, "callable_entity": 0, "container_entity": 4, "callable_container_entity": 4,
+        "named_parameter": 4, "generic_parameter": 0, "untyped_parameter": 8, "defaulted_parameter": 4, "odd_parameter": 12,
+    }
+    assert sum(v.count() for v in tables.values()) == 12 + n.parameters_table(entities).count() == sum(r.n for r in n.routing_counts(entities).collect())
+    assert {(r.name, r.base, r.default_value) for r in tables["defaulted_parameter"].collect()} == {("d", "list", None)}
+    assert {r.value for r in tables["odd_parameter"].collect()} == {"5", None, "[]"}
     assert n.variant_counts(entities).count() == 3
 
 
+def test_states_rise_from_the_leaves():
+    state = lambda p: n.run_automaton([{"parameters": [p]}])[1][3]
+    generic = {"base": "map", "args": ["int", {"base": "list", "args": [None]}]}
+    assert state(["x", generic]) == ("pair", "generic", False)
+    assert state(["x", {"base": "map", "args": ["int", {"base": "list", "args": [5]}]}]) == ("pair", "odd", False)
+    assert state({"name": "x", "type": generic, "default": None}) == ("object", "generic", True)
+    assert [state(p) for p in ("x", ["x"], ["x", None, 1], [1], {}, 3)] == [("bare", "untyped", False), ("single", "untyped", False), ("triple", "untyped", True), ("single", "odd", False), ("object", "odd", False), ("number", "odd", False)]
+    nodes = n.run_automaton([{"members": [{"members": [{}]}, {}]}])
+    assert [s[0] for *_, s in nodes] == ["deep", "shallow", "flat", "flat"]
+
+
 def test_empty_table(frame):
     assert params(frame) == []
