@@ -87,46 +87,50 @@ def ordered(snapshots: DataFrame) -> DataFrame:
 def catalogue(snapshots: DataFrame, places: DataFrame) -> DataFrame:
     """(stream_name, snapshot_id, seq, field_path, parent, types): the fields of each snapshot.
 
-    A payload that is null or not complete JSON has no fields.
+    A payload that is null or not complete JSON has no fields.  A snapshot that comes twice has
+    its fields twice here; ``lifespans`` counts them once, so that no payload is moved for it.
     """
-    rows = snapshots.select("stream_name", "snapshot_id", "payload").dropDuplicates(["stream_name", "snapshot_id"])
+    rows = snapshots.select("stream_name", "snapshot_id", "payload").where("payload is not null")
     return rows.join(places.select("stream_name", "snapshot_id", "seq"), ["stream_name", "snapshot_id"]).mapInPandas(_catalogue, _CATALOGUE)
 
 
 def lifespans(fields: DataFrame) -> DataFrame:
-    """Islands of consecutive snapshots per (stream, field, types): first_seq, last_seq, snapshots."""
-    w = Window.partitionBy("stream_name", "field_path", "types").orderBy("seq")
+    """Islands of consecutive snapshots per (stream, field, types): first_seq, last_seq, snapshots.
+
+    All steps keep the partitioning by (stream, field), so that the catalogue moves once.
+    """
+    w = Window.partitionBy("stream_name", "field_path").orderBy("seq")
+    once = fields.repartition("stream_name", "field_path").groupBy("stream_name", "field_path", "seq").agg(F.min("parent").alias("parent"), F.min("types").alias("types"))
+    follows = (F.lag("seq").over(w) == F.col("seq") - 1) & (F.lag("types").over(w) == F.col("types"))
+    starts = F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)
     return (
-        fields.withColumn("island", F.col("seq") - F.row_number().over(w))
-        .groupBy("stream_name", "field_path", "types", "island")
-        .agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("snapshots"))
+        once.withColumn("starts", starts)
+        .withColumn("island", F.sum("starts").over(w))
+        .groupBy("stream_name", "field_path", "island")
+        .agg(F.min("parent").alias("parent"), F.min("types").alias("types"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("snapshots"))
         .drop("island")
     )
 
 
-def starts_and_endings(fields: DataFrame, places: DataFrame) -> DataFrame:
-    """(stream_name, seq, field_path, parent, event): a field starts, ends or changes its types at seq.
+def starts_and_endings(spans: DataFrame, places: DataFrame) -> DataFrame:
+    """(stream_name, seq, field_path, parent, event): the log of lifespans that start, end or follow one of other types.
 
-    Seen from one snapshot to the next, so an ending bears the seq of the first snapshot
-    without the field.  Fields of a stream's first snapshot do not start.
+    An ending bears the seq of the first snapshot without the field.  Fields of a stream's first
+    snapshot do not start.
     """
-    w = Window.partitionBy("stream_name", "field_path").orderBy("seq")
-    last = places.groupBy("stream_name").agg(F.max("seq").alias("last_seq"))
-    seen = fields.select(
-        "stream_name", "seq", "field_path", "parent", "types", F.lag("seq").over(w).alias("seq_before"), F.lag("types").over(w).alias("types_before"), F.lead("seq").over(w).alias("seq_after")
+    w = Window.partitionBy("stream_name", "field_path").orderBy("first_seq")
+    last = places.groupBy("stream_name").agg(F.max("seq").alias("end_seq"))
+    seen = spans.select(
+        "stream_name", "field_path", "parent", "types", "first_seq", "last_seq", F.lag("last_seq").over(w).alias("seq_before"), F.lag("types").over(w).alias("types_before"), F.lead("first_seq").over(w).alias("seq_after")
     ).join(last, "stream_name")
-    follows = F.coalesce(F.col("seq_before") == F.col("seq") - 1, F.lit(False))
+    follows = F.coalesce(F.col("seq_before") == F.col("first_seq") - 1, F.lit(False))
+    goes_on = F.coalesce(F.col("seq_after") == F.col("last_seq") + 1, F.lit(False))
+    log = lambda seq, event: F.struct(seq.alias("seq"), F.lit(event).alias("event"))
     event = F.array_compact(
         F.array(
-            F.when(~follows & (F.col("seq") > 1), F.struct("seq", F.lit("added").alias("event"))),
-            F.when(
-                follows & (F.col("types") != F.col("types_before")) & (F.col("types") != "") & (F.col("types_before") != ""),
-                F.struct("seq", F.lit("retyped").alias("event")),
-            ),
-            F.when(
-                (F.col("seq") < F.col("last_seq")) & ~F.coalesce(F.col("seq_after") == F.col("seq") + 1, F.lit(False)),
-                F.struct((F.col("seq") + 1).alias("seq"), F.lit("removed").alias("event")),
-            ),
+            F.when(~follows & (F.col("first_seq") > 1), log(F.col("first_seq"), "added")),
+            F.when(follows & (F.col("types") != "") & (F.col("types_before") != ""), log(F.col("first_seq"), "retyped")),
+            F.when((F.col("last_seq") < F.col("end_seq")) & ~goes_on, log(F.col("last_seq") + 1, "removed")),
         )
     )
     events = seen.select("stream_name", "field_path", "parent", F.explode(event).alias("e")).select("stream_name", "e.seq", "field_path", "parent", "e.event")
@@ -228,8 +232,9 @@ def renames(events: DataFrame, snapshots: DataFrame, places: DataFrame) -> DataF
         .groupBy("stream_name", "seq")
         .agg(F.flatten(F.collect_list("gone")).alias("gone"), F.flatten(F.collect_list("come")).alias("come"))
     )
-    payloads = snapshots.select("stream_name", "snapshot_id", "payload").dropDuplicates(["stream_name", "snapshot_id"])
-    wanted = met.join(places.select("stream_name", "seq", F.col("snapshot_id"), "before_id"), ["stream_name", "seq"])
+    wanted = cut(met.join(places.select("stream_name", "seq", F.col("snapshot_id"), "before_id"), ["stream_name", "seq"]))
+    ends = wanted.select("stream_name", F.explode(F.array("snapshot_id", "before_id")).alias("snapshot_id")).distinct()
+    payloads = snapshots.select("stream_name", "snapshot_id", "payload").join(ends, ["stream_name", "snapshot_id"], "left_semi").dropDuplicates(["stream_name", "snapshot_id"])
     both = wanted.join(payloads.withColumnRenamed("payload", "after"), ["stream_name", "snapshot_id"]).join(
         payloads.select("stream_name", F.col("snapshot_id").alias("before_id"), F.col("payload").alias("before")), ["stream_name", "before_id"]
     )
@@ -253,7 +258,7 @@ def schema_changes(snapshots: DataFrame) -> DataFrame:
     """
     named = snapshots.where("stream_name is not null and snapshot_id is not null")
     places = cut(ordered(named))
-    events = cut(starts_and_endings(catalogue(named, places), places))
+    events = cut(starts_and_endings(lifespans(catalogue(named, places)), places))
     moved = cut(renames(events, named, places))
     # A rename takes both of its paths out of the plain events, and hides what is beneath them.
     ended = moved.select("stream_name", "seq", F.col("old_path").alias("field_path"), F.lit("removed").alias("event"))
@@ -316,11 +321,16 @@ def _record(value, path: str, aliases: dict[str, str], skip: frozenset[str] = fr
     return out
 
 
-def _records(aliases: dict[str, str]):
+def _records(shared: dict[str, str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, dict[str, str]] = {}
         for pdf in batches:
             rows = []
-            for stream, snapshot, payload in zip(pdf["stream_name"], pdf["snapshot_id"], pdf["payload"]):
+            for stream, snapshot, payload, renames in zip(pdf["stream_name"], pdf["snapshot_id"], pdf["payload"], pdf["renames"]):
+                pairs = tuple((r["field_path"], r["new_path"]) for r in renames) if renames is not None else ()
+                if pairs not in known:
+                    known = {pairs: shared | resolve_aliases(list(pairs))}
+                aliases = known[pairs]
                 value = load(payload)
                 if value is None:
                     continue
@@ -357,14 +367,15 @@ def _place(path: str, tops: dict[str, str]) -> str | None:
     return f"{tops.get(head, head)}[].{rest}" if mark else path
 
 
-def alias_table(changes: DataFrame) -> dict[str, str]:
-    """path -> canonical name of the field in its record, for names that fields took by renames, over all streams.
+#: Distinct renames beyond which names are data and no vocabulary: then the streams' own renames count alone.
+VOCABULARY = 100_000
+
 
-    Its size is that of the vocabulary of field names, not of the data: keys of file_hashes are
-    data and left out.
+def resolve_aliases(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """path -> canonical name of the field in its record, over chains of renames (old, new) of any length.
+
+    The canonical name is a fixed one if the chain has one, else the name that nothing was renamed to.
     """
-    moved = changes.where("change_kind = 'renamed'").where(~F.col("field_path").startswith("file_hashes."))
-    pairs = sorted((r[0], r[1]) for r in moved.select("field_path", "new_path").distinct().collect())
     fixed = {f"entities[].{f}" for f in ENTITY_CASTS} | {"entities", "relationships", *KEYED}
 
     def resolved(links: list[tuple[str, str]]) -> dict[str, str]:
@@ -390,6 +401,19 @@ def alias_table(changes: DataFrame) -> dict[str, str]:
     return tops | {new: old.split("[].", 1)[-1] for new, old in found.items()}
 
 
+def alias_table(snapshots: DataFrame, changes: DataFrame) -> DataFrame:
+    """(stream_name, renames): the renames (field_path, new_path) of each stream; keys of file_hashes are data and left out."""
+    moved = changes.where("change_kind = 'renamed'").where(~F.col("field_path").startswith("file_hashes.")).select("snapshot_id", "field_path", "new_path")
+    streams = snapshots.select("snapshot_id", "stream_name").join(moved.select("snapshot_id").distinct(), "snapshot_id", "left_semi").distinct()
+    return moved.join(streams, "snapshot_id").groupBy("stream_name").agg(F.array_sort(F.collect_set(F.struct("field_path", "new_path"))).alias("renames"))
+
+
+def shared_aliases(aliases: DataFrame) -> dict[str, str]:
+    """Aliases from the renames of all streams, for names that a stream never renamed itself; at most VOCABULARY renames."""
+    pairs = aliases.select(F.explode("renames").alias("r")).select("r.*").distinct().limit(VOCABULARY + 1).collect()
+    return resolve_aliases(sorted((r[0], r[1]) for r in pairs)) if len(pairs) <= VOCABULARY else {}
+
+
 def _column_types(records: DataFrame) -> dict[str, tuple[str, bool]]:
     """field -> (type, whether lists of one text stand for that text), the commonest type of its values.
 
@@ -418,10 +442,12 @@ def consistent_entities(snapshots: DataFrame, changes: DataFrame) -> DataFrame:
     record_path names the list a record is in (entities[], relationships[], ...) and is '' for
     what a snapshot holds beside its lists.  Each field that occurs has a column of the
     commonest type of its values; structures are JSON text.  Values that do not cast become null
-    there and stay in the map ``other``, as do values whose field has no column.
+    there and stay in the map ``other``, as do values whose field has no column.  A stream's own
+    renames count first; a name that it never renamed takes the alias that other streams gave it.
     """
     rows = snapshots.select("stream_name", "snapshot_id", "payload").where("payload is not null").dropDuplicates(["stream_name", "snapshot_id"])
-    records = cut(rows.mapInPandas(_records(alias_table(changes)), _RECORDS))
+    aliases = cut(alias_table(snapshots, changes))
+    records = cut(rows.join(aliases, "stream_name", "left").mapInPandas(_records(shared_aliases(aliases)), _RECORDS))
     columns = _column_types(records)
     values, fits = [], []
     for field, (kind, unwrap) in columns.items():
