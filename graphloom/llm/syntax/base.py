@@ -44,6 +44,8 @@ class Grammar:
         self.text = text
         self.s = self.lexer.codes(text) if codes is None else codes
         self.errors: list[tuple[int, str]] = []
+        #: Where functions begin and end, in grammars that say so.
+        self.spans: dict[int, int] = {}
 
     @classmethod
     def k(cls, *words: str) -> str:

@@ -273,6 +273,10 @@ class Ruby(Grammar):
         return i
 
     def def_(self, i: int) -> int:
+        end = self.spans[i] = self.method(i)
+        return end
+
+    def method(self, i: int) -> int:
         s = self.s
         i += 1
         if s[i + 1] == "." and (s[i] == "i" or s[i] == K["self"]):

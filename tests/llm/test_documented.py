@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import ast
+
 from graphloom.llm import documented as d
 
 SCHEMA = "file_id long, file_path string, source_text string"
@@ -31,6 +33,25 @@ def test_parts_of_a_pair():
     assert (name, line, params) == ("load", 3, ["a", "b", "c"]) and doc.startswith("Loads the thing") and code.startswith("def load") and code.endswith("return a")
 
 
+def code_of(text, path):
+    return {name: code for name, _, _, _, code in d.pairs(text, path)}
+
+
+def test_where_functions_end():
+    ruby = code_of(f"class K\n  # {REAL}\n  def add(a, b) = a + b\n  # {REAL}\n  def val; @v; end\n  # {REAL}\n  def each\n    x.each do |y| # an end\n      y if y\n    end\n    \"end\"\n  end # done\n\n  # {REAL}\n  private def last\n    1\n  end\nend\n", "a.rb")
+    assert ruby == {"add": "def add(a, b) = a + b", "val": "def val; @v; end", "each": 'def each\n    x.each do |y| # an end\n      y if y\n    end\n    "end"\n  end', "last": "def last\n    1\n  end"}
+    python = f'class K:\n    def one(self):\n        """{REAL}"""\n        x = \'\'\'\nnot the end\n\'\'\'\n        def inner(): "{REAL}"\n        return x  # done\n\n    # about two\n    def two(self): "{REAL}"; return 1  # more\n\n\nx = 1\n'
+    tree = {n.name: ast.get_source_segment(python, n) for n in ast.walk(ast.parse(python)) if isinstance(n, ast.FunctionDef)}
+    assert code_of(python, "a.py") == tree
+    script = code_of(f"/** {REAL} */\nconst f = (x) => x + 1\nconst y = f(2)\n/** {REAL} */\nexport const g = x => {{ return x }}\nlet z = 1\n", "a.js")
+    assert script == {"f": "const f = (x) => x + 1", "g": "export const g = x => { return x }"}
+
+
+def test_patterns_as_parameters():
+    ((_, _, _, params, _),) = d.pairs(f"/** {REAL} */\nfunction f({{ a, b }}: Opts, [c, d] = [1, 2], ...rest: T[]) {{ }}\n", "a.ts")
+    assert params == ["{ a, b }", "[c, d]", "rest"]
+
+
 def test_trivial_documentation():
     for text in ("", "-", "Loads it.", "Load the order store", "The load order function store", "TODO: write the documentation for this one", "FIXME document me before the next release", "{@inheritDoc}", "Auto-generated method stub here now", "Autogenerated, do not edit. Autogenerated, do not edit.", "@param a the first of all values", "missing documentation, please add some", "TBD: describe what this does", ":param a: the first of all"):
         assert d.is_trivial(text, "loadOrderStore"), text

@@ -91,3 +91,14 @@ def test_pack_shard(lengths):
     containers, places = packing.pack_shard(lengths, 64)
     for c in set(containers):
         assert lengths[containers == c].sum() <= 64 and sorted(places[containers == c]) == list(range((containers == c).sum()))
+
+
+def test_soundness_sees_faults(frame):
+    sizes = frame([(1, 5000), (2, 300), (3, 0), (4, 2048)], "doc_id long, n_tokens long")
+    packed = packing.pack(sizes)
+    assert packing.soundness(packed, sizes).first().asDict() == {"texts": 4, "empty_texts": 1, "incomplete_texts": 0, "wrongly_split_texts": 0, "bad_containers": 0, "well_filled": True}
+    lost = packing.soundness(packed.where("doc_id <> 2"), sizes).first()
+    assert lost.incomplete_texts == 1 and lost.wrongly_split_texts == 1
+    moved = packing.soundness(packed.selectExpr("doc_id", "part", "start", "n_tokens", "container * 0 as container", "place", "position"), sizes).first()
+    assert moved.bad_containers == 1
+    assert packing.fill_report(packed).first().cost_spread >= 0

@@ -33,7 +33,7 @@ HONEST = [
 
 def share(text):
     p = spam.profile(text)
-    return (p["link"] + p["tag"] + p["product"] + p["keyword"] + p["repeated"]) / max(1, p["all"])
+    return (p["repeated"] + p["listed"]) / max(1, p["all"])
 
 
 def test_spam_and_honest_pages():
@@ -43,6 +43,23 @@ def test_spam_and_honest_pages():
         assert share(text) <= 0.5, text
 
 
+def test_the_measurements_decide():
+    for text in SPAM:
+        off = spam.profile(text, repetition=False, lists=False)
+        assert off["repeated"] + off["listed"] == 0, text
+    regular = spam.profile("\n".join(f"Best Loader Pro | SKU {100 + i} | red | plugin | 9{i % 10}.99" for i in range(8)), lists=False)
+    assert regular["repeated"] > 0.5 * regular["all"] and regular["regularity"] >= 1
+    links = spam.profile("\n".join(f"- https://{a}.example/{b}" for a, b in zip("alpha brick cedar delta ember frost grove haven".split(), "index jolly knack lemon mango north oasis piano".split())))
+    assert links["listed"] == links["all"] and links["distinctness"] == 1
+
+
+def test_signals():
+    codes = spam._coded("a b c d".split() * 10)
+    assert spam.regular_share(codes) == 1 and int(spam.autocorrelation(codes).argmax()) == 3
+    assert spam.regular_share(spam._coded(list("abcdefgh"))) == 0
+    assert spam.run_signals(["a"]) == (0, 0, 0)
+
+
 def test_operator(frame):
     rows = [(i, t) for i, t in enumerate(SPAM)] + [(100 + i, t) for i, t in enumerate(HONEST)] + [(200, None), (0, SPAM[0]), (300, PROSE * 5000), (301, SPAM[0].replace(",", "\r\n") * 300), (302, "#a #b #c #d")]
     got = sorted(r.doc_id for r in spam.spam_pages(frame(rows, DOCS)).collect())
