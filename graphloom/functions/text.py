@@ -94,6 +94,11 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def cut_short(doc: Column, length: int = 200) -> Column:
+    """The first characters, without a sign that something is missing."""
+    return F.substring(doc, 1, length)
+
+
 def clipped(doc: Column, length: int = 200) -> Column:
     """The first characters, with dots when something is missing."""
     return F.when(F.length(doc) > length, F.concat(F.substring(doc, 1, length), F.lit("..."))).otherwise(doc)

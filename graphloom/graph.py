@@ -8,13 +8,14 @@ file_path, hash_value.  Order of insertion is ``seq`` for entities and ``rel_id`
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.references import canonical
-from graphloom.session import table
+from graphloom.session import ensure_checkpoint_dir, table
 
 ENTITY_COLUMNS = ["graph", "seq", "id", "name", "type", "file_path", "line", "col", "docstring", "scope", "extra_data"]
 EDGE_COLUMNS = ["rel_id", "graph", "source_id", "target_id", "type"]
@@ -37,6 +38,25 @@ def clean_edges(rows: DataFrame) -> DataFrame:
     return rows.where("rel_id is not null").groupBy("rel_id").agg(F.min(edge).alias("e")).select("rel_id", "e.*")
 
 
+#: Where the current graphs of this process lie: (application, folder, state of the tables) -> path.
+_BUILT: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Lengths and times of the table files, by which a change of the tables shows."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in ("entities", "relationships", "source_files"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        out += [(name, f.getLen(), f.getModificationTime()) for f in path.getFileSystem(conf).listStatus(path)]
+    return tuple(out)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 @dataclass(frozen=True)
 class KnowledgeGraph:
     entities: DataFrame
@@ -52,6 +72,25 @@ class KnowledgeGraph:
             files.groupBy("graph", "file_path").agg(F.max_by("hash_value", F.struct("updated_at", "hash_value")).alias("hash_value")),
         )
 
+    @classmethod
+    def current(cls, spark: SparkSession, sf_dir: str) -> KnowledgeGraph:
+        """As ``from_tables``, worked out once for a state of the tables and read from the shared folder since.
+
+        The lives and deliveries of the raw rows are settled in one pass; after that, filters and
+        column choices reach the scan.  Rows lie sorted by key, so that statistics prune lookups.
+        """
+        key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+        path = _BUILT.get(key)
+        if path is None or not _exists(spark, f"{path}/file_hashes/_SUCCESS"):
+            ensure_checkpoint_dir(spark)
+            path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/graph-{uuid.uuid4().hex}"
+            g = cls.from_tables(spark, sf_dir)
+            g.entities.sortWithinPartitions("graph", "id").write.parquet(f"{path}/entities")
+            g.relationships.sortWithinPartitions("graph", "source_id").write.parquet(f"{path}/relationships")
+            g.file_hashes.write.parquet(f"{path}/file_hashes")
+            _BUILT[key] = path
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("entities", "relationships", "file_hashes")))
+
     def only(self, *graphs: str) -> KnowledgeGraph:
         """The part of the given graphs; with data partitioned by graph this prunes the scan."""
         keep = F.col("graph").isin(*graphs)

@@ -15,6 +15,45 @@ STOP_WORDS = ["a", "an", "the", "to", "for", "of", "in", "on", "with", "new", "c
 CONVENTIONS = ["snake_case", "camelCase", "PascalCase"]
 
 
+# Folders where nothing similar tells one.
+DIRECTORIES = {"class": "src/services/", "function": "src/utils/", "method": "src/", "module": "src/"}
+
+# What a new entity begins as.
+TEMPLATES = {
+    "class": '''class {name}:
+    """Description of the class."""
+
+    def __init__(self):
+        """Initialize the instance."""
+        pass
+
+    def execute(self):
+        """Main method."""
+        pass''',
+    "function": '''def {name}():
+    """Description of the function.
+
+    Returns:
+        Result description.
+    """
+    pass''',
+    "method": '''def {name}(self):
+    """Description of the method.
+
+    Returns:
+        Result description.
+    """
+    pass''',
+    "module": '''"""Module description."""
+
+# Module code here''',
+}
+
+
+def template(entity_type: str) -> str:
+    return TEMPLATES.get(entity_type, TEMPLATES["module"])
+
+
 def convention_of(name) -> F.Column:
     """snake_case, camelCase or PascalCase of a name; null for any other."""
     low, under = F.lower(name) == name, F.contains(name, F.lit("_"))
@@ -59,10 +98,10 @@ def suggested_imports(g: KnowledgeGraph, task: str, entity_type: str = "module")
     return used.select("graph", F.coalesce(inside, outside).alias("statement")).distinct()
 
 
-def suggest_names(tasks: DataFrame) -> DataFrame:
-    """(task, snake_case, camelCase, PascalCase): names from the first three words of a task that mean something."""
+def suggest_names(tasks: DataFrame, entity_type: str = "class") -> DataFrame:
+    """(task, snake_case, camelCase, PascalCase): names from the first three words of a task that mean something, else ``New`` and the type."""
     words = F.slice(F.filter(F.split(F.trim("task"), r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(*STOP_WORDS)), 1, 3)
-    t = tasks.withColumn("w", words).withColumn("w", F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.lit("New"), F.lit("Class"))))
+    t = tasks.withColumn("w", words).withColumn("w", F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.lit("New"), F.lit(entity_type.capitalize()))))
     capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
     return t.select(
         "task",

@@ -11,11 +11,32 @@ from graphloom.graph import ENTITY_TYPES, KnowledgeGraph
 BRIEF = ["graph", "seq", "id", "name", "type", "file_path", "line"]
 
 # Languages with their file extensions.
-LANGUAGES = [
-    ("Python", ".py .pyi"), ("TypeScript", ".ts .tsx"), ("JavaScript", ".js .jsx .mjs"), ("Rust", ".rs"), ("Go", ".go"), ("Ruby", ".rb"), ("Java", ".java"), ("C#", ".cs"),
-    ("C++", ".cpp .cc .cxx .hpp"), ("C", ".c .h"), ("Objective-C", ".m .mm"), ("PHP", ".php"), ("Swift", ".swift"), ("Kotlin", ".kt .kts"), ("Scala", ".scala"), ("Lua", ".lua"),
-    ("Haskell", ".hs"), ("Elixir", ".ex .exs"), ("Julia", ".jl"), ("SQL", ".sql"), ("Groovy", ".groovy .gradle"), ("Dart", ".dart"), ("Zig", ".zig"), ("YAML", ".yaml .yml"),
-]
+LANGUAGES = {
+    "Python": [".py"],
+    "TypeScript": [".ts", ".tsx"],
+    "JavaScript": [".js", ".jsx"],
+    "Rust": [".rs"],
+    "Go": [".go"],
+    "Ruby": [".rb"],
+    "Java": [".java"],
+    "C#": [".cs"],
+    "C++": [".cpp", ".hpp", ".cc", ".hh", ".cxx"],
+    "C": [".c", ".h"],
+    "Objective-C": [".m", ".mm"],
+    "PHP": [".php"],
+    "Swift": [".swift"],
+    "Kotlin": [".kt", ".kts"],
+    "Scala": [".scala"],
+    "Lua": [".lua"],
+    "Haskell": [".hs"],
+    "Elixir": [".ex", ".exs"],
+    "Julia": [".jl"],
+    "SQL": [".sql"],
+    "Groovy": [".groovy"],
+    "Dart": [".dart"],
+    "Zig": [".zig"],
+    "YAML": [".yaml", ".yml"],
+}
 
 
 def search_entities(g: KnowledgeGraph, query: str, entity_type: str | None = None, limit: int = 20) -> DataFrame:
@@ -64,7 +85,7 @@ def resolve_names(g: KnowledgeGraph, names: list[str]) -> DataFrame:
 
 def languages_of_files(g: KnowledgeGraph) -> DataFrame:
     """Entities per language of their file, by its extension."""
-    known = g.entities.sparkSession.createDataFrame([(e, n) for n, es in LANGUAGES for e in es.split()], "extension string, language string")
+    known = g.entities.sparkSession.createDataFrame([(e, n) for n, es in LANGUAGES.items() for e in es], "extension string, language string")
     return (
         g.entities.withColumn("extension", text.extension(F.col("file_path")))
         .join(F.broadcast(known), "extension", "left")
@@ -97,10 +118,18 @@ def usage_counts(g: KnowledgeGraph) -> DataFrame:
     return g.relationships.where("type = 'calls' and target_id is not null").groupBy("graph", F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("usage"))
 
 
+def degrees(g: KnowledgeGraph) -> DataFrame:
+    """(graph, id, afferent, efferent, calls, loops) of every end of an edge, parallel edges counted, in one pass."""
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    out = F.struct(F.col("source_id").alias("id"), F.lit(0).alias("into"), one(F.col("type") == "calls").alias("calls"), one(F.col("source_id") == F.col("target_id")).alias("loops"))
+    into = F.struct(F.col("target_id").alias("id"), F.lit(1).alias("into"), F.lit(0).alias("calls"), F.lit(0).alias("loops"))
+    ends = g.relationships.select("graph", F.explode(F.array(out, into)).alias("x")).select("graph", "x.*").where("id is not null")
+    return ends.groupBy("graph", "id").agg(F.sum("into").alias("afferent"), F.sum(1 - F.col("into")).alias("efferent"), F.sum("calls").alias("calls"), F.sum("loops").alias("loops"))
+
+
 def coupling(g: KnowledgeGraph) -> DataFrame:
     """(graph, id, afferent, efferent): edges into and out of each entity, parallel ones counted."""
-    ends = g.relationships.select("graph", F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.lit(0).alias("into")), F.struct(F.col("target_id").alias("id"), F.lit(1).alias("into")))).alias("x")).select("graph", "x.*")
-    counted = ends.where("id is not null").groupBy("graph", "id").agg(F.sum("into").alias("afferent"), F.sum(1 - F.col("into")).alias("efferent"))
+    counted = degrees(g).select("graph", "id", "afferent", "efferent")
     return g.entities.select("graph", "id", "name", "type").join(counted, ["graph", "id"], "left").na.fill(0, ["afferent", "efferent"])
 
 
@@ -127,6 +156,21 @@ def usage_examples(g: KnowledgeGraph, limit: int = 5) -> DataFrame:
     return calls.join(callers, ["graph", "source_id"]).select("graph", F.col("target_id").alias("id"), "place", "caller", "file_path", "line")
 
 
+def relation_label(g: KnowledgeGraph, pairs: DataFrame) -> DataFrame:
+    """(graph, a, b, label) for given pairs: as ``pair_labels``, seen from a, and ``related`` without any edge."""
+    flipped = F.when(F.startswith("label", F.lit("inverse_")), F.substring("label", 9, 1_000)).otherwise(F.concat(F.lit("inverse_"), "label"))
+    known = pair_labels(g)
+    both = known.unionByName(known.where("a <> b").select("graph", F.col("b").alias("a"), F.col("a").alias("b"), flipped.alias("label")))
+    return pairs.select("graph", "a", "b").join(both, ["graph", "a", "b"], "left").na.fill("related", ["label"])
+
+
+def relation_totals(g: KnowledgeGraph) -> DataFrame:
+    """(kind, type, n) over all graphs, with a total per kind where type is null."""
+    kinds = g.entities.select(F.lit("entity").alias("kind"), "type").unionByName(g.relationships.select(F.lit("relationship").alias("kind"), "type"))
+    counted = kinds.na.fill("", ["type"]).groupBy("kind", "type").agg(F.count(F.lit(1)).alias("n"))
+    return counted.unionByName(counted.groupBy("kind").agg(F.sum("n").alias("n")).select("kind", F.lit(None).cast("string").alias("type"), "n"))
+
+
 def pair_labels(g: KnowledgeGraph) -> DataFrame:
     """(graph, a, b, label) for each unordered pair: the type of its first edge, inverse_ where it runs from b to a."""
     e = g.relationships.where("source_id is not null and target_id is not null and type is not null")
@@ -149,11 +193,11 @@ def signatures(g: KnowledgeGraph) -> DataFrame:
 def snippets(g: KnowledgeGraph, files: DataFrame, context: int = 5) -> DataFrame:
     """The source lines around each entity whose file is among the source files.
 
-    Files are cut into lines once and joined on (graph, file_path), then on the range of lines.
+    Each file is cut into lines once; every entity asks for its lines by number.  The line of the
+    entity may lie beyond the file's end as long as some line of its context does not.
     """
-    latest = files.where("source_text is not null").groupBy("graph", "file_path").agg(F.max_by("source_text", F.struct("updated_at", "file_id")).alias("source_text"))
-    spans = g.entities.select("graph", "file_path", "id", "line").join(latest, ["graph", "file_path"])
-    lines = F.split("source_text", "\n")
-    low = F.greatest(F.col("line") - context, F.lit(1))
-    part = F.slice(lines, low, F.greatest(F.col("line") + context - low + 1, F.lit(0)))
-    return spans.where("line >= 1").select("graph", "id", "file_path", "line", F.array_join(part, "\n").alias("snippet"))
+    latest = files.where("source_text is not null and graph is not null and file_path is not null").groupBy("graph", "file_path").agg(F.max_by("source_text", F.struct("updated_at", "file_id")).alias("source_text"))
+    lines = latest.select("graph", "file_path", F.posexplode(F.split("source_text", "\n")).alias("at", "content")).withColumn("at", F.col("at") + 1)
+    wanted = g.entities.where("line >= 1").select("graph", "file_path", "id", "line", F.explode(F.sequence(F.greatest(F.col("line") - context, F.lit(1)), F.col("line") + context)).alias("at"))
+    rows = wanted.join(lines, ["graph", "file_path", "at"]).groupBy("graph", "file_path", "id", "line").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("rows"))
+    return rows.select("graph", "id", "file_path", "line", F.array_join(F.transform("rows", lambda r: r["content"]), "\n").alias("snippet"))

@@ -17,6 +17,45 @@ def add_entities(g: KnowledgeGraph, rows: DataFrame) -> tuple[KnowledgeGraph, Da
     return KnowledgeGraph(g.entities.unionByName(fresh, allowMissingColumns=True), g.relationships, g.file_hashes), rows.join(known, _KEY, "left_semi")
 
 
+def add_edges(g: KnowledgeGraph, rows: DataFrame) -> tuple[KnowledgeGraph, DataFrame]:
+    """The graph with new edges, and those rows whose rel_id was there already; parallel edges are kept."""
+    known = g.relationships.select("rel_id")
+    fresh = rows.join(known, "rel_id", "left_anti").select(*EDGE_COLUMNS)
+    return KnowledgeGraph(g.entities, g.relationships.unionByName(fresh, allowMissingColumns=True), g.file_hashes), rows.join(known, "rel_id", "left_semi")
+
+
+def update_entities(g: KnowledgeGraph, rows: DataFrame) -> tuple[KnowledgeGraph, DataFrame]:
+    """The graph with rows in place of entities of the same key, and those rows whose key is not there."""
+    known = g.entities.select(*_KEY)
+    return upsert_entities(g, rows.join(known, _KEY, "left_semi")), rows.join(known, _KEY, "left_anti")
+
+
+def set_hashes(g: KnowledgeGraph, hashes: DataFrame) -> KnowledgeGraph:
+    """The graph with the given file hashes (graph, file_path, hash_value) in place of those of the same files."""
+    kept = g.file_hashes.join(hashes.select("graph", "file_path"), ["graph", "file_path"], "left_anti") if g.file_hashes is not None else None
+    fresh = hashes.select("graph", "file_path", "hash_value")
+    return KnowledgeGraph(g.entities, g.relationships, kept.unionByName(fresh) if kept is not None else fresh)
+
+
+def clear(g: KnowledgeGraph) -> KnowledgeGraph:
+    """A graph of the same columns without rows."""
+    return KnowledgeGraph(g.entities.limit(0), g.relationships.limit(0), g.file_hashes.limit(0) if g.file_hashes is not None else None)
+
+
+def refresh(g: KnowledgeGraph, parsed: KnowledgeGraph, changes: DataFrame) -> KnowledgeGraph:
+    """The graph after files changed: those of ``changes`` (from ``classify_files``) that are gone or changed leave, the parsed ones come in.
+
+    Edges from other files into an entity that keeps its id stay.
+    """
+    gone = changes.where("status in ('changed', 'deleted')").select("graph", "file_path")
+    old = g.entities.join(gone, ["graph", "file_path"], "left_semi").select(*_KEY)
+    lost = old.join(parsed.entities.select(*_KEY), _KEY, "left_anti")
+    e = g.relationships.join(old.withColumnRenamed("id", "source_id"), ["graph", "source_id"], "left_anti").join(lost.withColumnRenamed("id", "target_id"), ["graph", "target_id"], "left_anti").select(*EDGE_COLUMNS)
+    nodes = g.entities.join(gone, ["graph", "file_path"], "left_anti").unionByName(parsed.entities, allowMissingColumns=True)
+    hashes = g.file_hashes.join(gone, ["graph", "file_path"], "left_anti").unionByName(parsed.file_hashes) if g.file_hashes is not None else parsed.file_hashes
+    return KnowledgeGraph(nodes, e.unionByName(parsed.relationships.select(*EDGE_COLUMNS)), hashes)
+
+
 def upsert_entities(g: KnowledgeGraph, rows: DataFrame) -> KnowledgeGraph:
     """Rows replace entities of the same key and are added otherwise; the last write wins."""
     kept = g.entities.join(rows.select(*_KEY), _KEY, "left_anti")

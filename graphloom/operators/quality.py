@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.graph import KnowledgeGraph
-from graphloom.operators.lookup import coupling
+from graphloom.operators.lookup import degrees
+from graphloom.session import cut
 
 # Words whose occurrences in the documentation raise the complexity.
 BRANCH_WORDS = ["if", "else", "elif", "for", "while", "try", "except", "case", "switch"]
@@ -36,6 +39,39 @@ PATTERNS = [
     ("Template Method", "behavioral", ["_do_", "hook_", "Template", "abstract"]),
 ]
 
+# What a design pattern is for.
+PATTERN_DESCRIPTIONS = {
+    "Singleton": "Ensures a class has only one instance",
+    "Factory Method": "Defines interface for creating objects",
+    "Builder": "Separates construction of complex objects",
+    "Adapter": "Converts interface of a class to another",
+    "Decorator": "Attaches additional responsibilities dynamically",
+    "Facade": "Provides unified interface to subsystems",
+    "Observer": "Defines one-to-many dependency between objects",
+    "Strategy": "Defines family of interchangeable algorithms",
+    "Command": "Encapsulates request as an object",
+    "Template Method": "Defines skeleton algorithm with customizable steps",
+}
+
+# What to consider where a design pattern is found.
+PATTERN_SUGGESTIONS = {
+    "Singleton": "Consider using dependency injection instead of Singleton for testability",
+    "Factory Method": "Ensure factory method is properly abstracted for extensibility",
+    "Observer": "Consider weak references to prevent memory leaks",
+    "Strategy": "Ensure strategies are interchangeable at runtime",
+}
+
+# Metrics by their titles.
+METRIC_TITLES = {
+    "average_complexity": "Average Cyclomatic Complexity",
+    "cyclomatic_complexity": "Cyclomatic Complexity",
+    "afferent_coupling": "Afferent Coupling",
+    "efferent_coupling": "Efferent Coupling",
+    "lcom": "LCOM (Cohesion)",
+    "method_lines": "Method Lines",
+    "parameter_count": "Parameter Count",
+}
+
 # Framework, version from which it holds, API, kind of issue, hint.
 KNOWN_ISSUES = [
     ("django", "4.0", "url", "removed", "Use path() instead of url()"),
@@ -48,35 +84,95 @@ KNOWN_ISSUES = [
 ]
 
 
+def _branches(doc: Column) -> Column:
+    low = F.lower(F.coalesce(doc, F.lit("")))
+    return sum((F.regexp_count(low, F.lit(w)) for w in BRANCH_WORDS), F.lit(0))
+
+
+def _complexity(calls: Column, doc: Column) -> Column:
+    return F.least(F.lit(50), 1 + F.floor(F.coalesce(calls, F.lit(0)) / 3) + _branches(doc)).cast("long")
+
+
 def complexities(g: KnowledgeGraph) -> DataFrame:
     """(graph, id, type, complexity): 1, a third of the calls made, branch words in the documentation; 50 at most."""
-    calls = g.relationships.where("type = 'calls'").groupBy("graph", F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("calls"))
-    doc = F.lower(F.coalesce("docstring", F.lit("")))
-    branches = sum((F.regexp_count(doc, F.lit(w)) for w in BRANCH_WORDS), F.lit(0))
-    e = g.entities.join(calls, ["graph", "id"], "left")
-    return e.select("graph", "id", "type", F.least(F.lit(50), 1 + F.floor(F.coalesce("calls", F.lit(0)) / 3) + branches).cast("long").alias("complexity"))
+    e = g.entities.join(degrees(g).select("graph", "id", "calls"), ["graph", "id"], "left")
+    return e.select("graph", "id", "type", _complexity(F.col("calls"), F.col("docstring")).alias("complexity"))
 
 
-def cohesion(g: KnowledgeGraph) -> DataFrame:
-    """(graph, id, children, sharing, lcom) of every container: the share of child pairs without a common target.
+#: Pairs of classes at shared targets that a container may have before they are counted in blocks, and classes per block.
+PAIR_ROWS, BLOCK = 1_000_000, 512
+
+
+def _count_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The weight of all pairs between two blocks of classes, or within one, that share a target."""
+    graph, container, low, high = key
+    slots, weight = {}, {}
+    for side in {low, high}:
+        part = rows[rows["block"] == side].drop_duplicates("slot")
+        slots[side] = {s: i for i, s in enumerate(part["slot"])}
+        weight[side] = part["m"].to_numpy(np.int64)
+    meet = np.zeros((len(slots[low]), len(slots[high])), bool)
+    for _, at in rows.groupby("target"):
+        sides = {side: [slots[side][s] for s in at.loc[at["block"] == side, "slot"]] for side in (low, high)}
+        meet[np.ix_(sides[low], sides[high])] = True
+    if low == high:
+        meet = np.triu(meet, 1)
+    return pd.DataFrame({"graph": [graph], "id": [container], "pairs": [int(weight[low] @ meet @ weight[high])]})
+
 
-    Children of a container with the same set of targets form a class; only class
-    representatives are paired, by a join on the target within the container, and a pair counts
-    for as many as its classes hold.  Containers of one child have lcom 0.
+def _sharing_pairs(uses: DataFrame, pair_rows: int) -> DataFrame:
+    """(graph, id, pairs): pairs of children in different classes with a common target, by container.
+
+    uses: (graph, id, slot, m, target), the targets of each class.  Classes meet by a join on the
+    target; in containers where that would give more than ``pair_rows`` rows they are cut into
+    blocks, and each pair of blocks gives one number.
     """
-    children = g.relationships.where("type = 'contains' and source_id is not null and target_id is not null").select("graph", F.col("source_id").alias("id"), F.col("target_id").alias("child"), F.col("rel_id").alias("slot"))
-    targets = g.relationships.where("source_id is not null and target_id is not null").select("graph", F.col("source_id").alias("child"), F.col("target_id").alias("target")).distinct()
+    fan = uses.groupBy("graph", "id", "target").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    uses = cut(uses.join(fan.drop("n"), ["graph", "id", "target"], "left_semi"))
+    large = cut(uses.groupBy("graph", "id", "target").agg(F.count(F.lit(1)).alias("n")).groupBy("graph", "id").agg(F.sum(F.col("n") * F.col("n")).alias("rows")).where(F.col("rows") > pair_rows).select("graph", "id"))
+    has_large = not large.isEmpty()
+    small = uses.join(large, ["graph", "id"], "left_anti") if has_large else uses
+    other = small.select("graph", "id", "target", F.col("slot").alias("slot2"), F.col("m").alias("m2"))
+    out = small.join(other, ["graph", "id", "target"]).where("slot < slot2").groupBy("graph", "id", "slot", "slot2").agg(F.first(F.col("m") * F.col("m2")).alias("pairs")).select("graph", "id", "pairs")
+    if has_large:
+        blocks = uses.groupBy("graph", "id").agg(F.ceil(F.count_distinct("slot") / BLOCK).cast("int").alias("blocks"))
+        rows = uses.join(blocks.join(large, ["graph", "id"], "left_semi"), ["graph", "id"]).withColumn("block", F.pmod(F.xxhash64("slot"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
+        counted = rows.groupBy("graph", "id", "low", "high").applyInPandas(_count_pairs, "graph string, id string, pairs long")
+        out = out.unionByName(counted)
+    return out.groupBy("graph", "id").agg(F.sum("pairs").alias("pairs"))
+
+
+def _containers(g: KnowledgeGraph, complexity: DataFrame | None, pair_rows: int) -> DataFrame:
+    """As ``cohesion``, with mean, the mean complexity of the methods among the children, if their complexity is given."""
+    edges = g.relationships.where("source_id is not null and target_id is not null")
+    children = edges.where("type = 'contains'").select("graph", F.col("source_id").alias("id"), F.col("target_id").alias("child"), F.col("rel_id").alias("slot"))
+    targets = edges.select("graph", F.col("source_id").alias("child"), F.col("target_id").alias("target")).distinct()
     # A set of targets by its size and two sums over hashes of its members.
     sets = targets.groupBy("graph", "child").agg(F.struct(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("target")).alias("x"), F.sum(F.hash("target").cast("long")).alias("h")).alias("set"))
-    classes = children.join(sets, ["graph", "child"]).groupBy("graph", "id", "set").agg(F.count(F.lit(1)).alias("m"), F.min("slot").alias("slot"), F.min_by("child", "slot").alias("child"))
-    within = classes.select("graph", "id", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("pairs"))
-    uses = classes.join(targets, ["graph", "child"]).select("graph", "id", "slot", "m", "target")
-    other = uses.select("graph", "id", "target", F.col("slot").alias("slot2"), F.col("m").alias("m2"))
-    across = uses.join(other, ["graph", "id", "target"]).where("slot < slot2").groupBy("graph", "id", "slot", "slot2").agg(F.first(F.col("m") * F.col("m2")).alias("pairs"))
-    sharing = within.unionByName(across.select("graph", "id", "pairs")).groupBy("graph", "id").agg(F.sum("pairs").alias("sharing"))
-    counted = children.groupBy("graph", "id").agg(F.count(F.lit(1)).alias("children")).join(sharing, ["graph", "id"], "left").na.fill(0, ["sharing"])
+    own = complexity.where("type = 'method'").select("graph", F.col("id").alias("child"), "complexity") if complexity is not None else None
+    children = children.join(sets, ["graph", "child"], "left")
+    children = children.join(own, ["graph", "child"], "left") if own is not None else children.withColumn("complexity", F.lit(None).cast("long"))
+    classes = cut(
+        children.groupBy("graph", "id", "set").agg(
+            F.count(F.lit(1)).alias("m"), F.min("slot").alias("slot"), F.min_by("child", "slot").alias("child"), F.sum("complexity").alias("complexity"), F.count("complexity").alias("methods")
+        )
+    )
+    uses = classes.where("set is not null").select("graph", "id", "child", "slot", "m").join(targets, ["graph", "child"]).select("graph", "id", "slot", "m", "target")
+    alike = F.sum(F.when(F.col("set").isNotNull(), F.col("m") * (F.col("m") - 1) / 2).otherwise(0)).cast("long")
+    counted = classes.groupBy("graph", "id").agg(F.sum("m").alias("children"), alike.alias("alike"), (F.sum("complexity") / F.sum("methods")).alias("mean")).join(_sharing_pairs(uses, pair_rows), ["graph", "id"], "left")
+    counted = counted.withColumn("sharing", F.col("alike") + F.coalesce("pairs", F.lit(0)))
     pairs = (F.col("children") * (F.col("children") - 1) / 2).cast("double")
-    return counted.select("graph", "id", "children", "sharing", F.when(F.col("children") <= 1, 0.0).otherwise(1.0 - F.col("sharing") / pairs).alias("lcom"))
+    return counted.select("graph", "id", "children", "sharing", F.when(F.col("children") <= 1, 0.0).otherwise(1.0 - F.col("sharing") / pairs).alias("lcom"), "mean")
+
+
+def cohesion(g: KnowledgeGraph, pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """(graph, id, children, sharing, lcom) of every container: the share of child pairs without a common target.
+
+    Children of a container with the same set of targets form a class; a pair of classes counts
+    for as many pairs as they hold.  Containers of one child have lcom 0.
+    """
+    return _containers(g, None, pair_rows).drop("mean")
 
 
 def _status(metric: Column, value: Column) -> Column:
@@ -94,21 +190,41 @@ def parameter_count(doc: Column) -> Column:
 
 
 def quality_metrics(g: KnowledgeGraph) -> DataFrame:
-    """(graph, id, metric, value, status): complexity and cohesion of classes and modules, complexity, lines and parameters of functions and methods, coupling of all."""
-    complexity = complexities(g)
-    methods = g.relationships.where("type = 'contains'").select("graph", F.col("source_id").alias("id"), F.col("target_id").alias("child"))
-    inner = methods.join(complexity.where("type = 'method'").select("graph", F.col("id").alias("child"), "complexity"), ["graph", "child"])
-    mean = inner.groupBy("graph", "id").agg(F.avg(F.col("complexity").cast("double")).alias("mean"))
-    containers = g.entities.where("type in ('class', 'module')").select("graph", "id").join(mean, ["graph", "id"], "left").join(cohesion(g).select("graph", "id", "lcom"), ["graph", "id"], "left").na.fill(0.0, ["mean", "lcom"])
-    pair = lambda name, value: F.struct(F.lit(name).alias("metric"), F.col(value).cast("double").alias("value")) if isinstance(value, str) else F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
-    of_containers = containers.select("graph", "id", F.explode(F.array(pair("cyclomatic_complexity", "mean"), pair("lcom", "lcom"))).alias("m"))
-    callables = g.entities.where("type in ('function', 'method')").join(complexity.select("graph", "id", "complexity"), ["graph", "id"])
-    of_callables = callables.select(
-        "graph", "id", F.explode(F.array(pair("cyclomatic_complexity", "complexity"), pair("method_lines", F.when(F.col("type") == "method", 15).otherwise(20)), pair("parameter_count", F.coalesce(parameter_count(F.col("docstring")), F.lit(2))))).alias("m")
+    """(graph, id, metric, value, status): complexity and cohesion of classes and modules, complexity, lines and parameters of functions and methods, coupling of all.
+
+    The edges are counted once; what is known of an entity comes together in one row and is
+    taken apart into metrics at the end.
+    """
+    counted = degrees(g)
+    base = g.entities.join(counted, ["graph", "id"], "left").na.fill(0, ["afferent", "efferent"])
+    base = cut(base.select("graph", "id", "type", _complexity(F.col("calls"), F.col("docstring")).alias("complexity"), F.coalesce(parameter_count(F.col("docstring")), F.lit(2)).alias("parameters"), "afferent", "efferent"))
+    rows = base.join(_containers(g, base, PAIR_ROWS), ["graph", "id"], "left")
+    metric = lambda name, value: F.struct(F.lit(name).alias("metric"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"))
+    container, callable_ = F.col("type").isin("class", "module"), F.col("type").isin("function", "method")
+    metrics = F.array_compact(
+        F.array(
+            F.when(container, metric("cyclomatic_complexity", F.col("mean"))),
+            F.when(container, metric("lcom", F.col("lcom"))),
+            F.when(callable_, metric("cyclomatic_complexity", F.col("complexity"))),
+            F.when(callable_, metric("method_lines", F.when(F.col("type") == "method", 15).otherwise(20))),
+            F.when(callable_, metric("parameter_count", F.col("parameters"))),
+            metric("afferent_coupling", F.col("afferent")),
+            metric("efferent_coupling", F.col("efferent")),
+        )
     )
-    of_all = coupling(g).select("graph", "id", F.explode(F.array(pair("afferent_coupling", "afferent"), pair("efferent_coupling", "efferent"))).alias("m"))
-    rows = of_containers.unionByName(of_callables).unionByName(of_all).select("graph", "id", "m.metric", "m.value")
-    return rows.select("graph", "id", "metric", "value", _status(F.col("metric"), F.col("value")).alias("status"))
+    found = rows.select("graph", "id", "type", F.explode(metrics).alias("m")).select("graph", "id", "type", "m.metric", "m.value")
+    return found.select("graph", "id", "metric", "value", _status(F.col("metric"), F.col("value")).alias("status"))
+
+
+def recommendations(metrics: DataFrame, entities: DataFrame) -> DataFrame:
+    """(graph, id, metric, recommendation) for the metrics in warning or danger, from ``quality_metrics``."""
+    key = F.when((F.col("metric") == "cyclomatic_complexity") & F.col("type").isin("class", "module"), "average_complexity").otherwise(F.col("metric"))
+    title = F.create_map(*[F.lit(x) for pair in METRIC_TITLES.items() for x in pair])[key]
+    rows = metrics.where("status <> 'good'").join(entities.select("graph", "id", "type"), ["graph", "id"])
+    number = F.bround("value", 2).cast("string")
+    critical = F.concat(F.lit("CRITICAL: "), title, F.lit(" ("), number, F.lit(") exceeds danger threshold. Consider refactoring to reduce "), F.lower(title), F.lit("."))
+    warning = F.concat(F.lit("WARNING: "), title, F.lit(" ("), number, F.lit(") is above optimal. Consider reviewing and optimizing."))
+    return rows.select("graph", "id", "metric", F.when(F.col("status") == "danger", critical).otherwise(warning).alias("recommendation"))
 
 
 def quality_scores(g: KnowledgeGraph) -> DataFrame:
@@ -120,8 +236,7 @@ def quality_scores(g: KnowledgeGraph) -> DataFrame:
 
 def detect_patterns(g: KnowledgeGraph, min_confidence: float = 0.4) -> DataFrame:
     """(graph, id, name, pattern, category, confidence): names count 2 per indicator, documentation 1, and the shape of the edges a little."""
-    loops = g.relationships.where("source_id = target_id").groupBy("graph", F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("loops"))
-    e = g.entities.where("type in ('class', 'function', 'method')").join(coupling(g).select("graph", "id", "afferent", "efferent"), ["graph", "id"]).join(loops, ["graph", "id"], "left")
+    e = g.entities.where("type in ('class', 'function', 'method')").join(degrees(g).select("graph", "id", "afferent", "efferent", "loops"), ["graph", "id"], "left")
     name, doc = F.lower("name"), F.lower(F.coalesce("docstring", F.lit("")))
     rows = []
     for pattern, category, indicators in PATTERNS:
@@ -132,6 +247,12 @@ def detect_patterns(g: KnowledgeGraph, min_confidence: float = 0.4) -> DataFrame
     return scored.withColumn("confidence", F.bround(F.least(F.col("score") / 5, F.lit(1.0)), 2)).where(F.col("confidence") >= min_confidence).drop("score")
 
 
+def pattern_report(g: KnowledgeGraph, min_confidence: float = 0.4) -> DataFrame:
+    """As ``detect_patterns``, with what the pattern is for and what to consider (null for most)."""
+    lit = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("pattern")]
+    return detect_patterns(g, min_confidence).withColumn("description", lit(PATTERN_DESCRIPTIONS)).withColumn("suggestion", lit(PATTERN_SUGGESTIONS))
+
+
 def pattern_coverage(g: KnowledgeGraph) -> DataFrame:
     """Per graph the share of distinct matched names in its entities."""
     matched = detect_patterns(g).groupBy("graph").agg(F.count_distinct("name").alias("matched"))
@@ -139,18 +260,18 @@ def pattern_coverage(g: KnowledgeGraph) -> DataFrame:
 
 
 def compatibility(g: KnowledgeGraph, framework: str, target_version: str, known_issues: list[tuple] = KNOWN_ISSUES) -> DataFrame:
-    """(graph, id, api, issue, place): uses of an API with a known issue in a name, in documentation or in an import.
+    """(graph, id, api, issue, hint, place): uses of an API with a known issue in a name, in documentation or in an import.
 
     The list of known issues is a parameter; it is a literal table and therefore broadcast.
     """
     spark = g.entities.sparkSession
     known = spark.createDataFrame([x for x in known_issues if x[0] == framework], "framework string, version string, api string, issue string, hint string")
-    known = F.broadcast(known.where(text.version_order(F.lit(target_version), F.col("version")) >= 0).select(F.lower("api").alias("low"), "api", "issue"))
-    named = g.entities.join(known, F.contains(F.lower("name"), F.col("low"))).select("graph", "id", "api", "issue", F.lit("name").alias("place"))
-    told = g.entities.join(known, F.contains(F.lower("docstring"), F.col("low"))).select("graph", "id", "api", "issue", F.lit("documentation").alias("place"))
-    targets = g.entities.join(known, F.contains(F.lower("name"), F.col("low"))).select("graph", F.col("id").alias("target_id"), "api", "issue")
+    known = F.broadcast(known.where(text.version_order(F.lit(target_version), F.col("version")) >= 0).select(F.lower("api").alias("low"), "api", "issue", "hint"))
+    named = g.entities.join(known, F.contains(F.lower("name"), F.col("low"))).select("graph", "id", "api", "issue", "hint", F.lit("name").alias("place"))
+    told = g.entities.join(known, F.contains(F.lower("docstring"), F.col("low"))).select("graph", "id", "api", "issue", "hint", F.lit("documentation").alias("place"))
+    targets = g.entities.join(known, F.contains(F.lower("name"), F.col("low"))).select("graph", F.col("id").alias("target_id"), "api", "issue", "hint")
     sources = g.entities.select("graph", F.col("id").alias("source_id"))
-    imported = g.relationships.where("type = 'imports'").join(targets, ["graph", "target_id"]).join(sources, ["graph", "source_id"]).select("graph", F.col("source_id").alias("id"), "api", "issue", F.lit("import").alias("place"))
+    imported = g.relationships.where("type = 'imports'").join(targets, ["graph", "target_id"]).join(sources, ["graph", "source_id"]).select("graph", F.col("source_id").alias("id"), "api", "issue", "hint", F.lit("import").alias("place"))
     return named.unionByName(told).unionByName(imported)
 
 

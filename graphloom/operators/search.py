@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.graph import KnowledgeGraph
 from graphloom.operators.lookup import BRIEF, usage_counts
+from graphloom.session import cut
 
 # What tells a framework by the names in a project.
-FRAMEWORK_SIGNS = [
-    ("react", "useState"), ("react", "useEffect"), ("react", "Component"), ("django", "models.Model"), ("django", "HttpResponse"), ("django", "urlpatterns"),
-    ("fastapi", "FastAPI"), ("fastapi", "APIRouter"), ("flask", "Flask"), ("flask", "Blueprint"), ("express", "Router"), ("express", "middleware"), ("vue", "createApp"), ("vue", "defineComponent"),
-]
+FRAMEWORK_SIGNS = {
+    "fastapi": ["fastapi", "APIRouter", "FastAPI"],
+    "django": ["django", "models.Model", "View"],
+    "flask": ["flask", "Blueprint", "Flask"],
+    "react": ["React", "useState", "useEffect"],
+    "express": ["express", "Router", "middleware"],
+    "spring": ["@Controller", "@Service", "@Repository"],
+}
 
 
 def _scored(entities: DataFrame, score: Column) -> DataFrame:
@@ -54,14 +59,19 @@ def similar_patterns(g: KnowledgeGraph, name: str) -> DataFrame:
     return g.entities.where(text.has(F.col("name"), name)).groupBy("graph", "type").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", "seq").alias("first_name"))
 
 
-def recommend(g: KnowledgeGraph, query: str, local: str, limit: int = 10, min_relevance: float = 0.3) -> DataFrame:
-    """Entities by weighted relevance; usage counts only for the local graph; at most 50."""
+def recommended(g: KnowledgeGraph, query: str, local: str, min_relevance: float = 0.3) -> DataFrame:
+    """All entities of enough weighted relevance; usage counts only for the local graph."""
     usage = usage_counts(g.only(local))
     scored = g.entities.join(usage, ["graph", "id"], "left")
     own = F.when(F.col("graph") == local, F.coalesce("usage", F.lit(0))).otherwise(0)
     found = _scored(scored, text.weighted_relevance(query, F.col("name"), F.col("docstring"), F.col("file_path"), own)).where(F.col("score") >= min_relevance)
     source = F.when(F.col("graph") == local, "local").otherwise("framework").alias("source")
-    return found.select(*BRIEF, source, F.bround("score", 6).alias("score")).orderBy(F.desc("score"), "graph", "seq").limit(min(limit, 50))
+    return found.select(*BRIEF, source, F.bround("score", 6).alias("score"))
+
+
+def recommend(g: KnowledgeGraph, query: str, local: str, limit: int = 10, min_relevance: float = 0.3) -> DataFrame:
+    """The best of ``recommended``, 50 at most."""
+    return recommended(g, query, local, min_relevance).orderBy(F.desc("score"), "graph", "seq").limit(min(limit, 50))
 
 
 def hybrid_ranked(g: KnowledgeGraph, query: str, local: str, local_weight: float = 0.5) -> DataFrame:
@@ -74,20 +84,36 @@ def hybrid_ranked(g: KnowledgeGraph, query: str, local: str, local_weight: float
     )
 
 
-def hybrid_search(g: KnowledgeGraph, query: str, local: str, local_weight: float = 0.5, limit: int = 20, pool: int = 500) -> DataFrame:
+def hybrid_search(g: KnowledgeGraph, query: str, local: str, local_weight: float = 0.5, limit: int = 20) -> DataFrame:
     """Hits merged and thinned: going down the ranking, a name that contains a kept one, or lies in it, is dropped.
 
-    The greedy pass looks at the first ``pool`` hits, a parameter of this top-k report.
+    Equal names thin each other, so the best hit of each name stands for it; then each round
+    keeps the first of what is left, which needs as many rounds as places.  Only the kept names,
+    ``limit`` at most, come to the driver.
     """
-    top = hybrid_ranked(g, query, local, local_weight).orderBy(F.desc("score"), "graph", "seq").limit(pool)
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "graph", "seq", "id", F.lower("name").alias("low"), "name", "type", "source", "score"))).alias("rows"))
-    near = lambda kept, x: F.exists(kept, lambda k: F.contains(k["low"], x["low"]) | F.contains(x["low"], k["low"]))
-    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda acc, x: F.when(near(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    return ranked.select(F.posexplode(F.slice(kept, 1, limit)).alias("place", "r")).select("place", "r.graph", "r.seq", "r.id", "r.name", "r.type", "r.source", "r.score")
+    order = [F.desc("score"), "graph", "seq"]
+    low = F.lower("name")
+    best = hybrid_ranked(g, query, local, local_weight).withColumn("low", low).withColumn("n", F.row_number().over(Window.partitionBy("low").orderBy(*order))).where("n = 1").drop("n")
+    left = best = cut(best)
+    kept: list[str] = []
+    while len(kept) < limit:
+        first = left.orderBy(*order).limit(1).collect()
+        if not first:
+            break
+        name = first[0].low
+        kept.append(name)
+        left = left.where(~(F.contains("low", F.lit(name)) | F.contains(F.lit(name), F.col("low"))))
+    places = F.array_position(F.array(*map(F.lit, kept)) if kept else F.array().cast("array<string>"), F.col("low"))
+    return best.where(places > 0).select((places - 1).cast("int").alias("place"), *BRIEF[:2], "id", "name", "type", "source", "score")
+
+
+def source_breakdown(hits: DataFrame) -> DataFrame:
+    """(source, n): how many hits are the project's own and the frameworks', before any limit."""
+    return hits.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 def detect_frameworks(g: KnowledgeGraph) -> DataFrame:
     """Graphs whose entity names show signs of a framework, with the number of signs."""
-    signs = g.entities.sparkSession.createDataFrame(FRAMEWORK_SIGNS, "framework string, sign string")
+    signs = g.entities.sparkSession.createDataFrame([(f, x) for f, xs in FRAMEWORK_SIGNS.items() for x in xs], "framework string, sign string")
     hits = g.entities.select("graph", F.lower("name").alias("low")).distinct().join(F.broadcast(signs), F.contains(F.col("low"), F.lower("sign")))
     return hits.groupBy("graph", "framework").agg(F.count_distinct("sign").alias("signs"), F.count(F.lit(1)).alias("names"))

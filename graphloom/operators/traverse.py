@@ -7,6 +7,9 @@ Frontiers are rows (root, node), so the memory of a task does not depend on a hu
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,25 +46,39 @@ def shortest_paths(g: KnowledgeGraph, pairs: DataFrame, max_depth: int = 10) ->
 
     Among paths of equal length the lexicographically smallest counts.  A node's path to itself
     is the node alone if it is in the graph; unreachable pairs give no row.
+
+    Levels go out from the targets and end, for each target, when its last source is met; they
+    hold distances only.  The paths come from walking back from the sources, always to the
+    smallest neighbour that is one step nearer.
     """
     edges = cut(g.undirected())
     known = edges.select("graph", F.col("src").alias("source")).distinct()
-    wanted = cut(pairs.distinct().join(known, ["graph", "source"], "left_semi"))
-    frontier = cut(wanted.select("graph", "source").distinct().select("graph", F.col("source").alias("root"), F.col("source").alias("id"), F.array("source").alias("path")))
-    seen = frontier
-    for _ in range(max_depth):
-        step = (
-            frontier.select("graph", "root", F.col("id").alias("src"), "path")
-            .join(edges, ["graph", "src"])
-            .groupBy("graph", "root", F.col("dst").alias("id"))
-            .agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        )
-        frontier = cut(step.join(seen, ["graph", "root", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
+    wanted = cut(pairs.select("graph", "source", "target").distinct().join(known, ["graph", "source"], "left_semi"))
+    seen = frontier = cut(wanted.where("source <> target").select("graph", F.col("target").alias("root"), F.col("target").alias("id"), F.lit(0).alias("depth")).distinct())
+    reached = seen.select("graph", F.col("root").alias("target"), F.col("id").alias("source"))
+    level = 0
+    while level < max_depth and not frontier.isEmpty():
+        level += 1
+        waiting = wanted.where("source <> target").join(reached, ["graph", "source", "target"], "left_anti").select("graph", F.col("target").alias("root")).distinct()
+        step = frontier.join(waiting, ["graph", "root"], "left_semi").select("graph", "root", F.col("id").alias("src")).join(edges, ["graph", "src"]).select("graph", "root", F.col("dst").alias("id")).distinct()
+        frontier = cut(step.join(seen, ["graph", "root", "id"], "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
-    hits = wanted.join(seen.select("graph", F.col("root").alias("source"), F.col("id").alias("target"), "path"), ["graph", "source", "target"])
-    return hits.select("graph", "source", "target", (F.size("path") - 1).alias("hops"), "path")
+        reached = seen.select("graph", F.col("root").alias("target"), F.col("id").alias("source"))
+    seen = seen.select("graph", F.col("root").alias("target"), F.col("id").alias("next"), "depth")
+    met = wanted.join(seen.select("graph", "target", F.col("next").alias("source"), F.col("depth").alias("hops")), ["graph", "source", "target"])
+    done = wanted.where("source = target").withColumn("hops", F.lit(0)).unionByName(met)
+    walk = cut(done.withColumn("id", F.col("source")).withColumn("path", F.array("source")))
+    ends = walk.where("hops = 0")
+    walk = walk.where("hops > 0")
+    for gone in range(1, level + 1):
+        if walk.isEmpty():
+            break
+        near = walk.join(edges.select("graph", F.col("src").alias("id"), F.col("dst").alias("next")), ["graph", "id"]).withColumn("depth", F.col("hops") - gone)
+        best = near.join(seen, ["graph", "target", "next", "depth"]).groupBy("graph", "source", "target", "hops").agg(F.min("next").alias("id"), F.min("path").alias("path"))
+        walk = cut(best.withColumn("path", F.concat("path", F.array("id"))))
+        ends = ends.unionByName(walk.where(F.col("hops") == gone), allowMissingColumns=True)
+        walk = walk.where(F.col("hops") > gone)
+    return ends.select("graph", "source", "target", "hops", "path")
 
 
 def subgraph(g: KnowledgeGraph, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,33 +107,48 @@ def impact(g: KnowledgeGraph, starts: DataFrame, depth: int = 3) -> DataFrame:
     return out.select("graph", "root", "direct", "indirect", F.bround(score, 2).alias("score"), risk.alias("risk"))
 
 
-def critical_paths(g: KnowledgeGraph, starts: DataFrame, limit: int = 10, branch: int = 5, max_depth: int = 30) -> DataFrame:
+def critical_paths(g: KnowledgeGraph, starts: DataFrame, limit: int = 10, branch: int = 5) -> DataFrame:
     """(graph, root, place, path): simple chains of dependents up to an entity that nothing leads to.
 
     Only the first ``branch`` edges into a node, in order of insertion, are followed; the first
-    ``limit`` chains of a depth-first walk are reported.  Ordinals of the edges taken stand for
-    the order of that walk.
+    ``limit`` chains of a depth-first walk are reported, however long.  Ordinals of the edges
+    taken stand for the order of that walk: each round prolongs the first ``limit`` open chains
+    of a root, the others wait, and those behind its ``limit``-th finished chain are dropped, as
+    all that comes of them is behind it too.  Chains that cannot reach an end are not prolonged.
     """
     w = Window.partitionBy("graph", "target_id").orderBy("rel_id")
     known = g.entities.select("graph", F.col("id").alias("source_id"))
-    into = g.relationships.where("target_id is not null and source_id is not null").withColumn("ordinal", F.row_number().over(w))
-    step = into.where(F.col("ordinal") <= branch).join(known, ["graph", "source_id"], "left_semi").select("graph", F.col("target_id").alias("head"), F.col("source_id").alias("up"), "ordinal")
-    step = cut(step)
-    has_into = g.relationships.where("target_id is not null").select("graph", F.col("target_id").alias("head")).distinct()
-    has_into = cut(has_into)
-    frontier = cut(starts.distinct().select("graph", "root", F.col("root").alias("head"), F.array("root").alias("path"), F.array().cast("array<int>").alias("ordinals")))
-    done = None
-    for _ in range(max_depth):
-        frontier = frontier.join(step, ["graph", "head"]).where(~F.array_contains("path", F.col("up")))
-        frontier = cut(frontier.select("graph", "root", F.col("up").alias("head"), F.concat("path", F.array("up")).alias("path"), F.concat("ordinals", F.array("ordinal")).alias("ordinals")))
-        if frontier.isEmpty():
-            break
-        ends = frontier.join(has_into, ["graph", "head"], "left_anti")
-        done = ends if done is None else done.unionByName(ends)
-    if done is None:
-        done = frontier
-    first = done.withColumn("place", F.row_number().over(Window.partitionBy("graph", "root").orderBy("ordinals"))).where(F.col("place") <= limit)
-    return first.select("graph", "root", "place", F.array_join("path", " < ").alias("path"))
+    edges = g.relationships.where("target_id is not null and graph is not null").select("graph", "source_id", "target_id", "rel_id")
+    into = edges.where("source_id is not null").withColumn("ordinal", F.row_number().over(w)).where(F.col("ordinal") <= branch)
+    step = cut(into.join(known, ["graph", "source_id"], "left_semi").select("graph", F.col("target_id").alias("head"), F.col("source_id").alias("up"), "ordinal"))
+    ends = cut(step.select("graph", F.col("up").alias("id")).distinct().join(edges.select("graph", F.col("target_id").alias("id")).distinct(), ["graph", "id"], "left_anti"))
+    # Nodes that lead to an end, by any way; a few levels between two checkpoints, as their order does not matter.
+    live = frontier = ends
+    while not frontier.isEmpty():
+        nearer = [frontier.select("graph", "id")]
+        for _ in range(4):
+            nearer.append(step.join(nearer[-1].select("graph", F.col("id").alias("up")), ["graph", "up"], "left_semi").select("graph", F.col("head").alias("id")).distinct())
+        frontier = cut(functools.reduce(DataFrame.unionByName, nearer[1:]).distinct().join(live, ["graph", "id"], "left_anti"))
+        live = live.unionByName(frontier)
+    flags = cut(live.join(ends.withColumn("ended", F.lit(True)), ["graph", "id"], "left").select("graph", F.col("id").alias("up"), F.coalesce("ended", F.lit(False)).alias("ended")))
+    step = cut(step.join(flags, ["graph", "up"]))
+    chains = starts.select("graph", "root").distinct().select("graph", "root", F.col("root").alias("head"), F.array("root").alias("path"), F.array().cast("array<int>").alias("ordinals"), F.lit(False).alias("ended"))
+    state = cut(chains.join(flags.where("not ended").select("graph", F.col("up").alias("head")), ["graph", "head"], "left_semi").select(chains.columns))
+    order = Window.partitionBy("graph", "root").orderBy("ordinals")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    while not state.where("not ended").isEmpty():
+        ranked = state.withColumn("turn", ~F.col("ended") & (F.sum(F.when(F.col("ended"), 0).otherwise(1)).over(so_far) <= limit))
+        rows = [ranked.where("not turn").drop("turn")]
+        grown = ranked.where("turn").drop("turn")
+        for _ in range(2):  # two steps between two checkpoints
+            longer = grown.drop("ended").join(step, ["graph", "head"]).where(~F.array_contains("path", F.col("up")))
+            longer = longer.select("graph", "root", F.col("up").alias("head"), F.concat("path", F.array("up")).alias("path"), F.concat("ordinals", F.array("ordinal")).alias("ordinals"), "ended")
+            rows.append(longer.where("ended"))
+            grown = longer.where("not ended")
+        rows = functools.reduce(DataFrame.unionByName, [*rows, grown])
+        finished = F.sum(F.when(F.col("ended"), 1).otherwise(0)).over(so_far) - F.when(F.col("ended"), 1).otherwise(0)
+        state = cut(rows.withColumn("finished", finished).where(F.col("finished") < limit).drop("finished"))
+    return state.select("graph", "root", F.row_number().over(order).alias("place"), F.array_join("path", " < ").alias("path"))
 
 
 def navigate(g: KnowledgeGraph, starts: DataFrame, direction: str = "both", depth: int = 2, types: list[str] | None = None) -> DataFrame:
@@ -134,6 +166,51 @@ def navigate(g: KnowledgeGraph, starts: DataFrame, direction: str = "both", dept
     return found.join(g.entities.select("graph", "id", "name", "type"), ["graph", "id"]).select("graph", "root", "id", "name", "type", "depth")
 
 
+#: Edges of a node that a depth-first walk looks at.
+PER_NODE = 20
+
+
+def _first_visits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The steps of a depth-first walk among all chains of edges of one root: a node counts where it is met first.
+
+    Chains come in the order of the walk; one that does not prolong a step is none.
+    """
+    rows = rows.assign(chain=[tuple(x) for x in rows["ordinals"]]).sort_values("chain")
+    visited, steps, kept = {key[1]}, {()}, []
+    for chain, node in zip(rows["chain"], rows["id"]):
+        kept.append(chain[:-1] in steps and node not in visited)
+        if kept[-1]:
+            visited.add(node)
+            steps.add(chain)
+    rows = rows[kept]
+    return pd.DataFrame({"graph": key[0], "root": key[1], "id": rows["id"], "depth": [len(x) for x in rows["chain"]], "place": range(1, len(rows) + 1), "type": rows["type"]})
+
+
+def navigate_depth_first(g: KnowledgeGraph, starts: DataFrame, direction: str = "callees", depth: int = 2, types: list[str] | None = None) -> DataFrame:
+    """(graph, root, place, id, name, type, depth, relationship): a depth-first walk along (callees) or against (callers) the edges.
+
+    A node looks at its first ``PER_NODE`` edges in order of insertion, is entered where the walk
+    meets it first, and bears the depth of that place.  A root has at most PER_NODE ** depth
+    chains of edges, which are laid out by joins; one pass over them in order finds the steps.
+    """
+    e = g.relationships.where("source_id is not null and target_id is not null and graph is not null")
+    if types:
+        e = e.where(F.col("type").isin(*types))
+    here, there = ("target_id", "source_id") if direction == "callers" else ("source_id", "target_id")
+    place = F.row_number().over(Window.partitionBy("graph", here).orderBy("rel_id"))
+    inside = g.entities.select("graph", F.col("id").alias("up"))
+    step = e.withColumn("ordinal", place).where(F.col("ordinal") <= PER_NODE).select("graph", F.col(here).alias("head"), F.col(there).alias("up"), "ordinal", F.col("type").alias("via"))
+    step = cut(step.join(inside, ["graph", "up"], "left_semi"))
+    chains = starts.select("graph", "root").distinct().select("graph", "root", F.col("root").alias("id"), F.array().cast("array<int>").alias("ordinals"), F.lit("").alias("type"))
+    found = None
+    for _ in range(depth):
+        chains = chains.withColumnRenamed("id", "head").join(step, ["graph", "head"]).where("up <> root")
+        chains = cut(chains.select("graph", "root", F.col("up").alias("id"), F.concat("ordinals", F.array("ordinal")).alias("ordinals"), F.col("via").alias("type")))
+        found = chains if found is None else found.unionByName(chains)
+    steps = found.groupBy("graph", "root").applyInPandas(_first_visits, "graph string, root string, id string, depth int, place int, type string").withColumnRenamed("type", "relationship")
+    return steps.join(g.entities.select("graph", "id", "name", "type"), ["graph", "id"]).select("graph", "root", "place", "id", "name", "type", "depth", "relationship")
+
+
 def call_graph(g: KnowledgeGraph, starts: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Nodes around each start and the edges between them, for drawing."""
     nodes = navigate(g, starts, "both", depth)
@@ -143,11 +220,27 @@ def call_graph(g: KnowledgeGraph, starts: DataFrame, depth: int = 3) -> tuple[Da
     return nodes, e.join(a, ["graph", "src"]).join(b, ["graph", "root", "dst"]).select("graph", "root", "source", "target", "type").distinct()
 
 
-def communities(g: KnowledgeGraph, rounds: int = 5) -> DataFrame:
-    """(graph, id, community) by label propagation: each round a node takes its neighbours' most frequent label, the smallest of equals."""
-    edges = cut(g.undirected())
-    labels = cut(edges.select("graph", F.col("src").alias("id"), F.col("src").alias("community")).distinct())
-    for _ in range(rounds):
-        votes = edges.join(labels.select("graph", F.col("id").alias("dst"), "community"), ["graph", "dst"]).groupBy("graph", F.col("src").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
-        labels = cut(votes.groupBy("graph", "id").agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), "community")).alias("community")))
-    return labels
+def communities(g: KnowledgeGraph, rounds: int | None = None) -> DataFrame:
+    """(graph, id, community) by label propagation: each round a node takes its neighbours' most frequent label, the smallest of equals.
+
+    A node counts among its own neighbours, so that two of them do not swap labels for ever.
+    Without a number of rounds it goes on until no label changes or the labels are those of the
+    last round but one, a cycle of two, of which the smaller label of each node is taken.
+    """
+    edges = g.undirected()
+    edges = cut(edges.unionByName(edges.select("graph", "src", F.col("src").alias("dst"))).distinct())
+    labels = cut(edges.select("graph", F.col("src").alias("id"), F.col("src").alias("community"), F.lit("").alias("before")).distinct())
+    turn = 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        ballots = labels.select("graph", F.col("id").alias("dst"), "community")
+        votes = edges.join(ballots, ["graph", "dst"]).groupBy("graph", F.col("src").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
+        chosen = votes.groupBy("graph", "id").agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), "community")).alias("chosen"))
+        both = cut(labels.join(chosen, ["graph", "id"]))
+        moved = both.agg(F.count_if(F.col("chosen") != F.col("community")), F.count_if(F.col("chosen") != F.col("before"))).first()
+        if not moved[1]:  # the labels of the last round but one
+            return both.select("graph", "id", F.least("chosen", "community").alias("community"))
+        labels = both.select("graph", "id", F.col("chosen").alias("community"), F.col("community").alias("before"))
+        if not moved[0]:
+            break
+    return labels.select("graph", "id", "community")

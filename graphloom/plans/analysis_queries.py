@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.graph import KnowledgeGraph
-from graphloom.operators import quality, traverse
+from graphloom.operators import lookup, quality, traverse
 from graphloom.plans.graph_queries import _kg, over
 
 
@@ -17,14 +17,14 @@ def _starts(g: KnowledgeGraph, where: str):
 # Issues of the invented frameworks in the tables; the last one is for a later version.
 _ISSUE_LIST = [("express", "4.0", "quota", "removed", ""), ("express", "4.2", "kit", "deprecated", ""), ("express", "9.0", "queue", "deprecated", "")]
 
-_CLASSES = "type = 'enum' and id like '%0'"
+_CLASSES = "type = 'enum'"
 _TRAITS = "type = 'trait'"
 
 
 def _paths(g: KnowledgeGraph):
-    roots = g.entities.where("type = 'interface' and id like '%5'").select("graph", F.col("id").alias("source"))
-    ends = g.entities.where("type = 'trait' and id like '%2'").select("graph", F.col("id").alias("target"))
-    found = traverse.shortest_paths(g, roots.join(ends, "graph"), max_depth=4)
+    """From the first to the last entity of every file."""
+    files = g.entities.where("file_path is not null").groupBy("graph", "file_path").agg(F.min_by("id", "seq").alias("source"), F.max_by("id", "seq").alias("target"))
+    found = traverse.shortest_paths(g, files.select("graph", "source", "target"))
     return found.select("graph", "source", "target", "hops", F.array_join("path", " > ").alias("path"))
 
 
@@ -39,19 +39,24 @@ QUERIES = {
     "shortest_path": _kg(_paths),
     "subgraph": _kg(_subgraph),
     "impact": _kg(lambda g: traverse.impact(g, _starts(g, _TRAITS), 3)),
-    "critical_paths": _kg(lambda g: traverse.critical_paths(g, _starts(g, _CLASSES), limit=10, branch=2, max_depth=6)),
+    "critical_paths": _kg(lambda g: traverse.critical_paths(g, _starts(g, _CLASSES))),
     "navigate_callees": _kg(lambda g: traverse.navigate(g, _starts(g, _TRAITS), "callees", 2)),
     "navigate_callers": _kg(lambda g: traverse.navigate(g, _starts(g, _TRAITS), "callers", 2, ["contains", "calls"])),
-    "call_graph": _kg(lambda g: traverse.call_graph(g, _starts(g, _CLASSES), 1)[1]),
-    "communities": _kg(lambda g: traverse.communities(g, 3)),
+    "call_graph": _kg(lambda g: traverse.call_graph(g, _starts(g, _TRAITS))[1]),
+    "navigate_depth_first": _kg(lambda g: traverse.navigate_depth_first(g, _starts(g, _TRAITS))),
+    "communities": _kg(lambda g: traverse.communities(g)),
     "complexity": _kg(quality.complexities),
     "lcom": _kg(quality.cohesion),
     "quality_metrics": _kg(quality.quality_metrics),
     "quality_score": _kg(quality.quality_scores),
+    "quality_recommendations": _kg(lambda g: quality.recommendations(quality.quality_metrics(g), g.entities)),
     "detect_patterns": _kg(quality.detect_patterns),
+    "pattern_report": _kg(quality.pattern_report),
     "pattern_coverage": _kg(quality.pattern_coverage),
-    "api_compatibility": _kg(lambda g: quality.compatibility(g, "express", "5.0", _ISSUE_LIST)),
+    "api_compatibility": _kg(lambda g: quality.compatibility(g, "express", "5.0", _ISSUE_LIST).drop("hint")),
     "compat_score": _kg(lambda g: quality.compatibility_scores(g, "express", "5.0", _ISSUE_LIST)),
+    "api_compatibility_known": _kg(lambda g: quality.compatibility(g, "django", "4.2")),
+    "relation_totals": _kg(lookup.relation_totals),
     "validate": _kg(quality.validate),
     "validation_summary": _kg(quality.validation_summary),
     "repair": _kg(lambda g: quality.repair(g).relationships),
@@ -140,12 +145,19 @@ SQL = {
     "neighbors_d1": over(_NEAR, f"{_UND}, {_reach('und', _TRAITS, 1)}", True),
     "neighbors_d2": over(_NEAR, f"{_UND}, {_reach('und', _CLASSES, 2)}", True),
     "shortest_path": over(
-        "SELECT p.graph, p.root AS source, p.id AS target, len(p.path) - 1 AS hops, array_to_string(p.path, ' > ') AS path FROM best p JOIN ents t ON t.graph = p.graph AND t.id = p.id WHERE t.type = 'trait' AND t.id LIKE '%2'",
-        f"""{_UND}, walk AS (
-          SELECT DISTINCT e.graph, e.id AS root, e.id, [e.id] AS path FROM ents e JOIN und u ON u.graph = e.graph AND u.src = e.id WHERE e.type = 'interface' AND e.id LIKE '%5'
+        "SELECT graph, source, target, len(path) - 1 AS hops, array_to_string(path, ' > ') AS path FROM walk WHERE id = target",
+        f"""{_UND}, files AS (SELECT DISTINCT graph, arg_min(id, seq) AS source, arg_max(id, seq) AS target FROM ents WHERE file_path IS NOT NULL GROUP BY graph, file_path),
+        pairs AS (SELECT f.* FROM files f WHERE EXISTS (SELECT 1 FROM und u WHERE u.graph = f.graph AND u.src = f.source)),
+        dist(graph, target, id, depth) USING KEY (graph, target, id) AS (
+          SELECT DISTINCT graph, target, target, 0 FROM pairs
+          UNION
+          SELECT DISTINCT f.graph, f.target, u.dst, f.depth + 1 FROM dist f JOIN und u ON u.graph = f.graph AND u.src = f.id
+          LEFT JOIN recurring.dist k ON k.graph = f.graph AND k.target = f.target AND k.id = u.dst WHERE k.id IS NULL AND f.depth < 10),
+        nearer AS (SELECT a.graph, a.target, a.id, min(b.id) AS next FROM dist a JOIN und u ON u.graph = a.graph AND u.src = a.id JOIN dist b ON b.graph = a.graph AND b.target = a.target AND b.id = u.dst AND b.depth = a.depth - 1 GROUP BY 1, 2, 3),
+        walk AS (
+          SELECT p.graph, p.source, p.target, p.source AS id, [p.source] AS path FROM pairs p
           UNION ALL
-          SELECT w.graph, w.root, u.dst, list_append(w.path, u.dst) FROM walk w JOIN und u ON u.graph = w.graph AND u.src = w.id WHERE len(w.path) <= 4 AND NOT list_contains(w.path, u.dst)),
-        best AS (SELECT graph, root, id, arg_min(path, (len(path), path)) AS path FROM walk GROUP BY 1, 2, 3)""",
+          SELECT w.graph, w.source, w.target, n.next, list_append(w.path, n.next) FROM walk w JOIN nearer n ON n.graph = w.graph AND n.target = w.target AND n.id = w.id)""",
         True,
     ),
     "subgraph": over("SELECT r.rel_id, r.graph, r.source_id, r.target_id, r.type FROM rels r JOIN k a ON a.graph = r.graph AND a.id = r.source_id JOIN k b ON b.graph = r.graph AND b.id = r.target_id", "k AS (SELECT graph, id FROM ents WHERE type IN ('class', 'interface', 'trait'))"),
@@ -158,21 +170,11 @@ SQL = {
         f"{_INTO}, {_reach('back', _TRAITS, 3)}",
         True,
     ),
-    "critical_paths": over(
-        "SELECT graph, root, place, array_to_string(path, ' < ') AS path FROM (SELECT *, row_number() OVER (PARTITION BY graph, root ORDER BY ordinals) AS place FROM walk w WHERE len(path) > 1 AND NOT EXISTS (SELECT 1 FROM rels r WHERE r.graph = w.graph AND r.target_id = w.head)) WHERE place <= 10",
-        f"""step AS (SELECT i.* FROM (SELECT graph, target_id AS head, source_id AS up, row_number() OVER (PARTITION BY graph, target_id ORDER BY rel_id)::INT AS ordinal FROM rels WHERE target_id IS NOT NULL AND source_id IS NOT NULL) i
-          JOIN ents s ON s.graph = i.graph AND s.id = i.up WHERE i.ordinal <= 2),
-        walk AS (
-          SELECT graph, id AS root, id AS head, [id] AS path, []::INT[] AS ordinals FROM ents WHERE {_CLASSES}
-          UNION ALL
-          SELECT w.graph, w.root, s.up, list_append(w.path, s.up), list_append(w.ordinals, s.ordinal) FROM walk w JOIN step s ON s.graph = w.graph AND s.head = w.head WHERE len(w.path) <= 6 AND NOT list_contains(w.path, s.up))""",
-        True,
-    ),
     "navigate_callees": over(_NAV, f"{_ADJ}, ine AS (SELECT a.* FROM adj a JOIN ents e ON e.graph = a.graph AND e.id = a.dst), {_reach('ine', _TRAITS, 2)}", True),
     "navigate_callers": over(_NAV, f"ine AS (SELECT DISTINCT r.graph, r.target_id AS src, r.source_id AS dst FROM rels r JOIN ents e ON e.graph = r.graph AND e.id = r.source_id WHERE r.target_id IS NOT NULL AND r.type IN ('contains', 'calls')), {_reach('ine', _TRAITS, 2)}", True),
     "call_graph": over(
         "SELECT DISTINCT r.graph, a.root, ea.name AS source, eb.name AS target, r.type FROM rels r JOIN reach a ON a.graph = r.graph AND a.id = r.source_id JOIN reach b ON b.graph = r.graph AND b.root = a.root AND b.id = r.target_id JOIN ents ea ON ea.graph = a.graph AND ea.id = a.id JOIN ents eb ON eb.graph = b.graph AND eb.id = b.id",
-        f"{_UND}, ine AS (SELECT u.* FROM und u JOIN ents e ON e.graph = u.graph AND e.id = u.dst), {_reach('ine', _CLASSES, 1)}",
+        f"{_UND}, ine AS (SELECT u.* FROM und u JOIN ents e ON e.graph = u.graph AND e.id = u.dst), {_reach('ine', _TRAITS, 3)}",
         True,
     ),
     "complexity": over("SELECT graph, id, type, complexity FROM cx", _COMPLEX),
@@ -181,6 +183,33 @@ SQL = {
     "quality_score": over("SELECT graph, id, score, CASE WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'warning' ELSE 'danger' END AS overall FROM (SELECT graph, id, avg(CASE status WHEN 'good' THEN 100.0 WHEN 'warning' THEN 60.0 ELSE 20.0 END) AS score FROM metrics GROUP BY 1, 2)", _METRICS),
     "detect_patterns": over("SELECT graph, id, name, pattern, category, confidence FROM found WHERE confidence >= 0.4", _pattern_sql()),
     "pattern_coverage": over("SELECT e.graph, e.entities, coalesce(f.matched, 0) AS matched, coalesce(f.matched, 0) / e.entities AS coverage FROM (SELECT graph, count(*) AS entities FROM ents GROUP BY 1) e LEFT JOIN (SELECT graph, count(DISTINCT name) AS matched FROM found WHERE confidence >= 0.4 GROUP BY 1) f ON f.graph = e.graph", _pattern_sql()),
+    "quality_recommendations": over(
+        """SELECT m.graph, m.id, m.metric, CASE WHEN m.status = 'danger' THEN 'CRITICAL: ' || t.title || ' (' || n || ') exceeds danger threshold. Consider refactoring to reduce ' || lower(t.title) || '.'
+            ELSE 'WARNING: ' || t.title || ' (' || n || ') is above optimal. Consider reviewing and optimizing.' END AS recommendation
+        FROM (SELECT *, round_even(value, 2)::VARCHAR AS n FROM metrics WHERE status <> 'good') m JOIN ents e ON e.graph = m.graph AND e.id = m.id
+        JOIN (VALUES ('cyclomatic_complexity', true, 'Average Cyclomatic Complexity'), ('cyclomatic_complexity', false, 'Cyclomatic Complexity'), ('lcom', true, 'LCOM (Cohesion)'), ('method_lines', false, 'Method Lines'), ('parameter_count', false, 'Parameter Count'),
+          ('afferent_coupling', true, 'Afferent Coupling'), ('afferent_coupling', false, 'Afferent Coupling'), ('efferent_coupling', true, 'Efferent Coupling'), ('efferent_coupling', false, 'Efferent Coupling')) t(metric, container, title)
+          ON t.metric = m.metric AND t.container = (e.type IN ('class', 'module'))""",
+        _METRICS,
+    ),
+    "pattern_report": over(
+        """SELECT f.graph, f.id, f.name, f.pattern, f.category, f.confidence, d.description, d.suggestion FROM found f JOIN (VALUES
+          ('Singleton', 'Ensures a class has only one instance', 'Consider using dependency injection instead of Singleton for testability'), ('Factory Method', 'Defines interface for creating objects', 'Ensure factory method is properly abstracted for extensibility'),
+          ('Builder', 'Separates construction of complex objects', NULL), ('Adapter', 'Converts interface of a class to another', NULL), ('Decorator', 'Attaches additional responsibilities dynamically', NULL), ('Facade', 'Provides unified interface to subsystems', NULL),
+          ('Observer', 'Defines one-to-many dependency between objects', 'Consider weak references to prevent memory leaks'), ('Strategy', 'Defines family of interchangeable algorithms', 'Ensure strategies are interchangeable at runtime'),
+          ('Command', 'Encapsulates request as an object', NULL), ('Template Method', 'Defines skeleton algorithm with customizable steps', NULL)) d(pattern, description, suggestion) ON d.pattern = f.pattern WHERE f.confidence >= 0.4""",
+        _pattern_sql(),
+    ),
+    "relation_totals": over(
+        """SELECT kind, type, n FROM (SELECT 'entity' AS kind, coalesce(type, '') AS type, count(*) AS n FROM ents GROUP BY 2 UNION ALL SELECT 'relationship', coalesce(type, ''), count(*) FROM rels GROUP BY 2)
+        UNION ALL SELECT 'entity', NULL, count(*) FROM ents UNION ALL SELECT 'relationship', NULL, count(*) FROM rels"""
+    ),
+    "api_compatibility_known": over(
+        """SELECT graph, id, api, issue, hint, 'name' AS place FROM ents JOIN known ON contains(lower(name), lower(api))
+        UNION ALL SELECT graph, id, api, issue, hint, 'documentation' FROM ents JOIN known ON contains(lower(docstring), lower(api))
+        UNION ALL SELECT r.graph, r.source_id, k.api, k.issue, k.hint, 'import' FROM rels r JOIN ents t ON t.graph = r.graph AND t.id = r.target_id JOIN known k ON contains(lower(t.name), lower(k.api)) JOIN ents s ON s.graph = r.graph AND s.id = r.source_id WHERE r.type = 'imports'""",
+        "known(api, issue, hint) AS (VALUES ('url', 'removed', 'Use path() instead of url()'), ('ugettext', 'deprecated', 'Use gettext instead'), ('default_app_config', 'deprecated', 'Remove default_app_config from __init__.py'))",
+    ),
     "api_compatibility": over("SELECT graph, id, api, issue, place FROM issues", f"{_APIS}, {_ISSUES}"),
     "compat_score": over("SELECT e.graph, count(i.id) AS issues, greatest(0, 100 - 10 * count(i.id)) AS score FROM (SELECT DISTINCT graph FROM ents) e LEFT JOIN issues i ON i.graph = e.graph GROUP BY 1", f"{_APIS}, {_ISSUES}"),
     "validate": over("SELECT graph, issue, severity, subject FROM problems", _VALID),

@@ -10,7 +10,7 @@ LOCAL = "express"
 
 
 def _kg(f):
-    return lambda spark, sf_dir: f(KnowledgeGraph.from_tables(spark, sf_dir))
+    return lambda spark, sf_dir: f(KnowledgeGraph.current(spark, sf_dir))
 
 
 QUERIES = {
@@ -28,7 +28,7 @@ QUERIES = {
     "resolve_names": _kg(lambda g: lookup.resolve_names(g, ["queue", "loader", "scanQueue"])),
     "languages_of_files": _kg(lookup.languages_of_files),
     "graph_stats": _kg(lookup.graph_stats),
-    "framework_catalogue": lambda spark, sf_dir: lookup.catalogue(KnowledgeGraph.from_tables(spark, sf_dir), table(spark, sf_dir, "frameworks")),
+    "framework_catalogue": lambda spark, sf_dir: lookup.catalogue(KnowledgeGraph.current(spark, sf_dir), table(spark, sf_dir, "frameworks")),
     "usage_frequency": _kg(lookup.usage_counts),
     "coupling": _kg(lookup.coupling),
     "code_context": _kg(lookup.contexts),
@@ -43,6 +43,9 @@ QUERIES = {
     "recommend_code": _kg(lambda g: search.recommend(g, "queue", LOCAL, limit=50, min_relevance=0.1)),
     "hybrid_ranked": _kg(lambda g: search.hybrid_ranked(g, "load queue", LOCAL, 0.6)),
     "hybrid_search": _kg(lambda g: search.hybrid_search(g, "load queue", LOCAL, 0.6)),
+    "hybrid_search_words": _kg(lambda g: search.hybrid_search(g, "parse index", LOCAL, 0.6)),
+    "hybrid_breakdown": _kg(lambda g: search.source_breakdown(search.hybrid_ranked(g, "parse index", LOCAL, 0.6))),
+    "recommend_breakdown": _kg(lambda g: search.source_breakdown(search.recommended(g, "queue", LOCAL, 0.1))),
     "detect_frameworks": _kg(search.detect_frameworks),
 }
 
@@ -105,8 +108,28 @@ def _weighted(q: str, usage: str) -> str:
       + (CASE WHEN {usage} > 10 THEN 1.0 WHEN {usage} > 5 THEN 0.7 WHEN {usage} > 0 THEN 0.4 ELSE 0.0 END)::DOUBLE * 0.1::DOUBLE"""
 
 
-_HYBRID_RANKED = f"""SELECT {_BRIEF}, CASE WHEN graph = '{LOCAL}' THEN 'local' ELSE 'framework' END AS source,
-    s * CASE WHEN graph = '{LOCAL}' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS score FROM (SELECT *, {_hybrid("load queue")} AS s FROM ents) WHERE s > 0"""
+def _thinned(q: str) -> str:
+    return over(
+        """SELECT unnest(range(len(kept))) AS place, unnest(kept, recursive := true) FROM (
+          SELECT list_slice(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: contains(lower(k.name), lower(x[1].name)) OR contains(lower(x[1].name), lower(k.name)))) > 0 THEN acc ELSE list_concat(acc, x) END), 1, 20) AS kept
+          FROM (SELECT list({graph: graph, seq: seq, id: id, name: name, type: type, source: source, score: score} ORDER BY score DESC, graph, seq) AS rows
+            FROM (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY score DESC, graph, seq) = 1)))""",
+        f"ranked AS ({_hybrid_ranked(q)})",
+    )
+
+
+def _hybrid_ranked(q: str) -> str:
+    return f"""SELECT {_BRIEF}, CASE WHEN graph = '{LOCAL}' THEN 'local' ELSE 'framework' END AS source,
+    s * CASE WHEN graph = '{LOCAL}' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS score FROM (SELECT *, {_hybrid(q)} AS s FROM ents) WHERE s > 0"""
+
+
+# The reference values of the framework signs, as the SQL's own.
+_SIGNS = """('fastapi', 'fastapi'), ('fastapi', 'APIRouter'), ('fastapi', 'FastAPI'), ('django', 'django'), ('django', 'models.Model'), ('django', 'View'), ('flask', 'flask'), ('flask', 'Blueprint'), ('flask', 'Flask'),
+  ('react', 'React'), ('react', 'useState'), ('react', 'useEffect'), ('express', 'express'), ('express', 'Router'), ('express', 'middleware'), ('spring', '@Controller'), ('spring', '@Service'), ('spring', '@Repository')"""
+
+_LANGUAGES = """('.py', 'Python'), ('.ts', 'TypeScript'), ('.tsx', 'TypeScript'), ('.js', 'JavaScript'), ('.jsx', 'JavaScript'), ('.rs', 'Rust'), ('.go', 'Go'), ('.rb', 'Ruby'), ('.java', 'Java'), ('.cs', 'C#'), ('.cpp', 'C++'), ('.hpp', 'C++'),
+  ('.cc', 'C++'), ('.hh', 'C++'), ('.cxx', 'C++'), ('.c', 'C'), ('.h', 'C'), ('.m', 'Objective-C'), ('.mm', 'Objective-C'), ('.php', 'PHP'), ('.swift', 'Swift'), ('.kt', 'Kotlin'), ('.kts', 'Kotlin'), ('.scala', 'Scala'), ('.lua', 'Lua'),
+  ('.hs', 'Haskell'), ('.ex', 'Elixir'), ('.exs', 'Elixir'), ('.jl', 'Julia'), ('.sql', 'SQL'), ('.groovy', 'Groovy'), ('.dart', 'Dart'), ('.zig', 'Zig'), ('.yaml', 'YAML'), ('.yml', 'YAML')"""
 
 SQL = {
     "entities_current": over("SELECT graph, seq, id, name, type, file_path, line, col, docstring, scope FROM ents"),
@@ -128,7 +151,7 @@ SQL = {
     "languages_of_files": over(
         f"""SELECT x.extension, k.language, count(*) AS entities, count(DISTINCT (x.graph, x.file_path)) AS files
         FROM (SELECT *, regexp_extract(lower(file_path), '(\\.[^./]+)$', 1) AS extension FROM ents) x
-        LEFT JOIN (VALUES {", ".join(f"('{e}', '{n}')" for n, es in lookup.LANGUAGES for e in es.split())}) k(extension, language) ON k.extension = x.extension GROUP BY 1, 2"""
+        LEFT JOIN (VALUES {_LANGUAGES}) k(extension, language) ON k.extension = x.extension GROUP BY 1, 2"""
     ),
     "graph_stats": over("SELECT graph, 'entity' AS kind, type, count(*) AS n FROM ents GROUP BY 1, 3 UNION ALL SELECT graph, 'relationship', type, count(*) FROM rels GROUP BY 1, 3 UNION ALL SELECT graph, 'file', 'tracked', count(*) FROM (SELECT DISTINCT graph, file_path FROM source_files) GROUP BY 1"),
     "framework_catalogue": over(
@@ -181,16 +204,20 @@ SQL = {
             LEFT JOIN (SELECT graph, target_id AS id, count(*) AS usage FROM rels WHERE type = 'calls' GROUP BY 1, 2) c ON c.graph = e.graph AND c.id = e.id) e)
         WHERE s >= 0.1 ORDER BY score DESC, graph, seq LIMIT 50"""
     ),
-    "hybrid_ranked": over(_HYBRID_RANKED),
-    "hybrid_search": over(
-        """SELECT unnest(range(len(kept))) AS place, unnest(kept, recursive := true) FROM (
-          SELECT list_slice(list_reduce(list_transform(rows, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: contains(lower(k.name), lower(x[1].name)) OR contains(lower(x[1].name), lower(k.name)))) > 0 THEN acc ELSE list_concat(acc, x) END), 1, 20) AS kept
-          FROM (SELECT list({graph: graph, seq: seq, id: id, name: name, type: type, source: source, score: score} ORDER BY score DESC, graph, seq) AS rows FROM (SELECT * FROM ranked ORDER BY score DESC, graph, seq LIMIT 500)))""",
-        f"ranked AS ({_HYBRID_RANKED})",
+    "hybrid_ranked": over(_hybrid_ranked("load queue")),
+    "hybrid_search": _thinned("load queue"),
+    "hybrid_search_words": _thinned("parse index"),
+    "hybrid_breakdown": over(f"SELECT source, count(*) AS n FROM ({_hybrid_ranked('parse index')}) GROUP BY 1"),
+    "recommend_breakdown": over(
+        f"""SELECT source, count(*) AS n FROM (
+          SELECT CASE WHEN e.graph = '{LOCAL}' THEN 'local' ELSE 'framework' END AS source, {_weighted("queue", "u")} AS s
+          FROM (SELECT e.*, CASE WHEN e.graph = '{LOCAL}' THEN coalesce(c.usage, 0) ELSE 0 END AS u FROM ents e
+            LEFT JOIN (SELECT graph, target_id AS id, count(*) AS usage FROM rels WHERE type = 'calls' GROUP BY 1, 2) c ON c.graph = e.graph AND c.id = e.id) e)
+        WHERE s >= 0.1 GROUP BY 1"""
     ),
     "detect_frameworks": over(
         f"""SELECT e.graph, s.framework, count(DISTINCT s.sign) AS signs, count(*) AS names FROM (SELECT DISTINCT graph, lower(name) AS low FROM ents) e
-        JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in search.FRAMEWORK_SIGNS)}) s(framework, sign) ON contains(e.low, lower(s.sign)) GROUP BY 1, 2"""
+        JOIN (VALUES {_SIGNS}) s(framework, sign) ON contains(e.low, lower(s.sign)) GROUP BY 1, 2"""
     ),
     "signature_render": over(
         """SELECT graph, id, name || '(' || coalesce(array_to_string(list_transform(p, lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' ELSE ': ' || x[2] END), ', '), '') || ')' || CASE WHEN r IS NULL THEN '' ELSE ' -> ' || r END AS signature

@@ -11,7 +11,7 @@ from graphloom.graph import KnowledgeGraph, current_entities
 from graphloom.operators import declarations, documentation, evolution, guidance, lookup, mutate
 from graphloom.plans.graph_queries import _kg, over
 from graphloom.session import ensure_checkpoint_dir, table
-from graphloom.sources import graph_json
+from graphloom.sources import catalogue, graph_json
 from graphloom.streaming import watch
 
 TASK = "load the typed queue"
@@ -90,7 +90,14 @@ def _watched(spark, sf_dir):
 
 
 def _tasks(g: KnowledgeGraph):
-    return guidance.suggest_names(g.entities.where("docstring is not null").select(F.substring("docstring", 1, 80).alias("task")).distinct())
+    return guidance.suggest_names(g.entities.where("docstring is not null").select(F.col("docstring").alias("task")).distinct())
+
+
+def _summaries(spark, sf_dir):
+    """The frameworks in the catalogue summaries among the snapshots."""
+    rows = table(spark, sf_dir, "graph_snapshots").where("graph = 'summary'").select("snapshot_id", "payload")
+    found = catalogue.from_summaries(rows)
+    return found.select("snapshot_id", "name", "language", "files", "entities", "relationships", F.coalesce(F.size("entity_types"), F.lit(0)).alias("n_types"), "graph_file")
 
 
 QUERIES = {
@@ -118,8 +125,11 @@ QUERIES = {
     "source_snippet": _snippets,
     "watch_stream": _watched,
     "snapshot_entities": lambda spark, sf_dir: _saved_graphs(spark, sf_dir).entities.drop("extra_data"),
+    "snapshot_edges": lambda spark, sf_dir: _saved_graphs(spark, sf_dir).relationships.select("graph", "source_id", "target_id", "type"),
+    "snapshot_hashes": lambda spark, sf_dir: _saved_graphs(spark, sf_dir).file_hashes,
+    "summary_frameworks": _summaries,
     "graph_documents": _kg(graph_json.to_documents),
-    "docstring_truncate": lambda spark, sf_dir: current_entities(table(spark, sf_dir, "entities")).select("graph", "id", text.clipped(F.col("docstring"), 40).alias("docstring")),
+    "docstring_truncate": lambda spark, sf_dir: current_entities(table(spark, sf_dir, "entities")).select("graph", "id", text.clipped(F.col("docstring")).alias("docstring"), text.cut_short(F.col("docstring")).alias("short")),
     "identifier_words": _kg(lambda g: g.entities.select("graph", "id", F.array_join(F.array_sort(text.identifier_words(F.col("name"))), " ").alias("words"))),
 }
 
@@ -132,29 +142,40 @@ def _similar(kind: str, n: int, task: str = TASK) -> str:
     return f"sim AS (SELECT * FROM (SELECT *, {score} AS score, row_number() OVER (PARTITION BY graph ORDER BY seq) AS place FROM ents WHERE type = '{kind}' AND {score} > 0) WHERE place <= {n})"
 
 
-_CTX = """ctx AS (
-  SELECT r.graph, r.id, r.category, r.place, o.name AS other_name FROM (
-    SELECT *, row_number() OVER (PARTITION BY graph, id, category ORDER BY rel_id) AS place FROM (
-      SELECT graph, source_id AS id, type AS category, target_id AS other, rel_id FROM rels WHERE type IN ('calls', 'imports', 'contains')
-      UNION ALL SELECT graph, target_id, CASE WHEN type = 'calls' THEN 'called_by' ELSE 'contained_in' END, source_id, rel_id FROM rels WHERE type IN ('calls', 'contains'))
-    WHERE id IS NOT NULL) r
-  JOIN ents o ON o.graph = r.graph AND o.id = r.other WHERE r.place <= 20),
-related AS (SELECT graph, id, list_slice(list(category || ': ' || other_name ORDER BY category, place, other_name), 1, 20) AS rel FROM ctx GROUP BY 1, 2),
-d AS (SELECT e.graph, e.id, e.name, e.type, CASE WHEN coalesce(e.docstring, '') <> '' THEN trim(e.docstring) ELSE 'No description.' END AS doc,
-  e.file_path || ':' || coalesce(e.line::VARCHAR, '?') AS place, coalesce(r.rel, []) AS rel FROM ents e LEFT JOIN related r ON r.graph = e.graph AND r.id = e.id)"""
 _NL = "chr(10)"
-
-
-def _bullets(mark: str) -> str:
-    return f"coalesce(array_to_string(list_transform(rel, lambda x: '{mark}' || x), {_NL}), '')"
-
-
+_CTX = f"""ends AS (
+  SELECT graph, source_id AS id, target_id AS other, type AS kind, rel_id FROM rels WHERE type IN ('calls', 'imports')
+  UNION ALL SELECT graph, target_id, source_id, 'callers', rel_id FROM rels WHERE type = 'calls'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY graph, id, kind ORDER BY rel_id) AS place FROM ends WHERE id IS NOT NULL AND graph IS NOT NULL),
+known AS (SELECT n.graph, n.id, n.kind, n.place, o.name, o.type, o.file_path, o.line FROM numbered n JOIN ents o ON o.graph = n.graph AND o.id = n.other WHERE n.place <= 10),
+told AS (
+  SELECT graph, id,
+    string_agg({_NL} || '- `' || name || '`', '' ORDER BY place) FILTER (kind = 'imports') AS imports,
+    string_agg({_NL} || '- `' || name || '` (' || type || ')', '' ORDER BY place) FILTER (kind = 'calls') AS calls,
+    string_agg({_NL} || '- `' || name || '` (' || type || ')', '' ORDER BY place) FILTER (kind = 'callers') AS users,
+    string_agg({_NL} || '- `' || name || '` in `' || file_path || ':' || line || '`', '' ORDER BY place) FILTER (kind = 'callers' AND place <= 5) AS examples,
+    string_agg({_NL} || ' * @see ' || name, '' ORDER BY place) FILTER (kind = 'calls' AND place <= 5) AS sees,
+    string_agg({_NL} || '    ' || name || ': ' || type, '' ORDER BY place) FILTER (kind = 'calls' AND place <= 5) AS attributes,
+    string_agg({_NL} || name || ' : ' || type, '' ORDER BY place) FILTER (kind = 'calls' AND place <= 5) AS also,
+    string_agg({_NL} || ':seealso: :class:`' || name || '`', '' ORDER BY place) FILTER (kind = 'calls' AND place <= 5) AS classes
+  FROM known GROUP BY 1, 2),
+kinds AS (SELECT graph, id, count(*) FILTER (kind = 'imports') AS ni, count(*) FILTER (kind = 'calls') AS nc, count(*) FILTER (kind = 'callers') AS nu FROM numbered GROUP BY 1, 2),
+d AS (SELECT e.graph, e.id, e.name, e.type, e.file_path, e.line, nullif(e.docstring, '') AS doc, coalesce(k.ni, 0) AS ni, coalesce(k.nc, 0) AS nc, coalesce(k.nu, 0) AS nu, t.* EXCLUDE (graph, id)
+  FROM ents e LEFT JOIN kinds k ON k.graph = e.graph AND k.id = e.id LEFT JOIN told t ON t.graph = e.graph AND t.id = e.id)"""
+
+_QUOTED = f"""'\"\"\"' || {_NL} || coalesce(doc, name) || {_NL}"""
 _TEXTS = {
-    "markdown": f"concat_ws({_NL}, '# ' || name, '', '**Type:** ' || type, '**File:** ' || place, '', doc, CASE WHEN len(rel) > 0 THEN {_NL} || '## Related' || {_NL} || {_bullets('- ')} END)",
-    "jsdoc": f"concat_ws({_NL}, '/**', ' * ' || doc, ' *', ' * @name ' || name, ' * @kind ' || type, {_bullets(' * @see ')}, ' */')",
-    "google": f"concat_ws({_NL}, name || ': ' || doc, '', 'Source: ' || place, CASE WHEN len(rel) > 0 THEN {_NL} || 'See Also:' || {_NL} || {_bullets('    ')} END)",
-    "numpy": f"concat_ws({_NL}, name, repeat('=', length(name)), doc, '', CASE WHEN len(rel) > 0 THEN 'See Also' || {_NL} || '--------' || {_NL} || {_bullets('')} END)",
-    "sphinx": f"concat_ws({_NL}, '.. py:' || CASE WHEN type = 'class' THEN 'class' ELSE 'function' END || ':: ' || name, '', '   ' || doc, {_bullets('   :see: ')})",
+    "markdown": f"""concat('# ', name, {_NL}, {_NL}, '**Type**: `', type, '`  ', {_NL}, '**File**: `', file_path, '`  ', {_NL}, '**Line**: ', line, {_NL},
+      CASE WHEN doc IS NOT NULL THEN {_NL} || '## Description' || {_NL} || {_NL} || doc || {_NL} END,
+      CASE WHEN ni + nc > 0 THEN {_NL} || '## Dependencies' || {_NL} END,
+      CASE WHEN ni > 0 THEN {_NL} || '### Imports' || coalesce(imports, '') || {_NL} END,
+      CASE WHEN nc > 0 THEN {_NL} || '### Calls' || coalesce(calls, '') || {_NL} END,
+      CASE WHEN nu > 0 THEN {_NL} || '## Used By' || {_NL} || coalesce(users, '') || {_NL} END,
+      CASE WHEN examples IS NOT NULL THEN {_NL} || '## Usage Examples' || {_NL} || examples || {_NL} END)""",
+    "jsdoc": f"""concat('/**', {_NL}, ' * ', replace(coalesce(doc, name), {_NL}, {_NL} || ' * '), {_NL}, ' *', {_NL}, ' * @type {{', type, '}}', {_NL}, ' * @file ', file_path, sees, {_NL}, ' */')""",
+    "google": f"""concat({_QUOTED}, CASE WHEN nc > 0 THEN {_NL} || 'Attributes:' || coalesce(attributes, '') END, {_NL}, '\"\"\"')""",
+    "numpy": f"""concat({_QUOTED}, CASE WHEN nc > 0 THEN {_NL} || 'See Also' || {_NL} || '--------' || coalesce(also, '') END, {_NL}, '\"\"\"')""",
+    "sphinx": f"""concat({_QUOTED}, {_NL}, ':type: ', type, {_NL}, ':file: ', file_path, classes, {_NL}, '\"\"\"')""",
 }
 
 _UNION_REMOVED = "gone AS (SELECT DISTINCT e.graph, e.id FROM ents e JOIN (SELECT DISTINCT graph, file_path FROM ents WHERE type = 'trait') f ON f.graph = e.graph AND f.file_path = e.file_path)"
@@ -174,6 +195,21 @@ SQL = {
         "SELECT DISTINCT r.graph, coalesce('from ' || replace(replace(t.file_path, '/', '.'), '.py', '') || ' import ' || t.name, 'import ' || regexp_replace(r.target_id, '^(?:external:|ext_)', '')) AS statement FROM rels r JOIN sim s ON s.graph = r.graph AND s.id = r.source_id LEFT JOIN ents t ON t.graph = r.graph AND t.id = r.target_id WHERE r.type = 'imports' AND r.target_id IS NOT NULL",
         _similar("module", 5),
     ),
+    "suggested_name": over(
+        """SELECT task, array_to_string(list_transform(w, lambda x: lower(x)), '_') AS snake_case, lower(w[1]) || coalesce(array_to_string(list_transform(w[2:3], lambda x: upper(x[1]) || lower(x[2:])), ''), '') AS camel_case,
+          array_to_string(list_transform(w, lambda x: upper(x[1]) || lower(x[2:])), '') AS pascal_case
+        FROM (SELECT task, CASE WHEN len(v) > 0 THEN v[1:3] ELSE ['New', 'Class'] END AS w FROM (
+          SELECT task, list_filter(string_split_regex(trim(task), '\\s+'), lambda x: x <> '' AND lower(x) NOT IN ('a', 'an', 'the', 'to', 'for', 'of', 'in', 'on', 'with', 'new', 'create')) AS v
+          FROM (SELECT DISTINCT docstring AS task FROM ents WHERE docstring IS NOT NULL)))"""
+    ),
+    "summary_frameworks": """WITH s AS (SELECT snapshot_id, json_extract(payload, '$.frameworks') AS f FROM graph_snapshots WHERE graph = 'summary' AND json_valid(payload)),
+        rows AS (
+          SELECT snapshot_id, replace(lower(coalesce(json_extract_string(v, '$.name'), '')), ' ', '-') AS name, v FROM (SELECT snapshot_id, unnest(json_extract(f, '$[*]')) AS v FROM s WHERE json_type(f) = 'ARRAY')
+          UNION ALL
+          SELECT snapshot_id, k, json_extract(f, '$.\"' || k || '\"') FROM (SELECT snapshot_id, f, unnest(json_keys(f)) AS k FROM s WHERE json_type(f) = 'OBJECT'))
+        SELECT snapshot_id, name, json_extract_string(v, '$.language') AS language, coalesce(try_cast(json_extract_string(v, '$.files_processed') AS BIGINT), 0) AS files,
+          coalesce(try_cast(json_extract_string(v, '$.entities') AS BIGINT), try_cast(json_extract_string(v, '$.entity_count') AS BIGINT), 0) AS entities, coalesce(try_cast(json_extract_string(v, '$.relationships') AS BIGINT), 0) AS relationships,
+          coalesce(len(json_keys(v, '$.entity_types')), 0) AS n_types, json_extract_string(v, '$.graph_file') AS graph_file FROM rows""",
     **{f"documentation_{form}": over(f"SELECT graph, id, {sql} AS text FROM d", _CTX) for form, sql in _TEXTS.items()},
     "codebase_overview": over(
         f"SELECT graph, concat_ws({_NL}, 'Entities: ' || sum(n), string_agg('- ' || type || ': ' || n, {_NL} ORDER BY n DESC, type)) AS text FROM (SELECT graph, type, count(*) AS n FROM ents GROUP BY 1, 2) GROUP BY 1"
@@ -193,6 +229,6 @@ SQL = {
     "version_compare": """SELECT p_partkey, p_size || '.' || p_partkey % 7 || '.' || p_partkey % 3 AS version,
         CASE WHEN [p_size::BIGINT, p_partkey % 7, p_partkey % 3] < [25, 3, 0] THEN -1 WHEN [p_size::BIGINT, p_partkey % 7, p_partkey % 3] > [25, 3, 0] THEN 1 ELSE 0 END AS order_to_25_3 FROM part""",
     "watch_stream": "SELECT graph, file_path, arg_max(hash_value, updated_at) AS hash_value FROM source_files WHERE hash_value IS NOT NULL GROUP BY 1, 2",
-    "docstring_truncate": over("SELECT graph, id, CASE WHEN length(docstring) > 40 THEN left(docstring, 40) || '...' ELSE docstring END AS docstring FROM ents"),
+    "docstring_truncate": over("SELECT graph, id, CASE WHEN length(docstring) > 200 THEN left(docstring, 200) || '...' ELSE docstring END AS docstring, left(docstring, 200) AS short FROM ents"),
     "identifier_words": over("SELECT graph, id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(name), '[a-z]+'))), ' '), '') AS words FROM ents"),
 }

@@ -23,7 +23,7 @@ def sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits with the impact that a change of each would have."""
-    g = KnowledgeGraph.from_tables(spark, sf_dir)
+    g = KnowledgeGraph.current(spark, sf_dir)
     hits = search.semantic_search(g, "load queue", limit=20)
     risks = traverse.impact(g, hits.select("graph", hits["id"].alias("root")), 3).withColumnRenamed("score", "impact_score").withColumnRenamed("root", "id")
     return hits.join(risks, ["graph", "id"])

@@ -53,8 +53,9 @@ class _Reader(DataSourceReader):
 
     def _open(self):
         import sqlite3
+        from urllib.parse import quote
 
-        con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        con = sqlite3.connect(f"file:{quote(self.path)}?mode=ro", uri=True)
         con.execute("PRAGMA busy_timeout = 5000")
         return con
 

@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import extension, glob_regex
 from graphloom.operators.mutate import classify_files
 
-# Folders that are left out unless asked for.
-IGNORED = ["**/node_modules/**", "**/.git/**", "**/__pycache__/**", "**/.venv/**", "**/dist/**", "**/build/**"]
+# What is left out unless asked for.
+IGNORED = [
+    "*.pyc",
+    "__pycache__",
+    "node_modules",
+    ".git",
+    ".venv",
+    "venv",
+    "dist",
+    "build",
+]
 
 
-def scan(spark: SparkSession, folder: str, patterns: list[str] | None = None, exclude: list[str] | None = None, max_kb: int = 1024, graph: str = "local") -> DataFrame:
-    """(graph, file_path, source_text, hash_value, updated_at) of the files under a folder.
+def listed(spark: SparkSession, folder: str, patterns: list[str] | None = None, exclude: list[str] | None = None, max_kb: int | None = 1024, graph: str = "local") -> DataFrame:
+    """(graph, file_path, extension, n_bytes, updated_at, skipped, content) of the files under a folder.
 
-    Paths are relative to the folder; patterns and exclusions are globs, an exclusion without a
-    slash also meets base names.  Files above ``max_kb`` are left out.
+    Paths are relative to the folder; patterns and exclusions are globs, one without a slash
+    meets base names, and the ignored ones any part of the path.  skipped is null for files
+    that are read, else ``unwanted``, ``ignored``, ``excluded`` or ``too large`` (above ``max_kb``).
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = "/" + folder.replace("file://", "").strip("/") + "/"
     path = F.regexp_replace("path", r"^file:/*", "/")
-    rows = rows.select(F.substr(path, F.lit(len(root) + 1)).alias("file_path"), "content", "length", F.col("modificationTime").alias("updated_at")).where(F.col("length") <= max_kb * 1024)
-    wanted = F.lit(False)
-    for p in patterns or ["**/*.py"]:
-        wanted = wanted | F.col("file_path").rlike(glob_regex(p))
-    for p in [*IGNORED, *(exclude or [])]:
-        wanted = wanted & ~F.col("file_path").rlike(glob_regex(p))
-        if "/" not in p:
-            wanted = wanted & ~F.regexp_extract("file_path", r"([^/]*)$", 1).rlike(glob_regex(p))
-    return rows.where(wanted).select(
-        F.lit(graph).alias("graph"), "file_path", F.decode("content", "UTF-8").alias("source_text"), F.sha2("content", 256).alias("hash_value"), "updated_at", extension(F.col("file_path")).alias("extension")
-    )
+    root = "/" + folder.replace("file://", "").strip("/") + "/"
+    # A single file is known by its name.
+    inside = F.when(F.startswith(path, F.lit(root)), F.substr(path, F.lit(len(root) + 1))).otherwise(F.regexp_extract(path, r"([^/]*)$", 1))
+    rows = rows.select(inside.alias("file_path"), "content", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("updated_at"))
+    base = F.regexp_extract("file_path", r"([^/]*)$", 1)
+
+    def meets(pattern: str):
+        on = F.col("file_path").rlike(glob_regex(pattern))
+        return on if "/" in pattern else on | base.rlike(glob_regex(pattern))
+
+    any_of = lambda tests: functools.reduce(lambda a, b: a | b, tests, F.lit(False))
+    ignored = any_of(F.col("file_path").rlike(glob_regex(f"**/{p}")) | F.col("file_path").rlike(glob_regex(f"**/{p}/**")) for p in IGNORED)
+    skipped = F.when(ignored, "ignored").when(any_of(map(meets, exclude or [])), "excluded").when(~any_of(map(meets, patterns or ["**/*.py"])), "unwanted")
+    if max_kb is not None:
+        skipped = skipped.when(F.col("n_bytes") > max_kb * 1024, "too large")
+    return rows.select(F.lit(graph).alias("graph"), "file_path", extension(F.col("file_path")).alias("extension"), "n_bytes", "updated_at", skipped.alias("skipped"), "content")
+
+
+def scan(spark: SparkSession, folder: str, patterns: list[str] | None = None, exclude: list[str] | None = None, max_kb: int | None = 1024, graph: str = "local") -> DataFrame:
+    """(graph, file_path, source_text, hash_value, updated_at, extension) of the files that are read; ``skipped_files`` has the others."""
+    rows = listed(spark, folder, patterns, exclude, max_kb, graph).where("skipped is null")
+    return rows.select("graph", "file_path", F.decode("content", "UTF-8").alias("source_text"), F.sha2("content", 256).alias("hash_value"), "updated_at", "extension")
+
+
+def skipped_files(spark: SparkSession, folder: str, patterns: list[str] | None = None, exclude: list[str] | None = None, max_kb: int | None = 1024, graph: str = "local") -> DataFrame:
+    """(graph, file_path, n_bytes, skipped): wanted files that are not read, with the reason; contents are not loaded."""
+    return listed(spark, folder, patterns, exclude, max_kb, graph).where("skipped is not null and skipped <> 'unwanted'").select("graph", "file_path", "n_bytes", "skipped")
 
 
 def changes(current: DataFrame, ledger: DataFrame) -> DataFrame:

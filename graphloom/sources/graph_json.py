@@ -27,14 +27,24 @@ def read_graphs(spark: SparkSession, path: str) -> KnowledgeGraph:
     return from_documents(files)
 
 
+#: What an entity has beyond the columns of the graph; kept as JSON in extra_data.
+EXTRA = "parameters array<array<string>>, return_type string, decorators array<string>, is_async boolean, class_id string, bases array<string>, exports array<string>"
+_EXTRA = [x.split()[0] for x in EXTRA.split(", ")]
+
+
 def from_documents(files: DataFrame) -> KnowledgeGraph:
-    """A graph from rows (graph, entities, relationships, file_hashes) of the schema above."""
+    """A graph from rows (graph, entities, relationships, file_hashes) of the schema above.
+
+    rel_id is unique over all graphs and follows the order in the file; edges keep their metadata.
+    """
+    extra = F.to_json(F.struct(*[F.col(f"e.{c}").alias(c) for c in _EXTRA]))
     e = files.select("graph", F.posexplode("entities").alias("pos", "e")).select(
         "graph", F.col("pos").cast("long").alias("seq"), canonical(F.col("e.id")).alias("id"), "e.name", "e.type", F.col("e.location.file").alias("file_path"), F.col("e.location.line").alias("line"),
-        F.col("e.location.column").alias("col"), "e.docstring", "e.scope", F.to_json(F.struct("e.parameters", "e.return_type", "e.decorators", "e.is_async", "e.bases", "e.exports")).alias("extra_data"),
+        F.col("e.location.column").alias("col"), "e.docstring", "e.scope", F.nullif(extra, F.lit("{}")).alias("extra_data"),
     )
+    number = F.shiftleft(F.pmod(F.xxhash64("graph"), F.lit(1 << 31)), 32) + F.col("pos")
     r = files.select("graph", F.posexplode("relationships").alias("pos", "r")).select(
-        F.col("pos").cast("long").alias("rel_id"), "graph", canonical(F.col("r.source_id")).alias("source_id"), canonical(F.col("r.target_id")).alias("target_id"), canonical(F.col("r.type")).alias("type")
+        number.alias("rel_id"), "graph", canonical(F.col("r.source_id")).alias("source_id"), canonical(F.col("r.target_id")).alias("target_id"), canonical(F.col("r.type")).alias("type"), "r.metadata"
     )
     h = files.select("graph", F.explode("file_hashes").alias("file_path", "hash_value"))
     return KnowledgeGraph(e, r, h)
@@ -43,27 +53,45 @@ def from_documents(files: DataFrame) -> KnowledgeGraph:
 def to_documents(g: KnowledgeGraph, per_document: int = 20_000) -> DataFrame:
     """(graph, part, document): each graph as JSON texts for exchange; the native form is Parquet.
 
-    A graph above ``per_document`` entities is cut into parts by the hash of its ids, edges going
-    with their source, so that no text has to hold a whole graph.
+    A graph above ``per_document`` entities or edges is cut into parts, entities by the hash of
+    their ids and edges by that of rel_id, so that no text has to hold a whole graph or all
+    edges of a hub.
     """
-    parts = g.entities.groupBy("graph").agg(F.ceil(F.count(F.lit(1)) / per_document).alias("parts"))
-    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
-    extra = F.from_json("extra_data", "parameters array<array<string>>, return_type string, is_async boolean")
-    item = F.struct("seq", F.struct("id", "name", "type", F.struct(F.col("file_path").alias("file"), "line", F.col("col").alias("column")).alias("location"), "docstring", "scope", extra["parameters"].alias("parameters"), extra["return_type"].alias("return_type")).alias("e"))
-    nodes = g.entities.join(parts, "graph").groupBy("graph", part("id")).agg(F.array_sort(F.collect_list(item)).alias("x")).select("graph", "part", F.transform("x", lambda v: v["e"]).alias("entities"))
-    edge = F.struct("rel_id", F.struct("source_id", "target_id", "type").alias("r"))
-    edges = g.relationships.where("graph is not null").join(parts, "graph", "left").groupBy("graph", part("source_id")).agg(F.array_sort(F.collect_list(edge)).alias("x")).select("graph", "part", F.transform("x", lambda v: v["r"]).alias("relationships"))
-    out = nodes.join(edges, ["graph", "part"], "full_outer")
+    nodes, edges = g.entities.where("graph is not null"), g.relationships.where("graph is not null")
+    sizes = lambda rows: rows.groupBy("graph").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per_document)).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int").alias("part")
+    extra = F.from_json("extra_data", EXTRA)
+    place = F.struct(F.col("file_path").alias("file"), "line", F.col("col").alias("column")).alias("location")
+    item = F.struct("seq", "id", F.struct("id", "name", "type", place, "docstring", "scope", *[extra[c].alias(c) for c in _EXTRA]).alias("e"))
+    entities = nodes.join(sizes(nodes), "graph").groupBy("graph", part("id")).agg(F.array_sort(F.collect_list(item)).alias("x")).select("graph", "part", F.transform("x", lambda v: v["e"]).alias("entities"))
+    metadata = F.col("metadata") if "metadata" in edges.columns else F.lit(None).cast("map<string,string>").alias("metadata")
+    edges = edges.withColumn("metadata", F.transform(F.map_entries(metadata), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))
+    edge = F.struct("rel_id", "source_id", "target_id", "type", "metadata")
+    as_edge = lambda v: F.struct(v["source_id"].alias("source_id"), v["target_id"].alias("target_id"), v["type"].alias("type"), F.map_from_entries(v["metadata"]).alias("metadata"))
+    links = edges.join(sizes(edges), "graph").groupBy("graph", part("rel_id")).agg(F.array_sort(F.collect_list(edge)).alias("x")).select("graph", "part", F.transform("x", as_edge).alias("relationships"))
+    out = entities.join(links, ["graph", "part"], "full_outer")
     if g.file_hashes is not None:
-        hashes = g.file_hashes.where("graph is not null").join(parts, "graph", "left").groupBy("graph", part("file_path")).agg(F.map_from_entries(F.collect_list(F.struct("file_path", "hash_value"))).alias("file_hashes"))
+        files = g.file_hashes.where("graph is not null")
+        hashes = files.join(sizes(files), "graph").groupBy("graph", part("file_path")).agg(F.map_from_entries(F.collect_list(F.struct("file_path", "hash_value"))).alias("file_hashes"))
         out = out.join(hashes, ["graph", "part"], "full_outer")
     return out.select("graph", "part", F.to_json(F.struct(*[c for c in out.columns if c not in ("graph", "part")])).alias("document"))
 
 
+def write_json(g: KnowledgeGraph, path: str) -> None:
+    """One folder ``graph=...`` per graph with its documents as text files."""
+    to_documents(g).select("graph", "document").write.mode("overwrite").partitionBy("graph").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> KnowledgeGraph:
+    """What ``write_json`` wrote."""
+    parsed = spark.read.text(path).select(F.col("graph").cast("string").alias("graph"), F.from_json("value", " ".join(SCHEMA.split())).alias("p"))
+    return from_documents(parsed.select("graph", "p.*"))
+
+
 def write_parquet(g: KnowledgeGraph, path: str) -> None:
-    """The native form: partitioned by graph, sorted within files so that statistics prune lookups."""
-    g.entities.repartition("graph", "type").sortWithinPartitions("graph", "name").write.mode("overwrite").partitionBy("graph").parquet(f"{path}/entities")
-    g.relationships.repartition("graph", "type").sortWithinPartitions("graph", "source_id").write.mode("overwrite").partitionBy("graph").parquet(f"{path}/relationships")
+    """The native form: partitioned by graph, cut by ranges of keys so that a large graph is many files, sorted so that statistics prune lookups."""
+    g.entities.repartitionByRange("graph", "id").sortWithinPartitions("graph", "id").write.mode("overwrite").partitionBy("graph").parquet(f"{path}/entities")
+    g.relationships.repartitionByRange("graph", "source_id", "rel_id").sortWithinPartitions("graph", "source_id").write.mode("overwrite").partitionBy("graph").parquet(f"{path}/relationships")
     if g.file_hashes is not None:
         g.file_hashes.write.mode("overwrite").parquet(f"{path}/file_hashes")
 
@@ -75,29 +103,46 @@ def read_parquet(spark: SparkSession, path: str) -> KnowledgeGraph:
     return KnowledgeGraph(spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/relationships"), kept)
 
 
+_POINTER = "current."
+
+
+def _versions(fs, jvm, path: str) -> list[int]:
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removeprefix(_POINTER)) for n in names if n.startswith(_POINTER) and n.removeprefix(_POINTER).isdigit())
+
+
 def commit_version(g: KnowledgeGraph, path: str) -> str:
     """Write a new version of a stored graph beside the old ones and then switch to it.
 
-    Readers see the old version until the pointer is renamed into place; a failed write leaves
-    it as it was.
+    Each switch is a new pointer file of the next number, and the greatest number counts: no
+    pointer is ever deleted or changed, so that readers see the old version until the new one is
+    there, and a failed write leaves it as it was.  Of two writers one gets the number.
     """
     version = f"{path}/versions/{uuid.uuid4().hex}"
     write_parquet(g, version)
     fs, jvm = _file_system(g.entities.sparkSession, path)
-    fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/fresh.{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(f"{path}/current.txt")
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/fresh.{uuid.uuid4().hex}")
     out = fs.create(fresh)
     out.writeBytes(version)
     out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
-        raise OSError(f"cannot switch {path} to {version}")
+    # A rename does not overwrite: it fails where another writer was first.
+    number = max(_versions(fs, jvm, path), default=0) + 1
+    while not fs.rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{path}/{_POINTER}{number:012d}")):
+        if not fs.exists(fresh):
+            raise OSError(f"cannot switch {path} to {version}")
+        taken = max(_versions(fs, jvm, path), default=0)
+        if taken < number:
+            raise OSError(f"cannot switch {path} to {version}")
+        number = taken + 1
     return version
 
 
 def read_current(spark: SparkSession, path: str) -> KnowledgeGraph:
     """The version that was committed last."""
-    return read_parquet(spark, spark.read.text(f"{path}/current.txt").first()[0])
+    fs, jvm = _file_system(spark, path)
+    last = _versions(fs, jvm, path)[-1]
+    return read_parquet(spark, spark.read.text(f"{path}/{_POINTER}{last:012d}").first()[0])
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.graph import KnowledgeGraph, clean_edges, current_entities
 from graphloom.operators import documentation, evolution, guidance, lookup, mutate, quality, search, traverse
-from graphloom.sources import graph_json
+from graphloom.sources import catalogue, graph_json
 
 T = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
 
@@ -117,14 +119,131 @@ def test_changes(g, spark):
 def test_texts_and_guidance(g, spark):
     assert {r.chosen for r in guidance.naming_conventions(g).where("type = 'method'").collect()} == {True}
     assert tuple(guidance.suggest_names(spark.createDataFrame([("create the new user profile page view",)], "task string")).first())[1:] == ("user_profile_page", "userProfilePage", "UserProfilePage")
-    for form in documentation.FORMATS:
-        assert "OrderStore" in documentation.documentation(g, form).where("id = 'c'").first().text
+    texts = {form: documentation.documentation(g, form).where("id = 'f1'").first().text for form in documentation.FORMATS}
+    assert texts["markdown"].endswith("## Dependencies\n\n### Calls\n- `load_order` (function)\n- `load_order` (function)\n") and texts["markdown"].startswith("# load_order\n\n**Type**: `method`  \n**File**: `src/app.py`  \n**Line**: 5\n\n## Description\n\nArgs:")
+    assert texts["jsdoc"] == "/**\n * Args:\n *   a: x\n *   b: y\n * \n * if\n *\n * @type {method}\n * @file src/app.py\n * @see load_order\n * @see load_order\n */"
+    assert documentation.documentation(g, "google").where("id = 'f2'").first().text == '"""\nsave_order\n\nAttributes:\n    load_order: function\n"""'
+    assert texts["numpy"].endswith('\n\nSee Also\n--------\nload_order : function\nload_order : function\n"""') and texts["sphinx"].endswith(':type: method\n:file: src/app.py\n:seealso: :class:`load_order`\n:seealso: :class:`load_order`\n"""')
+    used = documentation.documentation(g).where("id = 'c'").first().text
+    assert used.endswith("## Used By\n\n") and "Usage Examples" not in used  # the only caller is no entity
+    assert "Usage Examples" in documentation.documentation(g).where("id = 'f3'").first().text and "Usage Examples" not in documentation.documentation(g, include_examples=False).where("id = 'f3'").first().text
+    assert guidance.suggest_names(spark.createDataFrame([("create the new",)], "task string"), "function").first().snake_case == "new_function" and guidance.template("other") == guidance.TEMPLATES["module"]
     log = spark.createDataFrame([("f", 1, T(1), 100, 1), ("f", 2, T(2), 600, 2), ("h", 1, T(1), 1, 3)], "file_path string, author long, at timestamp, lines long, commit_id long")
     assert {r.file_path: r.score for r in evolution.hotspots(log).collect()}["f"] == pytest.approx(0.5 * 2 / 30 + 0.3 * 2 / 5 + 0.2)
     row = spark.range(1).select(text.version_order(F.lit("1.10"), F.lit("1.9")).alias("a"), text.version_order(F.lit("1"), F.lit("1.0")).alias("b"), text.version_order(F.lit("1.x"), F.lit("2")).alias("c"), (text.semver_key(F.lit("1.0.0-alpha.2")) < text.semver_key(F.lit("1.0.0"))).alias("d"), (text.semver_key(F.lit("1.0.0-alpha.2")) < text.semver_key(F.lit("1.0.0-alpha.10"))).alias("e")).first()
     assert tuple(row) == (1, 0, 0, True, True)
 
 
+def rough(spark, n, edges, seed):
+    """A random graph with loops, hubs and parallel edges."""
+    rng = random.Random(seed)
+    name = lambda i: f"n{i:02d}"
+    links = [(k, name(rng.randrange(n)), name(rng.choice([0, rng.randrange(n)]) if rng.random() < 0.3 else rng.randrange(n))) for k in range(edges)]
+    e = spark.createDataFrame([("g", i, name(i), name(i), "class", "f", 1, 0, None, None, None) for i in range(n)], "graph string, seq long, id string, name string, type string, file_path string, line int, col int, docstring string, scope string, extra_data string")
+    r = spark.createDataFrame([(k, "g", a, b, rng.choice(["calls", "contains"])) for k, a, b in links], "rel_id long, graph string, source_id string, target_id string, type string")
+    return KnowledgeGraph(e, r), links, [name(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_walks_against_brute_force(spark, seed):
+    g, links, names = rough(spark, 14, 22, seed)
+    roots = names[:6]
+
+    def chains(node, path, out):
+        into = [a for _, a, b in links if b == node]
+        if not into and len(path) > 1:
+            out.append(" < ".join(path))
+        for a in into[:5]:
+            if a not in path:
+                chains(a, [*path, a], out)
+        return out
+
+    df = spark.createDataFrame([("g", r) for r in roots], "graph string, root string")
+    got = {r: [] for r in roots}
+    for row in traverse.critical_paths(g, df, limit=4).orderBy("root", "place").collect():
+        got[row.root].append(row.path)
+    assert got == {r: chains(r, [r], [])[:4] for r in roots}
+
+    def visit(node, depth, seen, out):
+        for _, a, b in [x for x in links if x[1] == node][: traverse.PER_NODE]:
+            if b not in seen and depth < 2:
+                seen.add(b)
+                out.append((b, depth + 1))
+                visit(b, depth + 1, seen, out)
+        return out
+
+    steps = {r: [] for r in roots}
+    for row in traverse.navigate_depth_first(g, df).orderBy("root", "place").collect():
+        steps[row.root].append((row.id, row.depth))
+    assert steps == {r: visit(r, 0, {r}, []) for r in roots}
+
+    near = {x: sorted({b for _, a, b in links if a == x} | {a for _, a, b in links if b == x}) for x in names}
+
+    def shortest(a, b):
+        layer = {a: [a]}
+        seen = {a}
+        while layer:
+            if b in layer:
+                return layer[b]
+            ahead = {}
+            for x in sorted(layer, key=lambda k: layer[k]):
+                for y in near[x]:
+                    if y not in seen and y not in ahead:
+                        ahead[y] = [*layer[x], y]
+            seen |= set(ahead)
+            layer = ahead
+        return None
+
+    pairs = [(a, b) for a in roots for b in names if near[a]]
+    found = {(r.source, r.target): list(r.path) for r in traverse.shortest_paths(g, spark.createDataFrame([("g", *p) for p in pairs], "graph string, source string, target string")).collect()}
+    assert found == {p: w for p in pairs if (w := shortest(*p))}
+
+
+def test_cohesion_in_blocks(spark):
+    g, _, _ = rough(spark, 30, 200, 9)
+    want = sorted(tuple(r) for r in quality.cohesion(g).collect())
+    assert any(r[3] for r in want) and sorted(tuple(r) for r in quality.cohesion(g, pair_rows=0).collect()) == want
+
+
+def test_thinning_goes_down_the_whole_ranking(spark):
+    names = ["load"] * 700 + ["queue", "loader", "reload", "my_queue", "load queue", "Queue"]
+    e = spark.createDataFrame([("p", i, f"e{i}", x, "class", "f", 1, 0, None, None, None) for i, x in enumerate(names)], "graph string, seq long, id string, name string, type string, file_path string, line int, col int, docstring string, scope string, extra_data string")
+    g = KnowledgeGraph(e, e)
+    assert [r.name for r in search.hybrid_search(g, "load queue", "p").orderBy("place").collect()] == ["load queue", "my_queue"]
+    ranked = [(r.id, r.name.lower()) for r in search.hybrid_ranked(g, "load", "p").orderBy(F.desc("score"), "graph", "seq").collect()]
+    kept = []
+    for i, x in ranked:
+        if not any(x in k or k in x for _, k in kept):
+            kept.append((i, x))
+    assert [(r.id, r.name.lower()) for r in search.hybrid_search(g, "load", "p").orderBy("place").collect()] == kept[:20]
+
+
+def test_labels_stop(spark):
+    g, _, names = rough(spark, 14, 22, 3)
+    found = {r.id: r.community for r in traverse.communities(g).collect()}
+    assert set(found) <= set(names) and set(found.values()) <= set(names)
+    pair = KnowledgeGraph(g.entities, g.relationships.limit(0).unionByName(spark.createDataFrame([(1, "g", "n01", "n02", "calls")], g.relationships.schema)))
+    assert {r.id: r.community for r in traverse.communities(pair).collect()} == {"n01": "n01", "n02": "n01"}
+
+
+def test_refresh_and_edges(g, spark):
+    fresh = spark.createDataFrame([(1, "p", "m", "c", "contains"), (99, "p", "c", "f3", "calls")], g.relationships.schema)
+    more, again = mutate.add_edges(g, fresh)
+    assert more.relationships.count() == 10 and again.count() == 1
+    changed, missing = mutate.update_entities(g, g.entities.where("id in ('x', 'c')").withColumn("id", F.when(F.col("id") == "x", "nobody").otherwise(F.col("id"))).withColumn("name", F.lit("new")))
+    assert missing.count() == 1 and changed.entities.where("name = 'new'").count() == 1 and changed.entities.count() == 6
+    assert mutate.clear(g).entities.count() == 0
+    parsed = KnowledgeGraph(g.entities.where("id in ('m', 'c')"), g.relationships.where("rel_id = 1"), g.file_hashes)
+    status = spark.createDataFrame([("p", "src/app.py", "changed")], "graph string, file_path string, status string")
+    after = mutate.refresh(g, parsed, status)
+    assert ids(after.entities) == ["c", "m", "x"] and sorted(r.rel_id for r in after.relationships.collect()) == [1, 9]
+    log = spark.createDataFrame([("src/app.py", 1, T(1), 100, 1), ("src/app.py", 2, T(300), 600, 2)], "file_path string, author long, at timestamp, lines long, commit_id long")
+    assert {(r.id, r.commits) for r in evolution.entity_history(g, log, until=T(301)).collect()} == {(i, 1) for i in ("m", "c", "f1", "f2", "f3")}
+    assert [(r.id, r.commits) for r in evolution.graph_hotspots(g, log).collect()] == [("m", 2)]
+    label = lookup.relation_label(g, spark.createDataFrame([("p", "c", "m"), ("p", "m", "c"), ("p", "m", "f3")], "graph string, a string, b string"))
+    assert {(r.a, r.b): r.label for r in label.collect()} == {("c", "m"): "inverse_contains", ("m", "c"): "contains", ("m", "f3"): "related"}
+
+
 def test_json_round_trip(g, tmp_path, spark):
     for r in graph_json.to_documents(g).collect():
         (tmp_path / f"{r.graph}.json").write_text(r.document)
@@ -135,3 +254,42 @@ def test_json_round_trip(g, tmp_path, spark):
     for part in (g.only("q"), g):
         graph_json.commit_version(part, f"file://{tmp_path}/versioned")
     assert ids(graph_json.read_current(spark, f"file://{tmp_path}/versioned").entities) == ids(g.entities)
+    assert sorted(x.name for x in (tmp_path / "versioned").glob("current.*")) == ["current.000000000001", "current.000000000002"]
+
+
+def test_no_field_of_a_graph_file_is_lost(tmp_path, spark):
+    whole = {
+        "entities": [
+            {"id": "a", "name": "A", "type": "class", "location": {"file": "a.py", "line": 1, "column": 2}, "docstring": "d", "bases": ["B"], "decorators": ["x"]},
+            {"id": "f", "name": "f", "type": "method", "location": {"file": "a.py", "line": 3, "column": 4}, "parameters": [["p", "int"], ["q", None]], "return_type": "str", "is_async": True, "class_id": "a", "decorators": []},
+            {"id": "m", "name": "m", "type": "module", "location": {"file": "a.py", "line": 1, "column": 0}, "exports": ["A", "f"], "scope": "s"},
+        ],
+        "relationships": [{"source_id": "a", "target_id": "f", "type": "contains", "metadata": {"k": "v"}}, {"source_id": "f", "target_id": "a", "type": "calls"}],
+        "file_hashes": {"a.py": "h"},
+    }
+    (tmp_path / "in").mkdir()
+    for name in ("one", "two"):
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps(whole))
+    g = graph_json.read_graphs(spark, str(tmp_path / "in"))
+    assert g.relationships.select("rel_id").distinct().count() == 4
+    for per_document in (20_000, 1):
+        back = graph_json.to_documents(g, per_document)
+        parts = [json.loads(r.document) for r in back.where("graph = 'one'").collect()]
+        for key in ("entities", "relationships"):
+            assert sorted((json.dumps(x, sort_keys=True) for p in parts for x in p.get(key, ()))) == sorted(json.dumps(x, sort_keys=True) for x in whole[key])
+        assert [p["file_hashes"] for p in parts if p.get("file_hashes")] == [whole["file_hashes"]]
+    graph_json.write_json(g, str(tmp_path / "out"))
+    again = graph_json.read_json(spark, str(tmp_path / "out"))
+    columns = ["graph", "id", "name", "docstring", "line", "col", "scope", "extra_data"]
+    assert sorted(map(str, again.entities.select(columns).collect())) == sorted(map(str, g.entities.select(columns).collect()))
+    assert sorted(map(str, again.relationships.select("graph", "source_id", "target_id", "type", F.to_json("metadata")).collect())) == sorted(map(str, g.relationships.select("graph", "source_id", "target_id", "type", F.to_json("metadata")).collect()))
+
+
+def test_catalogue_summaries(tmp_path, spark):
+    entry = {"language": "dart", "entities": "12", "relationships": 5, "entity_types": {"module": 1, "method": {"total": 2}}}
+    (tmp_path / "list.json").write_text(json.dumps({"frameworks": [{"name": "My Kit", **entry}, {"entity_count": 3}]}))
+    (tmp_path / "named.json").write_text(json.dumps({"frameworks": {"other": entry}}))
+    (tmp_path / "broken.json").write_text('{"frameworks": [')
+    found = catalogue.read_summary(spark, str(tmp_path))
+    assert {(r.name, r.entities, r.relationships) for r in found.collect()} == {("my-kit", 12, 5), ("", 3, 0), ("other", 12, 5)}
+    assert catalogue.framework_info(found, "other").first().entity_types == {"module": 1, "method": None}
