@@ -1,151 +1,214 @@
-"""Declarations in source files, found by patterns per language, line by line.
+"""Entities and relationships from source files: one pass over each file gives all its facts.
 
-Each file is exploded into lines once.  One pattern finds declaring keywords in any language, a
-literal map tells what a keyword declares for the file's extension, and a few patterns per
-extension find the rest.  Entities carry their kind, name, place and
-indentation; the enclosing entity is the last one above with a smaller indentation, by a window
-over the file.  Ids are content-addressed, so that a second run gives the same ids.
+Python files go through the interpreter's own syntax tree, all others (and Python files that do
+not parse) through the scanner of ``functions.scan``.  A fact is an entity with its content
+(documentation, parameters, return type, decorators, bases, enclosing entity) or a relationship.
+Ids are content-addressed, so that a second run gives the same ids; ``seq`` follows the files'
+order and the place in the file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import ast
+import hashlib
+import itertools
+import re
+import warnings
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions import text
-
-_MODS = r"(?:(?:export|default|declare|public|private|protected|static|final|abstract|async|override|virtual|inline|internal|open|sealed|data|suspend|unsafe|const|case|mutable|local|pub(?:\([a-z]+\))?)\s+)*"
-_TYPE = r"[A-Za-z_][\w.]*(?:<[^()]*>)?(?:\[\])*\??"
-
-# Extensions, and the kind that each declaring keyword stands for there.
-KEYWORDS = [
-    (".py .pyi", "class=class def=function"),
-    (".js .jsx .mjs", "class=class function=function"),
-    (".ts .tsx", "class=class function=function interface=interface type=type enum=enum"),
-    (".java .cs .groovy", "class=class interface=interface enum=enum struct=struct record=class"),
-    (".kt .kts", "class=class interface=interface fun=function object=class"),
-    (".scala", "class=class object=class trait=trait def=function"),
-    (".swift", "class=class struct=struct protocol=interface enum=enum func=function"),
-    (".php", "class=class interface=interface trait=trait enum=enum function=function"),
-    (".go", "func=function"),
-    (".rs", "fn=function struct=struct trait=trait enum=enum mod=module type=type"),
-    (".dart", "class=class mixin=class enum=enum extension=class"),
-    (".rb", "class=class module=module def=method"),
-    (".c .h .cpp .cc .hpp", "struct=struct class=class namespace=module enum=enum"),
-    (".lua", "function=function"),
-    (".hs", "data=class newtype=class class=class"),
-    (".ex .exs", "defmodule=module def=function defp=function defprotocol=interface"),
-    (".jl", "function=function struct=struct module=module macro=function"),
-    (".zig", "fn=function"),
-]
-_WORDS = sorted({w.split("=")[0] for _, ws in KEYWORDS for w in ws.split()}, key=len, reverse=True)
-KEYWORD = rf"^\s*{_MODS}({'|'.join(_WORDS)})\s+(?:self\.|&)?([\w.:]+[?!]?)"
-
-# Extensions, kind and pattern of declarations without such a keyword, the name as first group.
-PATTERNS = [
-    (".js .jsx .mjs .ts .tsx", "function", r"^\s*(?:export\s+)?const\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\(|\w+\s*=>)"),
-    (".js .jsx .mjs .ts .tsx", "method", r"^\s+(?:(?:static|async|get|set|public|private|protected|readonly)\s+)*(?!(?:if|for|while|switch|catch|return|function)\b)([A-Za-z_$][\w$]*)\s*\((?:[^()]*\)\s*(?::[^{]*)?\{|$)"),
-    (".java .cs .groovy", "method", rf"^\s+{_MODS}(?:<[^>]*>\s+)?(?!(?:return|new|else|throw)\b){_TYPE}\s+(\w+)\s*\((?:[^;=]*\)\s*(?:throws[^{{]*)?\{{|$)"),
-    (".dart", "function", rf"^\s*{_MODS}(?!(?:return|new|else|throw|await)\b){_TYPE}\s+(\w+)\s*\([^;=]*\)\s*(?:async\s*)?(?:\{{|=>)"),
-    (".go", "method", r"^func\s+\([^)]*\)\s*(\w+)"),
-    (".go", "struct", r"^\s*type\s+(\w+)\s+struct\b"),
-    (".go", "interface", r"^\s*type\s+(\w+)\s+interface\b"),
-    (".c .h .cpp .cc .hpp .m", "function", r"^(?!\s)(?:static\s+|inline\s+)*[A-Za-z_][\w\s*:<>,]*?\b(\w+)\s*\([^;]*\)\s*\{"),
-    (".m .mm", "class", r"^\s*@(?:interface|implementation|protocol)\s+(\w+)"),
-    (".m .mm", "method", r"^\s*[-+]\s*\([^)]*\)\s*(\w+)"),
-    (".hs", "function", r"^([a-z]\w*)\s*::"),
-    (".sql", "class", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?([\w.]+)"),
-    (".sql", "function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:unique\s+)?(?:function|procedure|index|trigger)\s+(?:if\s+not\s+exists\s+)?([\w.]+)"),
-    (".zig", "class", r"^\s*(?:pub\s+)?const\s+(\w+)\s*=\s*(?:struct|enum|union)\b"),
-    (".yaml .yml", "module", r"^\s*(?:-\s+)?([\w.-]+)\s*:(?:\s|$)"),
-]
-
-# Extensions and patterns of import lines with the module as first group.
-IMPORTS = [
-    (".py .pyi", r"^\s*(?:from|import)\s+([\w.]+)"),
-    (".js .jsx .mjs .ts .tsx", r"""^\s*import\b.*?['"]([^'"]+)['"]"""), (".js .jsx .mjs .ts .tsx", r"""\brequire\(['"]([^'"]+)['"]\)"""),
-    (".java .kt .scala .groovy", r"^\s*import\s+(?:static\s+)?([\w.]+)"), (".cs", r"^\s*using\s+([\w.]+)\s*;"), (".php", r"^\s*use\s+([\w\\]+)"),
-    (".go", r'^\s*import\s+(?:\w+\s+)?"([^"]+)"'), (".rs", r"^\s*(?:pub\s+)?use\s+([\w:]+)"), (".rb", r"""^\s*require(?:_relative)?\s+['"]([^'"]+)['"]"""),
-    (".dart", r"""^\s*import\s+['"]([^'"]+)['"]"""), (".c .h .cpp .cc .hpp .m .mm", r'^\s*#\s*(?:include|import)\s+[<"]([^>"]+)'), (".swift", r"^\s*import\s+(\w+)"),
-    (".lua", r"""\brequire\s*\(?['"]([^'"]+)['"]"""), (".hs", r"^\s*import\s+(?:qualified\s+)?([\w.]+)"), (".zig", r'@import\("([^"]+)"\)'),
-]
-
-COMMENT = r"^\s*(?://|#(?!\[|\s*include|\s*import)|\*|/\*|--)"
-
-
-def source_lines(files: DataFrame) -> DataFrame:
-    """(file_id, graph, file_path, extension, line, content) of every line that is no comment line."""
-    normal = F.regexp_replace("source_text", "\r\n?", "\n")
-    rows = files.where("source_text is not null").select("file_id", "graph", "file_path", text.extension(F.col("file_path")).alias("extension"), F.posexplode(F.split(normal, "\n")).alias("n", "content"))
-    return rows.where(F.trim("content") != "").where(~F.col("content").rlike(COMMENT)).select("file_id", "graph", "file_path", "extension", (F.col("n") + 1).alias("line"), "content")
-
-
-def _pattern_hit(rows: list[tuple]) -> F.Column:
-    """The first pattern that fits among those of the line's extension: (kind, name), null if none does."""
-    cases = []
-    for extensions, kind, pattern in rows:
-        name = F.regexp_extract(F.col("content"), pattern, 1)
-        cases.append(F.when(F.col("extension").isin(*extensions.split()) & (name != ""), F.struct(F.lit(kind).alias("kind"), name.alias("name"))))
-    return F.coalesce(*cases)
-
-
-def _keyword_hit() -> F.Column:
-    kinds = [(f"{e} {w.split('=')[0]}", w.split("=")[1]) for es, ws in KEYWORDS for e in es.split() for w in ws.split()]
-    table = F.create_map(*[F.lit(x) for pair in kinds for x in pair])
-    kind = F.try_element_at(table, F.concat_ws(" ", "extension", F.regexp_extract("content", KEYWORD, 1)))
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.regexp_extract("content", KEYWORD, 2).alias("name")))
-
-
-def _exploded(lines: DataFrame, hit: F.Column) -> DataFrame:
-    """Lines with a hit; the generator keeps the patterns from being tried again in a filter."""
-    return lines.select(*lines.columns, F.explode(F.array_compact(F.array(hit))).alias("hit"))
-
-
-def declarations(files: DataFrame) -> DataFrame:
-    """(file_id, graph, file_path, line, indent, kind, name, id, parent_id): declarations with the enclosing one.
-
-    A function inside a class, struct, trait or interface is a method.  Null texts give no rows.
+from graphloom.functions import scan, text
+from graphloom.functions.scan import Declared
+from graphloom.graph import KnowledgeGraph
+from graphloom.session import spread
+
+FACTS = (
+    "file_id long, graph string, file_path string, extension string, fact string, place int, line int, col int, end_line int, kind string, name string, id string, parent_id string, "
+    "docstring string, parameters array<array<string>>, return_type string, decorators array<string>, bases array<string>, is_async boolean, target string"
+)
+_COLUMNS = [x.split()[0] for x in FACTS.replace("array<array<string>>", "a").split(", ")]
+_CALLABLE = ("function", "method")
+
+
+def entity_id(graph: str, path: str, kind: str, name: str, line: int) -> str:
+    return "ent_" + hashlib.sha256(f"{graph}|{path}|{kind}|{name}|{line}".encode("utf-8", "replace")).hexdigest()[:12]
+
+
+def module_id(graph: str, path: str) -> str:
+    return "mod_" + hashlib.sha256(f"{graph}|{path}".encode("utf-8", "replace")).hexdigest()[:12]
+
+
+def _python(source: str) -> tuple[list[Declared], set[tuple[int, int]], list[tuple[int, str]]] | None:
+    """(declarations, calls, imports) from the syntax tree; None if the text does not parse."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    starts = list(itertools.accumulate((len(x) for x in source.splitlines(keepends=True)), initial=0)) if "\f" not in source and "\x0b" not in source and source.isascii() else None
+    rows = source.split("\n")
+    starts = starts or list(itertools.accumulate((len(x) + 1 for x in rows), initial=0))
+    at = lambda line, col: starts[line - 1] + (col if source.isascii() else len(rows[line - 1].encode()[:col].decode("utf-8", "replace")))
+    out: list[Declared] = []
+    imports: list[tuple[int, str]] = []
+    called: list[tuple[int, str]] = []
+    stack: list[tuple[ast.AST, int | None, int | None]] = [(tree, None, None)]
+    while stack:
+        node, parent, owner = stack.pop()
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            is_class = isinstance(node, ast.ClassDef)
+            inside = parent is not None and out[parent].kind == "class"
+            kind = "class" if is_class else "method" if inside else "function"
+            parameters = None
+            if not is_class:
+                a = node.args
+                every = [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]
+                parameters = [(x.arg, ast.unparse(x.annotation) if x.annotation else None) for x in every if x.arg not in ("self", "cls") or not inside]
+            start = at(node.lineno, node.col_offset)
+            name_at = source.find(node.name, start)
+            out.append(
+                Declared(
+                    kind, node.name, start, name_at, at(node.end_lineno, node.end_col_offset), ast.get_docstring(node), parameters, ast.unparse(node.returns) if not is_class and node.returns else None,
+                    [ast.unparse(x) for x in node.decorator_list], [("inherits", ast.unparse(x)) for x in node.bases] if is_class else [], isinstance(node, ast.AsyncFunctionDef), parent,
+                )
+            )
+            parent = len(out) - 1
+            owner = owner if is_class else parent
+        elif isinstance(node, ast.Import):
+            imports += [(at(node.lineno, node.col_offset), x.name) for x in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            imports.append((at(node.lineno, node.col_offset), "." * node.level + (node.module or "")))
+        elif isinstance(node, ast.Call) and owner is not None:
+            f = node.func
+            called.append((owner, f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else ""))
+        stack += [(child, parent, owner) for child in reversed(list(ast.iter_child_nodes(node)))]
+    by_name = {d.name: i for i, d in sorted(enumerate(out), key=lambda x: x[1].start) if d.kind in _CALLABLE}
+    links = {(i, by_name[n]) for i, n in called if n in by_name and by_name[n] != i}
+    return out, links, sorted(imports)
+
+
+def file_facts(file_id: int, graph: str, path: str, source: str) -> Iterator[tuple]:
+    """The facts of one file in the order of FACTS; the module itself is the first."""
+    source = source.replace("\r\n", "\n").replace("\r", "\n")
+    base = path.rsplit("/", 1)[-1]
+    extension = "." + base.rsplit(".", 1)[-1].lower() if "." in base else ""
+    head = (file_id, graph, path, extension)
+    own = module_id(graph, path)
+    read = _python(source) if extension == ".py" else None
+    if read is None:
+        declared, masked = scan.scan(source, extension)
+        read = declared, scan.calls(declared, masked), scan.modules(source, masked, extension)
+    declared, links, imported = read
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    line_of = lambda at: bisect_line(breaks, at)
+    link = lambda n, relation, source_id, target, at=0: (*head, relation, n, line_of(at), None, None, None, None, source_id, None, None, None, None, None, None, None, target)
+    yield (*head, "entity", 0, 1, 0, len(breaks) + 1, "module", base, own, None, None, None, None, None, None, None, None)
+    # A block of implementations is the type that it is for.
+    types = {d.name: i for i, d in enumerate(declared) if d.kind in ("class", "interface", "trait", "struct", "enum", "type")}
+    ids: list[str] = []
+    for d in declared:
+        if d.kind == "impl":
+            ids.append(ids[types[d.name]] if d.name in types and types[d.name] < len(ids) else f"type:{d.name.lower()}")
+        else:
+            ids.append(entity_id(graph, path, d.kind, d.name, line_of(d.name_at)))
+    known = {name: ids[i] for name, i in types.items()}
+    n = 0
+    for i, d in enumerate(declared):
+        outer = ids[d.parent] if d.parent is not None else None
+        if d.kind != "impl":
+            n += 1
+            name_line = line_of(d.name_at)
+            col = d.start - (source.rfind("\n", 0, d.start) + 1)
+            parameters = [[a, b] for a, b in d.parameters] if d.parameters is not None else None
+            yield (*head, "entity", n, name_line, col, line_of(d.end), d.kind, d.name, ids[i], outer, d.docstring, parameters, d.return_type, d.decorators, [b for _, b in d.bases], d.is_async, None)
+            yield link(n, "contains", outer or own, ids[i], d.name_at)
+        for relation, name in d.bases:
+            yield link(n, relation, ids[i], known.get(name.split(".")[-1].split("::")[-1], f"external:{name.lower()}"), d.name_at)
+        used = {w for t in (*(b for _, b in d.parameters or ()), d.return_type) if t for w in re.findall(r"[A-Za-z_]\w*", t)}
+        for name in sorted(used & known.keys()):
+            if known[name] != ids[i]:
+                yield link(n, "uses_type", ids[i], known[name], d.name_at)
+    for a, b in sorted(links):
+        yield link(n, "calls", ids[a], ids[b], declared[a].name_at)
+    for at, module in imported:
+        yield link(n, "imports", own, f"external:{module.lower()}", at)
+
+
+def bisect_line(breaks: list[int], at: int) -> int:
+    import bisect
+
+    return bisect.bisect_left(breaks, at) + 1
+
+
+def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows: list[tuple] = []
+        for file_id, graph, path, source in zip(pdf["file_id"], pdf["graph"], pdf["file_path"], pdf["source_text"]):
+            rows += file_facts(file_id, graph or "", path, source)
+            if len(rows) > 20_000:
+                yield _frame(rows)
+                rows = []
+        yield _frame(rows)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    clean = lambda x: x.encode("utf-8", "replace").decode() if isinstance(x, str) and not x.isascii() else x
+    out = pd.DataFrame([tuple(map(clean, r)) for r in rows], columns=_COLUMNS)
+    for c in ("place", "line", "col", "end_line"):
+        out[c] = out[c].astype("Int32")
+    out["is_async"] = out["is_async"].astype("boolean")
+    return out
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """Rows of FACTS: entities and relationships of all files, in one pass.
+
+    files: file_id, graph, file_path, source_text.  Null texts and paths give nothing, empty texts
+    and unknown extensions their module alone; a text that does not parse gives what the scanner
+    finds; repeated files give repeated rows.
     """
-    lines = source_lines(files)
-    found = _exploded(lines, F.coalesce(_keyword_hit(), _pattern_hit(PATTERNS)))
-    indent = F.length(F.regexp_extract(F.regexp_replace("content", "\t", "    "), r"^(\s*)", 1))
-    d = found.select("file_id", "graph", "file_path", "line", indent.alias("indent"), "hit.kind", "hit.name")
-    key = F.sha2(F.concat_ws("|", "graph", "file_path", "kind", "name", F.col("line").cast("string")), 256)
-    d = d.withColumn("id", F.concat(F.lit("ent_"), F.substring(key, 1, 12)))
-    above = Window.partitionBy("file_id").orderBy("line", "indent").rowsBetween(Window.unboundedPreceding, -1)
-    # Containers seen so far; the last one that is indented less encloses the line.
-    outer = F.when(F.col("kind").isin("class", "struct", "trait", "interface", "module", "enum"), F.struct("line", "indent", "id", "kind"))
-    stack = F.collect_list(outer).over(above)
-    inside = F.filter(stack, lambda c: c["indent"] < F.col("indent"))
-    d = d.withColumn("parent", F.when(F.size(inside) > 0, F.element_at(inside, -1)))
-    kind = F.when((F.col("kind") == "function") & F.col("parent.kind").isin("class", "struct", "trait", "interface"), "method").otherwise(F.col("kind"))
-    return d.select("file_id", "graph", "file_path", "line", "indent", kind.alias("kind"), "name", "id", F.col("parent.id").alias("parent_id"))
-
-
-def imports(files: DataFrame) -> DataFrame:
-    """(file_id, graph, file_path, line, module): import lines of every language that has them."""
-    lines = source_lines(files)
-    return _exploded(lines, _pattern_hit([(e, "import", p) for e, p in IMPORTS])).select("file_id", "graph", "file_path", "line", F.col("hit.name").alias("module"))
-
-
-def calls(files: DataFrame) -> DataFrame:
-    """(graph, file_path, caller_id, callee_id): calls by bare name between functions of one file.
-
-    A call belongs to the last function above it; the last definition of a name counts;
-    recursion and repeated pairs are left out.
+    rows = files.where("source_text is not null and file_path is not null").select("file_id", "graph", "file_path", "source_text")
+    return spread(rows).mapInPandas(_facts, FACTS)
+
+
+def declarations(found: DataFrame) -> DataFrame:
+    """The entities among the facts, without the modules of the files themselves."""
+    columns = ["file_id", "graph", "file_path", "line", "col", "end_line", "kind", "name", "id", "parent_id", "docstring", "parameters", "return_type", "decorators", "bases", "is_async"]
+    return found.where("fact = 'entity' and place > 0").select(*columns)
+
+
+def links(found: DataFrame, *relations: str) -> DataFrame:
+    """(file_id, graph, file_path, line, source_id, type, target_id): the relationships among the facts, of the given types or all."""
+    rows = found.where(F.col("fact").isin(*relations)) if relations else found.where("fact <> 'entity'")
+    return rows.select("file_id", "graph", "file_path", "line", F.col("id").alias("source_id"), F.col("fact").alias("type"), F.col("target").alias("target_id"))
+
+
+def parse_totals(found: DataFrame) -> DataFrame:
+    """Per graph and extension: files, lines, entities, functions, relationships."""
+    module = (F.col("fact") == "entity") & (F.col("place") == 0)
+    return found.groupBy("graph", "extension").agg(
+        F.count_if(module).alias("files"), F.sum(F.when(module, F.col("end_line"))).alias("lines"), F.count_if((F.col("fact") == "entity") & ~module).alias("entities"),
+        F.count_if(F.col("kind").isin("function", "method")).alias("functions"), F.count_if(F.col("fact") != "entity").alias("relationships"),
+    )
+
+
+def to_graph(found: DataFrame, hashes: DataFrame | None = None) -> KnowledgeGraph:
+    """The facts as a graph; seq follows file, then place in it, and edges their file and order.
+
+    Files are numbered by a hash of graph and path, whose upper bits leave room for the places.
     """
-    d = declarations(files).where("kind in ('function', 'method')")
-    sites = source_lines(files).select("file_id", "line", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_]\w*)\s*\("), 1))).alias("callee"))
-    marks = d.select("file_id", "line", F.lit(0).alias("is_call"), "id", F.lit(None).cast("string").alias("callee"))
-    both = marks.unionByName(sites.select("file_id", "line", F.lit(1).alias("is_call"), F.lit(None).cast("string").alias("id"), "callee"))
-    w = Window.partitionBy("file_id").orderBy("line", "is_call").rowsBetween(Window.unboundedPreceding, 0)
-    owned = both.withColumn("caller_id", F.last("id", True).over(w)).where("is_call = 1 and caller_id is not null")
-    names = d.groupBy("file_id", "graph", "file_path", F.col("name").alias("callee")).agg(F.max_by("id", "line").alias("callee_id"))
-    return owned.join(names, ["file_id", "callee"]).where("caller_id <> callee_id").select("graph", "file_path", "caller_id", "callee_id").distinct()
-
-
-def parse_totals(files: DataFrame) -> DataFrame:
-    """Per graph and extension: files, lines, declarations."""
-    lines = source_lines(files).groupBy("graph", "extension").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("file_id").alias("files"))
-    d = declarations(files).groupBy("graph", text.extension(F.col("file_path")).alias("extension")).agg(F.count(F.lit(1)).alias("declarations"))
-    return lines.join(d, ["graph", "extension"], "left").na.fill(0, ["declarations"])
+    base = F.shiftleft(F.pmod(F.xxhash64("graph", "file_path"), F.lit(1 << 40)), 22)
+    extra = F.to_json(F.struct("parameters", "return_type", "decorators", "is_async", F.when(F.col("kind") == "method", F.col("parent_id")).alias("class_id"), "bases"))
+    entities = found.where("fact = 'entity'").select(
+        "graph", (base + F.col("place")).alias("seq"), "id", "name", F.col("kind").alias("type"), "file_path", "line", "col", "docstring", F.lit(None).cast("string").alias("scope"), extra.alias("extra_data"), "parent_id"
+    )
+    names = entities.select("graph", F.col("id").alias("parent_id"), F.col("name").alias("outer"))
+    entities = entities.join(names, ["graph", "parent_id"], "left").withColumn("scope", F.col("outer")).drop("parent_id", "outer").dropDuplicates(["graph", "id"])
+    edges = found.where("fact <> 'entity'").groupBy("graph", "file_path", F.col("id").alias("source_id"), F.col("target").alias("target_id"), F.col("fact").alias("type")).agg(F.min("place").alias("place"), F.min("line").alias("line"))
+    number = base + F.pmod(F.xxhash64("source_id", "target_id", "type"), F.lit(1 << 22))
+    edges = edges.select(number.alias("rel_id"), "graph", "source_id", "target_id", "type")
+    return KnowledgeGraph(entities, edges, hashes)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
@@ -83,6 +83,12 @@ def resolve_names(g: KnowledgeGraph, names: list[str]) -> DataFrame:
     return hits.groupBy("graph", "wanted").agg(first.alias("e")).select("graph", "wanted", "e.*")
 
 
+def language_of(path: Column) -> Column:
+    """The language of a path by its extension, null for an unknown one."""
+    known = F.create_map(*[F.lit(x) for n, es in LANGUAGES.items() for e in es for x in (e, n)])
+    return F.try_element_at(known, text.extension(path))
+
+
 def languages_of_files(g: KnowledgeGraph) -> DataFrame:
     """Entities per language of their file, by its extension."""
     known = g.entities.sparkSession.createDataFrame([(e, n) for n, es in LANGUAGES.items() for e in es], "extension string, language string")

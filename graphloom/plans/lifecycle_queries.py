@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.graph import KnowledgeGraph, current_entities
 from graphloom.operators import declarations, documentation, evolution, guidance, lookup, mutate
+from graphloom.plans.graph_queries import _LANGUAGES as LANGUAGES_SQL
 from graphloom.plans.graph_queries import _kg, over
 from graphloom.session import ensure_checkpoint_dir, table
 from graphloom.sources import catalogue, graph_json
@@ -21,6 +22,10 @@ def _files(f):
     return lambda spark, sf_dir: f(table(spark, sf_dir, "source_files"))
 
 
+def _facts(f):
+    return lambda spark, sf_dir: f(declarations.facts(table(spark, sf_dir, "source_files")))
+
+
 def _commits(f):
     return lambda spark, sf_dir: f(evolution.commit_log(table(spark, sf_dir, "events")))
 
@@ -68,7 +73,7 @@ def _versions(spark, sf_dir):
 def _snippets(spark, sf_dir):
     """Three lines around each class-like declaration."""
     files = table(spark, sf_dir, "source_files")
-    spans = declarations.declarations(files).where("kind in ('class', 'struct', 'interface', 'trait', 'enum')").select("graph", "file_path", "id", "line")
+    spans = declarations.declarations(declarations.facts(files)).where("kind in ('class', 'struct', 'interface', 'trait', 'enum')").select("graph", "file_path", "id", "line")
     return lookup.snippets(KnowledgeGraph(spans, spans), files, context=1)
 
 
@@ -118,10 +123,15 @@ QUERIES = {
     "replace_import": _kg(_replace),
     "delete_edges": _kg(lambda g: mutate.delete_edges(g, kind="calls").relationships),
     "version_compare": _versions,
-    "declarations": _files(declarations.declarations),
-    "declared_imports": _files(declarations.imports),
-    "declared_calls": _files(declarations.calls),
-    "parse_totals": _files(declarations.parse_totals),
+    "declarations": _facts(declarations.declarations),
+    "declared_imports": _facts(lambda found: declarations.links(found, "imports")),
+    "declared_calls": _facts(lambda found: declarations.links(found, "calls")),
+    "declared_bases": _facts(lambda found: declarations.links(found, "inherits", "implements", "uses_type")),
+    "parse_totals": _facts(declarations.parse_totals),
+    "parsed_files": _facts(lambda found: found.where("fact = 'entity' and place = 0").select("file_id", "graph", "file_path", "name", F.col("end_line").alias("lines"))),
+    "parsed_python": _facts(lambda found: declarations.declarations(found).where("lower(file_path) like '%.py'").select("file_id", "kind", "name", "line")),
+    "parsed_entities": _facts(lambda found: declarations.to_graph(found).entities.drop("extra_data")),
+    "list_languages": lambda spark, sf_dir: table(spark, sf_dir, "source_files").select(lookup.language_of(F.col("file_path")).alias("language")).distinct(),
     "source_snippet": _snippets,
     "watch_stream": _watched,
     "snapshot_entities": lambda spark, sf_dir: _saved_graphs(spark, sf_dir).entities.drop("extra_data"),
@@ -181,6 +191,10 @@ _TEXTS = {
 _UNION_REMOVED = "gone AS (SELECT DISTINCT e.graph, e.id FROM ents e JOIN (SELECT DISTINCT graph, file_path FROM ents WHERE type = 'trait') f ON f.graph = e.graph AND f.file_path = e.file_path)"
 
 SQL = {
+    "parsed_files": r"""SELECT file_id, coalesce(graph, '') AS graph, file_path, regexp_extract(file_path, '([^/]*)$', 1) AS name,
+        length(replace(replace(source_text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) - length(replace(replace(replace(source_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), '')) + 1 AS lines
+        FROM source_files WHERE source_text IS NOT NULL AND file_path IS NOT NULL""",
+    "list_languages": f"""SELECT DISTINCT k.language FROM (SELECT regexp_extract(lower(file_path), '(\\.[^./]+)$', 1) AS extension FROM source_files) f LEFT JOIN (VALUES {LANGUAGES_SQL}) k(extension, language) ON k.extension = f.extension""",
     "naming_convention": over(
         """SELECT graph, type, convention, n, row_number() OVER (PARTITION BY graph, type ORDER BY n DESC, list_position(['snake_case', 'camelCase', 'PascalCase'], convention)) = 1 AS chosen FROM (
         SELECT graph, type, convention, count(*) AS n FROM (SELECT graph, type, CASE WHEN contains(name, '_') AND lower(name) = name AND upper(name) <> name THEN 'snake_case' WHEN regexp_matches(name, '^[A-Z]') AND NOT contains(name, '_') THEN 'PascalCase'

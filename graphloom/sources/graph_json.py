@@ -145,6 +145,12 @@ def read_current(spark: SparkSession, path: str) -> KnowledgeGraph:
     return read_parquet(spark, spark.read.text(f"{path}/{_POINTER}{last:012d}").first()[0])
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, jvm = _file_system(spark, path)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm

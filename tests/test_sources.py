@@ -43,7 +43,8 @@ def test_scan_parse_and_tools(spark, tmp_path):
     assert {("imports", "external:os"), ("imports", "external:x.y"), ("imports", "external:fmt"), ("imports", "external:java.util.list"), ("imports", "external:set")} <= edges
     assert sum(t == "calls" for t, _ in edges) == 1
     assert tools.search_entities("store")[0]["name"] == "Store" and tools.get_entity("nope")["error"]
-    assert {r["status"] for r in tools.incremental_parse(str(tmp_path), ["**/*.*"], ["*.yaml"])} == {"unchanged"}
+    assert {r["status"] for r in tools.incremental_parse(str(tmp_path), ["**/*.*"], ["*.yaml"]).collect()} == {"unchanged"}
+    assert {(r.file_path, r.skipped) for r in tools.skipped_files(str(tmp_path), ["**/*.*"], ["*.yaml"]).collect()} == {("j.yaml", "excluded"), ("node_modules/z.py", "ignored")}
     assert tools.get_language_for_file("x/Y.RS")["language"] == "Rust" and len(tools.list_supported_languages()) == 24
     assert "Store" in tools.explain_entity("Store") and tools.analyze_codebase()
     tools.save_graph(str(tmp_path / "out"))
@@ -52,9 +53,29 @@ def test_scan_parse_and_tools(spark, tmp_path):
 
 def test_declarations_of_nothing(spark):
     empty = spark.createDataFrame([], "file_id long, graph string, file_path string, source_text string")
-    assert declarations.declarations(empty).count() == 0 and declarations.calls(empty).count() == 0
+    found = declarations.facts(empty)
+    assert declarations.declarations(found).count() == 0 and declarations.links(found).count() == 0 and declarations.parse_totals(found).count() == 0
     null = spark.createDataFrame([(1, "g", "a.py", None), (2, None, None, "class A: pass"), (3, "g", "x.unknown", "class A")], "file_id long, graph string, file_path string, source_text string")
-    assert declarations.declarations(null).count() == 0
+    assert declarations.declarations(declarations.facts(null)).count() == 0 and [r.name for r in declarations.facts(null).collect()] == ["x.unknown"]
+
+
+def test_parse_file_and_refresh(spark, tmp_path):
+    (tmp_path / "a.py").write_text("class A:\n    def go(self): return 1\n")
+    (tmp_path / "b.py").write_text("def b(): pass\n")
+    (tmp_path / "big.py").write_text("x = 1\n" * 300_000)
+    one = GraphTools.parse_file(spark, str(tmp_path / "big.py"))
+    assert [r.name for r in one.graph.entities.collect()] == ["big.py"]
+    tools = GraphTools.parse_directory(spark, str(tmp_path))
+    assert {(r.file_path, r.skipped) for r in tools.skipped_files(str(tmp_path)).collect()} == {("big.py", "too large")}
+    (tmp_path / "a.py").write_text("class A:\n    def run(self): return 1\n")
+    (tmp_path / "b.py").unlink()
+    (tmp_path / "c.py").write_text("def c(): pass\n")
+    assert {r.file_path: r.status for r in tools.incremental_parse(str(tmp_path)).collect()} == {"a.py": "changed", "b.py": "deleted", "c.py": "new"}
+    assert {r.name for r in tools.graph.entities.collect()} == {"a.py", "A", "run", "c.py", "c"}
+    assert tools.graph.relationships.count() == 3 and {r.file_path for r in tools.graph.file_hashes.collect()} == {"a.py", "c.py"}
+    for path in ("saved.json", "saved"):
+        tools.save_graph(str(tmp_path / path))
+        assert {r.name for r in GraphTools.load_graph(spark, str(tmp_path / path)).graph.entities.collect()} == {"a.py", "A", "run", "c.py", "c"}
 
 
 def test_external_index(spark, tmp_path):
