@@ -120,48 +120,43 @@ def _count_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"graph": [graph], "id": [container], "pairs": [int(weight[low] @ meet @ weight[high])]})
 
 
-def _sharing_pairs(uses: DataFrame, pair_rows: int) -> DataFrame:
-    """(graph, id, pairs): pairs of children in different classes with a common target, by container.
+def _sharing_pairs(children: DataFrame, edges: DataFrame, pair_rows: int) -> DataFrame:
+    """(graph, id, sharing): pairs of children with a common target, by container.
 
-    uses: (graph, id, slot, m, target), the targets of each class.  Classes meet by a join on the
-    target; in containers where that would give more than ``pair_rows`` rows they are cut into
-    blocks, and each pair of blocks gives one number.
+    Only targets that two children of a container have matter.  Children with the same set of
+    those form a class, and a pair of classes counts for as many pairs as they hold.  Classes
+    meet by a join on the target; in containers where that would give more than ``pair_rows``
+    rows they are cut into blocks, and each pair of blocks gives one number.
     """
-    fan = uses.groupBy("graph", "id", "target").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    uses = cut(uses.join(fan.drop("n"), ["graph", "id", "target"], "left_semi"))
+    uses = children.join(edges.select("graph", F.col("source_id").alias("child"), F.col("target_id").alias("target")), ["graph", "child"]).select("graph", "id", "slot", "target")
+    fan = Window.partitionBy("graph", "id", "target")
+    shared = cut(uses.repartition("graph", "id", "target").distinct().withColumn("n", F.count(F.lit(1)).over(fan)).where("n > 1").drop("n"))
+    # A set of targets by its size and two sums over hashes of its members.
+    sets = shared.groupBy("graph", "id", "slot").agg(F.struct(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("target")).alias("x"), F.sum(F.hash("target").cast("long")).alias("h")).alias("set"))
+    classes = cut(sets.groupBy("graph", "id", "set").agg(F.count(F.lit(1)).alias("m"), F.min("slot").alias("slot")).drop("set"))
+    within = classes.select("graph", "id", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("pairs"))
+    uses = cut(shared.join(classes, ["graph", "id", "slot"]))
     large = cut(uses.groupBy("graph", "id", "target").agg(F.count(F.lit(1)).alias("n")).groupBy("graph", "id").agg(F.sum(F.col("n") * F.col("n")).alias("rows")).where(F.col("rows") > pair_rows).select("graph", "id"))
     has_large = not large.isEmpty()
     small = uses.join(large, ["graph", "id"], "left_anti") if has_large else uses
     other = small.select("graph", "id", "target", F.col("slot").alias("slot2"), F.col("m").alias("m2"))
-    out = small.join(other, ["graph", "id", "target"]).where("slot < slot2").groupBy("graph", "id", "slot", "slot2").agg(F.first(F.col("m") * F.col("m2")).alias("pairs")).select("graph", "id", "pairs")
+    across = small.join(other, ["graph", "id", "target"]).where("slot < slot2").groupBy("graph", "id", "slot", "slot2").agg(F.max(F.col("m") * F.col("m2")).alias("pairs")).select("graph", "id", "pairs")
     if has_large:
         blocks = uses.groupBy("graph", "id").agg(F.ceil(F.count_distinct("slot") / BLOCK).cast("int").alias("blocks"))
         rows = uses.join(blocks.join(large, ["graph", "id"], "left_semi"), ["graph", "id"]).withColumn("block", F.pmod(F.xxhash64("slot"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
-        counted = rows.groupBy("graph", "id", "low", "high").applyInPandas(_count_pairs, "graph string, id string, pairs long")
-        out = out.unionByName(counted)
-    return out.groupBy("graph", "id").agg(F.sum("pairs").alias("pairs"))
+        across = across.unionByName(rows.groupBy("graph", "id", "low", "high").applyInPandas(_count_pairs, "graph string, id string, pairs long"))
+    return within.unionByName(across).groupBy("graph", "id").agg(F.sum("pairs").alias("sharing"))
 
 
 def _containers(g: KnowledgeGraph, complexity: DataFrame | None, pair_rows: int) -> DataFrame:
     """As ``cohesion``, with mean, the mean complexity of the methods among the children, if their complexity is given."""
     edges = g.relationships.where("source_id is not null and target_id is not null")
     children = edges.where("type = 'contains'").select("graph", F.col("source_id").alias("id"), F.col("target_id").alias("child"), F.col("rel_id").alias("slot"))
-    targets = edges.select("graph", F.col("source_id").alias("child"), F.col("target_id").alias("target")).distinct()
-    # A set of targets by its size and two sums over hashes of its members.
-    sets = targets.groupBy("graph", "child").agg(F.struct(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("target")).alias("x"), F.sum(F.hash("target").cast("long")).alias("h")).alias("set"))
     own = complexity.where("type = 'method'").select("graph", F.col("id").alias("child"), "complexity") if complexity is not None else None
-    children = children.join(sets, ["graph", "child"], "left")
-    children = children.join(own, ["graph", "child"], "left") if own is not None else children.withColumn("complexity", F.lit(None).cast("long"))
-    classes = cut(
-        children.groupBy("graph", "id", "set").agg(
-            F.count(F.lit(1)).alias("m"), F.min("slot").alias("slot"), F.min_by("child", "slot").alias("child"), F.sum("complexity").alias("complexity"), F.count("complexity").alias("methods")
-        )
-    )
-    uses = classes.where("set is not null").select("graph", "id", "child", "slot", "m").join(targets, ["graph", "child"]).select("graph", "id", "slot", "m", "target")
-    alike = F.sum(F.when(F.col("set").isNotNull(), F.col("m") * (F.col("m") - 1) / 2).otherwise(0)).cast("long")
-    counted = classes.groupBy("graph", "id").agg(F.sum("m").alias("children"), alike.alias("alike"), (F.sum("complexity") / F.sum("methods")).alias("mean")).join(_sharing_pairs(uses, pair_rows), ["graph", "id"], "left")
-    counted = counted.withColumn("sharing", F.col("alike") + F.coalesce("pairs", F.lit(0)))
+    known = children.join(own, ["graph", "child"], "left") if own is not None else children.withColumn("complexity", F.lit(None).cast("long"))
+    counted = known.groupBy("graph", "id").agg(F.count(F.lit(1)).alias("children"), F.avg(F.col("complexity").cast("double")).alias("mean"))
+    counted = counted.join(_sharing_pairs(children, edges, pair_rows), ["graph", "id"], "left").na.fill(0, ["sharing"])
     pairs = (F.col("children") * (F.col("children") - 1) / 2).cast("double")
     return counted.select("graph", "id", "children", "sharing", F.when(F.col("children") <= 1, 0.0).otherwise(1.0 - F.col("sharing") / pairs).alias("lcom"), "mean")
 
@@ -169,8 +164,7 @@ def _containers(g: KnowledgeGraph, complexity: DataFrame | None, pair_rows: int)
 def cohesion(g: KnowledgeGraph, pair_rows: int = PAIR_ROWS) -> DataFrame:
     """(graph, id, children, sharing, lcom) of every container: the share of child pairs without a common target.
 
-    Children of a container with the same set of targets form a class; a pair of classes counts
-    for as many pairs as they hold.  Containers of one child have lcom 0.
+    Containers of one child have lcom 0.
     """
     return _containers(g, None, pair_rows).drop("mean")
 
