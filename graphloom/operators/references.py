@@ -3,10 +3,12 @@
 Keys are dictionary-encoded as integers, references become bitmaps per range of 32,768
 keys and per week, and ``reference AND NOT parent`` leaves the bits of those
 (key, week) pairs whose parent is not known to live through the week.  Only the surviving
-bits are decoded and checked edge by edge against the lives of their key.
+bits are decoded and checked edge by edge against the lives of their key.  A bitmap travels as
+the smallest of three containers: positions, runs of positions, or all bits.
 
 Skew: references are reduced to distinct (graph, key, week) groups by a map-side
-combine before any join, so a key that holds a third of all edges costs one row a week.
+combine before any join, so a key that holds a third of all edges costs one row a week.  Where
+edges meet the verdicts on their keys, groups of very many edges are salted.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.session import cut
@@ -68,16 +70,59 @@ def dictionary(lives: DataFrame) -> DataFrame:
     return cut(keys.withColumn("code", F.monotonically_increasing_id()))
 
 
-def _and_not(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of two bitmaps -> positions set in the first and not in the second."""
+#: Bits of a bitmap.
+RANGE = 32_768
+#: Edges of one (graph, key, week) beyond which they are dealt to several tasks.
+HOT_ROWS = 1_000_000
+
+
+def container(bitmap: bytes) -> bytes:
+    """The smallest form of a bitmap: a letter, then its positions, the ends of its runs, or its bits."""
+    bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
+    edges = np.flatnonzero(np.diff(bits, prepend=0, append=0))
+    n = int(bits.sum())
+    if 2 * n <= min(2 * len(edges), len(bitmap)):
+        return b"p" + np.flatnonzero(bits).astype("<u2").tobytes()
+    return b"r" + edges.astype("<u2").tobytes() if 2 * len(edges) < len(bitmap) and (not len(edges) or edges[-1] < 1 << 16) else b"b" + bitmap
+
+
+def bits_of(packed: bytes) -> np.ndarray:
+    """The bits of a container, one byte each."""
+    body = packed[1:]
+    if packed[:1] == b"b":
+        return np.unpackbits(np.frombuffer(body, np.uint8), bitorder="little")
+    out = np.zeros(RANGE, np.uint8)
+    at = np.frombuffer(body, "<u2").astype(np.int64)
+    if packed[:1] == b"p":
+        out[at] = 1
+    else:
+        for first, last in at.reshape(-1, 2):
+            out[first:last] = 1
+    return out
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        pdf["bits"] = [container(b) for b in pdf["bits"]]
+        yield pdf
+
+
+def _survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by range and week, the births before the references of a week: referred AND NOT born so far."""
+    bucket, known = None, None
     for pdf in batches:
-        out = []
-        for referred, known in zip(pdf["referred"], pdf["known"]):
-            left = np.frombuffer(referred, np.uint8)
-            if known is not None:
-                left = left & ~np.frombuffer(known, np.uint8)
-            out.append(np.flatnonzero(np.unpackbits(left, bitorder="little")).astype(np.int32))
-        yield pd.DataFrame({"bucket": pdf["bucket"], "week": pdf["week"], "bits": out})
+        rows = []
+        for b, week, is_birth, packed in zip(pdf["bucket"], pdf["week"], pdf["is_birth"], pdf["bits"]):
+            if b != bucket:
+                bucket, known = b, np.zeros(RANGE, np.uint8)
+            bits = bits_of(packed)
+            if is_birth:
+                known |= bits
+                continue
+            left = np.flatnonzero(bits & (1 - known)).astype(np.int32)
+            if len(left):
+                rows.append((b, week, left))
+        yield pd.DataFrame(rows, columns=["bucket", "week", "bits"])
 
 
 def suspects(groups: DataFrame, codes: DataFrame) -> DataFrame:
@@ -87,20 +132,19 @@ def suspects(groups: DataFrame, codes: DataFrame) -> DataFrame:
     """
     bitmap = F.bitmap_construct_agg(F.bitmap_bit_position(F.col("code") + 1))
     bucket = F.bitmap_bucket_number(F.col("code") + 1).alias("bucket")
-    referred = groups.where("week is not null").groupBy(bucket, "week").agg(bitmap.alias("referred"))
+    referred = groups.where("week is not null").groupBy(bucket, "week").agg(bitmap.alias("bits")).select("bucket", "week", F.lit(False).alias("is_birth"), "bits")
     # A key is sure from the first week that begins after its birth.
     sure_week = F.when(F.date_trunc("week", "sure_from") == F.col("sure_from"), F.col("sure_from")).otherwise(
         F.date_trunc("week", F.col("sure_from") + F.expr("interval 7 days"))
     )
-    born = codes.where("sure_from is not null").groupBy(bucket, sure_week.alias("week")).agg(bitmap.alias("born"))
-    so_far = Window.partitionBy("bucket").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
-    both = referred.join(born, ["bucket", "week"], "full_outer").withColumn("known", F.bitmap_or_agg("born").over(so_far))
-    left = both.where("referred is not null").select("bucket", "week", "referred", "known").mapInPandas(_and_not, _SURVIVORS)
+    born = codes.where("sure_from is not null").groupBy(bucket, sure_week.alias("week")).agg(bitmap.alias("bits")).select("bucket", "week", F.lit(True).alias("is_birth"), "bits")
+    packed = referred.unionByName(born).mapInPandas(_packed, "bucket long, week timestamp, is_birth boolean, bits binary")
+    left = packed.repartition("bucket").sortWithinPartitions("bucket", "week", F.desc("is_birth")).mapInPandas(_survivors, _SURVIVORS)
     # Bit p of bucket b stands for the code (b - 1) * 32768 + p.
-    return left.select("bucket", "week", F.explode("bits").alias("bit")).select(((F.col("bucket") - 1) * 32768 + F.col("bit")).alias("code"), "week")
+    return left.select("bucket", "week", F.explode("bits").alias("bit")).select(((F.col("bucket") - 1) * RANGE + F.col("bit")).alias("code"), "week")
 
 
-def orphan_references(relationships: DataFrame, entities: DataFrame, modules: DataFrame) -> DataFrame:
+def orphan_references(relationships: DataFrame, entities: DataFrame, modules: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(rel_id, side, reason, at): references that find no entity or module alive at the edge's time.
 
     reason is ``missing`` (no row of the key at all; null and blank references too), ``late``
@@ -114,11 +158,11 @@ def orphan_references(relationships: DataFrame, entities: DataFrame, modules: Da
     inside = codes.where("scope <> ''").select(F.col("scope").alias("graph"), "key", F.col("code").alias("in_code"))
     outside = codes.where("scope = ''").select("key", F.col("code").alias("out_code"))
 
-    groups = refs.where("key is not null").groupBy("graph", "key", "week").agg(F.lit(1).alias("n"))
+    groups = refs.where("key is not null").groupBy("graph", "key", "week").agg(F.count(F.lit(1)).alias("n"))
     coded = (
         groups.join(outside, "key", "left")
         .join(inside, ["graph", "key"], "left")
-        .select("graph", "key", "week", F.coalesce("out_code", "in_code").alias("code"), F.col("out_code").isNotNull().alias("is_module"), F.col("in_code").isNotNull().alias("is_entity"))
+        .select("graph", "key", "week", "n", F.coalesce("out_code", "in_code").alias("code"), F.col("out_code").isNotNull().alias("is_module"), F.col("in_code").isNotNull().alias("is_entity"))
     )
     coded = cut(coded)
     found = coded.where("code is not null")
@@ -141,9 +185,18 @@ def orphan_references(relationships: DataFrame, entities: DataFrame, modules: Da
     )
     verdicts = touched.unionByName(coded.where("code is null").select("graph", "key", "week"), allowMissingColumns=True)
     alive = F.exists("lives", lambda x: (x["born"] <= F.col("at")) & (x["died"].isNull() | (x["died"] > F.col("at"))))
+    asking, told, on = refs.where("key is not null"), verdicts.withColumnsRenamed({"graph": "v_graph", "key": "v_key", "week": "v_week"}), same_key("graph", "key", "week")
+    # Groups of very many edges: at most as many as the edges go into hot_rows, each dealt to as many tasks as that again.
+    hot = coded.where(F.col("n") > hot_rows).select("graph", "key", "week", F.ceil(F.col("n") / hot_rows).cast("int").alias("salts"))
+    if not hot.isEmpty():
+        hot = F.broadcast(hot.withColumnsRenamed({"graph": "h_graph", "key": "h_key", "week": "h_week"}))
+        meets = lambda prefix: F.col("h_graph").eqNullSafe(F.col(f"{prefix}graph")) & F.col("h_key").eqNullSafe(F.col(f"{prefix}key")) & F.col("h_week").eqNullSafe(F.col(f"{prefix}week"))
+        salts = F.coalesce("salts", F.lit(1))
+        asking = asking.join(hot, meets(""), "left").withColumn("salt", F.pmod(F.xxhash64("rel_id", "side"), salts).cast("int")).drop("h_graph", "h_key", "h_week", "salts")
+        told = told.join(hot, meets("v_"), "left").withColumn("v_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("h_graph", "h_key", "h_week", "salts")
+        on = on & (F.col("salt") == F.col("v_salt"))
     judged = (
-        refs.where("key is not null")
-        .join(verdicts.withColumnsRenamed({"graph": "v_graph", "key": "v_key", "week": "v_week"}), same_key("graph", "key", "week"))
+        asking.join(told, on)
         .withColumn("reason", F.when(F.col("lives").isNull(), "missing").when(F.coalesce(alive, F.lit(False)), None).when(F.col("first_born") > F.col("at"), "late").otherwise("deleted"))
         .where("reason is not null")
         .select("rel_id", "side", "reason", "at")

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from graphloom.operators.references import orphan_references, orphan_report
+import numpy as np
+
+from graphloom.operators.references import RANGE, bits_of, container, orphan_references, orphan_report
 
 T = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
 
@@ -11,8 +13,8 @@ MOD = "target_id string, added_at timestamp, removed_at timestamp"
 REL = "rel_id long, graph string, source_id string, target_id string, created_at timestamp"
 
 
-def found(frame, rels, ents, mods=()):
-    df = orphan_references(frame(list(rels), REL), frame(list(ents), ENT), frame(list(mods), MOD))
+def found(frame, rels, ents, mods=(), **kw):
+    df = orphan_references(frame(list(rels), REL), frame(list(ents), ENT), frame(list(mods), MOD), **kw)
     return sorted((r.rel_id, r.side, r.reason) for r in df.collect())
 
 
@@ -40,6 +42,16 @@ def test_brute_force_on_a_grid(frame):
             if not any(b <= at and (d is None or d > at) for b, d in lives):
                 want.append((rel, side, "missing" if not lives else "late" if all(b > at for b, _ in lives) else "deleted"))
     assert found(frame, rels, ents) == sorted(want)
+    assert found(frame, rels, ents, hot_rows=1) == sorted(want)
+
+
+def test_containers_hold_every_bit():
+    rng = np.random.default_rng(3)
+    spans = np.zeros(RANGE, np.uint8)
+    spans[5:900] = spans[20_000:] = 1
+    for bits, kind in ((np.zeros(RANGE, np.uint8), b"p"), (np.ones(RANGE, np.uint8), b"r"), (spans, b"r"), ((rng.random(RANGE) < 0.001).astype(np.uint8), b"p"), ((rng.random(RANGE) < 0.5).astype(np.uint8), b"b")):
+        packed = container(np.packbits(bits, bitorder="little").tobytes())
+        assert packed[:1] == kind and len(packed) <= RANGE // 8 + 1 and (bits_of(packed) == bits).all()
 
 
 def test_repeated_rows_nulls_and_empty_tables(frame):
