@@ -155,6 +155,15 @@ def contexts(g: KnowledgeGraph, max_related: int = 10) -> DataFrame:
     return first.join(g.entities.select("graph", "id"), ["graph", "id"], "left_semi").join(ends, ["graph", "other"], "left").select("graph", "id", "category", "place", "other", "other_name", "other_type")
 
 
+def entity_edges(g: KnowledgeGraph, starts: DataFrame, most: int = 10) -> DataFrame:
+    """(graph, root, direction, place, other, other_name, type): the first edges out of and into each start, in order of insertion."""
+    ends = F.array(F.struct(F.col("source_id").alias("root"), F.col("target_id").alias("other"), F.lit("outgoing").alias("direction")), F.struct(F.col("target_id").alias("root"), F.col("source_id").alias("other"), F.lit("incoming").alias("direction")))
+    rows = g.relationships.select("graph", "rel_id", "type", F.explode(ends).alias("x")).select("graph", "rel_id", "type", "x.*").join(starts.select("graph", "root").distinct(), ["graph", "root"], "left_semi")
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("graph", "root", "direction").orderBy("rel_id"))).where(F.col("place") <= most)
+    names = g.entities.select("graph", F.col("id").alias("other"), F.col("name").alias("other_name"))
+    return first.join(names, ["graph", "other"], "left").select("graph", "root", "direction", "place", "other", "other_name", "type")
+
+
 def usage_examples(g: KnowledgeGraph, limit: int = 5) -> DataFrame:
     """Per called entity its first callers; the cap comes before dangling callers drop out."""
     calls = g.relationships.where("type = 'calls' and target_id is not null").withColumn("place", F.row_number().over(Window.partitionBy("graph", "target_id").orderBy("rel_id"))).where(F.col("place") <= limit)

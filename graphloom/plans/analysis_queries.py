@@ -38,6 +38,7 @@ QUERIES = {
     "neighbors_d2": _kg(lambda g: traverse.neighbours(g, _starts(g, _CLASSES), 2)),
     "shortest_path": _kg(_paths),
     "subgraph": _kg(_subgraph),
+    "entity_context": _kg(lambda g: lookup.entity_edges(g, _starts(g, _TRAITS))),
     "impact": _kg(lambda g: traverse.impact(g, _starts(g, _TRAITS), 3)),
     "critical_paths": _kg(lambda g: traverse.critical_paths(g, _starts(g, _CLASSES))),
     "navigate_callees": _kg(lambda g: traverse.navigate(g, _starts(g, _TRAITS), "callees", 2)),
@@ -161,6 +162,12 @@ SQL = {
         True,
     ),
     "subgraph": over("SELECT r.rel_id, r.graph, r.source_id, r.target_id, r.type FROM rels r JOIN k a ON a.graph = r.graph AND a.id = r.source_id JOIN k b ON b.graph = r.graph AND b.id = r.target_id", "k AS (SELECT graph, id FROM ents WHERE type IN ('class', 'interface', 'trait'))"),
+    "entity_context": over(
+        """SELECT x.graph, x.root, x.direction, x.place, x.other, o.name AS other_name, x.type FROM (
+          SELECT *, row_number() OVER (PARTITION BY graph, root, direction ORDER BY rel_id) AS place FROM (
+            SELECT graph, source_id AS root, target_id AS other, 'outgoing' AS direction, type, rel_id FROM rels UNION ALL SELECT graph, target_id, source_id, 'incoming', type, rel_id FROM rels)) x
+        JOIN ents s ON s.graph = x.graph AND s.id = x.root AND s.type = 'trait' LEFT JOIN ents o ON o.graph = x.graph AND o.id = x.other WHERE x.place <= 10"""
+    ),
     "impact": over(
         """SELECT graph, root, direct, indirect, round(direct + halves, 2)::DOUBLE AS score, CASE WHEN direct + halves >= 10 OR direct + indirect >= 20 THEN 'high' WHEN direct + halves >= 5 OR direct + indirect >= 10 THEN 'medium' ELSE 'low' END AS risk
         FROM (SELECT s.graph, s.id AS root, (SELECT count(*) FROM into_ i WHERE i.graph = s.graph AND i.target_id = s.id) AS direct,

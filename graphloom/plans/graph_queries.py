@@ -25,6 +25,7 @@ QUERIES = {
     "edges_in": _kg(lambda g: lookup.edges(g, target="external:corekit")),
     "edges_by_type": _kg(lambda g: lookup.edges(g, kind="inherits")),
     "find_by_pattern": _kg(lambda g: lookup.match_wildcard(g, "load*config", 200)),
+    "framework_find_by_pattern": _kg(lambda g: lookup.match_wildcard(g.only("express", "flutter"), "load*", 200)),
     "resolve_names": _kg(lambda g: lookup.resolve_names(g, ["queue", "loader", "scanQueue"])),
     "languages_of_files": _kg(lookup.languages_of_files),
     "graph_stats": _kg(lookup.graph_stats),
@@ -143,6 +144,7 @@ SQL = {
     "edges_in": over("SELECT rel_id, graph, source_id, target_id, type FROM rels WHERE target_id = 'external:corekit'"),
     "edges_by_type": over("SELECT rel_id, graph, source_id, target_id, type FROM rels WHERE type = 'inherits'"),
     "find_by_pattern": over(f"SELECT {_BRIEF} FROM ents WHERE regexp_matches(name, '^load.*config$', 'i') ORDER BY graph, seq LIMIT 200"),
+    "framework_find_by_pattern": over(f"SELECT {_BRIEF} FROM ents WHERE graph IN ('express', 'flutter') AND starts_with(lower(name), 'load') ORDER BY graph, seq LIMIT 200"),
     "resolve_names": over(
         """SELECT graph, wanted, id, name, type, seq FROM (
         SELECT e.graph, w.wanted, e.id, e.name, e.type, e.seq, row_number() OVER (PARTITION BY e.graph, w.wanted ORDER BY lower(e.name) <> w.wanted, e.seq) AS rn

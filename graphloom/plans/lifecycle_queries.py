@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
@@ -12,7 +13,7 @@ from graphloom.operators import declarations, documentation, evolution, guidance
 from graphloom.plans.graph_queries import _LANGUAGES as LANGUAGES_SQL
 from graphloom.plans.graph_queries import _kg, over
 from graphloom.session import ensure_checkpoint_dir, table
-from graphloom.sources import catalogue, graph_json
+from graphloom.sources import catalogue, external_index, graph_json
 from graphloom.streaming import watch
 
 TASK = "load the typed queue"
@@ -105,7 +106,39 @@ def _summaries(spark, sf_dir):
     return found.select("snapshot_id", "name", "language", "files", "entities", "relationships", F.coalesce(F.size("entity_types"), F.lit(0)).alias("n_types"), "graph_file")
 
 
+def _number(*parts: str):
+    """A number of a text that any engine can work out."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
+def _index(g: KnowledgeGraph):
+    """The graph in the tables of an external index."""
+    e = g.entities.where("file_path is not null")
+    files = e.groupBy("graph", "file_path").agg(F.max("seq").alias("last_indexed")).select(_number("graph", "file_path").alias("id"), F.col("file_path").alias("path"), F.lit("any").alias("language"), "last_indexed")
+    nodes = e.select(
+        _number("graph", "id").alias("id"), _number("graph", "file_path").alias("file_id"), "name", F.col("type").alias("kind"), F.col("line").cast("bigint").alias("line"), F.col("col").cast("bigint").alias("col"),
+        "scope", F.when(F.col("scope") == "public", 1).otherwise(0).cast("bigint").alias("is_exported"), F.col("docstring").alias("signature"),
+    )
+    ends = g.relationships.where("source_id is not null and target_id is not null")
+    return {"files": files, "nodes": nodes, "edges": ends.select(_number("graph", "source_id").alias("from_id"), _number("graph", "target_id").alias("to_id"), F.col("type").alias("kind"))}
+
+
+def _semver(spark, sf_dir):
+    """Version numbers built from the parts, in their order."""
+    p = table(spark, sf_dir, "part")
+    number = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string"), (F.col("p_partkey") % 3).cast("string"))
+    version = F.when(F.col("p_partkey") % 5 == 0, F.concat(number, F.lit("-rc."), (F.col("p_partkey") % 13).cast("string"))).otherwise(number)
+    versions = p.select(version.alias("version")).distinct()
+    near = Window.partitionBy(F.split("version", r"\.")[0]).orderBy(text.semver_key(F.col("version")))
+    return versions.select("version", F.lag("version").over(near).alias("before"))
+
+
 QUERIES = {
+    "semver_order": _semver,
+    "external_import_entities": _kg(lambda g: external_index.to_graph(_index(g), "work")[0].entities.drop("extra_data")),
+    "external_import_edges": _kg(lambda g: external_index.to_graph(_index(g), "work")[0].relationships.drop("rel_id")),
+    "external_skipped_edges": _kg(lambda g: external_index.to_graph(_index(g), "work")[1]),
+    "external_stats": _kg(lambda g: external_index.index_info(_index(g))),
     "naming_convention": _kg(guidance.naming_conventions),
     "similar_entities": _kg(lambda g: guidance.similar_entities(g, TASK)),
     "directory_suggestion": _kg(lambda g: guidance.suggested_directories(g, TASK)),
@@ -190,7 +223,31 @@ _TEXTS = {
 
 _UNION_REMOVED = "gone AS (SELECT DISTINCT e.graph, e.id FROM ents e JOIN (SELECT DISTINCT graph, file_path FROM ents WHERE type = 'trait') f ON f.graph = e.graph AND f.file_path = e.file_path)"
 
+def _n(*parts: str) -> str:
+    return f"('0x' || left(md5({' || chr(124) || '.join(parts)}), 15))::BIGINT"
+
+
+_INDEX = f"""files AS (SELECT {_n("graph", "file_path")} AS id, file_path AS path, max(seq) AS last_indexed FROM ents WHERE file_path IS NOT NULL GROUP BY graph, file_path),
+  nodes AS (SELECT {_n("graph", "id")} AS id, {_n("graph", "file_path")} AS file_id, name, type AS kind, line, col, scope, file_path, docstring FROM ents WHERE file_path IS NOT NULL),
+  edges AS (SELECT {_n("graph", "source_id")} AS from_id, {_n("graph", "target_id")} AS to_id, type AS kind FROM rels WHERE source_id IS NOT NULL AND target_id IS NOT NULL)"""
+
 SQL = {
+    "semver_order": """SELECT version, lag(version) OVER (PARTITION BY a ORDER BY a, b, c, rc) AS before FROM (
+        SELECT DISTINCT p_size || '.' || p_partkey % 7 || '.' || p_partkey % 3 || CASE WHEN p_partkey % 5 = 0 THEN '-rc.' || p_partkey % 13 ELSE '' END AS version, p_size AS a, p_partkey % 7 AS b, p_partkey % 3 AS c, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 13 ELSE 99 END AS rc FROM part)""",
+    "external_import_entities": over(
+        """SELECT 'work' AS graph, id AS seq, 'comp:work:f' || id AS id, path AS name, 'module' AS type, path AS file_path, 1 AS line, 0 AS col, 'language=any' AS docstring, 'public' AS scope FROM files
+        UNION ALL SELECT 'work', id + 1099511627776, 'comp:work:n' || id, name, CASE WHEN kind IN ('function', 'class', 'interface', 'struct', 'enum', 'type', 'variable', 'module', 'method') THEN kind ELSE 'variable' END, file_path, greatest(line, 1), greatest(col, 0), docstring,
+          CASE WHEN scope = 'public' THEN 'public' ELSE 'private' END FROM nodes""",
+        _INDEX,
+    ),
+    "external_import_edges": over(
+        """SELECT 'work' AS graph, 'comp:work:f' || file_id AS source_id, 'comp:work:n' || id AS target_id, 'contains' AS type FROM nodes
+        UNION ALL SELECT 'work', 'comp:work:n' || o.id, 'comp:work:n' || n.id, 'contains' FROM nodes n JOIN (SELECT file_id, name, min(id) AS id FROM nodes GROUP BY 1, 2 HAVING count(*) = 1) o ON o.file_id = n.file_id AND o.name = n.scope AND o.id <> n.id WHERE n.scope <> ''
+        UNION ALL SELECT 'work', 'comp:work:n' || from_id, 'comp:work:n' || to_id, CASE WHEN kind IN ('imports', 'calls', 'references', 'implements') THEN kind ELSE 'depends_on' END FROM edges WHERE from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes)""",
+        _INDEX,
+    ),
+    "external_skipped_edges": over("SELECT from_id, to_id, kind FROM edges WHERE from_id NOT IN (SELECT id FROM nodes) OR to_id NOT IN (SELECT id FROM nodes)", _INDEX),
+    "external_stats": over("SELECT (SELECT count(*) FROM files) AS files, (SELECT max(last_indexed) FROM files) AS last_indexed, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges", _INDEX),
     "parsed_files": r"""SELECT file_id, coalesce(graph, '') AS graph, file_path, regexp_extract(file_path, '([^/]*)$', 1) AS name,
         length(replace(replace(source_text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) - length(replace(replace(replace(source_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), '')) + 1 AS lines
         FROM source_files WHERE source_text IS NOT NULL AND file_path IS NOT NULL""",

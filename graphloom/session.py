@@ -71,11 +71,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Splits beyond which an input is never moved to spread its work; at the usual 128 MB a split that is 8 GB.
+FEW_SPLITS = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores, for heavy work per row.
+    """``df`` in as many partitions as there are cores, for heavy work per row, if it is small.
 
-    Inputs of many splits, as any large one has, are left as they are; only a small input that
-    would otherwise keep most cores idle is moved.
+    Only an input of less than FEW_SPLITS splits that would keep most cores idle is moved, so
+    that what is shuffled stays bounded whatever the size of the cluster.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df

@@ -56,9 +56,13 @@ def settled(states: DataFrame, quiet: str = "2 seconds", lateness: str = "10 min
     return by.agg(F.count(F.lit(1)).alias("events"), F.max_by("hash_value", "at").alias("hash_value"))
 
 
-def start_ledger(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append changes to a table of the ledger; ``ledger`` reads the latest state from it."""
-    return changes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def start_ledger(changes: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append changes to a table of the ledger; ``ledger`` reads the latest state from it.
+
+    Without ``every``, an interval such as "5 seconds", what is there is read and the query ends.
+    """
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return changes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**when).start()
 
 
 def ledger(changes: DataFrame) -> DataFrame:
