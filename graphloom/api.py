@@ -123,8 +123,8 @@ class GraphTools:
     def search_all_frameworks(self, query: str, entity_type: str | None = None, limit_per_framework: int = 5) -> list[dict]:
         return _brief(search.search_graphs(self.graph, query, entity_type, limit_per_framework))
 
-    def find_code_patterns(self, pattern_name: str) -> list[dict]:
-        return _brief(search.similar_patterns(self.graph, pattern_name))
+    def find_code_patterns(self, pattern_name: str, entity_type: str | None = None, limit: int = 20) -> dict:
+        return {"examples": _rows(search.pattern_examples(self.graph, pattern_name, entity_type, limit), limit), "counts": _brief(search.similar_patterns(self.graph, pattern_name))}
 
     def get_framework_entity_context(self, framework: str, entity_id: str, depth: int = 2) -> dict:
         part = GraphTools(self.spark, self.graph.only(framework), framework)
@@ -196,8 +196,11 @@ class GraphTools:
     def track_evolution(self, repository: str, since: str | None = None, until: str | None = None) -> DataFrame:
         return evolution.recent_commits(gitlog.read_log(self.spark, [repository], since or f"{evolution.DAYS} days ago", until))
 
-    def entity_evolution(self, repository: str, entity_name: str, since: str | None = None, until: str | None = None) -> DataFrame:
-        """The history of the entity's file."""
+    def entity_evolution(self, path: str, entity_name: str, since: str | None = None, until: str | None = None) -> DataFrame:
+        """The history of the entity's file in the repository that ``path`` lies in."""
+        repository = gitlog.find_repository(path)
+        if repository is None:
+            raise ValueError(f"{path} lies in no repository")
         part = KnowledgeGraph(self.graph.entities.join(self._resolved(entity_name), ["graph", "id"], "left_semi"), self.graph.relationships)
         return evolution.entity_history(part, gitlog.read_log(self.spark, [repository], since or f"{evolution.DAYS} days ago", until), since="1970-01-01", until=None)
 
@@ -242,6 +245,9 @@ class GraphTools:
     def validate(self) -> list[dict]:
         return _brief(quality.validation_summary(self.graph))
 
+    def validation_issues(self, check_orphans: bool = True, check_invalid_refs: bool = True, check_duplicates: bool = True) -> DataFrame:
+        return quality.validate(self.graph, check_orphans, check_invalid_refs, check_duplicates)
+
     # -- prompts
     def analyze_codebase(self) -> str:
         return "\n\n".join(f"{r['graph']}\n{r['text']}" for r in _brief(documentation.codebase_overview(self.graph)))

@@ -205,14 +205,24 @@ def signatures(g: KnowledgeGraph) -> DataFrame:
     )
 
 
-def snippets(g: KnowledgeGraph, files: DataFrame, context: int = 5) -> DataFrame:
-    """The source lines around each entity whose file is among the source files.
+def source_lines(spans: DataFrame, files: DataFrame, before: int, after: int) -> DataFrame:
+    """(graph, id, file_path, line, snippet): the lines from ``before`` above to ``after`` below the line of each span.
 
-    Each file is cut into lines once; every entity asks for its lines by number.  The line of the
-    entity may lie beyond the file's end as long as some line of its context does not.
+    Each file is cut into lines once; every span asks for its lines by number, and lines beyond
+    the file are left out.  Of several texts of a file the latest counts.
     """
     latest = files.where("source_text is not null and graph is not null and file_path is not null").groupBy("graph", "file_path").agg(F.max_by("source_text", F.struct("updated_at", "file_id")).alias("source_text"))
     lines = latest.select("graph", "file_path", F.posexplode(F.split("source_text", "\n")).alias("at", "content")).withColumn("at", F.col("at") + 1)
-    wanted = g.entities.where("line >= 1").select("graph", "file_path", "id", "line", F.explode(F.sequence(F.greatest(F.col("line") - context, F.lit(1)), F.col("line") + context)).alias("at"))
+    wanted = spans.where("line >= 1").select("graph", "file_path", "id", "line", F.explode(F.sequence(F.greatest(F.col("line") - before, F.lit(1)), F.col("line") + after)).alias("at"))
     rows = wanted.join(lines, ["graph", "file_path", "at"]).groupBy("graph", "file_path", "id", "line").agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("rows"))
     return rows.select("graph", "id", "file_path", "line", F.array_join(F.transform("rows", lambda r: r["content"]), "\n").alias("snippet"))
+
+
+def snippets(g: KnowledgeGraph, files: DataFrame, context: int = 5) -> DataFrame:
+    """The source lines around each entity whose file is among the source files."""
+    return source_lines(g.entities, files, context, context)
+
+
+def source_blocks(g: KnowledgeGraph, files: DataFrame, context: int = 10) -> DataFrame:
+    """The source of each entity from its line on, ``context`` and 20 lines of it."""
+    return source_lines(g.entities, files, 0, context + 19)

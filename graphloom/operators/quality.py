@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -275,8 +277,8 @@ def compatibility_scores(g: KnowledgeGraph, framework: str, target_version: str,
     return g.entities.select("graph").distinct().join(issues, "graph", "left").na.fill(0, ["issues"]).withColumn("score", F.greatest(F.lit(0), 100 - 10 * F.col("issues")))
 
 
-def validate(g: KnowledgeGraph) -> DataFrame:
-    """(graph, issue, severity, subject): dangling ends, entities without any edge, repeated names in a file."""
+def validate(g: KnowledgeGraph, check_orphans: bool = True, check_invalid_refs: bool = True, check_duplicates: bool = True) -> DataFrame:
+    """(graph, issue, severity, subject): dangling ends, entities without any edge, repeated names in a file, as far as asked for."""
     keys = g.entities.select("graph", "id")
     e = g.relationships
     bad = lambda side, issue: e.join(keys.withColumnRenamed("id", side), ["graph", side], "left_anti").select("graph", F.lit(issue).alias("issue"), F.lit("error").alias("severity"), F.col("rel_id").cast("string").alias("subject"))
@@ -284,7 +286,9 @@ def validate(g: KnowledgeGraph) -> DataFrame:
     orphans = g.entities.where("type <> 'module'").join(ends, ["graph", "id"], "left_anti").select("graph", F.lit("orphan").alias("issue"), F.lit("warning").alias("severity"), F.col("id").alias("subject"))
     again = g.entities.withColumn("n", F.row_number().over(Window.partitionBy("graph", "file_path", "name").orderBy("seq"))).where("n > 1")
     repeated = again.select("graph", F.lit("duplicate").alias("issue"), F.lit("warning").alias("severity"), F.col("id").alias("subject"))
-    return bad("source_id", "invalid_source").unionByName(bad("target_id", "invalid_target")).unionByName(orphans).unionByName(repeated)
+    parts = [bad("source_id", "invalid_source"), bad("target_id", "invalid_target")] if check_invalid_refs else []
+    parts += [orphans] * check_orphans + [repeated] * check_duplicates
+    return functools.reduce(DataFrame.unionByName, parts) if parts else orphans.limit(0)
 
 
 def validation_summary(g: KnowledgeGraph) -> DataFrame:

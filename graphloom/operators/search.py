@@ -59,6 +59,14 @@ def similar_patterns(g: KnowledgeGraph, name: str) -> DataFrame:
     return g.entities.where(text.has(F.col("name"), name)).groupBy("graph", "type").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", "seq").alias("first_name"))
 
 
+def pattern_examples(g: KnowledgeGraph, name: str, entity_type: str | None = None, limit: int = 20) -> DataFrame:
+    """The first entities whose names contain the pattern, graph by graph in order of insertion."""
+    found = g.entities.where(text.has(F.col("name"), name))
+    if entity_type:
+        found = found.where(F.col("type") == entity_type)
+    return found.select(*BRIEF, text.cut_short(F.col("docstring")).alias("docstring")).orderBy("graph", "seq").limit(limit)
+
+
 def recommended(g: KnowledgeGraph, query: str, local: str, min_relevance: float = 0.3) -> DataFrame:
     """All entities of enough weighted relevance; usage counts only for the local graph."""
     usage = usage_counts(g.only(local))

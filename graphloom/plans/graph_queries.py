@@ -41,6 +41,7 @@ QUERIES = {
     "relevance_distribution": _kg(lambda g: search.relevance_distribution(g, "load queue")),
     "search_all_frameworks": _kg(lambda g: search.search_graphs(g, "registry")),
     "similar_patterns": _kg(lambda g: search.similar_patterns(g, "loader")),
+    "pattern_examples": _kg(lambda g: search.pattern_examples(g, "loader", limit=50)),
     "recommend_code": _kg(lambda g: search.recommend(g, "queue", LOCAL, limit=50, min_relevance=0.1)),
     "hybrid_ranked": _kg(lambda g: search.hybrid_ranked(g, "load queue", LOCAL, 0.6)),
     "hybrid_search": _kg(lambda g: search.hybrid_search(g, "load queue", LOCAL, 0.6)),
@@ -199,6 +200,7 @@ SQL = {
           SELECT *, row_number() OVER (PARTITION BY graph ORDER BY lower(name) <> 'registry', length(name), seq) AS place, count(*) OVER (PARTITION BY graph) AS total_count FROM ents WHERE contains(lower(name), 'registry')) WHERE place <= 5"""
     ),
     "similar_patterns": over("SELECT graph, type, count(*) AS n, arg_min(name, seq) AS first_name FROM ents WHERE contains(lower(name), 'loader') GROUP BY 1, 2"),
+    "pattern_examples": over(f"SELECT {_BRIEF}, left(docstring, 200) AS docstring FROM ents WHERE contains(lower(name), 'loader') ORDER BY graph, seq LIMIT 50"),
     "recommend_code": over(
         f"""SELECT {_BRIEF}, source, round(s, 6) AS score FROM (
           SELECT e.*, CASE WHEN e.graph = '{LOCAL}' THEN 'local' ELSE 'framework' END AS source, {_weighted("queue", "u")} AS s

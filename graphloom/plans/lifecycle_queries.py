@@ -78,6 +78,13 @@ def _snippets(spark, sf_dir):
     return lookup.snippets(KnowledgeGraph(spans, spans), files, context=1)
 
 
+def _blocks(spark, sf_dir):
+    """A block of every file, from a line that its number gives."""
+    files = table(spark, sf_dir, "source_files")
+    spans = files.select("graph", "file_path", F.col("file_id").cast("string").alias("id"), (F.col("file_id") % 50 + 1).cast("int").alias("line"))
+    return lookup.source_blocks(KnowledgeGraph(spans, spans), files)
+
+
 def _saved_graphs(spark, sf_dir):
     """The saved graphs among the snapshots, read by the schema of graph files; each snapshot is a graph."""
     rows = table(spark, sf_dir, "graph_snapshots").where("payload is not null and graph <> 'summary'")
@@ -166,6 +173,7 @@ QUERIES = {
     "parsed_entities": _facts(lambda found: declarations.to_graph(found).entities.drop("extra_data")),
     "list_languages": lambda spark, sf_dir: table(spark, sf_dir, "source_files").select(lookup.language_of(F.col("file_path")).alias("language")).distinct(),
     "source_snippet": _snippets,
+    "source_block": _blocks,
     "watch_stream": _watched,
     "snapshot_entities": lambda spark, sf_dir: _saved_graphs(spark, sf_dir).entities.drop("extra_data"),
     "snapshot_edges": lambda spark, sf_dir: _saved_graphs(spark, sf_dir).relationships.select("graph", "source_id", "target_id", "type"),
@@ -251,6 +259,9 @@ SQL = {
     "parsed_files": r"""SELECT file_id, coalesce(graph, '') AS graph, file_path, regexp_extract(file_path, '([^/]*)$', 1) AS name,
         length(replace(replace(source_text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) - length(replace(replace(replace(source_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), '')) + 1 AS lines
         FROM source_files WHERE source_text IS NOT NULL AND file_path IS NOT NULL""",
+    "source_block": """SELECT f.graph, f.file_id::VARCHAR AS id, f.file_path, (f.file_id % 50 + 1)::INT AS line, array_to_string(l.lines[f.file_id % 50 + 1 : f.file_id % 50 + 30], chr(10)) AS snippet
+        FROM source_files f JOIN (SELECT graph, file_path, string_split(arg_max(source_text, (updated_at, file_id)), chr(10)) AS lines FROM source_files WHERE source_text IS NOT NULL GROUP BY 1, 2) l ON l.graph = f.graph AND l.file_path = f.file_path
+        WHERE len(l.lines) >= f.file_id % 50 + 1""",
     "list_languages": f"""SELECT DISTINCT k.language FROM (SELECT regexp_extract(lower(file_path), '(\\.[^./]+)$', 1) AS extension FROM source_files) f LEFT JOIN (VALUES {LANGUAGES_SQL}) k(extension, language) ON k.extension = f.extension""",
     "naming_convention": over(
         """SELECT graph, type, convention, n, row_number() OVER (PARTITION BY graph, type ORDER BY n DESC, list_position(['snake_case', 'camelCase', 'PascalCase'], convention)) = 1 AS chosen FROM (

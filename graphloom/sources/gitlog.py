@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -47,6 +49,12 @@ class GitLog(DataSource):
         return _Reader(self.options["paths"].split(";"), self.options.get("since"), self.options.get("until"))
 
 
+def find_repository(path: str) -> str | None:
+    """The folder of the repository that a file or folder lies in, None outside of any."""
+    start = Path(path).resolve()
+    return next((str(p) for p in (start, *start.parents) if (p / ".git").exists()), None)
+
+
 def read_log(spark: SparkSession, paths: list[str], since: str | None = None, until: str | None = None) -> DataFrame:
     spark.dataSource.register(GitLog)
     reader = spark.read.format("git_log").option("paths", ";".join(paths))

@@ -6,6 +6,7 @@ import subprocess
 
 from pyspark.sql import functions as F
 
+from graphloom import cli
 from graphloom.api import GraphTools
 from graphloom.operators import declarations
 from graphloom.sources import external_index, files, gitlog
@@ -112,6 +113,26 @@ def test_git_log(spark, tmp_path):
     assert sorted((r.file_path, r.author, r.lines) for r in log.collect()) == [("a.txt", "n@e", 1)] * 3
 
 
+def test_repository_of_a_path(tmp_path):
+    (tmp_path / "r" / ".git").mkdir(parents=True)
+    (tmp_path / "r" / "a" / "b").mkdir(parents=True)
+    assert gitlog.find_repository(str(tmp_path / "r" / "a" / "b")) == str(tmp_path / "r") and gitlog.find_repository(str(tmp_path)) is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("class Store: pass\n")
+    run = lambda *a: (cli.main(list(map(str, a))), capsys.readouterr().out)[1]
+    assert '"class"' in run("parse", src, "-o", tmp_path / "g.json")
+    assert "Store" in run("query", tmp_path / "g.json", "store") and '"valid": true' in run("validate", tmp_path / "g.json")
+    run("save", tmp_path / "g.json", tmp_path / "native")
+    assert run("load", tmp_path / "native") == run("stats", tmp_path / "native") and "Python" in run("info")
+    (src / "b.py").write_text("def late(): pass\n")
+    assert "late" not in run("watch", src, "-o", tmp_path / "w", "--rounds", 1, "--every", 0)
+    assert "late" in run("query", tmp_path / "w", "late")
+
+
 def test_watch(spark, tmp_path):
     at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     rows = [("g", "a.py", "1", at(1)), ("g", "a.py", "1", at(2)), ("g", "a.py", "2", at(3)), ("g", "b.py", "1", at(1)), ("g", "b.py", None, at(4)), ("g", "c.txt", "9", at(1))]
