@@ -58,6 +58,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(table(spark, sf_dir, "graph_snapshots"))
 
 
+def p5_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of starts, endings and changes of type, before renames are told from it."""
+    snapshots = table(spark, sf_dir, "graph_snapshots")
+    places = drift.ordered(snapshots)
+    return drift.starts_and_endings(drift.lifespans(drift.catalogue(snapshots, places)), places).drop("parent")
+
+
 def p5_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = table(spark, sf_dir, "graph_snapshots")
     return drift.lifespans(drift.catalogue(snapshots, drift.ordered(snapshots))).drop("parent")
@@ -92,6 +99,7 @@ QUERIES = {
     "p3_descendants": p3_descendants,
     "p3_cycle_edges": p3_cycle_edges,
     "p5_found": p5_found,
+    "p5_events": p5_events,
     "p5_lifespans": p5_lifespans,
     "p5_entities": p5_entities,
     "p6_found": p6_found,
@@ -171,6 +179,20 @@ routed AS (
     WHEN json_type(t) = 'OBJECT' THEN 'generic_parameter' WHEN json_type(t) = 'VARCHAR' THEN 'named_parameter' ELSE 'untyped_parameter' END AS subtype FROM parts)
 """
 
+_FIELDS = r"""
+places AS (SELECT stream_name, snapshot_id, row_number() OVER (PARTITION BY stream_name ORDER BY taken_at, snapshot_id) AS seq FROM (SELECT stream_name, snapshot_id, min(taken_at) AS taken_at FROM graph_snapshots GROUP BY 1, 2)),
+valid AS (SELECT DISTINCT stream_name, snapshot_id, CASE WHEN json_type(payload) = 'VARCHAR' THEN json_extract_string(payload, '$') ELSE payload END AS p FROM graph_snapshots WHERE json_valid(payload)),
+docs AS (SELECT p.stream_name, p.seq, v.p FROM valid v JOIN places p USING (stream_name, snapshot_id) WHERE json_valid(v.p)),
+nodes AS MATERIALIZED (SELECT d.stream_name, d.seq, t.id, t.parent, t.key, t.type FROM docs d, json_tree(d.p) t),
+paths AS (
+  SELECT stream_name, seq, id, '' AS path, type FROM nodes WHERE parent IS NULL
+  UNION ALL
+  SELECT n.stream_name, n.seq, n.id, CASE WHEN p.type = 'ARRAY' THEN p.path || '[]' WHEN p.path = '' THEN n.key ELSE p.path || '.' || n.key END, n.type
+  FROM paths p JOIN nodes n ON n.stream_name = p.stream_name AND n.seq = p.seq AND n.parent = p.id),
+kinds AS (SELECT stream_name, seq, path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM paths WHERE id <> 0),
+fields AS (SELECT stream_name, seq, path, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS types FROM kinds GROUP BY 1, 2, 3)
+"""
+
 SQL = {
     "p2_found": f"""WITH RECURSIVE {_RECORDS}
         SELECT record_id, entity_id, parent_id, file_path, -1 AS pos, '' AS param_name FROM placed WHERE len(ps) = 0
@@ -206,19 +228,16 @@ SQL = {
         FROM (SELECT graph, id, tree_depth, unnest(string_split(path, '/')) AS ancestor, generate_subscripts(string_split(path, '/'), 1) AS place FROM tree) WHERE place <= tree_depth""",
     "p3_cycle_edges": f"""WITH RECURSIVE {_LINKS}
         SELECT l.graph, w.root_id AS cycle_id, l.parent, l.id FROM links l JOIN loops o ON o.graph = l.graph AND o.id = l.id JOIN low w ON w.graph = l.graph AND w.id = l.id""",
-    "p5_lifespans": r"""WITH RECURSIVE places AS (SELECT stream_name, snapshot_id, row_number() OVER (PARTITION BY stream_name ORDER BY taken_at, snapshot_id) AS seq FROM (SELECT stream_name, snapshot_id, min(taken_at) AS taken_at FROM graph_snapshots GROUP BY 1, 2)),
-valid AS (SELECT DISTINCT stream_name, snapshot_id, CASE WHEN json_type(payload) = 'VARCHAR' THEN json_extract_string(payload, '$') ELSE payload END AS p FROM graph_snapshots WHERE json_valid(payload)),
-docs AS (SELECT p.stream_name, p.seq, v.p FROM valid v JOIN places p USING (stream_name, snapshot_id) WHERE json_valid(v.p)),
-nodes AS MATERIALIZED (SELECT d.stream_name, d.seq, t.id, t.parent, t.key, t.type FROM docs d, json_tree(d.p) t),
-paths AS (
-  SELECT stream_name, seq, id, '' AS path, type FROM nodes WHERE parent IS NULL
-  UNION ALL
-  SELECT n.stream_name, n.seq, n.id, CASE WHEN p.type = 'ARRAY' THEN p.path || '[]' WHEN p.path = '' THEN n.key ELSE p.path || '.' || n.key END, n.type
-  FROM paths p JOIN nodes n ON n.stream_name = p.stream_name AND n.seq = p.seq AND n.parent = p.id),
-kinds AS (SELECT stream_name, seq, path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM paths WHERE id <> 0),
-fields AS (SELECT stream_name, seq, path, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS types FROM kinds GROUP BY 1, 2, 3),
+    "p5_lifespans": f"""WITH RECURSIVE {_FIELDS},
 islands AS (SELECT *, seq - row_number() OVER (PARTITION BY stream_name, path, types ORDER BY seq) AS island FROM fields)
 SELECT stream_name, path AS field_path, types, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS snapshots FROM islands GROUP BY stream_name, path, types, island""",
+    "p5_events": f"""WITH RECURSIVE {_FIELDS},
+ends AS (SELECT stream_name, max(seq) AS end_seq FROM places GROUP BY 1),
+steps AS (SELECT coalesce(a.stream_name, b.stream_name) AS stream_name, coalesce(b.seq, a.seq + 1) AS seq, coalesce(a.path, b.path) AS field_path, a.types AS before, b.types AS after
+  FROM fields a FULL JOIN fields b ON b.stream_name = a.stream_name AND b.path = a.path AND b.seq = a.seq + 1)
+SELECT * FROM (
+  SELECT stream_name, seq, field_path, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN before <> after AND before <> '' AND after <> '' THEN 'retyped' END AS event FROM steps JOIN ends USING (stream_name) WHERE seq > 1 AND seq <= end_seq)
+WHERE event = 'retyped' OR event IS NOT NULL AND NOT ends_with(field_path, '[]')""",
     "p6_found": f"WITH {_ORPHANS} SELECT rel_id, side, reason FROM orphans",
     "p6_report": f"""WITH {_ORPHANS}
         SELECT 'relationships.' || side || '_id' AS reference, strftime(moment, '%Y-%m') AS period, reason, count(*) AS n FROM orphans GROUP BY 1, 2, 3""",
