@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from graphloom.session import spread
@@ -29,6 +30,8 @@ VOCABULARY = os.environ.get("GRAPHLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50
 
 # White space as the pre-tokenizer sees it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The size up to which a vocabulary file is broadcast to the workers, which need not have it.
+MOST_BYTES = 64 << 20
 #: Words kept between batches; longer or rarer ones are encoded again.
 _CACHE, _LONGEST = 400_000, 40
 
@@ -41,15 +44,22 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 0x100 + n for n, b in enumerate(rest)}
 
 
-def read_vocabulary(path: str) -> list[bytes]:
-    """Tokens by rank from a file with a base64 token and its rank on each line."""
-    with open(path, "rb") as f:
-        ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in (line.split() for line in f if line.strip()))
+def read_vocabulary(data: bytes) -> list[bytes]:
+    """Tokens by rank from the lines of a vocabulary file, each a base64 token and its rank."""
+    ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in (line.split() for line in data.splitlines() if line.strip()))
     if [r for r, _ in ranked] != list(range(len(ranked))):
-        raise ValueError(f"ranks of {path} are not 0..{len(ranked) - 1}")
+        raise ValueError(f"ranks of the vocabulary are not 0..{len(ranked) - 1}")
     return [token for _, token in ranked]
 
 
+def vocabulary_bytes(path: str) -> bytes:
+    """The file's bytes; one above MOST_BYTES is no vocabulary and never sent anywhere."""
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} is larger than {MOST_BYTES} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 0x7F:
@@ -99,8 +109,8 @@ class _Known(dict):
 class Encoder:
     """Texts to ids and back; kept once per worker process and vocabulary."""
 
-    def __init__(self, path: str):
-        tokens = read_vocabulary(path)
+    def __init__(self, vocabulary: bytes):
+        tokens = read_vocabulary(vocabulary)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(tokens))
         self.tokens = tokens
         self.letters = byte_letters()
@@ -143,13 +153,21 @@ def _exact():
 
 
 @functools.cache
+def encoder_of(vocabulary: bytes) -> Encoder:
+    return Encoder(vocabulary)
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return encoder_of(vocabulary_bytes(path))
+
+
+def _shipped(df: DataFrame, path: str) -> Broadcast[bytes]:
+    return df.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
 
 
-def _encode(path: str):
+def _encode(vocabulary: Broadcast[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder_of(vocabulary.value)
         for batch in batches:
             ids = e.encode_batch(batch.column("text").to_pylist())
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
@@ -164,12 +182,12 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
 
     Null and empty texts have the empty list.  Repeated documents give repeated rows.
     """
-    return spread(documents.select("doc_id", "text")).mapInArrow(_encode(vocabulary), "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_encode(_shipped(documents, vocabulary)), "doc_id long, ids array<int>")
 
 
-def _sizes(path: str):
+def _sizes(vocabulary: Broadcast[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder_of(vocabulary.value)
         for batch in batches:
             sizes = [e.count(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
@@ -179,12 +197,12 @@ def _sizes(path: str):
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens); 0 for null and empty texts."""
-    return spread(documents.select("doc_id", "text")).mapInArrow(_sizes(vocabulary), "doc_id long, n_tokens long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_sizes(_shipped(documents, vocabulary)), "doc_id long, n_tokens long")
 
 
-def _decode(path: str):
+def _decode(vocabulary: Broadcast[bytes]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
+        e = encoder_of(vocabulary.value)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [e.decode(list(x)) if x is not None else None for x in pdf["ids"]]})
 
@@ -193,4 +211,4 @@ def _decode(path: str):
 
 def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
-    return encoded.select("doc_id", "ids").mapInPandas(_decode(vocabulary), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInPandas(_decode(_shipped(encoded, vocabulary)), "doc_id long, text string")
