@@ -10,8 +10,10 @@ spam when more than half of its characters lie in stretches that meet one of the
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -124,9 +126,14 @@ def _recurrent(codes: np.ndarray, lags: int) -> np.ndarray:
     return hit
 
 
+def _numbered(terms: list[str]) -> tuple[np.ndarray, Iterable[str]]:
+    """The terms as numbers in order of their first appearance, and the terms in that order."""
+    code: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+    return np.fromiter(map(code.__getitem__, terms), np.int64, len(terms)), code.keys()
+
+
 def _coded(terms: list[str]) -> np.ndarray:
-    code: dict[str, int] = {}
-    return np.array([code.setdefault(t, len(code)) for t in terms], np.int64)
+    return _numbered(terms)[0]
 
 
 def autocorrelation(codes: np.ndarray) -> np.ndarray:
@@ -188,6 +195,8 @@ def profile(text: str, repetition: bool = True, lists: bool = True) -> dict[str,
     def close() -> None:
         """A run of list lines counts when it has enough items; single short lines are headings."""
         nonlocal run_terms
+        if not run:
+            return
         items = sum(n for n, _, _ in run)
         if items >= MIN_ITEMS and (len(run) >= MIN_RUN or max(n for n, _, _ in run) >= MIN_ITEMS or any(m for _, m, _ in run)):
             runs.append((items, sum(c for _, _, c in run), sum(t in FUNCTION_WORDS for t in run_terms), run_terms))
@@ -247,15 +256,18 @@ def profile(text: str, repetition: bool = True, lists: bool = True) -> dict[str,
                 spans.append((len(terms), len(terms) + len(found), _solid(m[0])))
                 terms += found
     if terms and repetition:
-        codes = _coded(terms)
+        codes, known = _numbered(terms)
         hit = _recurrent(codes, LAGS)
-        content = np.array([t not in FUNCTION_WORDS for t in dict.fromkeys(terms)])[codes]
-        counts, hits = np.cumsum(np.r_[0, content]), np.cumsum(np.r_[0, content & hit])
+        content = np.fromiter((t not in FUNCTION_WORDS for t in known), bool)[codes]
+        counts, hits = np.zeros((2, len(codes) + 1), np.int64)
+        np.cumsum(content, out=counts[1:])
+        np.cumsum(content & hit, out=hits[1:])
+        counts, hits = counts.tolist(), hits.tolist()
         for a, b, chars in spans:
             n = counts[b] - counts[a]
             if n and (hits[b] - hits[a]) >= RECURRENT_SHARE * n and (b - a < 2 * n + 6):
                 out["repeated"] += chars
-        out["recurrence"] = max(out["recurrence"], float(hits[-1] / max(1, counts[-1])))
+        out["recurrence"] = max(out["recurrence"], hits[-1] / max(1, counts[-1]))
     return out
 
 
