@@ -367,10 +367,6 @@ def _place(path: str, tops: dict[str, str]) -> str | None:
     return f"{tops.get(head, head)}[].{rest}" if mark else path
 
 
-#: Distinct renames beyond which names are data and no vocabulary: then the streams' own renames count alone.
-VOCABULARY = 100_000
-
-
 def resolve_aliases(pairs: list[tuple[str, str]]) -> dict[str, str]:
     """path -> canonical name of the field in its record, over chains of renames (old, new) of any length.
 
@@ -379,21 +375,24 @@ def resolve_aliases(pairs: list[tuple[str, str]]) -> dict[str, str]:
     fixed = {f"entities[].{f}" for f in ENTITY_CASTS} | {"entities", "relationships", *KEYED}
 
     def resolved(links: list[tuple[str, str]]) -> dict[str, str]:
-        olds = defaultdict(set)
+        olds, news = defaultdict(set), defaultdict(set)
         for old, new in links:
             olds[new].add(old)
-        out = {}
-        for new in olds:
-            if new in fixed:
-                continue
-            seen, todo = {new}, [new]
-            while todo:
-                more = olds.get(todo.pop(), set()) - seen
-                seen |= more
-                todo += more
-            best = (seen & fixed) or {x for x in seen if not olds.get(x)} or seen
-            out[new] = min(best)
-        return out
+            news[old].add(new)
+        names = sorted({*olds, *news})
+        best: dict[str, str] = {}
+        # Fixed names first, then those that nothing was renamed to, then any; the smallest of a kind takes all that comes of it, each name once.
+        for kind in ([x for x in names if x in fixed], [x for x in names if not olds.get(x)], names):
+            taken: dict[str, str] = {}
+            for first in kind:
+                todo = [first]
+                while todo:
+                    name = todo.pop()
+                    if name not in taken:
+                        taken[name] = first
+                        todo += news.get(name, ())
+            best = taken | best
+        return {new: best[new] for new in olds if new not in fixed}
 
     tops = resolved([(a, b) for a, b in pairs if "[]" not in a and "." not in a])
     inner = [(_place(a, tops), _place(b, tops)) for a, b in pairs if a.split("[]")[0] != a or "." in a]
@@ -409,9 +408,12 @@ def alias_table(snapshots: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def shared_aliases(aliases: DataFrame) -> dict[str, str]:
-    """Aliases from the renames of all streams, for names that a stream never renamed itself; at most VOCABULARY renames."""
-    pairs = aliases.select(F.explode("renames").alias("r")).select("r.*").distinct().limit(VOCABULARY + 1).collect()
-    return resolve_aliases(sorted((r[0], r[1]) for r in pairs)) if len(pairs) <= VOCABULARY else {}
+    """Aliases from the renames of all streams, for names that a stream never renamed itself.
+
+    Each pair of names counts once, however many streams and snapshots have it.
+    """
+    pairs = aliases.select(F.explode("renames").alias("r")).select("r.*").distinct().collect()
+    return resolve_aliases(sorted((r[0], r[1]) for r in pairs))
 
 
 def _column_types(records: DataFrame) -> dict[str, tuple[str, bool]]:
