@@ -8,13 +8,16 @@ Frontiers are rows (root, node), so the memory of a task does not depend on a hu
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import KnowledgeGraph
-from graphloom.session import cut
+from graphloom.session import cut, stored
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -107,21 +110,152 @@ def impact(g: KnowledgeGraph, starts: DataFrame, depth: int = 3) -> DataFrame:
     return out.select("graph", "root", "direct", "indirect", F.bround(score, 2).alias("score"), risk.alias("risk"))
 
 
-def critical_paths(g: KnowledgeGraph, starts: DataFrame, limit: int = 10, branch: int = 5) -> DataFrame:
+#: Edges of one graph beyond which its chains are prolonged by joins, as they would fill a task's memory.
+EDGES_IN_A_TASK = 30_000_000
+
+#: Steps without a chain after which a walk looks ahead before each step.
+PATIENCE = 1_000
+
+
+def _walk(ups_of, ended: np.ndarray, live: np.ndarray, root: int, limit: int) -> list[list[int]]:
+    """The first ``limit`` simple chains from ``root`` to an end, depth first.
+
+    After PATIENCE steps without a chain only nodes are entered from which an end can be reached
+    beside the path, so that the time for each chain stays polynomial.  What a look ahead found
+    closed stays closed while the path goes on from there.
+    """
+    path, on, walks, found, steps = [root], {root}, [iter(ups_of(root))], [], 0
+    closed: list[tuple[int, set[int]]] = []
+
+    def opens(node: int) -> bool:
+        if any(node in nodes for _, nodes in closed):
+            return False
+        seen, todo = {node}, [node]
+        while todo:
+            for up in ups_of(todo.pop()):
+                if ended[up]:
+                    return True
+                if up not in seen and up not in on and live[up]:
+                    seen.add(up)
+                    todo.append(up)
+        closed.append((len(path), seen))
+        return False
+
+    while walks:
+        up = next(walks[-1], None)
+        if up is None:
+            walks.pop()
+            on.discard(path.pop())
+            while closed and closed[-1][0] > len(path):
+                closed.pop()
+        elif ended[up]:
+            found.append([*path, up])
+            steps = 0
+            if len(found) == limit:
+                break
+        elif live[up] and up not in on:
+            steps += 1
+            if steps <= PATIENCE or opens(up):
+                path.append(up)
+                on.add(up)
+                walks.append(iter(ups_of(up)))
+    return found
+
+
+def _walks(limit: int):
+    """Chains of whole graphs; rows (key, head, up, ended) come by key, first the roots with no up, then by head and ordinal."""
+
+    def solve(pieces: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        head, up, ended = (np.concatenate([p[i] for p in pieces]) for i in (1, 2, 3))
+        roots = head[up < 0]
+        head, up, ended = head[up >= 0], up[up >= 0], ended[up >= 0]
+        names = np.unique(np.concatenate([head, up, roots]))
+        head, up, roots = (np.searchsorted(names, x) for x in (head, up, roots))
+        starts = np.searchsorted(head, np.arange(len(names) + 1))
+        is_end = np.zeros(len(names), bool)
+        is_end[up[ended]] = True
+        # Nodes that lead to an end, by any way.
+        back = np.argsort(up, kind="stable")
+        first = np.searchsorted(up[back], np.arange(len(names) + 1))
+        live, frontier = is_end.copy(), np.flatnonzero(is_end)
+        while len(frontier):
+            n = first[frontier + 1] - first[frontier]
+            at = np.repeat(first[frontier] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            frontier = np.unique(head[back[at]])
+            frontier = frontier[~live[frontier]]
+            live[frontier] = True
+        rows: list[tuple[int, int, list[int]]] = []
+        ups_of = lambda node: up[starts[node] : starts[node + 1]].tolist()
+        for root in roots.tolist():
+            for place, chain in enumerate(_walk(ups_of, is_end, live, root, limit) if live[root] else [], 1):
+                rows.append((names[root], place, names[chain]))
+            if len(rows) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CHAIN.types)], schema=_CHAIN)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CHAIN.types)], schema=_CHAIN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for piece in zip(*(np.split(c, np.flatnonzero(np.diff(columns[0])) + 1) for c in columns)):
+                if pieces and len(piece[0]) and pieces[-1][0][0] != piece[0][0]:
+                    yield from solve(pieces)
+                    pieces = []
+                if len(piece[0]):
+                    pieces.append(list(piece))
+        if pieces:
+            yield from solve(pieces)
+
+    return run
+
+
+_CHAIN = pa.schema([("root", pa.int64()), ("place", pa.int32()), ("chain", pa.list_(pa.int64()))])
+
+
+def critical_paths(g: KnowledgeGraph, starts: DataFrame, limit: int = 10, branch: int = 5, in_a_task: int = EDGES_IN_A_TASK) -> DataFrame:
     """(graph, root, place, path): simple chains of dependents up to an entity that nothing leads to.
 
     Only the first ``branch`` edges into a node, in order of insertion, are followed; the first
-    ``limit`` chains of a depth-first walk are reported, however long.  Ordinals of the edges
-    taken stand for the order of that walk: each round prolongs the first ``limit`` open chains
-    of a root, the others wait, and those behind its ``limit``-th finished chain are dropped, as
-    all that comes of them is behind it too.  Chains that cannot reach an end are not prolonged.
+    ``limit`` chains of a depth-first walk are reported, however long.  The edges of a graph, as
+    numbers, go to one task that walks from all its roots; graphs of more than ``in_a_task``
+    edges are walked by joins, with the same rows.
     """
     w = Window.partitionBy("graph", "target_id").orderBy("rel_id")
     known = g.entities.select("graph", F.col("id").alias("source_id"))
     edges = g.relationships.where("target_id is not null and graph is not null").select("graph", "source_id", "target_id", "rel_id")
     into = edges.where("source_id is not null").withColumn("ordinal", F.row_number().over(w)).where(F.col("ordinal") <= branch)
-    step = cut(into.join(known, ["graph", "source_id"], "left_semi").select("graph", F.col("target_id").alias("head"), F.col("source_id").alias("up"), "ordinal"))
-    ends = cut(step.select("graph", F.col("up").alias("id")).distinct().join(edges.select("graph", F.col("target_id").alias("id")).distinct(), ["graph", "id"], "left_anti"))
+    step = stored(into.join(known, ["graph", "source_id"], "left_semi").select("graph", F.col("target_id").alias("head"), F.col("source_id").alias("up"), "ordinal"))
+    targets = edges.select("graph", F.col("target_id").alias("id")).distinct()
+    roots = starts.select("graph", "root").distinct()
+    large = stored(step.groupBy("graph").count().where(F.col("count") > in_a_task).select("graph"))
+    if not large.isEmpty():
+        ends = cut(step.select("graph", F.col("up").alias("id")).distinct().join(targets, ["graph", "id"], "left_anti").join(large, "graph", "left_semi"))
+        by_joins = _chains_by_joins(cut(step.join(large, "graph", "left_semi")), ends, roots.join(large, "graph", "left_semi"), limit)
+        step = stored(step.join(large, "graph", "left_anti"))
+    nodes = step.select("graph", F.col("up").alias("id")).unionByName(step.select("graph", F.col("head").alias("id"))).distinct()
+    nodes = stored(nodes.join(targets.withColumn("inside", F.lit(True)), ["graph", "id"], "left").select("graph", "id", F.col("inside").isNull().alias("ended"), F.monotonically_increasing_id().alias("node")))
+    of = lambda name, number: nodes.select("graph", F.col("id").alias(name), F.col("node").alias(number))
+    numbered = step.join(of("head", "a"), ["graph", "head"]).join(nodes.select("graph", F.col("id").alias("up"), F.col("node").alias("b"), "ended"), ["graph", "up"])
+    rows = numbered.select("graph", "a", "b", "ordinal", "ended").unionByName(roots.join(of("root", "a"), ["graph", "root"]).select("graph", "a", F.lit(-1).cast("long").alias("b"), F.lit(0).alias("ordinal"), F.lit(False).alias("ended")))
+    # Numbers are of one graph each, so that two graphs of one key do each other no harm.
+    rows = rows.withColumn("key", F.xxhash64("graph")).repartition(int(step.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    chains = rows.sortWithinPartitions("key", F.expr("b >= 0"), "a", "ordinal").select("key", "a", "b", "ended").mapInArrow(_walks(limit), "root long, place int, chain array<long>")
+    named = stored(chains).select("root", "place", F.posexplode("chain").alias("pos", "node")).join(nodes.select("graph", "id", "node"), "node")
+    named = named.groupBy("root", "place").agg(F.min("graph").alias("graph"), F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("chain"))
+    found = named.select("graph", F.col("chain")[0]["id"].alias("root"), "place", F.array_join("chain.id", " < ").alias("path"))
+    return found if large.isEmpty() else found.unionByName(by_joins)
+
+
+def _chains_by_joins(step: DataFrame, ends: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
+    """As ``critical_paths``, for graphs of any size.
+
+    Ordinals of the edges taken stand for the order of the walk: each round prolongs the first
+    ``limit`` open chains of a root, the others wait, and those behind its ``limit``-th finished
+    chain are dropped, as all that comes of them is behind it too.  Chains that cannot reach an
+    end are not prolonged.
+    """
     # Nodes that lead to an end, by any way; a few levels between two checkpoints, as their order does not matter.
     live = frontier = ends
     while not frontier.isEmpty():
@@ -132,7 +266,7 @@ def critical_paths(g: KnowledgeGraph, starts: DataFrame, limit: int = 10, branch
         live = live.unionByName(frontier)
     flags = cut(live.join(ends.withColumn("ended", F.lit(True)), ["graph", "id"], "left").select("graph", F.col("id").alias("up"), F.coalesce("ended", F.lit(False)).alias("ended")))
     step = cut(step.join(flags, ["graph", "up"]))
-    chains = starts.select("graph", "root").distinct().select("graph", "root", F.col("root").alias("head"), F.array("root").alias("path"), F.array().cast("array<int>").alias("ordinals"), F.lit(False).alias("ended"))
+    chains = starts.select("graph", "root", F.col("root").alias("head"), F.array("root").alias("path"), F.array().cast("array<int>").alias("ordinals"), F.lit(False).alias("ended"))
     state = cut(chains.join(flags.where("not ended").select("graph", F.col("up").alias("head")), ["graph", "head"], "left_semi").select(chains.columns))
     order = Window.partitionBy("graph", "root").orderBy("ordinals")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
