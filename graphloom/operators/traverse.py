@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import KnowledgeGraph
-from graphloom.session import cut, stored
+from graphloom.session import cut, discard, stored
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -44,44 +44,55 @@ def neighbours(g: KnowledgeGraph, starts: DataFrame, depth: int = 1) -> DataFram
     return found.join(g.entities.select("graph", "id", "name", "type"), ["graph", "id"]).select("graph", "root", "id", "name", "type", "depth")
 
 
+#: Neighbours of a level up to which a search goes on from both ends at once; beyond, from the end that has fewer.
+FEW_NEIGHBOURS = 64
+
+
 def shortest_paths(g: KnowledgeGraph, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
     """(graph, source, target, hops, path): the smallest shortest undirected path of each pair.
 
     Among paths of equal length the lexicographically smallest counts.  A node's path to itself
     is the node alone if it is in the graph; unreachable pairs give no row.
 
-    Levels go out from the targets and end, for each target, when its last source is met; they
-    hold distances only.  The paths come from walking back from the sources, always to the
-    smallest neighbour that is one step nearer.
+    Levels go out from both ends until they meet, next from the end whose level has fewer
+    neighbours, so that hubs are met rather than passed.  Each node bears the smallest path to its
+    end, so that the smallest path through a meeting is made of its two halves.
     """
-    edges = cut(g.undirected())
-    known = edges.select("graph", F.col("src").alias("source")).distinct()
-    wanted = cut(pairs.select("graph", "source", "target").distinct().join(known, ["graph", "source"], "left_semi"))
-    seen = frontier = cut(wanted.where("source <> target").select("graph", F.col("target").alias("root"), F.col("target").alias("id"), F.lit(0).alias("depth")).distinct())
-    reached = seen.select("graph", F.col("root").alias("target"), F.col("id").alias("source"))
-    level = 0
-    while level < max_depth and not frontier.isEmpty():
-        level += 1
-        waiting = wanted.where("source <> target").join(reached, ["graph", "source", "target"], "left_anti").select("graph", F.col("target").alias("root")).distinct()
-        step = frontier.join(waiting, ["graph", "root"], "left_semi").select("graph", "root", F.col("id").alias("src")).join(edges, ["graph", "src"]).select("graph", "root", F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, ["graph", "root", "id"], "left_anti").withColumn("depth", F.lit(level)))
-        seen = seen.unionByName(frontier)
-        reached = seen.select("graph", F.col("root").alias("target"), F.col("id").alias("source"))
-    seen = seen.select("graph", F.col("root").alias("target"), F.col("id").alias("next"), "depth")
-    met = wanted.join(seen.select("graph", "target", F.col("next").alias("source"), F.col("depth").alias("hops")), ["graph", "source", "target"])
-    done = wanted.where("source = target").withColumn("hops", F.lit(0)).unionByName(met)
-    walk = cut(done.withColumn("id", F.col("source")).withColumn("path", F.array("source")))
-    ends = walk.where("hops = 0")
-    walk = walk.where("hops > 0")
-    for gone in range(1, level + 1):
-        if walk.isEmpty():
+    edges = stored(g.undirected())
+    degrees = stored(edges.groupBy("graph", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree")))
+    wanted = stored(pairs.select("graph", "source", "target").distinct().join(degrees.select("graph", F.col("id").alias("source")), ["graph", "source"], "left_semi"))
+    found = [wanted.where("source = target").select("graph", "source", "target", F.lit(0).alias("hops"), F.array("source").alias("path"))]
+    waiting = wanted.where("source <> target")
+    side = lambda df, name, grows: df.select(F.lit(name).alias("side"), "graph", F.col(name).alias("root"), grows)
+    ends = side(waiting, "source", F.lit(True).alias("front")).unionByName(side(waiting, "target", F.lit(True).alias("front"))).distinct()
+    seen = stored(ends.select("side", "graph", "root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.array("root").alias("path"), "front"))
+    gone = [seen]
+    while True:
+        # What the next level of each end costs; an end without neighbours left has no row, and its pairs are given up.
+        costs = seen.where("front").join(degrees, ["graph", "id"]).groupBy("side", "graph", "root").agg(F.sum("degree").alias("cost"), F.max("depth").alias("level"))
+        of = lambda name: costs.where(F.col("side") == name).select("graph", F.col("root").alias(name), F.col("cost").alias(f"{name}_cost"), F.col("level").alias(f"{name}_level"))  # noqa: B023, E731
+        turn = waiting.join(of("source"), ["graph", "source"]).join(of("target"), ["graph", "target"]).where(F.col("source_level") + F.col("target_level") < max_depth)
+        few = lambda name, other: ((F.col(f"{name}_cost") <= F.col(f"{other}_cost")) | (F.col(f"{name}_cost") <= FEW_NEIGHBOURS)).alias(f"{name}_grows")
+        turn = stored(turn.select("graph", "source", "target", few("source", "target"), few("target", "source")))
+        gone.append(turn)
+        if turn.isEmpty():
             break
-        near = walk.join(edges.select("graph", F.col("src").alias("id"), F.col("dst").alias("next")), ["graph", "id"]).withColumn("depth", F.col("hops") - gone)
-        best = near.join(seen, ["graph", "target", "next", "depth"]).groupBy("graph", "source", "target", "hops").agg(F.min("next").alias("id"), F.min("path").alias("path"))
-        walk = cut(best.withColumn("path", F.concat("path", F.array("id"))))
-        ends = ends.unionByName(walk.where(F.col("hops") == gone), allowMissingColumns=True)
-        walk = walk.where(F.col("hops") > gone)
-    return ends.select("graph", "source", "target", "hops", "path")
+        roots = side(turn, "source", F.col("source_grows").alias("grows")).unionByName(side(turn, "target", F.col("target_grows").alias("grows"))).groupBy("side", "graph", "root").agg(F.max("grows").alias("grows"))
+        kept = seen.join(roots, ["side", "graph", "root"])
+        step = kept.where("front and grows").withColumnRenamed("id", "src").join(edges, ["graph", "src"]).groupBy("side", "graph", "root", F.col("dst").alias("id")).agg(F.min("depth").alias("depth"), F.min("path").alias("path"))
+        longer = F.when(F.col("side") == "source", F.concat("path", F.array("id"))).otherwise(F.concat(F.array("id"), "path"))
+        fresh = step.join(seen, ["side", "graph", "root", "id"], "left_anti").select("side", "graph", "root", "id", (F.col("depth") + 1).alias("depth"), longer.alias("path"), F.lit(True).alias("front"))
+        seen = stored(kept.select("side", "graph", "root", "id", "depth", "path", (F.col("front") & ~F.col("grows")).alias("front")).unionByName(fresh))
+        gone.append(seen)
+        half = lambda name: seen.where(F.col("side") == name).select("graph", F.col("root").alias(name), "id", F.col("depth").alias(f"{name}_depth"), F.col("path").alias(f"{name}_path"))  # noqa: B023, E731
+        met = turn.select("graph", "source", "target").join(half("source"), ["graph", "source"]).join(half("target"), ["graph", "target", "id"])
+        whole = F.struct((F.col("source_depth") + F.col("target_depth")).alias("hops"), F.concat("source_path", F.slice("target_path", 2, F.size("target_path"))).alias("path"))
+        met = stored(met.groupBy("graph", "source", "target").agg(F.min(whole).alias("best")).select("graph", "source", "target", "best.hops", "best.path"))
+        found.append(met.where(F.col("hops") <= max_depth))
+        waiting = turn.select("graph", "source", "target").join(met, ["graph", "source", "target"], "left_anti")
+    for df in gone:
+        discard(df)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def subgraph(g: KnowledgeGraph, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
