@@ -365,27 +365,149 @@ def call_graph(g: KnowledgeGraph, starts: DataFrame, depth: int = 3) -> tuple[Da
     return nodes, e.join(a, ["graph", "src"]).join(b, ["graph", "root", "dst"]).select("graph", "root", "source", "target", "type").distinct()
 
 
-def communities(g: KnowledgeGraph, rounds: int | None = None) -> DataFrame:
+#: Pairs of neighbours of one graph, both ways, beyond which its labels go round by joins, as they would fill a task's memory.
+PAIRS_IN_A_TASK = 30_000_000
+
+#: Pairs of neighbours whose labels are counted at once.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def _settle(starts: np.ndarray, near: np.ndarray, rounds: int | None) -> np.ndarray:
+    """The label of each node after all rounds; node ``k`` has the neighbours ``near[starts[k] : starts[k + 1]]``.
+
+    Labels are the numbers of nodes.  A round looks only at nodes of which a neighbour took another
+    label in the round before, as the others would choose what they have.
+    """
+    count = len(starts) - 1
+    labels, active = np.arange(count, dtype=np.int32), np.arange(count)
+    moved = was = active[:0]
+
+    def parts(nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Some of the nodes at a time, with their numbers of neighbours and their neighbours."""
+        ends = np.cumsum(starts[nodes + 1] - starts[nodes])
+        cuts = np.unique(np.searchsorted(ends, np.arange(PAIRS_AT_ONCE, ends[-1], PAIRS_AT_ONCE)))
+        for some in np.split(nodes, cuts):
+            if len(some):
+                n = starts[some + 1] - starts[some]
+                yield some, n, near[np.repeat(starts[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def choice(n: np.ndarray, others: np.ndarray) -> np.ndarray:
+        ballots = np.repeat(np.arange(len(n)) * count, n) + labels[others]
+        ballots.sort()
+        first = np.flatnonzero(np.diff(ballots, prepend=-1))
+        votes = np.diff(first, append=len(ballots))
+        voter, label = np.divmod(ballots[first], count)
+        own = np.flatnonzero(np.diff(voter, prepend=-1))
+        best = np.flatnonzero(votes == np.maximum.reduceat(votes, own)[voter])
+        return label[best[np.flatnonzero(np.diff(voter[best], prepend=-1))]].astype(np.int32)
+
+    turn = 0
+    while len(active) and (rounds is None or turn < rounds):
+        turn += 1
+        chosen, old = np.concatenate([choice(n, others) for _, n, others in parts(active)]), labels[active]
+        new = chosen != old
+        last, before = moved, was
+        moved, was, chosen = active[new], old[new], chosen[new]
+        if not len(moved):
+            break
+        if np.array_equal(moved, last) and np.array_equal(chosen, before):  # the labels of the last round but one
+            labels[moved] = np.minimum(chosen, was)
+            break
+        labels[moved] = chosen
+        touched = np.zeros(count, bool)
+        for _, _, others in parts(moved):
+            touched[others] = True
+        active = np.flatnonzero(touched)
+    return labels
+
+
+def _settled(rounds: int | None):
+    """Labels of whole graphs; rows (key, a, b) come by key, a and b, pairs of neighbours both ways and each node with itself, some of them twice."""
+
+    def solve(key: int, heads: list[np.ndarray], degrees: list[np.ndarray], near: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        starts = np.zeros(int(heads[-1][-1]) + 2, np.int64)
+        np.add.at(starts, np.concatenate(heads) + 1, np.concatenate(degrees))
+        pairs = np.concatenate(near)
+        near.clear()
+        labels = _settle(np.cumsum(starts), pairs, rounds)
+        for at in range(0, len(labels), 100_000):
+            some = labels[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some)], schema=_LABEL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pieces = (-1, -1, -1), ([], [], [])
+        for batch in batches:
+            key, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(key):
+                continue
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            fresh[0] = (key[0], a[0], b[0]) != last
+            last_key, last = last[0], (key[-1], a[-1], b[-1])
+            key, a, b = key[fresh], a[fresh], b[fresh]
+            for some in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+                if not len(some):
+                    continue
+                if pieces[0] and key[some[0]] != last_key:
+                    yield from solve(last_key, *pieces)
+                    pieces = ([], [], [])
+                last_key = key[some[0]]
+                for piece, rows in zip(pieces, (*np.unique(a[some], return_counts=True), b[some])):
+                    piece.append(rows)
+        if pieces[0]:
+            yield from solve(last[0], *pieces)
+
+    return run
+
+
+_LABEL = pa.schema([("key", pa.int64()), ("node", pa.int32()), ("label", pa.int32())])
+
+
+def communities(g: KnowledgeGraph, rounds: int | None = None, in_a_task: int = PAIRS_IN_A_TASK) -> DataFrame:
     """(graph, id, community) by label propagation: each round a node takes its neighbours' most frequent label, the smallest of equals.
 
     A node counts among its own neighbours, so that two of them do not swap labels for ever.
-    Without a number of rounds it goes on until no label changes or the labels are those of the
-    last round but one, a cycle of two, of which the smaller label of each node is taken.
+    Without a number of rounds each graph goes on until no label changes or the labels are those of
+    the last round but one, a cycle of two, of which the smaller label of each node is taken.  The
+    pairs of neighbours of a graph, as numbers, go to one task that does all rounds; graphs of more
+    than ``in_a_task`` pairs go round by joins, with the same rows.
     """
-    edges = g.undirected()
-    edges = cut(edges.unionByName(edges.select("graph", "src", F.col("src").alias("dst"))).distinct())
-    labels = cut(edges.select("graph", F.col("src").alias("id"), F.col("src").alias("community"), F.lit("").alias("before")).distinct())
-    turn = 0
-    while rounds is None or turn < rounds:
+    edges = stored(g.adjacency().where("graph is not null"))
+    graphs = stored(edges.groupBy("graph").agg((F.count(F.lit(1)) * 2 > in_a_task).alias("large")).withColumn("key", F.monotonically_increasing_id()))
+    ids = edges.select("graph", F.col("src").alias("id")).unionByName(edges.select("graph", F.col("dst").alias("id"))).distinct()
+    # Numbers in the order of the ids, so that the smaller label is the smaller number.
+    number = (F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1).alias("node")
+    nodes = stored(ids.join(graphs.where("not large").select("graph", "key"), "graph").select("graph", "key", "id", number))
+    of = lambda name, number: nodes.select("graph", F.col("id").alias(name), F.col("node").alias(number))
+    pairs = edges.join(of("src", "a"), ["graph", "src"]).join(nodes.select("graph", F.col("id").alias("dst"), F.col("node").alias("b"), "key"), ["graph", "dst"]).selectExpr("key", "stack(2, a, b, b, a) as (a, b)")
+    pairs = pairs.unionByName(nodes.selectExpr("key", "node as a", "node as b")).repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    labels = stored(pairs.sortWithinPartitions("key", "a", "b").mapInArrow(_settled(rounds), "key long, node int, label int"))
+    found = labels.join(nodes, ["key", "node"]).join(nodes.select("key", F.col("node").alias("label"), F.col("id").alias("community")), ["key", "label"]).select("graph", "id", "community")
+    large = graphs.where("large").select("graph")
+    if large.isEmpty():
+        return found
+    return found.unionByName(_labels_by_joins(edges.join(large, "graph", "left_semi"), rounds))
+
+
+def _labels_by_joins(edges: DataFrame, rounds: int | None) -> DataFrame:
+    """As ``communities``, for graphs of any size; a graph leaves the rounds when it has settled."""
+    flip = edges.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    pairs = edges.unionByName(flip)
+    pairs = stored(pairs.unionByName(pairs.select("graph", "src", F.col("src").alias("dst"))).distinct())
+    labels = stored(pairs.select("graph", F.col("src").alias("id"), F.col("src").alias("community"), F.lit(None).cast("string").alias("before")).distinct())
+    done, turn = [], 0
+    while (rounds is None or turn < rounds) and not labels.isEmpty():
         turn += 1
         ballots = labels.select("graph", F.col("id").alias("dst"), "community")
-        votes = edges.join(ballots, ["graph", "dst"]).groupBy("graph", F.col("src").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
+        votes = pairs.join(ballots, ["graph", "dst"]).groupBy("graph", F.col("src").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
         chosen = votes.groupBy("graph", "id").agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), "community")).alias("chosen"))
-        both = cut(labels.join(chosen, ["graph", "id"]))
-        moved = both.agg(F.count_if(F.col("chosen") != F.col("community")), F.count_if(F.col("chosen") != F.col("before"))).first()
-        if not moved[1]:  # the labels of the last round but one
-            return both.select("graph", "id", F.least("chosen", "community").alias("community"))
-        labels = both.select("graph", "id", F.col("chosen").alias("community"), F.col("community").alias("before"))
-        if not moved[0]:
-            break
-    return labels.select("graph", "id", "community")
+        both = stored(labels.join(chosen, ["graph", "id"]))
+        # No label moved, or all are those of the last round but one.
+        stays = lambda c: F.count_if(~F.col("chosen").eqNullSafe(F.col(c))) == 0
+        rest = stored(both.groupBy("graph").agg((stays("community") | stays("before")).alias("rests")).where("rests").select("graph"))
+        done.append(stored(both.join(rest, "graph", "left_semi").select("graph", "id", F.least("chosen", "community").alias("community"))))
+        discard(labels)
+        labels = stored(both.join(rest, "graph", "left_anti").select("graph", "id", F.col("chosen").alias("community"), F.col("community").alias("before")))
+        discard(both)
+        discard(rest)
+    return functools.reduce(DataFrame.unionByName, [*done, labels.select("graph", "id", "community")])
