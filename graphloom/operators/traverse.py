@@ -8,6 +8,7 @@ Frontiers are rows (root, node), so the memory of a task does not depend on a hu
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,29 +128,37 @@ EDGES_IN_A_TASK = 30_000_000
 #: Steps without a chain after which a walk looks ahead before each step.
 PATIENCE = 1_000
 
+#: Edges into a hub that a walk reads at once, as it often needs the first ones only.
+UPS_AT_ONCE = 1_000
 
-def _walk(ups_of, ended: np.ndarray, live: np.ndarray, root: int, limit: int) -> list[list[int]]:
-    """The first ``limit`` simple chains from ``root`` to an end, depth first.
+#: Edges into the head of a chain that a round of joins follows; the others wait as a chain of their own.
+UPS_IN_A_ROUND = 8
+
+
+def _chains(ups_of, ended: np.ndarray, live: np.ndarray, root: int) -> Iterator[list[int]]:
+    """The simple chains from ``root`` to an end, depth first.
 
     After PATIENCE steps without a chain only nodes are entered from which an end can be reached
     beside the path, so that the time for each chain stays polynomial.  What a look ahead found
     closed stays closed while the path goes on from there.
     """
-    path, on, walks, found, steps = [root], {root}, [iter(ups_of(root))], [], 0
-    closed: list[tuple[int, set[int]]] = []
+    path, on, walks, steps = [root], {root}, [iter(ups_of(root))], 0
+    closed: set[int] = set()
+    closings: list[tuple[int, set[int]]] = []
 
     def opens(node: int) -> bool:
-        if any(node in nodes for _, nodes in closed):
+        if node in closed:
             return False
         seen, todo = {node}, [node]
         while todo:
             for up in ups_of(todo.pop()):
                 if ended[up]:
                     return True
-                if up not in seen and up not in on and live[up]:
+                if up not in seen and up not in on and up not in closed and live[up]:
                     seen.add(up)
                     todo.append(up)
-        closed.append((len(path), seen))
+        closed.update(seen)
+        closings.append((len(path), seen))
         return False
 
     while walks:
@@ -157,65 +166,70 @@ def _walk(ups_of, ended: np.ndarray, live: np.ndarray, root: int, limit: int) ->
         if up is None:
             walks.pop()
             on.discard(path.pop())
-            while closed and closed[-1][0] > len(path):
-                closed.pop()
+            while closings and closings[-1][0] > len(path):
+                closed -= closings.pop()[1]
         elif ended[up]:
-            found.append([*path, up])
+            yield [*path, up]
             steps = 0
-            if len(found) == limit:
-                break
         elif live[up] and up not in on:
             steps += 1
             if steps <= PATIENCE or opens(up):
                 path.append(up)
                 on.add(up)
                 walks.append(iter(ups_of(up)))
-    return found
 
 
-def _walks(limit: int):
-    """Chains of whole graphs; rows (key, head, up, ended) come by key, first the roots with no up, then by head and ordinal."""
+def _walk(ups_of, ended: np.ndarray, live: np.ndarray, root: int, limit: int | None) -> list[list[int]]:
+    """The first ``limit`` chains of one root, or all."""
+    return list(itertools.islice(_chains(ups_of, ended, live, root), limit))
+
+
+def _walks(limit: int | None):
+    """Chains of whole graphs; rows (key, head, up, ended) come by key, first the roots with no up, then by head in order of insertion."""
 
-    def solve(pieces: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        head, up, ended = (np.concatenate([p[i] for p in pieces]) for i in (1, 2, 3))
-        roots = head[up < 0]
-        head, up, ended = head[up >= 0], up[up >= 0], ended[up >= 0]
-        names = np.unique(np.concatenate([head, up, roots]))
-        head, up, roots = (np.searchsorted(names, x) for x in (head, up, roots))
+    def solve(pieces: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        head, up, ended = (np.concatenate([p[i] for p in pieces]) for i in range(3))
+        pieces.clear()
+        n = np.count_nonzero(up < 0)
+        roots, head, up, ended = head[:n], head[n:], up[n:], ended[n:]
+        names = np.unique(np.concatenate([head[np.flatnonzero(np.diff(head, prepend=-1))], np.unique(up), roots]))
+        head, up, roots = (np.searchsorted(names, x).astype(np.int32) for x in (head, up, roots))
         starts = np.searchsorted(head, np.arange(len(names) + 1))
         is_end = np.zeros(len(names), bool)
         is_end[up[ended]] = True
         # Nodes that lead to an end, by any way.
         back = np.argsort(up, kind="stable")
-        first = np.searchsorted(up[back], np.arange(len(names) + 1))
+        first, back = np.searchsorted(up[back], np.arange(len(names) + 1)), head[back]
         live, frontier = is_end.copy(), np.flatnonzero(is_end)
         while len(frontier):
             n = first[frontier + 1] - first[frontier]
             at = np.repeat(first[frontier] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            frontier = np.unique(head[back[at]])
+            frontier = np.unique(back[at])
             frontier = frontier[~live[frontier]]
             live[frontier] = True
-        rows: list[tuple[int, int, list[int]]] = []
-        ups_of = lambda node: up[starts[node] : starts[node + 1]].tolist()
-        for root in roots.tolist():
-            for place, chain in enumerate(_walk(ups_of, is_end, live, root, limit) if live[root] else [], 1):
-                rows.append((names[root], place, names[chain]))
-            if len(rows) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CHAIN.types)], schema=_CHAIN)
-                rows = []
-        if rows:
+        del head, ended, back, first
+
+        def ups_of(node: int) -> Iterator[int]:
+            for at in range(starts[node], starts[node + 1], UPS_AT_ONCE):
+                yield from up[at : min(at + UPS_AT_ONCE, starts[node + 1])].tolist()
+
+        found = ((names[root], place, names[chain]) for root in roots.tolist() if live[root] for place, chain in enumerate(itertools.islice(_chains(ups_of, is_end, live, root), limit), 1))
+        while rows := list(itertools.islice(found, 1000)):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _CHAIN.types)], schema=_CHAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[list[np.ndarray]] = []
+        pieces: list[tuple[np.ndarray, ...]] = []
+        last = None
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for piece in zip(*(np.split(c, np.flatnonzero(np.diff(columns[0])) + 1) for c in columns)):
-                if pieces and len(piece[0]) and pieces[-1][0][0] != piece[0][0]:
+            key, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            at = np.flatnonzero(np.diff(key)) + 1
+            for keys, *piece in zip(np.split(key, at), *(np.split(c, at) for c in columns)):
+                if not len(keys):
+                    continue
+                if pieces and last != keys[0]:
                     yield from solve(pieces)
-                    pieces = []
-                if len(piece[0]):
-                    pieces.append(list(piece))
+                last = keys[0]
+                pieces.append(tuple(piece))
         if pieces:
             yield from solve(pieces)
 
@@ -225,19 +239,17 @@ def _walks(limit: int):
 _CHAIN = pa.schema([("root", pa.int64()), ("place", pa.int32()), ("chain", pa.list_(pa.int64()))])
 
 
-def critical_paths(g: KnowledgeGraph, starts: DataFrame, limit: int = 10, branch: int = 5, in_a_task: int = EDGES_IN_A_TASK) -> DataFrame:
+def critical_paths(g: KnowledgeGraph, starts: DataFrame, limit: int | None = 10, in_a_task: int = EDGES_IN_A_TASK) -> DataFrame:
     """(graph, root, place, path): simple chains of dependents up to an entity that nothing leads to.
 
-    Only the first ``branch`` edges into a node, in order of insertion, are followed; the first
-    ``limit`` chains of a depth-first walk are reported, however long.  The edges of a graph, as
-    numbers, go to one task that walks from all its roots; graphs of more than ``in_a_task``
-    edges are walked by joins, with the same rows.
+    All edges into a node are followed, in order of insertion.  ``limit`` is how many chains of a
+    root are asked for, the first ones of a depth-first walk, however long; None asks for all,
+    whose number may be exponential.  The edges of a graph, as numbers, go to one task that walks
+    from all its roots; graphs of more than ``in_a_task`` edges are walked by joins, with the same rows.
     """
-    w = Window.partitionBy("graph", "target_id").orderBy("rel_id")
     known = g.entities.select("graph", F.col("id").alias("source_id"))
     edges = g.relationships.where("target_id is not null and graph is not null").select("graph", "source_id", "target_id", "rel_id")
-    into = edges.where("source_id is not null").withColumn("ordinal", F.row_number().over(w)).where(F.col("ordinal") <= branch)
-    step = stored(into.join(known, ["graph", "source_id"], "left_semi").select("graph", F.col("target_id").alias("head"), F.col("source_id").alias("up"), "ordinal"))
+    step = stored(edges.join(known, ["graph", "source_id"], "left_semi").select("graph", F.col("target_id").alias("head"), F.col("source_id").alias("up"), "rel_id"))
     targets = edges.select("graph", F.col("target_id").alias("id")).distinct()
     roots = starts.select("graph", "root").distinct()
     large = stored(step.groupBy("graph").count().where(F.col("count") > in_a_task).select("graph"))
@@ -249,23 +261,25 @@ def critical_paths(g: KnowledgeGraph, starts: DataFrame, limit: int = 10, branch
     nodes = stored(nodes.join(targets.withColumn("inside", F.lit(True)), ["graph", "id"], "left").select("graph", "id", F.col("inside").isNull().alias("ended"), F.monotonically_increasing_id().alias("node")))
     of = lambda name, number: nodes.select("graph", F.col("id").alias(name), F.col("node").alias(number))
     numbered = step.join(of("head", "a"), ["graph", "head"]).join(nodes.select("graph", F.col("id").alias("up"), F.col("node").alias("b"), "ended"), ["graph", "up"])
-    rows = numbered.select("graph", "a", "b", "ordinal", "ended").unionByName(roots.join(of("root", "a"), ["graph", "root"]).select("graph", "a", F.lit(-1).cast("long").alias("b"), F.lit(0).alias("ordinal"), F.lit(False).alias("ended")))
+    rows = numbered.select("graph", "a", "b", "rel_id", "ended").unionByName(roots.join(of("root", "a"), ["graph", "root"]).select("graph", "a", F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("rel_id"), F.lit(False).alias("ended")))
     # Numbers are of one graph each, so that two graphs of one key do each other no harm.
     rows = rows.withColumn("key", F.xxhash64("graph")).repartition(int(step.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    chains = rows.sortWithinPartitions("key", F.expr("b >= 0"), "a", "ordinal").select("key", "a", "b", "ended").mapInArrow(_walks(limit), "root long, place int, chain array<long>")
+    chains = rows.sortWithinPartitions("key", F.expr("b >= 0"), "a", "rel_id").select("key", "a", "b", "ended").mapInArrow(_walks(limit), "root long, place int, chain array<long>")
     named = stored(chains).select("root", "place", F.posexplode("chain").alias("pos", "node")).join(nodes.select("graph", "id", "node"), "node")
     named = named.groupBy("root", "place").agg(F.min("graph").alias("graph"), F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("chain"))
     found = named.select("graph", F.col("chain")[0]["id"].alias("root"), "place", F.array_join("chain.id", " < ").alias("path"))
     return found if large.isEmpty() else found.unionByName(by_joins)
 
 
-def _chains_by_joins(step: DataFrame, ends: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
+def _chains_by_joins(step: DataFrame, ends: DataFrame, starts: DataFrame, limit: int | None) -> DataFrame:
     """As ``critical_paths``, for graphs of any size.
 
     Ordinals of the edges taken stand for the order of the walk: each round prolongs the first
     ``limit`` open chains of a root, the others wait, and those behind its ``limit``-th finished
-    chain are dropped, as all that comes of them is behind it too.  Chains that cannot reach an
-    end are not prolonged.
+    chain are dropped, as all that comes of them is behind it too.  A chain is prolonged by
+    UPS_IN_A_ROUND edges at a time; for those that are left it stays open, with the next ``page``
+    of edges, behind all that came of the pages before.  Chains that cannot reach an end are not
+    prolonged.
     """
     # Nodes that lead to an end, by any way; a few levels between two checkpoints, as their order does not matter.
     live = frontier = ends
@@ -276,23 +290,34 @@ def _chains_by_joins(step: DataFrame, ends: DataFrame, starts: DataFrame, limit:
         frontier = cut(functools.reduce(DataFrame.unionByName, nearer[1:]).distinct().join(live, ["graph", "id"], "left_anti"))
         live = live.unionByName(frontier)
     flags = cut(live.join(ends.withColumn("ended", F.lit(True)), ["graph", "id"], "left").select("graph", F.col("id").alias("up"), F.coalesce("ended", F.lit(False)).alias("ended")))
-    step = cut(step.join(flags, ["graph", "up"]))
-    chains = starts.select("graph", "root", F.col("root").alias("head"), F.array("root").alias("path"), F.array().cast("array<int>").alias("ordinals"), F.lit(False).alias("ended"))
+    heads = Window.partitionBy("graph", "head")
+    step = step.join(flags, ["graph", "up"]).withColumn("ordinal", F.row_number().over(heads.orderBy("rel_id")))
+    # The first edge of each page but the last one tells that there are more.
+    step = step.join(step.groupBy("graph", "head").agg(F.max("ordinal").alias("degree")), ["graph", "head"])
+    page = F.floor((F.col("ordinal") - 1) / UPS_IN_A_ROUND).cast("int")
+    more = ((F.col("ordinal") - 1) % UPS_IN_A_ROUND == 0) & (F.col("ordinal") + UPS_IN_A_ROUND <= F.col("degree"))
+    step = cut(step.select("graph", "head", "up", "ordinal", "ended", page.alias("page"), more.alias("more")))
+    chains = starts.select("graph", "root", F.col("root").alias("head"), F.array("root").alias("path"), F.array().cast("array<int>").alias("ordinals"), F.lit(False).alias("ended"), F.lit(0).alias("page"))
     state = cut(chains.join(flags.where("not ended").select("graph", F.col("up").alias("head")), ["graph", "head"], "left_semi").select(chains.columns))
-    order = Window.partitionBy("graph", "root").orderBy("ordinals")
+    order = Window.partitionBy("graph", "root").orderBy(F.when(F.col("ended"), F.col("ordinals")).otherwise(F.concat("ordinals", F.array(F.col("page") * UPS_IN_A_ROUND + 1))))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     while not state.where("not ended").isEmpty():
-        ranked = state.withColumn("turn", ~F.col("ended") & (F.sum(F.when(F.col("ended"), 0).otherwise(1)).over(so_far) <= limit))
+        first = F.lit(True) if limit is None else F.sum(F.when(F.col("ended"), 0).otherwise(1)).over(so_far) <= limit
+        ranked = state.withColumn("turn", ~F.col("ended") & first)
         rows = [ranked.where("not turn").drop("turn")]
         grown = ranked.where("turn").drop("turn")
         for _ in range(2):  # two steps between two checkpoints
-            longer = grown.drop("ended").join(step, ["graph", "head"]).where(~F.array_contains("path", F.col("up")))
-            longer = longer.select("graph", "root", F.col("up").alias("head"), F.concat("path", F.array("up")).alias("path"), F.concat("ordinals", F.array("ordinal")).alias("ordinals"), "ended")
+            met = grown.drop("ended").join(step, ["graph", "head", "page"])
+            left = met.where("more").select("graph", "root", "head", "path", "ordinals", F.lit(False).alias("ended"), (F.col("page") + 1).alias("page"))
+            longer = met.where(~F.array_contains("path", F.col("up")))
+            longer = longer.select("graph", "root", F.col("up").alias("head"), F.concat("path", F.array("up")).alias("path"), F.concat("ordinals", F.array("ordinal")).alias("ordinals"), "ended", F.lit(0).alias("page"))
             rows.append(longer.where("ended"))
-            grown = longer.where("not ended")
-        rows = functools.reduce(DataFrame.unionByName, [*rows, grown])
-        finished = F.sum(F.when(F.col("ended"), 1).otherwise(0)).over(so_far) - F.when(F.col("ended"), 1).otherwise(0)
-        state = cut(rows.withColumn("finished", finished).where(F.col("finished") < limit).drop("finished"))
+            grown = longer.where("not ended").unionByName(left)
+        state = functools.reduce(DataFrame.unionByName, [*rows, grown])
+        if limit is not None:
+            finished = F.sum(F.when(F.col("ended"), 1).otherwise(0)).over(so_far) - F.when(F.col("ended"), 1).otherwise(0)
+            state = state.withColumn("finished", finished).where(F.col("finished") < limit).drop("finished")
+        state = cut(state)
     return state.select("graph", "root", F.row_number().over(order).alias("place"), F.array_join("path", " < ").alias("path"))
 
 
